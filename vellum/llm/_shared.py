@@ -90,3 +90,28 @@ def join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.n
             if (jumped == labels).all():
                 break
             labels = jumped
+
+
+def whole_runs(batches, column: str, rows: int):
+    """Cut a stream of Arrow batches that is sorted by ``column`` into tables of whole runs.
+
+    Each table ends where the value of ``column`` changes and has at least ``rows`` rows,
+    but for the last one.  Only the runs of one table and one batch are held at a time.
+    """
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        value = table[column].to_numpy()
+        done = 0
+        for cut in np.flatnonzero(value[1:] != value[:-1]) + 1:
+            if cut - done >= rows:
+                yield table.slice(done, cut - done)
+                done = int(cut)
+        held = table.slice(done).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, secrets, simhash
 
-_MODULES = (mixing, secrets)
+_MODULES = (mixing, secrets, simhash)
 
 
 def queries() -> dict:
