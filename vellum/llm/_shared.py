@@ -65,12 +65,26 @@ def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
-def range_of(value: Column, bounds: list[int]) -> Column:
-    """The range 0..len(bounds) that a value falls in: the number of bounds at or below it."""
+def with_range(df: DataFrame, column: str, bounds: list[int], out: str) -> DataFrame:
+    """Adds ``out``: the range 0..len(bounds) of a long column, by binary search in the JVM.
+
+    The number of bounds at or below the value; nulls are in the first range.
+    """
     if not bounds:
-        return F.lit(0)
-    held = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(held, lambda b: b <= value)), F.lit(0))
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = sorted({float(b) for b in bounds})
+    key = free_name(df, "_range_key")
+    low = cuts[0] - 1 - abs(cuts[0])
+    keyed = df.withColumn(key, F.coalesce(F.col(f"`{column}`").cast("double"), F.lit(low)))
+    search = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=key, outputCol=out)
+    return search.transform(keyed).drop(key).withColumn(out, F.col(out).cast("int"))
+
+
+def row_ranges(df: DataFrame, column: str, rows: int) -> list[int]:
+    """Bounds of ranges of a long column that hold about ``rows`` rows each."""
+    return id_bounds(df, column, -(-df.count() // rows))
 
 
 def join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

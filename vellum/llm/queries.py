@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, simhash
+from . import direct_codes, embeddings, mixing, packing, secrets, simhash
 
-_MODULES = (mixing, secrets, simhash)
+_MODULES = (mixing, secrets, simhash, direct_codes, packing, embeddings)
 
 
 def queries() -> dict:
