@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from . import direct_codes, embeddings, mixing, packing, secrets, simhash
+from . import (
+    direct_codes,
+    embeddings,
+    mixing,
+    order_minhash,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+)
 
-_MODULES = (mixing, secrets, simhash, direct_codes, packing, embeddings)
+_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, mixing, simhash, direct_codes, packing)
 
 
 def queries() -> dict:
