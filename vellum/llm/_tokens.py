@@ -19,6 +19,15 @@ _LOOSE = ("  ", "\n\n", " \n", "\n ")
 _encoders: dict = {}
 
 
+def _gaps(found: list) -> list[int]:
+    """The places that hold None."""
+    places, at = [], -1
+    for _ in range(found.count(None)):
+        at = found.index(None, at + 1)
+        places.append(at)
+    return places
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -28,7 +37,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, kept: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -38,11 +47,21 @@ class ChunkEncoder:
             raise ValueError("only byte-level vocabularies can be encoded by chunks")
         #: white space belongs to the following token, as opposed to being dropped
         self.spaced = "Split" not in pre
+        #: a normaliser that only lower-cases common characters is applied to whole texts instead
+        self.lower = self.library.normalizer is not None
+        self.plain = self.library
+        if self.lower:
+            if "Lowercase" not in str(self.library.normalizer):
+                raise ValueError("only a lower-casing normaliser can be applied ahead")
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = normalizers.Sequence([])
         self.kept = kept
         self.held: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        done = self.library.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        done = (self.library if whole else self.plain).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
     def _chunks(self, text: str) -> list[str] | None:
@@ -50,6 +69,8 @@ class ChunkEncoder:
             return None
         if self.spaced and any(x in text for x in _LOOSE):
             return None
+        if self.lower:
+            text = text.lower()
         if not self.spaced:
             return text.split()
         # a chunk after a newline carries it; the text's first chunk is marked by NUL
@@ -69,14 +90,17 @@ class ChunkEncoder:
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         split = [self._chunks(t) for t in texts]
-        wanted = {c for c in set().union(*(c for c in split if c)) if c not in self.held}
-        if len(self.held) + 2 * len(wanted) > self.kept:
-            self.held = {}
-            wanted = set().union(*(c for c in split if c))
-        self._hold(wanted)
-        whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None]))
-        held = self.held.__getitem__
-        return [next(whole) if c is None else b"".join(map(held, c)) for c in split]
+        found = [c and list(map(self.held.get, c)) for c in split]
+        gaps = [(c, f, i) for c, f in zip(split, found, strict=True) if f for i in _gaps(f)]
+        if gaps:
+            new = {c[i] for c, _, i in gaps}
+            if len(self.held) + 2 * len(new) > self.kept:
+                self.held = {}
+            self._hold(new)
+            for c, f, i in gaps:
+                f[i] = self.held[c[i]]
+        whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None], whole=True))
+        return [next(whole) if f is None else b"".join(f) for f in found]
 
     def _hold(self, wanted: set[str]) -> None:
         """Encode new chunks; closing marks after a letter or digit are tokens of their own."""

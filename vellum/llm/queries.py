@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     direct_codes,
     embeddings,
+    language,
     mixing,
     order_minhash,
     packing,
@@ -14,7 +15,7 @@ from . import (
     token_counts,
 )
 
-_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, mixing, simhash, direct_codes, packing)
+_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, language, mixing, simhash, direct_codes, packing)
 
 
 def queries() -> dict:
