@@ -1,7 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints are dealt by exact bands: of ``radius + 1`` bands at least one is equal in any
-two fingerprints within the radius, so links can only lie inside a band's buckets.  Inside a
+Fingerprints are dealt by exact bands: of ``radius + k`` bands at least k are equal in any two
+fingerprints within the radius, so links can only lie inside the buckets of k bands; k is
+the least number that makes buckets of evenly spread fingerprints fit a block.  Inside a
 bucket fingerprints are stored vertically, one plane of packed bits per bit position, and a
 query's distances to 64 fingerprints per machine word are summed plane by plane in
 carry-save counters.  A block of queries is left as soon as all its distances exceed the
@@ -12,6 +13,8 @@ and never the pairs.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,15 +122,15 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, block: int = BLOCK) ->
     The links are spanning forests of the near pairs found in each block: two fingerprints
     are connected by them exactly if a chain of pairs within the radius connects them.
     """
-    n_bands = radius + 1
+    n = prints.count()
+    equal = next(k for k in range(1, BITS) if n >> (k * (BITS // (radius + k))) <= block or k + radius >= BITS // 2)
+    n_bands = radius + equal
     cuts = [BITS * i // n_bands for i in range(n_bands + 1)]
-    bands = F.array(
-        *[
-            F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft("fp", cuts[i]), BITS - (cuts[i + 1] - cuts[i])))
-            for i in range(n_bands)
-        ]
+    bands = [F.shiftrightunsigned(F.shiftleft("fp", a), BITS - (b - a)) for a, b in itertools.pairwise(cuts)]
+    keys = F.array(
+        *[F.xxhash64(F.lit(i), *[bands[k] for k in own]) for i, own in enumerate(itertools.combinations(range(n_bands), equal))]
     )
-    dealt = prints.select("fp", F.explode(bands).alias("g"))
+    dealt = prints.select("fp", F.explode(keys).alias("g"))
     sizes = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("fp"), parts).cast("int")
