@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "latest_summary"
+from . import reading, store
+
+FLAGSHIP = "book_outline"
+_MODULES = (reading, store)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
