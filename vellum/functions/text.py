@@ -239,14 +239,7 @@ def furniture_key(text: Column) -> Column:
 def preview(text: Column, limit: int = 70) -> Column:
     """The text on one line: whole words up to ``limit``, then an ellipsis."""
     clean = squeeze(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("done"))
-
-    def step(state, word):
-        full = state["done"] | (F.length(state["out"]) + F.length(word) + 1 > limit)
-        longer = F.when(state["out"] == "", word).otherwise(F.concat(state["out"], F.lit(" "), word))
-        return F.struct(F.when(full, state["out"]).otherwise(longer).alias("out"), full.alias("done"))
-
-    cut = F.aggregate(F.split(clean, " "), start, step)["out"]
+    cut = F.regexp_extract(F.concat(clean, F.lit(" ")), f"^(.{{1,{limit}}}) ", 1)
     return F.when(F.length(clean) <= limit, clean).otherwise(
         F.concat(F.when(cut == "", F.substring(clean, 1, limit)).otherwise(cut), F.lit("…"))
     )
@@ -321,9 +314,14 @@ def plain_words(text: Column) -> Column:
 
 
 def runs(w: Column, n: int = SHARED_RUN) -> Column:
-    """All runs of ``n`` words, space-joined; empty if there are fewer words."""
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+    """All runs of ``n`` words, space-joined; empty if there are fewer words.
+
+    The words are zipped with themselves, moved on by 1 to n - 1: an outer array inside a
+    lambda would be made again for each element.
+    """
+    moved = F.arrays_zip(*[F.slice(w, k + 1, 1 << 30) for k in range(n)])
+    full = F.filter(moved, lambda x: x[str(n - 1)].isNotNull())
+    return F.transform(full, lambda x: F.concat_ws(" ", *[x[str(k)] for k in range(n)]))
 
 
 def shares_run(question: Column, paragraph: Column) -> Column:

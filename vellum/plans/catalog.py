@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import reading, store
+from . import ingest, reading, store, words
 
 FLAGSHIP = "book_outline"
-_MODULES = (reading, store)
+_MODULES = (reading, store, words, ingest)
 
 
 def queries() -> dict:

@@ -164,9 +164,8 @@ def runs(w: str, n: int = rules.SHARED_RUN) -> str:
     return f"list_transform(range(1, greatest(len({w}) - {n - 1}, 0) + 1), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))"
 
 
-def sentences(x: str) -> str:
-    """Splits at a space that closes a sentence: words are marked, then cut at the marks."""
-    w = words(x)
+def sentences(w: str) -> str:
+    """Of a column that holds a list of words: they are marked where a sentence closes, then cut there."""
     mark = (
         f"list_transform({w}, lambda v, i: v || CASE WHEN i < len({w}) AND NOT list_contains({_list(rules.ABBREVIATIONS)}, lower(v)) AND {has('v', '[.!?]$')} "
         rf"AND {has(f'{w}[i + 1]', r'^[^\p{L}\p{N}' + '\"“]*' + r'[\p{Lu}0-9' + '\"“]')} THEN chr(1) ELSE ' ' END)"
@@ -197,11 +196,6 @@ def surface(x: str) -> str:
 
 
 def preview(x: str, limit: int = 70) -> str:
-    """The longest run of first words within the limit; an over-long first word is cut."""
     clean = squeeze(x)
-    w = f"string_split({clean}, ' ')"
-    # the k-th word still fits if the words before it, joined, and it and a space are within the limit
-    size = lambda k: f"length(array_to_string({w}[1:{k}], ' '))"
-    fits = f"(length({w}[k]) + CASE WHEN k = 1 THEN 1 ELSE {size('(k - 1)')} + 1 END <= {limit})"
-    n = f"coalesce(list_min(list_filter(range(1, len({w}) + 1), lambda k: NOT {fits})) - 1, len({w}))"
-    return f"CASE WHEN length({clean}) <= {limit} THEN {clean} ELSE CASE WHEN {n} = 0 THEN substr({clean}, 1, {limit}) ELSE array_to_string({w}[1:{n}], ' ') END || '…' END"
+    cut = f"nullif(regexp_extract({clean} || ' ', '^(.{{1,{limit}}}) ', 1), '')"
+    return f"CASE WHEN length({clean}) <= {limit} THEN {clean} ELSE coalesce({cut}, left({clean}, {limit})) || '…' END"

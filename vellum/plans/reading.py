@@ -258,7 +258,7 @@ def paragraph_contexts(spark, sf_dir):
     return structure.paragraph_contexts(blocks(spark, sf_dir), pages(spark, sf_dir).drop("raw", "title"))
 
 
-@query(f"WITH {PG}, {BL} SELECT id, unnest({duck.sentences('text_norm')}) AS sentence, generate_subscripts({duck.sentences('text_norm')}, 1) AS ordinal FROM bl WHERE kind = 'paragraph'")
+@query(f"WITH {PG}, {BL} SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ordinal FROM (SELECT id, {duck.sentences('w')} AS s FROM (SELECT id, {duck.words('text_norm')} AS w FROM bl WHERE kind = 'paragraph'))")
 def block_sentences(spark, sf_dir):
     own = blocks(spark, sf_dir).where("kind = 'paragraph'")
     rows = own.select("id", F.posexplode(t.sentences(F.col("text_norm"))).alias("pos", "sentence"))
@@ -267,7 +267,7 @@ def block_sentences(spark, sf_dir):
 
 @query(
     f"""WITH {PG}, {BL}, {ADJ}, {CTX}, {SM}, nt AS (SELECT block_id, sentence_ordinal, arg_max(sentence, revision) AS note FROM sm WHERE sentence_ordinal IS NOT NULL GROUP BY ALL),
-sx AS (SELECT id, unnest({duck.sentences('text')}) AS sentence, generate_subscripts({duck.sentences('text')}, 1) - 1 AS ordinal FROM cx)
+sx AS (SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS ordinal FROM (SELECT id, {duck.sentences('w')} AS s FROM (SELECT id, {duck.words('text')} AS w FROM cx)))
 SELECT sx.id, sx.ordinal::BIGINT AS ordinal, sentence, note FROM sx LEFT JOIN nt ON nt.block_id = sx.id AND nt.sentence_ordinal = sx.ordinal"""
 )
 def sentence_notes_in_context(spark, sf_dir):
