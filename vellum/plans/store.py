@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import structure
+from ..streaming import vocabulary as vocabulary_stream
 from . import duck
 from .reading import _NTH
 from .relations import BL, LK, PG, SM, blocks, lookups, pages, summaries, table
@@ -230,3 +234,10 @@ def note_progress(spark, sf_dir):
     return summaries(spark, sf_dir).groupBy("block_id").agg(
         F.count_if(F.col("sentence_ordinal").isNotNull()).alias("notes"), F.sum(t.word_count(F.col("sentence"))).alias("words")
     )
+
+
+@query("SELECT user_id AS book_id, lower(event_type) AS word, count(DISTINCT event_id) AS count, min(event_id) AS first_id FROM events GROUP BY ALL")
+def streamed_vocabulary(spark, sf_dir):
+    """The vocabulary that a stream over the events ends with."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return vocabulary_stream.replay(spark, sf_dir, f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
