@@ -15,7 +15,7 @@ from vellum.llm.language import keep_identified
 from vellum.llm.mixing import mixed_documents
 from vellum.llm.packing import pack_documents
 from vellum.llm.secrets import redact_secrets
-from vellum.llm.simhash import drop_near_duplicates
+from vellum.llm.similar import drop_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the least doc_id stays.
+    """Of each group of near-duplicates the document with the least doc_id stays.
 
-    Five-word shingles; fingerprints link at 6 or fewer of 64 bits, which copies
-    with a similarity well above 0.8 keep and different texts do not reach.
+    Two documents link if the Jaccard similarity of their five-word shingles is 0.8 or more.
     """
-    return drop_near_duplicates(docs, size=5, radius=6)
+    return drop_similar(docs, size=5)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The language and SimHash stages have no SQL form; tests hold the pipeline against brute force.
+#: The language and near-duplicate stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
