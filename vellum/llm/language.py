@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_name
+from ._shared import free_name, materialize
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -28,7 +28,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Settings:
     """Documented bounds of the model; they do not grow with the corpus.
 
-    ``per_language`` documents of each label are gathered for fitting, chosen by a hash of
+    ``per_language`` distinct texts of each label are gathered for fitting, chosen by a hash of
     the text; ``lexicon`` words are kept per label.
     """
 
@@ -273,18 +273,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, how: Settings) -> list[tuple[str, str]]:
-    """Whole labelled texts outside the held-out part, at most ``per_language`` of each label."""
+    """Distinct labelled texts outside the held-out part, at most ``per_language`` of each label.
+
+    A text with several labels has its commonest one, of equally common ones the first by
+    code point.
+    """
     own = docs.select("text", F.col("lang").cast("string").alias("lang"), "doc_id").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    own = own.where(~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = own.where(~held_out(F.col("doc_id")))
+    own = own.select("text", "lang", F.xxhash64("text", F.lit(how.seed)).alias("h"), F.xxhash64(F.lit(how.seed), "text").alias("k"))
+    rows = own.groupBy("h", "k", "lang").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy("h", "k").agg(F.min(F.struct(-F.col("n"), "lang")).getField("lang").alias("lang"))
+    texts = materialize(texts, "labelled")
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 2.0 * how.per_language / n)))])
-    draw = F.pmod(F.xxhash64("text", F.lit(how.seed)), F.lit(1 << 30)) / float(1 << 30)
-    some = own.withColumn("draw", draw).where(F.col("draw") <= F.element_at(share, F.col("lang")))
-    first = Window.partitionBy("lang").orderBy("draw", "text")
-    rows = some.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= how.per_language)
-    return [(r["text"], r["lang"]) for r in rows.select("text", "lang").collect()]
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    some = texts.withColumn("draw", draw).where(F.col("draw") <= F.element_at(share, F.col("lang")))
+    first = Window.partitionBy("lang").orderBy("draw", "h", "k")
+    drawn = some.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= how.per_language).select("h", "k", "lang")
+    # bounded: per_language keys of each label
+    found = own.drop("lang").join(F.broadcast(drawn), ["h", "k"]).groupBy("h", "k", "lang").agg(F.first("text").alias("text"))
+    return [(r["text"], r["lang"]) for r in found.select("text", "lang").collect()]
 
 
 def identify_languages(docs: DataFrame, how: Settings | None = None, out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
