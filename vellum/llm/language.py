@@ -247,8 +247,12 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(label, score) of each text; ``und`` and 0 where there is no letter."""
+        return [found[:2] for found in self.label_surely(texts)]
+
+    def label_surely(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """As ``label``, and the mean over a text's words of their largest label probability."""
         types = self._types([words_of(t) for t in texts])
-        out = [(UNDETERMINED, 0.0)] * len(texts)
+        out = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         order = sorted((i for i in range(len(texts)) if len(types[i])), key=lambda i: -len(types[i]))
         at = 0
         while at < len(order):
@@ -262,8 +266,9 @@ class Labeller:
             gamma = forward_backward(table, lengths, self.scores, m.transitions, m.first)
             mean = gamma.sum(axis=0, dtype=np.float64) / lengths[:, None]
             best = mean.argmax(axis=1)
+            sure = gamma.max(axis=2).sum(axis=0, dtype=np.float64) / lengths
             for j, i in enumerate(own):
-                out[i] = (m.labels[best[j]], min(1.0, float(mean[j, best[j]])))
+                out[i] = (m.labels[best[j]], min(1.0, float(mean[j, best[j]])), min(1.0, float(sure[j])))
         return out
 
 
@@ -297,9 +302,13 @@ def training_sample(docs: DataFrame, how: Settings) -> list[tuple[str, str]]:
     return [(r["text"], r["lang"]) for r in found.select("text", "lang").collect()]
 
 
-def identify_languages(docs: DataFrame, how: Settings | None = None, out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+def identify_languages(
+    docs: DataFrame, how: Settings | None = None, out: str = "lang_pred", score: str = "lang_score", sure: str | None = None
+) -> DataFrame:
     """Adds ``out`` (a learned label or ``und``) and ``score`` (0 to 1); other columns stay.
 
+    With a name in ``sure`` also the mean over the words of their largest label probability.
+
     Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
     everything when there is nothing to learn from; equal texts get equal predictions; ties
     go to the first label by code point; older columns of these names are replaced; an
@@ -308,10 +317,11 @@ def identify_languages(docs: DataFrame, how: Settings | None = None, out: str =
     how = how or Settings()
     spark = docs.sparkSession
     model = fit(training_sample(docs, how), how)
-    names = [c for c in docs.columns if c not in (out, score)]
+    numbers = [score] if sure is None else [score, sure]
+    names = [c for c in docs.columns if c not in (out, *numbers)]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     if model is None:
-        return docs.withColumn(out, F.lit(UNDETERMINED)).withColumn(score, F.lit(0.0))
+        return docs.withColumn(out, F.lit(UNDETERMINED)).withColumns({c: F.lit(0.0) for c in numbers})
     # bounded: buckets + lexicon rows of one float per label, a few MB
     shared = spark.sparkContext.broadcast(model)
 
@@ -323,22 +333,26 @@ def identify_languages(docs: DataFrame, how: Settings | None = None, out: str =
             at = batch.schema.get_field_index("text")
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                found = labeller.label(some.column(at).to_pylist())
+                found = labeller.label_surely(some.column(at).to_pylist())
+                values = [pa.array([x[k] for x in found], pa.float64()) for k in range(1, len(numbers) + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                    names=[*some.schema.names, out, score],
+                    [*some.columns, pa.array([x[0] for x in found], pa.string()), *values],
+                    names=[*some.schema.names, out, *numbers],
                 )
 
-    added = [T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())]
+    added = [T.StructField(out, T.StringType()), *[T.StructField(c, T.DoubleType()) for c in numbers]]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def keep_identified(docs: DataFrame, how: Settings | None = None, least: float = 0.4) -> DataFrame:
-    """The documents whose language is determined with at least this score; same columns."""
+    """The documents whose words' languages are determined with at least this mean probability.
+
+    A text of several languages stays when each word's is clear; same columns.
+    """
     names = docs.columns
-    found = identify_languages(docs, how, out=free_name(docs, "_lang"), score=free_name(docs, "_lang_score"))
-    lang, score = found.columns[-2:]
-    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in names])
+    found = identify_languages(docs, how, *[free_name(docs, c) for c in ("_lang", "_lang_score", "_lang_sure")])
+    lang, _, sure = found.columns[-3:]
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(sure) >= least)).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
