@@ -86,20 +86,54 @@ def test_simhash_odd_rows(spark):
 
 
 # --- embeddings --------------------------------------------------------------------------
-@pytest.mark.parametrize("cell", [40, 16_384])
-def test_embedding_groups(spark, cell):
-    rng = np.random.default_rng(4)
-    centres = rng.standard_normal((30, 24))
-    x = np.concatenate([centres[rng.integers(0, 30, 260)] + 0.22 * rng.standard_normal((260, 24)), rng.standard_normal((120, 24))])
-    x[5] = x[6]
-    x[7] = 2 * x[8]
+def clustered(n_groups, n_near, n_far, dim, seed, noise=0.22):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n_groups, dim))
+    return np.concatenate([centres[rng.integers(0, n_groups, n_near)] + noise * rng.standard_normal((n_near, dim)), rng.standard_normal((n_far, dim))])
+
+
+def check_vectors(spark, x, **kw):
     frame = spark.createDataFrame([(i, [float(v) for v in row], "x") for i, row in enumerate(x)], "vec_id long, embedding array<double>, label string")
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    near = unit @ unit.T >= 0.95
-    assert 50 < near.sum() - len(x)
-    rows = sorted(embeddings.embedding_groups(frame, cell=cell).collect())
+    unit = embeddings.unit(x)
+    near = np.concatenate([np.einsum("ij,kj->ik", part, unit) >= 0.95 for part in np.array_split(unit, 1 + len(x) // 2000)])
+    rows = sorted(embeddings.embedding_groups(frame, **kw).collect())
     assert [r.n_links for r in rows] == (near.sum(axis=1) - 1).tolist()
     assert [r.component_id for r in rows] == least_reachable(near, np.arange(len(x))).tolist()
+    return near
+
+
+@pytest.mark.parametrize("cell", [12, 40, 32_768])
+def test_embedding_groups(spark, cell, monkeypatch):
+    monkeypatch.setattr(embeddings, "FINE", 8)
+    x = clustered(30, 260, 120, 24, 4)
+    x[5] = x[6]
+    x[7] = 2 * x[8]
+    assert 50 < check_vectors(spark, x, cell=cell).sum() - len(x)
+
+
+@pytest.mark.parametrize("cell", [60, 1000])
+def test_embedding_hot_cluster(spark, cell):
+    # one group holds more vectors than two cells, and is dealt in pairs of parts
+    assert check_vectors(spark, clustered(1, 500, 700, 32, 9, noise=0.1), cell=cell).sum() > 200_000
+
+
+def test_embedding_ties(spark):
+    # cosines of exactly 19/20: 0.95 is met, and the next double below is not
+    a, b = [20.0, 0.0, 0.0, 0.0], [19.0, 6.0, 1.0, 1.0]
+    x = np.array([a, b, [0.0, 20.0, 0.0, 0.0], [6.0, 19.0, 1.0, 1.0]])
+    near = np.einsum("ij,kj->ik", embeddings.unit(x), embeddings.unit(x)) >= 0.95
+    rows = sorted(embeddings.embedding_groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect())
+    assert [r.n_links for r in rows] == (near.sum(axis=1) - 1).tolist()
+
+
+def test_embedding_bound_keeps_every_link():
+    """Of two vectors within the block's share one visits the other's cell, for any pivots."""
+    rng = np.random.default_rng(3)
+    z = rng.standard_normal((400, 6)) * 0.3
+    pivots, share = embeddings.fit_pivots(z[::7], 20), 0.05
+    home, reach = embeddings.homes_and_visits(z, pivots, share)
+    i, j = np.nonzero(((z[:, None] - z[None]) ** 2).sum(axis=2) <= share)
+    assert reach[i, home[j]].all() and reach.mean() < 0.9
 
 
 def test_embedding_odd_rows(spark):

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 def work_path(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that
-    is unset (tests on one machine) a temporary folder is made and set.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Where that is unset
+    a session on one machine gets a temporary one; on a cluster, whose executors would each
+    write to their own disk, this fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local["):
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -43,6 +45,25 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column name of ``df`` starts with, for temporary columns."""
+    prefix = "_t"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame, *without: str) -> list[Column]:
+    """All columns of ``df`` but those of these names, which new columns will replace."""
+    out = {w.lower() for w in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in out]
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

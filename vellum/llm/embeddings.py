@@ -3,26 +3,38 @@
 Unit vectors are rotated by a fixed random orthogonal matrix and split into ``BLOCKS``
 blocks of coordinates.  Cosine >= c is squared distance <= 2 - 2c, so in at least one block
 the squared distance is at most that block's proportional share.  Each block is range-joined
-under this share: a block's space is cut into cells, each vector has a home cell and visits
-the cells of higher code that its ball reaches, and (block, cell) is an equi-join key.
-Inside a cell pairs are compared, and a pair found in several blocks belongs to the first
-one, so the union of candidates needs no pair table; it is then verified by the exact
-cosine.  Every task reports link counts per vector and a spanning forest, never the pairs.
+under this share, on two levels that use one bound:
+
+* A block's space is cut into the Voronoi cells of pivots, one for each ``CELL`` vectors,
+  fitted on a bounded sample.  Every vector has a home cell, and visits each cell of higher
+  number whose bounding half-space its ball reaches; (block, cell) is an equi-join key.
+* Inside a task the same is done with finer cells of the task's own vectors, so that most
+  pairs of a coarse cell are never compared.
+
+What is compared and lies within the block's share is a candidate.  A pair found in several
+blocks belongs to the first one, so the union of candidates needs no pair table; it is then
+verified by the exact cosine.  Every task reports link counts per vector and a spanning
+forest, never the pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import join_labels, materialize, whole_runs
+from ._shared import join_labels, materialize, quoted, whole_runs
 
 BLOCKS = 4
-#: Vectors of one cell that are compared at once; larger cells are dealt in pairs of parts.
-CELL = 16_384
-TILE = 2048
+#: Vectors of one coarse cell that are compared in one task; larger cells are dealt in pairs of parts.
+CELL = 32_768
+#: Bounds of the fit: pivots per block, and vectors of the sample per pivot.
+MAX_PIVOTS = 4096
+PER_PIVOT = 16
+#: Vectors of one fine cell, and the most fine cells of a task.
+FINE, MAX_FINE = 64, 1024
+TILE = 16_384
 SEED = 7
 
 
@@ -62,80 +74,81 @@ def _shares(dim: int, cosine: float) -> list[float]:
 
 
 def _stack(column, dim: int) -> np.ndarray:
-    """A (rows, dim) array from a column of equally long binaries of floats or doubles."""
+    """A (rows, dim) array from an Arrow column of lists of equal length without nulls."""
     values = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    raw = b"".join(values.to_pylist())
-    width = len(raw) // max(len(values) * dim, 1)
-    return np.frombuffer(raw, dtype="<f4" if width == 4 else "<f8").reshape(len(values), dim)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def valid_vectors(vectors: DataFrame, vector: str, out: str) -> DataFrame:
-    """Adds the vector's bytes as ``out``; null for a vector that links with nothing."""
-    kind = vectors.schema[vector].dataType.elementType.simpleString()
-    dtype = "<f4" if kind == "float" else "<f8"
+def valid_vector(vector: Column) -> Column:
+    """The vector, or null if it links with nothing: null, empty, zero, or with a null or non-finite component."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(finite & F.exists(vector, lambda x: x != 0), vector)
 
-    def packed(values):
-        if not values or any(v is None for v in values):
-            return None
-        x = np.array(values, dtype=dtype)
-        return x.tobytes() if np.isfinite(x).all() and x.any() else None
 
-    def run(batches):
-        import pyarrow as pa
+def fit_pivots(sample: np.ndarray, n: int, rounds: int = 3) -> np.ndarray:
+    """``n`` centres of the sample's rows: spread rows of it, moved to their cells' means."""
+    pivots = sample[np.linspace(0, len(sample) - 1, n).astype(np.int64)]
+    for _ in range(rounds if n > 1 else 0):
+        home = np.concatenate([_distances(part, pivots).argmin(axis=1) for part in np.array_split(sample, -(-len(sample) // 4096))])
+        order = np.argsort(home, kind="stable")
+        filled, first = np.unique(home[order], return_index=True)
+        pivots = pivots.copy()
+        pivots[filled] = np.add.reduceat(sample[order], first, axis=0) / np.diff(np.r_[first, len(home)])[:, None]
+    return pivots
 
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(vector))
-            found = pa.array([packed(v) for v in column.to_pylist()], pa.binary())
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != vector]
-            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], found], names=[*[n for n, _ in kept], out])
 
-    rest = vectors.drop(vector)
-    return vectors.mapInArrow(run, rest.schema.add(out, "binary"))
+def _distances(z: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Squared distances (rows, pivots)."""
+    return (z * z).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * (z @ pivots.T)
 
 
-def _centres(classes: DataFrame) -> dict[int, list[float]]:
-    """Mean rotated vector per dimension: one row per partition and dimension is gathered."""
+def homes_and_visits(z: np.ndarray, pivots: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest pivot, and which pivots' cells its ball of squared radius ``share`` reaches.
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim in np.unique(dims):
-                z = rotate(unit(_stack(batch.column(0).filter(pa.array(dims == dim)), int(dim))))
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": [len(z)], "total": [z.sum(axis=0).tolist()]})
-
-    rows = classes.select("vec", "dim").mapInArrow(run, "dim int, n long, total array<double>")
-    rows = rows.select("dim", "n", F.posexplode("total").alias("i", "x")).groupBy("dim", "i").agg((F.sum("x") / F.sum("n")).alias("m"))
-    found: dict[int, list[float]] = {}
-    for row in rows.orderBy("dim", "i").collect():
-        found.setdefault(row["dim"], []).append(row["m"])
+    A row of cell j is no nearer to pivot h than to pivot j.  If it is within the radius of
+    a row at home with h, that row's distance to the bisector of h and j is at most the
+    radius, which is the bound that is tested.  The own cell is always reached.
+    """
+    apart = np.sqrt(np.maximum(_distances(pivots, pivots), 0))
+    far = _distances(z, pivots)
+    home = far.argmin(axis=1)
+    row = np.arange(len(z))
+    reach = far - far[row, home][:, None] <= 2 * np.sqrt(share) * apart[home] + 1e-6
+    reach[row, home] = True
+    return home, reach
+
+
+def _pivots(classes: DataFrame, cosine: float, cell: int) -> dict[int, list[np.ndarray]]:
+    """Pivots per block for each dimension with more than ``cell`` vectors, from a bounded sample."""
+    found: dict[int, list[np.ndarray]] = {}
+    for row in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).orderBy("dim").collect():
+        dim, n = row["dim"], min(MAX_PIVOTS, -(-row["n"] // cell))
+        draw = F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / float(1 << 30)
+        some = classes.where(F.col("dim") == dim).where(draw <= 2 * n * PER_PIVOT / row["n"])
+        taken = some.orderBy(F.xxhash64("vec")).limit(n * PER_PIVOT).select("vec").toArrow()
+        if taken.num_rows < n:
+            continue
+        z, edges = rotate(unit(_stack(taken["vec"], dim))), block_edges(dim)
+        found[dim] = [fit_pivots(z[:, lo:hi], n) for lo, hi in zip(edges, edges[1:], strict=False)]
     return found
 
 
-def _cells(classes: DataFrame, cosine: float, cuts: int, centres: dict[int, list[float]]) -> DataFrame:
+def _cells(classes: DataFrame, cosine: float, pivots: dict[int, list[np.ndarray]]) -> DataFrame:
     """Each vector once per block at home and once per higher cell that its ball reaches."""
 
     def deal(vec, cid, n, dim):
         import pyarrow as pa
 
         z = rotate(unit(_stack(vec, dim)))
-        edges, shares, centre = block_edges(dim), _shares(dim, cosine), np.array(centres[dim])
+        edges, shares = block_edges(dim), _shares(dim, cosine)
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-            off = z[:, lo : min(hi, lo + cuts)] - centre[lo : min(hi, lo + cuts)]
-            home = ((off >= 0) << np.arange(off.shape[1])).sum(axis=1).astype(np.int64)
-            row, code, cost = np.arange(len(z)), home.copy(), np.zeros(len(z))
-            for i in range(off.shape[1]):
-                more = cost + off[row, i] ** 2
-                reach = more <= shares[b]
-                row, code, cost = (
-                    np.concatenate([row, row[reach]]),
-                    np.concatenate([code, code[reach] ^ (1 << i)]),
-                    np.concatenate([cost, more[reach]]),
-                )
-            here = code == home[row]
-            keep = here | (code > home[row])
-            row, code, here = row[keep], code[keep], here[keep]
+            if dim in pivots:
+                home, reach = homes_and_visits(z[:, lo:hi], pivots[dim][b], shares[b])
+                reach &= np.arange(reach.shape[1])[None, :] >= home[:, None]
+                row, code = np.nonzero(reach)
+                here = code == home[row]
+            else:
+                row, code, here = np.arange(len(z)), np.zeros(len(z), np.int64), np.ones(len(z), bool)
             yield pa.RecordBatch.from_arrays(
                 [
                     vec.take(pa.array(row)),
@@ -156,10 +169,13 @@ def _cells(classes: DataFrame, cosine: float, cuts: int, centres: dict[int, list
             dims = batch.column(3).to_numpy()
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
-                yield from deal(own.column(0), own.column(1).to_numpy(), own.column(2).to_numpy(), int(dim))
+                for lo in range(0, own.num_rows, 2048):
+                    part = own.slice(lo, 2048)
+                    yield from deal(part.column(0), part.column(1).to_numpy(), part.column(2).to_numpy(), int(dim))
 
+    kind = classes.schema["vec"].dataType.simpleString()
     return classes.select("vec", "cid", "n", "dim").mapInArrow(
-        run, "vec binary, cid long, n long, dim int, b int, cell long, home boolean"
+        run, f"vec {kind}, cid long, n long, dim int, b int, cell long, home boolean"
     )
 
 
@@ -175,37 +191,58 @@ def _owned(zp, zh, edges, shares, b) -> np.ndarray:
     return own
 
 
-def _cell_links(vec, cid, n, side, home, dim: int, b: int, cosine: float):
-    """Link counts and groups inside one cell: arrays (ids, counts, least linked id)."""
+def _cell_links(vec, cid, n, host, probe, home, dim: int, b: int, cosine: float):
+    """Link counts and groups inside one coarse cell: arrays (ids, counts, least linked id).
+
+    ``host`` rows are compared with ``probe`` rows; two rows that are both at home, and so
+    meet from both sides, are compared from the one with the lesser id.
+    """
     ids, slot = np.unique(cid, return_inverse=True)
     count, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    x = unit(_stack(vec, dim))
-    z = rotate(x)
+    raw = _stack(vec, dim)
     edges, shares = block_edges(dim), _shares(dim, cosine)
-    zb = np.ascontiguousarray(z[:, edges[b] : edges[b + 1]]).astype(np.float32)
-    sq = (zb * zb).sum(axis=1)
-    hosts, probes = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    own = slice(edges[b], edges[b + 1])
+    hosts, probes = np.flatnonzero(host), np.flatnonzero(probe)
+    # hosts by fine cell
+    x = unit(raw[hosts])
+    z = rotate(x)
+    k = min(MAX_FINE, max(1, len(hosts) // FINE))
+    spread = np.argsort(cid[hosts] * np.int64(0x9E3779B97F4A7C15 - (1 << 64)), kind="stable")[: k * PER_PIVOT]
+    pivots = fit_pivots(z[spread, own], k, rounds=2)
+    fine = np.concatenate([_distances(z[lo : lo + TILE, own], pivots).argmin(axis=1) for lo in range(0, len(hosts), TILE)] or [np.zeros(0, np.int64)])
+    order = np.argsort(fine, kind="stable")
+    hosts, x, z, fine = hosts[order], x[order], z[order], fine[order]
+    cuts = np.searchsorted(fine, np.arange(k + 1))
+    zh = z[:, own].astype(np.float32)
+    table = np.c_[-2 * zh, (zh * zh).sum(axis=1), np.ones(len(zh), np.float32)].astype(np.float32)
     for p0 in range(0, len(probes), TILE):
         p = probes[p0 : p0 + TILE]
-        for h0 in range(0, len(hosts), TILE):
-            h = hosts[h0 : h0 + TILE]
-            gap = zb[p] @ zb[h].T
-            gap *= -2
-            gap += sq[p][:, None]
-            gap += sq[h][None, :]
-            pi, hi = np.nonzero(gap <= shares[b] + 1e-5)
-            pi, hi = p[pi], h[hi]
-            fit = ~home[pi] | (cid[pi] < cid[hi])
-            pi, hi = pi[fit], hi[fit]
-            for lo in range(0, len(pi), 65_536):
-                a, c = pi[lo : lo + 65_536], hi[lo : lo + 65_536]
-                own = _owned(z[a], z[c], edges, shares, b)
-                a, c = a[own], c[own]
-                near = np.einsum("ij,ij->i", x[a], x[c]) >= cosine
-                a, c = a[near], c[near]
-                np.add.at(count, slot[a], n[c])
-                np.add.at(count, slot[c], n[a])
-                labels = join_labels(labels, slot[a], slot[c])
+        xp = unit(raw[p])
+        zp = rotate(xp)
+        _, reach = homes_and_visits(zp[:, own], pivots, shares[b])
+        zs = zp[:, own].astype(np.float32)
+        asked = np.c_[zs, np.ones(len(zs), np.float32), (zs * zs).sum(axis=1)].astype(np.float32)
+        for c in range(k):
+            lo, hi = cuts[c], cuts[c + 1]
+            visiting = np.flatnonzero(reach[:, c]) if hi > lo else ()
+            if not len(visiting):
+                continue
+            step = max(1, (1 << 22) // (hi - lo))
+            for v0 in range(0, len(visiting), step):
+                who = visiting[v0 : v0 + step]
+                spots = np.flatnonzero(asked[who] @ table[lo:hi].T <= shares[b] + 1e-5)
+                i, j = who[spots // (hi - lo)], lo + spots % (hi - lo)
+                fit = (~home[p[i]] | (cid[p[i]] < cid[hosts[j]])) & (cid[p[i]] != cid[hosts[j]])
+                i, j = i[fit], j[fit]
+                for at in range(0, len(i), 65_536):
+                    ia, ja = i[at : at + 65_536], j[at : at + 65_536]
+                    mine = _owned(zp[ia], z[ja], edges, shares, b)
+                    ia, ja = ia[mine], ja[mine]
+                    near = np.einsum("ij,ij->i", xp[ia], x[ja]) >= cosine
+                    a, h = p[ia[near]], hosts[ja[near]]
+                    np.add.at(count, slot[a], n[h])
+                    np.add.at(count, slot[h], n[a])
+                    labels = join_labels(labels, slot[a], slot[h])
     return ids, count, labels
 
 
@@ -215,27 +252,20 @@ def vector_links(classes: DataFrame, cosine: float, cell: int = CELL) -> DataFra
     Kind 0: vector class ``a`` has ``n`` links counted with the multiplicity of the classes
     at their other ends; kind 1: a link ``a``-``b`` of the spanning forests.
     """
-    total = classes.count()
-    cuts = max(int(np.floor(np.log2(max(total, 1) / cell))), 0)
-    dealt = _cells(classes, cosine, cuts, _centres(classes))
+    dealt = _cells(classes, cosine, _pivots(classes, cosine, cell))
     sizes = dealt.groupBy("dim", "b", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / cell).cast("int").alias("n_home"),
-        F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("n_all"),
+        F.ceil(F.sum(F.col("home").cast("int")) / (2 * cell)).cast("int").alias("n_home"),
+        F.ceil(F.count(F.lit(1)) / (4 * cell)).cast("int").alias("n_all"),
     ).where("n_home > 0")
     rows = dealt.join(sizes, ["dim", "b", "cell"])
     at = lambda parts: F.pmod(F.xxhash64("cid"), parts).cast("int")
-    as_host = F.transform(
-        F.sequence(F.lit(0), F.col("n_all") - 1),
-        lambda x: F.struct(F.lit(0).alias("side"), at(F.col("n_home")).alias("i"), x.alias("j")),
-    )
-    as_probe = F.transform(
-        F.sequence(F.lit(0), F.col("n_home") - 1),
-        lambda x: F.struct(F.lit(1).alias("side"), x.alias("i"), at(F.col("n_all")).alias("j")),
-    )
-    places = F.when(F.col("home"), F.concat(as_host, as_probe)).otherwise(as_probe)
+    place = lambda host, probe, i, j: F.struct(F.lit(host).alias("host"), F.lit(probe).alias("probe"), i.alias("i"), j.alias("j"))
+    whole = F.array(F.struct(F.col("home").alias("host"), F.lit(True).alias("probe"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    as_host = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda x: place(True, False, at(F.col("n_home")), x))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("n_home") - 1), lambda x: place(False, True, x, at(F.col("n_all"))))
+    places = F.when((F.col("n_home") == 1) & (F.col("n_all") == 1), whole).when(F.col("home"), F.concat(as_host, as_probe)).otherwise(as_probe)
     rows = rows.withColumn("o", F.explode(places)).select(
-        "vec", "cid", "n", "dim", "b", "home", F.col("o.side").alias("side"),
-        F.xxhash64("dim", "b", "cell", "o.i", "o.j").alias("g"),
+        "vec", "cid", "n", "dim", "b", "home", "o.host", "o.probe", F.xxhash64("dim", "b", "cell", "o.i", "o.j").alias("g")
     )
 
     def run(batches):
@@ -246,14 +276,7 @@ def vector_links(classes: DataFrame, cosine: float, cell: int = CELL) -> DataFra
             for dim, b in {(int(d), int(k)) for d, k in zip(dims, blocks, strict=True)}:
                 own = table.filter(pa.array((dims == dim) & (blocks == b)))
                 ids, count, labels = _cell_links(
-                    own["vec"],
-                    own["cid"].to_numpy(),
-                    own["n"].to_numpy(),
-                    own["side"].to_numpy(),
-                    own["home"].to_numpy(),
-                    dim,
-                    b,
-                    cosine,
+                    own["vec"], *[own[c].to_numpy() for c in ("cid", "n", "host", "probe", "home")], dim, b, cosine
                 )
                 hit = np.flatnonzero(count)
                 tied = np.flatnonzero(labels != np.arange(len(ids)))
@@ -279,18 +302,16 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     Equal vectors are one class with a multiplicity, so copies are never paired.  Defined
     cases: vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do vectors of different lengths; repeated rows link with each other;
-    null keys count in n_links and are never a component's label; an empty table gives an
-    empty result; other columns are not used.
+    a cosine of exactly the limit links; null keys count in n_links and are never a
+    component's label; an empty table gives an empty result; other columns are not used, and
+    a text column of any length is never read.
     """
-    rows = valid_vectors(vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding")), "embedding", "vec")
-    rows = materialize(rows, "vectors")
-    width = 4 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else 8
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    whole = F.col(quoted(vector)) if kind in ("float", "double") else F.col(quoted(vector)).cast("array<double>")
+    rows = vectors.select(F.col(quoted(key)).alias("vec_id"), valid_vector(whole).alias("vec"))
     classes = rows.where("vec is not null").groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     classes = materialize(
-        classes.select(
-            "vec", "n", "least", (F.octet_length("vec") / width).cast("int").alias("dim"), F.monotonically_increasing_id().alias("cid")
-        ),
-        "vector-classes",
+        classes.select("vec", "n", "least", F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("cid")), "vector-classes"
     )
     links = materialize(vector_links(classes.select("vec", "n", "dim", "cid"), cosine, cell), "vector-links")
     counts = links.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("more"))
