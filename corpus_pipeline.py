@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's documents.  All but the last return the columns of
-``documents``.
+``documents``.  Every stage takes null, empty and very long texts, null and repeated
+doc_ids, an empty table and further columns of any name; what it does with them is said at
+the operator that it calls.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the least doc_id stays.
 
     Two documents link if the Jaccard similarity of their five-word shingles is 0.8 or more.
+    SimHashes find the candidates, which at 0.8 are about 0.94 of such pairs and more above.
     """
-    return drop_similar(docs, size=5)
+    return drop_similar(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +45,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence of 2048 tokens."""
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, ids=False)
+    """Every piece of every document with its ids and its place in a sequence of 2048 tokens.
+
+    ``row_id`` tells the repeats of a document apart.
+    """
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
 STAGES = [

@@ -161,12 +161,12 @@ def test_reduction_fixes_only_what_an_optimum_allows():
 
 def check_pieces(rows, docs, capacity):
     want = Counter()
-    for _, text in docs:
+    for doc, text in docs:
         ids = [*library_ids("byte_bpe_50k.json", text), 0]
         n = len(ids)
         starts = [0, *range(n % capacity or capacity, n, capacity)]
         for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-            want[_, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+            want[doc, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     filled: dict = {}
     for r in rows:
@@ -192,4 +192,18 @@ def test_pack_documents(spark, sf_dir, capacity):
 def test_pack_odd_rows(spark):
     rows = packing.pack_documents(odd.table(spark), vocabulary("byte_bpe_50k.json"), ids=False).collect()
     check_pieces(rows, [r[:2] for r in odd.ROWS], 2048)
+    assert len({(r.row_id, r.piece) for r in rows}) == len(rows)
+
+
+def test_pack_splits_a_hot_length(spark, monkeypatch):
+    # every piece has one length; parts follow the count, and the ids make up the sequences
+    monkeypatch.setattr(packing, "PART", 16)
+    docs = spark.createDataFrame([(None, "one text for all")] * 300, "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=64).collect()
+    check_pieces(rows, [(None, "one text for all")] * 300, 64)
+    own = np.array([*library_ids("byte_bpe_50k.json", "one text for all"), 0], "<u4").tobytes()
+    assert all(bytes(r.ids) == own for r in rows)
+
+
+def test_pack_empty(spark):
     assert packing.pack_documents(odd.empty(spark), vocabulary("byte_bpe_50k.json")).count() == 0

@@ -64,6 +64,16 @@ def own_columns(df: DataFrame, *without: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in out]
 
 
+def packed(df: DataFrame, *beside: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """``row``, a struct of all columns of any names, and the columns ``beside`` on their own."""
+    return df.select(F.struct(*own_columns(df, *without)).alias("row"), *[F.col(quoted(c)) for c in beside])
+
+
+def unpacked(df: DataFrame) -> list[Column]:
+    """The columns that ``row`` holds."""
+    return [F.col("row")[c].alias(c) for c in df.schema["row"].dataType.names]
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_name, materialize
+from ._shared import free_name, materialize, own_columns, packed, quoted, unpacked
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -311,16 +311,15 @@ def identify_languages(
 
     Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
     everything when there is nothing to learn from; equal texts get equal predictions; ties
-    go to the first label by code point; older columns of these names are replaced; an
-    empty table gives an empty result.
+    go to the first label by code point; very long texts and unbroken words are labelled
+    whole; older columns of these names are replaced; an empty table gives an empty result.
     """
     how = how or Settings()
     spark = docs.sparkSession
     model = fit(training_sample(docs, how), how)
     numbers = [score] if sure is None else [score, sure]
-    names = [c for c in docs.columns if c not in (out, *numbers)]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
     if model is None:
+        docs = docs.select(*own_columns(docs, out, *numbers))
         return docs.withColumn(out, F.lit(UNDETERMINED)).withColumns({c: F.lit(0.0) for c in numbers})
     # bounded: buckets + lexicon rows of one float per label, a few MB
     shared = spark.sparkContext.broadcast(model)
@@ -340,19 +339,22 @@ def identify_languages(
                     names=[*some.schema.names, out, *numbers],
                 )
 
+    rows = packed(docs, "text", without=(out, *numbers))
     added = [T.StructField(out, T.StringType()), *[T.StructField(c, T.DoubleType()) for c in numbers]]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
+    return found.select(*unpacked(rows), *[F.col(quoted(c)) for c in (out, *numbers)])
 
 
 def keep_identified(docs: DataFrame, how: Settings | None = None, least: float = 0.4) -> DataFrame:
     """The documents whose words' languages are determined with at least this mean probability.
 
-    A text of several languages stays when each word's is clear; same columns.
+    A text of several languages stays when each word's is clear; same columns.  Defined cases:
+    null texts and texts without a letter go; very long texts are judged whole; repeated rows
+    stay or go together; an empty table gives an empty result.
     """
-    names = docs.columns
     found = identify_languages(docs, how, *[free_name(docs, c) for c in ("_lang", "_lang_score", "_lang_sure")])
     lang, _, sure = found.columns[-3:]
-    return found.where((F.col(lang) != UNDETERMINED) & (F.col(sure) >= least)).select(*[F.col(f"`{c}`") for c in names])
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(sure) >= least)).select(*own_columns(docs))
 
 
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

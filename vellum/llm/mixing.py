@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import free_name, free_prefix, materialize, own_columns
+
 #: Key ranges per source: three hexadecimal digits of the key.
 RANGES = 16**3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,44 +64,51 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: str = "mix") -> D
     Returns all columns of ``docs`` except ``text`` (a clash loses against the new column),
     and ``size, source_size, target, taken``: whole passes over the source times the size,
     and in the last pass the words before the exact budget (one document per source may be
-    cut inside).  The key is a digest of doc_id, text and ``seed``: reruns agree.
+    cut inside).  The key is a digest of doc_id, text and ``seed``: reruns agree.  Texts are
+    read once; what follows works on a table without them.
     Defined cases: null text has size 0; null sources are one source; repeated rows share a
-    key and stand side by side; rows of size 0 take 0; an empty table gives an empty result.
+    key and stand side by side; rows of size 0 take 0; an empty table gives an empty result;
+    very long texts are counted whole, and their words may be cut like any other's; other
+    columns may have any names.
     """
     new = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c.lower() not in (*new, "text", "source")]
-    key = F.md5(
+    p = free_prefix(docs)
+    key, source, size = f"{p}key", f"{p}source", f"{p}size"
+    digest = F.md5(
         F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-"))).cast("binary")
     )
     rows = docs.select(
-        *[F.col(c) for c in kept],
-        "source",
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"),
-        word_count(F.col("text")).alias("size"),
-        key.alias("_key"),
-    ).withColumn("_range", F.substring("_key", 1, 3))
-
-    ranges = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
-    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("_source", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    totals = ranges.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size"))
-    targets = source_targets(totals, weights, most)
-    targets = targets.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
-    placed = offsets.join(targets, "_source")
-
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        *own_columns(docs, *new, "text", "source"), F.col("source").alias(source), word_count(F.col("text")).alias(size), digest.alias(key)
+    )
+    rows = materialize(rows, "mix-rows")
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))  # null is a source of its own
+    place, span, before = f"{p}place", f"{p}span", f"{p}before"
+    rows = rows.withColumn(place, named).withColumn(span, F.substring(key, 1, 3))
+
+    ranges = rows.groupBy(place, span).agg(F.sum(size).alias("sum"), F.first(source).alias("source"))
+    earlier = Window.partitionBy(place).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(place, span, F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))
+    totals = ranges.groupBy(place).agg(F.first("source").alias("source"), F.sum("sum").alias("source_size"))
+    targets = source_targets(totals.select("source", "source_size"), weights, most)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias(place), "source_size", "target")
     budget = F.floor("target")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - passes * F.col("source_size")
-    last = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("_inside") - F.col("_offset")))
-    return summed.join(placed, ["_source", "_range"]).select(
-        *kept,
-        "source",
-        "size",
-        F.col("source_size").cast("long").alias("source_size"),
-        "target",
-        (passes * F.col("size") + last).cast("long").alias("taken"),
+    plan = offsets.join(targets, place).select(
+        place,
+        span,
+        F.struct(F.col("source_size").cast("long").alias("source_size"), "target", "offset", passes.alias("passes"), (budget - passes * F.col("source_size")).alias("rest")).alias(f"{p}plan"),
+    )
+    inside = Window.partitionBy(place, span).orderBy(key, size).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn(before, F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    found = lambda c: F.col(f"{p}plan.{c}")
+    last = F.least(F.col(size), F.greatest(F.lit(0), found("rest") - F.col(before) - found("offset")))
+    return summed.join(plan, [place, span]).select(
+        *own_columns(docs, *new, "text", "source"),
+        F.col(source).alias("source"),
+        F.col(size).alias("size"),
+        found("source_size").alias("source_size"),
+        found("target").alias("target"),
+        (found("passes") * F.col(size) + last).cast("long").alias("taken"),
     )
 
 
@@ -107,35 +116,34 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = 3, seed: str =
     """The mix itself, with the columns of ``docs``: documents repeated as often as taken.
 
     A document whose last pass is cut inside keeps its first words there, joined by spaces;
-    ``n_chars``, where there is one, follows the text.  Documents that the mix does not
-    reach do not appear.
+    ``n_chars``, where there is one, follows the text.  Defined cases as in ``mix``;
+    documents that the mix does not reach, those without a word among them, do not appear.
     """
-    names = docs.columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    plan = mix(docs.select("doc_id", "text", "source", whole.alias("_row")), weights, most, seed)
+    row = free_name(docs, "_row")
+    whole = F.struct(*own_columns(docs))
+    plan = mix(docs.select("doc_id", "text", "source", whole.alias(row)), weights, most, seed)
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))
     )
-    rows = plan.select("_row", F.explode(copies).alias("_cut"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), 1, F.col("_cut").cast("int")), " ")
-    text = F.when(F.col("_cut") < 0, F.col("_row.text")).otherwise(cut)
-    out = rows.withColumn("_text", text)
-    return out.select(
-        *[
-            F.col("_text").alias(c)
-            if c == "text"
-            else F.when(F.col("_cut") < 0, F.col(f"_row.`{c}`")).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c)
-            if c == "n_chars"
-            else F.col(f"_row.`{c}`").alias(c)
-            for c in names
-        ]
-    )
+    rows = plan.select(F.col(row).alias("row"), F.explode(copies).alias("cut"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), 1, F.col("cut").cast("int")), " ")
+    out = rows.withColumn("body", F.when(F.col("cut") < 0, F.col("row.text")).otherwise(cut))
+
+    def column(name):
+        if name == "text":
+            return F.col("body").alias(name)
+        own = F.col("row")[name]
+        if name == "n_chars":
+            return F.when(F.col("cut") < 0, own).otherwise(F.length("body")).cast(docs.schema[name].dataType).alias(name)
+        return own.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 from ._tokens import encoder, vocabulary
 
-#: Parts of each length class, so that ranking never meets a whole class in one task.
-PARTS = 64
+#: Pieces of one part of a length class: ranking never meets a whole class in one task.
+PART = 8192
 
 
 class _Instance:
@@ -150,7 +150,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, i
 
 
 def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int, ids: bool) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): the encoded pieces."""
+    """``row_id, doc_id, piece, start, length, ids_crc32`` (and ``ids``): the encoded pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -161,49 +161,52 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 rows = []
-                for doc, own in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist()), strict=True):
+                for doc, at, own in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), code.encode(some.column(1).to_pylist()), strict=True):
                     own += end
                     n = len(own) // 4
                     starts = [0, *range(n % capacity or capacity, n, capacity)]
                     for piece, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
                         part = own[4 * a : 4 * b]
-                        rows.append((doc, piece, a, b - a, zlib.crc32(part), part))
+                        rows.append((at, doc, piece, a, b - a, zlib.crc32(part), part))
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                use = 6 if ids else 5
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                use = 7 if ids else 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns[:use], kinds[:use], strict=True)], names=names[:use]
                 )
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    return docs.select("doc_id", "text", "row_id").mapInArrow(run, schema)
 
 
 def pack_documents(
     docs: DataFrame, vocabulary_path: str, end_id: int = 0, capacity: int = 2048, ids: bool = True
 ) -> DataFrame:
-    """Every piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
-
-    With ``ids`` the pieces carry their ids as little-endian unsigned 32-bit numbers.  A
-    document longer than ``capacity`` is cut into pieces of ``capacity`` of which the first
-    may be shorter.  Only the counts per length (at most ``capacity`` rows) reach the
-    driver.  Defined cases: null and empty texts are a piece with only the end id; repeated
-    rows and null doc_ids are pieces of their own; an empty table gives an empty result;
-    columns other than doc_id and text are not used.
+    """Every piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, row_id``.
+
+    With ``ids`` the pieces carry their ids as little-endian unsigned 32-bit numbers: ordered
+    by ``sequence_id, offset`` they are the sequences.  ``row_id`` tells the rows of ``docs``
+    apart, also where a doc_id repeats.  A document longer than ``capacity`` is cut into
+    pieces of ``capacity`` of which the first may be shorter.  Only the counts per length (at
+    most ``capacity`` rows) reach the driver.  Defined cases: null and empty texts are a piece
+    with only the end id; repeated rows and null doc_ids are pieces of their own, dealt like
+    any others; very long texts are encoded and cut whole; an empty table gives an empty
+    result; columns other than doc_id and text are not used.
     """
-    pieces = materialize(cut_documents(docs, vocabulary_path, end_id, capacity, ids), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
-    pieces = pieces.withColumn("part", part)
-    sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialize(sizes.coalesce(8), "piece-counts")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
+    pieces = materialize(cut_documents(rows, vocabulary_path, end_id, capacity, ids), "pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan, _ = plan_sequences(counts, capacity)
 
+    # at most capacity entries
+    parts = F.create_map(*[F.lit(x) for size, n in sorted(counts.items()) for x in (size, -(-n // PART))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    part = F.pmod(F.xxhash64("row_id", "piece"), F.element_at(parts, F.col("length").cast("int"))).cast("int")
+    pieces = pieces.withColumn("part", part)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # at most capacity * PARTS rows of three numbers: a few MB at any size of input
-    offsets = F.broadcast(sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))
-    inside = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
+    sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("length", "part").orderBy("row_id", "piece")
     ranked = pieces.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["length", "part"])
     ranked = ranked.withColumn("rank", (F.col("rank") + F.col("ahead")).cast("long")).drop("part", "ahead")
     keys = plan[:, 0] << 48 | plan[:, 1]
@@ -227,13 +230,14 @@ def pack_documents(
 
     rest = ranked.drop("rank").schema
     placed = ranked.mapInArrow(run, rest.add("sequence_id", "long").add("offset", "long"))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else []), "sequence_id", "offset"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else []), "sequence_id", "offset", "row_id"]
     return placed.select(*names)
 
 
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, ids=False)
+    packed = pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 SQL: dict[str, str] = {}

@@ -7,8 +7,8 @@ bucket fingerprints are stored vertically, one plane of packed bits per bit posi
 query's distances to 64 fingerprints per machine word are summed plane by plane in
 carry-save counters.  A block of queries is left as soon as all its distances exceed the
 radius.  Buckets above ``BLOCK`` fingerprints are dealt in pairs of sub-blocks, so that no
-task ever holds a whole hot bucket, and every task reports a spanning forest of its links
-and never the pairs.
+task ever holds a whole hot bucket (its work grows with the square of the fingerprints that
+share a band), and every task reports a spanning forest of its links and never the pairs.
 """
 
 from __future__ import annotations
@@ -65,14 +65,18 @@ def with_fingerprints(docs: DataFrame, text: str, out: str, size: int = 3) -> Da
 
 
 def sliced_links(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Groups of unsigned 64-bit fingerprints linked within the radius: least index of each."""
+    """Groups of fingerprints linked within the radius: least index of each.
+
+    ``prints`` are unsigned 64-bit numbers, or rows of them for longer fingerprints.
+    """
     n = len(prints)
     labels = np.arange(n)
     if n < 2:
         return labels
     words = -(-n // 64)
-    bits = np.zeros((words * 64, BITS), np.uint8)
-    bits[:n] = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)
+    raw = prints.astype(">u8").view(np.uint8).reshape(n, -1)
+    bits = np.zeros((words * 64, 8 * raw.shape[1]), np.uint8)
+    bits[:n] = np.unpackbits(raw, axis=1)
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     digits = max(radius.bit_length(), 1)
@@ -84,7 +88,7 @@ def sliced_links(prints: np.ndarray, radius: int) -> np.ndarray:
         skip = (lane[None, :] <= asked[:, None]) | (lane[None, :] >= n)
         over = np.ascontiguousarray(np.packbits(skip, axis=1, bitorder="little")).view("<u8")
         counters = [np.zeros_like(over) for _ in range(digits)]
-        for j in range(BITS):
+        for j in range(bits.shape[1]):
             carry = planes[j, first:][None, :] ^ flip[:, j][:, None]
             for b in range(digits):
                 counters[b], carry = counters[b] ^ carry, counters[b] & carry
@@ -171,8 +175,8 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame
     ``fingerprint`` is 16 hexadecimal digits; ``component_id`` is the least doc_id that links
     within the radius reach.  Defined cases: null, empty and wordless texts have fingerprint
     zero and link like any other; repeated rows and equal texts are one class; a null doc_id
-    is never a component's label unless it is all there is; an empty table gives an empty
-    result; columns other than doc_id and text are not used.
+    is never a component's label unless it is all there is; very long texts count whole; an
+    empty table gives an empty result; columns other than doc_id and text are not used.
     """
     prints = with_fingerprints(docs.select("doc_id", "text"), "text", "fp", size).select("doc_id", "fp")
     prints = materialize(prints, "prints")
@@ -184,17 +188,6 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame
     )
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each group: the one with the least doc_id (nulls last); same columns."""
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("body"))
-    keyed = with_fingerprints(keyed, "body", "fp", size).select("row", "fp", F.monotonically_increasing_id().alias("rid"))
-    keyed = materialize(keyed, "keyed")
-    order = F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.col("rid").alias("rid"))
-    first = group_fingerprints(keyed, order, radius).select(F.col("least.rid").alias("rid")).distinct()
-    return keyed.join(first, "rid", "left_semi").select("row.*")
-
-
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -1,107 +1,195 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-Texts with one set of shingles are a class.  All sets list their shingles in one order, the
-commonest of a sample last; two sets with similarity 0.8 or more then share a shingle among
-the first ``n - ceil(0.8 n) + 1`` of each (prefix filtering), whatever the order is, so no
-pair is missed.  Pairs that share a rare shingle are compared text by text; members of a
-common shingle's list are compared in blocks with their sets, lists above ``BLOCK`` in pairs
-of sub-blocks, and such a task reports a spanning forest of its links and never the pairs.
+"""Near-duplicates: SimHash finds candidates at a wide radius, exact similarity decides.
+
+Texts with one set of word shingles are a class.  Each class gets a 128-bit SimHash of its
+set, and bands deal the fingerprints: each of several tables takes some of the bits as a key,
+and two sets with the wanted Jaccard similarity agree in a table's bits with a known chance,
+from which the number of tables follows.  Inside a bucket fingerprints are compared bit by
+bit-sliced planes, and those within the radius are joined to clusters of candidates.  Every
+cluster is then compared with its shingle sets, and only sets with the wanted similarity
+link.  Buckets and clusters above ``BLOCK`` are dealt in pairs of sub-blocks; tasks report
+spanning forests of their links and never the pairs.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._components import components
-from ._shared import join_labels, materialize, whole_runs
+from ._shared import join_labels, materialize, own_columns, whole_runs
+from .simhash import sliced_links
 
-RARE = 32
+BITS = 128
 BLOCK = 4096
+#: Shingles of one sub-block's sets.
+BLOCK_SHINGLES = 1 << 22
 STRIP = 512
-#: Bounded: so many of the commonest shingles of the sample are sent to the workers.
-COMMON = 1 << 16
+#: One of so many classes is counted to find hot buckets; the counts decide only how these are dealt.
 SAMPLE = 16
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; empty without words."""
+@dataclass(frozen=True)
+class Search:
+    """The candidate search: at the least similarity it finds about ``recall`` squared of the links.
+
+    Sets of one size with Jaccard similarity j have a cosine of 2j / (1 + j), and each bit of
+    their SimHashes differs with the chance of the angle over pi, independently.  The radius
+    and the number of tables each let a share of ``recall`` through; above the least
+    similarity both shares rise quickly.
+    """
+
+    least: float = 0.8
+    size: int = 5
+    recall: float = 0.97
+
+    @property
+    def differ(self) -> float:
+        """The chance of one bit to differ at the least similarity."""
+        return math.acos(2 * self.least / (1 + self.least)) / math.pi
+
+    @property
+    def radius(self) -> int:
+        share = 0.0
+        for d in range(BITS + 1):
+            share += math.comb(BITS, d) * self.differ**d * (1 - self.differ) ** (BITS - d)
+            if share >= self.recall:
+                return d
+        return BITS
+
+    def tables(self, n: int) -> np.ndarray:
+        """The bits of each table's key: (tables, bits); keys are longer in very large corpora."""
+        bits = max(16, math.ceil(math.log2(max(n, 2))) - 8)
+        count = math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.differ) ** bits))
+        rng = np.random.default_rng(17)
+        return np.stack([rng.permutation(BITS)[:bits] for _ in range(count)])
+
+    def alike(self, n_a, n_b, shared):
+        """Whether sets of these sizes with so many shared members have the least similarity."""
+        return shared * (1 + self.least) >= self.least * (n_a + n_b) - 1e-6
+
+
+def shingle_hashes(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word shingles of a text: sorted 64-bit hashes, and 128-bit hashes as (n, 16) bytes."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros((0, 16), np.uint8)
     n = len(words)
     body = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(n - size + 1, 1)].tolist()
     stops = ends[size - 1 :].tolist() or [len(body)]
-    h = xxhash.xxh64_intdigest
-    found = np.fromiter((h(body[a:b]) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    return np.unique(found.view(np.int64))
+    h = xxhash.xxh3_128_digest
+    raw = np.frombuffer(b"".join([h(body[a:b]) for a, b in zip(starts, stops, strict=True)]), np.uint8).reshape(-1, 16)
+    found, first = np.unique(raw[:, 8:].copy().view("<i8").ravel(), return_index=True)
+    return found, raw[first]
 
 
-def alike(n_a, n_b, shared):
-    """Whether sets of these sizes with so many shared members have similarity 0.8 or more."""
-    return 5 * shared >= 4 * (n_a + n_b - shared)
+def set_print(hashes: np.ndarray) -> tuple[int, int]:
+    """SimHash of a set of 128-bit hashes, as two signed 64-bit numbers; zero for the empty set."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[lo : lo + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * counts > len(hashes)).view(">i8").tolist())
 
 
-def common_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """The commonest shingles in one of ``SAMPLE`` distinct texts, the rarest of them first.
-
-    They decide the order only: any list gives the same pairs.
-    """
-    some = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.pmod("h", F.lit(SAMPLE)) == 0)
+def with_prints(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """Adds ``key`` (digest of the shingle set), ``n`` (its size), and the SimHash ``hi, lo``."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, size))], names=["s"])
+            keys, sizes, prints = [], [], []
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                own, hashes = shingle_hashes(t, size)
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                prints.append(set_print(hashes))
+            hi, lo = zip(*prints, strict=True) if prints else ((), ())
+            added = [pa.array(keys, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, hi, lo)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "key", "n", "hi", "lo"])
+
+    added = [T.StructField("key", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n", "hi", "lo")]]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
-    seen = some.dropDuplicates(["h"]).select("t").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rows = seen.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).collect()
-    return np.array([r["s"] for r in reversed(rows)], np.int64)
 
+def bucket_links(key: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows, rows) that join all prints of equal ``key`` within the radius; keys are sorted.
 
-def with_prefixes(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """Adds ``key`` (digest of the shingle set), ``n`` (its size) and ``prefix`` (its first members)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, size))
+    Buckets that fill a machine word are compared by bit slices, lesser ones side by side.
+    """
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    left, right = [], []
+    for at, n in zip(starts[sizes >= 64].tolist(), sizes[sizes >= 64].tolist(), strict=True):
+        labels = sliced_links(prints[at : at + n], radius)
+        tied = np.flatnonzero(labels != np.arange(n))
+        left.append(tied + at)
+        right.append(labels[tied] + at)
+    few = np.flatnonzero(np.repeat(sizes < 64, sizes))
+    for shift in range(1, 64):
+        a, b = few[:-shift], few[shift:]
+        same = key[a] == key[b]
+        if not same.any():
+            break
+        a, b = a[same], b[same]
+        near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= radius
+        left.append(a[near])
+        right.append(b[near])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def candidate_links(prints: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
+    """Links ``u, v`` that join all ``rid`` whose SimHashes ``hi, lo`` meet in a bucket within the radius."""
+    tables, radius = how.tables(prints.count()), how.radius
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                rid, hi, lo = (some.column(i).to_numpy() for i in range(3))
+                bits = np.unpackbits(np.c_[hi, lo].astype(">i8").view(np.uint8), axis=1)
+                values = (bits[:, tables].astype(np.int64) << np.arange(tables.shape[1])).sum(axis=2)
+                g = values * len(tables) + np.arange(len(tables))
+                spread = lambda x: pa.array(np.repeat(x, len(tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), spread(rid), spread(hi), spread(lo)], names=["g", "rid", "hi", "lo"])
+
+    dealt = prints.select("rid", "hi", "lo").mapInArrow(deal, "g long, rid long, hi long, lo long")
+    some = prints.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("rid", "hi", "lo")
+    hot = some.mapInArrow(deal, "g long, rid long, hi long, lo long").groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * SAMPLE > block)
+    hot = materialize(hot.select("g", F.ceil(F.col("m") * SAMPLE / block).cast("int").alias("parts")), "hot-buckets")
+    rows = dealt.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b")))
+    cold = rows.where("parts = 1").select(F.xxhash64("g").alias("g"), "rid", "hi", "lo")
+    split = rows.where("parts > 1").select("g", "rid", "hi", "lo", F.explode(others).alias("o"))
+    rows = cold.unionAll(split.select(F.xxhash64("g", "o.a", "o.b").alias("g"), "rid", "hi", "lo")) if hot.head() else dealt
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
-
-        common = shared.value
-        by_value = np.argsort(common)
-        sorted_common = common[by_value]
 
-        def prefix(own):
-            rank = np.zeros(len(own), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(sorted_common, own), len(common) - 1)
-                rank = np.where(sorted_common[at] == own, by_value[at] + 1, 0)
-            return own[np.lexsort((own, rank))][: len(own) - -(-4 * len(own) // 5) + 1]
+        for table in whole_runs(batches, "g", block):
+            rid = table["rid"].to_numpy()
+            prints = np.c_[table["hi"].to_numpy(), table["lo"].to_numpy()].view(np.uint64)
+            a, b = bucket_links(table["g"].to_numpy(), prints, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(rid[b])], names=["u", "v"])
 
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            added = [
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([prefix(s) for s in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "key", "n", "prefix"])
-
-    added = [T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
-def block_links(sets: list[np.ndarray]) -> np.ndarray:
-    """Groups of sets linked by a similarity of 0.8 or more: least index of each."""
+def block_links(sets: list[np.ndarray], how: Search) -> np.ndarray:
+    """Groups of sets linked by the least similarity or more: least index of each."""
     n = np.array([len(s) for s in sets])
     labels = np.arange(len(sets))
     owner = np.repeat(labels, n)
@@ -118,96 +206,65 @@ def block_links(sets: list[np.ndarray]) -> np.ndarray:
         for k in range(len(cuts) - 1):
             o, t = owner[cuts[k] : cuts[k + 1]], token[cuts[k] : cuts[k + 1]] - k * STRIP
             o, t = o[o >= lo] - lo, t[o >= lo]
-            has = np.zeros((len(sets) - lo, STRIP), np.float32)
+            has = np.zeros((len(sets) - lo, int(t.max(initial=0)) + 1), np.float32)
             has[o, t] = 1
             shared += has[: hi - lo] @ has.T
-        a, b = np.nonzero(alike(n[lo:hi, None], n[None, lo:], shared))
+        a, b = np.nonzero(how.alike(n[lo:hi, None], n[None, lo:], shared))
         labels = join_labels(labels, a + lo, b + lo)
     return labels
 
 
-def rare_links(dealt: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Links ``u, v`` of sets that share a rare shingle of both prefixes, each compared."""
-    a, b = (dealt.where(F.col("m") <= RARE).select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("rid", "n", "pos")]) for x in "ab")
-    n_a, n_b, pos_a, pos_b = map(F.col, ("n_a", "n_b", "pos_a", "pos_b"))
-    # no set of the pair can share more than what both places leave
-    most = F.least(pos_a, pos_b) + 1 + F.least(n_a - pos_a, n_b - pos_b) - 1
-    pairs = a.join(b, "s").where("rid_a < rid_b").where((5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * most >= 4 * (n_a + n_b)))
-    pairs = materialize(pairs.select("rid_a", "rid_b").distinct(), "pairs")
-    for x in "ab":
-        pairs = pairs.join(texts.select(F.col("rid").alias(f"rid_{x}"), F.col("body").alias(f"body_{x}")), f"rid_{x}")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            u, v, left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("rid_a", "rid_b", "body_a", "body_b"))
-            good = []
-            for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                p, q = shingle_set(x, size), shingle_set(y, size)
-                good.append(alike(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
-
-    return pairs.mapInArrow(run, "u long, v long")
+def verified_links(members: DataFrame, how: Search, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links ``u, v`` that join the groups of sets with the least similarity inside each cluster.
 
-
-def common_links(dealt: DataFrame, texts: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
-    """Links ``u, v`` that join the groups among the members of each common shingle's list."""
-    common = dealt.where(F.col("m") > RARE)
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rid", "set"])
-
-    own = texts.join(common.select("rid").distinct(), "rid", "left_semi").select("rid", "body").mapInArrow(sets, "rid long, set array<long>")
-    own = materialize(own, "sets")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    part = F.pmod(F.xxhash64("rid"), parts).cast("int")
-    others = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b")))
-    rows = common.select("rid", "s", F.explode(others).alias("o")).select("rid", F.xxhash64("s", "o.a", "o.b").alias("g"))
-    rows = rows.join(own, "rid").select("rid", "g", "set")
+    ``members`` has ``cluster, rid, n, body``: the number of shingles and a text with them.
+    """
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    parts = F.ceil(F.greatest(F.col("m") / block, F.col("all") / shingles)).cast("int")
+    sizes = sizes.select("cluster", F.greatest(F.least(parts, F.col("m").cast("int")), F.lit(1)).alias("parts"))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b")))
+    rows = members.join(sizes, "cluster").select("rid", "body", "cluster", F.explode(others).alias("o"))
+    rows = rows.select("rid", "body", F.xxhash64("cluster", "o.a", "o.b").alias("g"))
 
     def run(batches):
         import pyarrow as pa
 
         for table in whole_runs(batches, "g", 1):
             rid = table["rid"].to_numpy()
-            labels = block_links([np.asarray(x, np.int64) for x in table["set"].to_pylist()])
+            labels = block_links([shingle_hashes(t, how.size)[0] for t in table["body"].to_pylist()], how)
             tied = np.flatnonzero(labels != np.arange(len(rid)))
             yield pa.RecordBatch.from_arrays([pa.array(rid[tied]), pa.array(rid[labels[tied]])], names=["u", "v"])
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
-def group_sets(keyed: DataFrame, least: Column, size: int) -> DataFrame:
+def group_sets(keyed: DataFrame, least: Column, how: Search) -> DataFrame:
     """``key, least`` for each distinct shingle set: the minimum of ``least`` over its group."""
-    classes = materialize(keyed.groupBy("key").agg(F.min(least).alias("own"), F.min("rid").alias("rid")), "classes")
-    first = keyed.join(classes.select("rid"), "rid", "left_semi").where("n > 0")
-    postings = first.select("rid", "n", F.posexplode("prefix").alias("pos", "s"))
-    sizes = postings.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    dealt = materialize(postings.join(sizes, "s"), "postings")
-    links = rare_links(dealt, keyed, size).unionAll(common_links(dealt, keyed, size))
-    labelled = classes.join(components(links).withColumnRenamed("v", "rid"), "rid", "left").select(
-        "key", "own", F.coalesce("component", "rid").alias("label")
-    )
+    classes = keyed.groupBy("key").agg(F.min(least).alias("own"), F.min(F.struct("rid", "n", "hi", "lo")).alias("x"))
+    classes = materialize(classes.select("key", "own", "x.*"), "classes")
+    clusters = components(candidate_links(classes.where("n > 0"), how)).withColumnRenamed("component", "cluster")
+    members = clusters.unionByName(clusters.select(F.col("cluster").alias("v"), "cluster").distinct())
+    members = materialize(keyed.select("rid", "n", "body").join(members.withColumnRenamed("v", "rid"), "rid"), "members")
+    links = components(verified_links(members, how)).withColumnRenamed("v", "rid")
+    labelled = classes.join(links, "rid", "left").select("key", "own", F.coalesce("component", "rid").alias("label"))
     groups = labelled.groupBy("label").agg(F.min("own").alias("least"))
     return labelled.join(groups, "label").select("key", "least")
 
 
-def drop_similar(docs: DataFrame, size: int = 5) -> DataFrame:
-    """One document of each group linked by similarities of 0.8 or more; same columns.
+def drop_similar(docs: DataFrame, how: Search | None = None) -> DataFrame:
+    """One document of each group linked by the least similarity or more; same columns.
 
-    The one with the least doc_id stays (nulls last).  Null, empty and wordless texts have
-    the empty set and are one class; an empty table gives an empty result.
+    The one with the least doc_id stays (nulls last, then repeated rows in any order: they
+    are equal in what counts).  Nothing is dropped without a chain of verified links.
+    Defined cases: null, empty and wordless texts have the empty set and are one class; a
+    text with fewer words than a shingle is one shingle; very long texts count whole; an
+    empty table gives an empty result; other columns may have any names.
     """
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("body"))
-    keyed = with_prefixes(keyed, "body", size).select("row", "key", "n", "prefix", F.monotonically_increasing_id().alias("rid"))
+    how = how or Search()
+    keyed = docs.select(F.struct(*own_columns(docs)).alias("row"), F.col("text").alias("body"))
+    keyed = with_prints(keyed, "body", how.size).select("row", "key", "n", "hi", "lo", F.monotonically_increasing_id().alias("rid"))
     keyed = materialize(keyed, "keyed").withColumn("body", F.col("row.text"))
     order = F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.col("rid").alias("rid"))
-    first = group_sets(keyed, order, size).select(F.col("least.rid").alias("rid")).distinct()
+    first = group_sets(keyed, order, how).select(F.col("least.rid").alias("rid")).distinct()
     return keyed.join(first, "rid", "left_semi").select("row.*")
