@@ -43,10 +43,34 @@ def test_shards_cut_a_large_group_of_copies(spark):
     assert sorted(got) == sorted(again)
 
 
+def test_shards_cut_repeated_rows(spark):
+    # two thirds of the rows are one row, and are cut like any others
+    rows = [(5, "one row", "en", "a", 7, "")] * 4000 + [(i, f"text {i}", "en", "a", 0, "") for i in range(1998)]
+    got = sharding.histogram_shards(odd.table(spark, rows), 4).select("doc_id", "size", "shard", "slot").collect()
+    check_shards(got, [r[:2] for r in rows], 4, 300)
+    assert len({r.shard for r in got if r.doc_id == 5}) >= 3
+
+
+def test_shards_bound_what_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_BLOCKS", 12)
+    monkeypatch.setattr(sharding, "MAX_PROBES", 64)
+    rows = [(i, f"text {i % 700}", "en", "a", 0, "") for i in range(3000)]
+    got = sharding.histogram_shards(odd.table(spark, rows), 6, block_bytes=100).collect()
+    check_shards(got, [r[:2] for r in rows], 6, 200)
+    odd.check_clashing(sharding.histogram_shards(odd.clashing(spark), 3), ("shard", "slot"))
+
+
+def test_place():
+    rng = np.random.default_rng(0)
+    hi, lo = rng.integers(-3, 3, 500), rng.integers(-5, 5, 500)
+    probes = sorted({sharding._whole(int(a), int(b)) for a, b in zip(rng.integers(-3, 3, 40), rng.integers(-5, 5, 40), strict=True)})
+    want = [sum(p <= sharding._whole(int(a), int(b)) for p in probes) for a, b in zip(hi, lo, strict=True)]
+    assert sharding._place(hi, lo, probes).tolist() == want
+
+
 def test_shards_odd_rows(spark):
     rows = sharding.histogram_shards(odd.table(spark), 3).collect()
     check_shards(rows, [r[:2] for r in odd.ROWS], 3, 400_000)
-    assert {len({r.shard for r in rows if r.doc_id == 1})} == {1}
     assert sharding.histogram_shards(odd.empty(spark), 3).count() == 0
 
 
@@ -68,7 +92,7 @@ def test_signature_is_the_definition():
     rng = random.Random(2)
     how = order_minhash.OrderMinHash(size=16)
     for n in (1, 3, 5, 6, 7, 40, 1500, 2600):
-        text = " ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(n))
+        text = "".join(rng.choice("abé日") for _ in range(n))
         assert how.signature(text).tolist() == naive_signature(how, text)
     # occurrence numbers keep repeated k-mers apart; order matters
     a, b = "a b c d e f g h " * 20, "i j k l m n o p " * 20
@@ -76,11 +100,16 @@ def test_signature_is_the_definition():
     assert order_minhash.likeness(how.signature(a + b), how.signature(b + a)) < 0.9
     near = [order_minhash.likeness(how.signature(a + b), how.signature(x)) for x in (a + b, a + b + " q", b)]
     assert near[0] == 1 and near[0] >= near[1] >= near[2]
+    # the likeness follows the edit distance in unspaced text and one long word too
+    word = odd.LONG_TOKEN[:5000]
+    likes = [order_minhash.likeness(how.signature(word), how.signature(x)) for x in (word[:2500] + "#" + word[2501:], "#" + word, word[::-1])]
+    assert likes[0] > 0.9 and likes[1] > 0.9 and likes[2] == 0
 
 
-def check_edits(rows, docs):
+def check_edits(spark, rows, docs):
     how = order_minhash.OrderMinHash()
-    docs = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    h = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    docs = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1] or ""]))
     want = []
     for i, (doc, text) in enumerate(docs):
         text, after = text or "", docs[(i + 1) % len(docs)][1] or ""
@@ -93,16 +122,17 @@ def check_edits(rows, docs):
 
 def test_edits(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    check_edits(order_minhash.compare_with_edit(docs, range_rows=13).collect(), list(texts(spark, sf_dir).items()))
-    check_edits(order_minhash.compare_with_edit(odd.table(spark), range_rows=2).collect(), [r[:2] for r in odd.ROWS])
+    check_edits(spark, order_minhash.compare_with_edit(docs, range_rows=13).collect(), list(texts(spark, sf_dir).items()))
+    check_edits(spark, order_minhash.compare_with_edit(odd.table(spark), range_rows=2).collect(), [r[:2] for r in odd.ROWS])
     one = [odd.ROWS[0]]
-    check_edits(order_minhash.compare_with_edit(odd.table(spark, one)).collect(), [r[:2] for r in one])
+    check_edits(spark, order_minhash.compare_with_edit(odd.table(spark, one)).collect(), [r[:2] for r in one])
     assert order_minhash.compare_with_edit(odd.empty(spark)).count() == 0
     kept = order_minhash.fingerprint_texts(odd.table(spark).withColumn("fingerprint", F.lit(1)))
     assert {len(r.fingerprint) for r in kept.collect()} == {0, 512}
+    odd.check_clashing(order_minhash.fingerprint_texts(odd.clashing(spark)), ("fingerprint",))
 
 
-def test_token_counts(spark, sf_dir, tmp_path):
+def test_token_counts(spark, sf_dir, tmp_path, monkeypatch):
     path, cache = vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
     for docs, own in (
         (spark.read.parquet(f"{sf_dir}/documents.parquet"), list(texts(spark, sf_dir).items())),
@@ -115,8 +145,15 @@ def test_token_counts(spark, sf_dir, tmp_path):
             want.append((doc, len((text or "").encode()), n, n > 1024))
         assert Counter(tuple(r) for r in rows) == Counter(want)
     before = spark.read.parquet(cache).count()
-    token_counts.append_misses(docs, cache, path)
-    assert spark.read.parquet(cache).count() == before
+    again = token_counts.count_tokens(docs, cache, path).collect()
+    assert spark.read.parquet(cache).count() == before and Counter(again) == Counter(rows)
+    # another tokenizer version has counts of its own, and the old ones stay
+    other = token_counts.count_tokens(docs, cache, vocabulary("word_bpe_49k.json")).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in other) == Counter((d, len(library_ids("word_bpe_49k.json", x))) for d, x in own)
+    assert spark.read.parquet(cache).groupBy("tokenizer").count().count() == 2
+    # many misses take the other way
+    monkeypatch.setattr(token_counts, "FEW", 3)
+    assert Counter(token_counts.count_tokens(docs, f"file://{tmp_path}/many", path).collect()) == Counter(rows)
     assert token_counts.count_tokens(odd.empty(spark), cache, path).count() == 0
     assert token_counts.count_tokens(odd.empty(spark), f"file://{tmp_path}/new", path).count() == 0
 

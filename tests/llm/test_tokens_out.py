@@ -61,7 +61,8 @@ def check_ids(spark, docs, rows, tmp_path, **kw):
     path = f"file://{tmp_path}/ids"
     direct_codes.write_token_ids(docs, path, vocabulary("word_bpe_49k.json"), 2, **kw)
     got = sorted(direct_codes.read_token_ids(spark, path).collect(), key=lambda r: r.start)
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    h = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1] or ""]))
     assert [r.doc_id for r in got] == [r[0] for r in want]
     at = 0
     for r, (_, text) in zip(got, want, strict=True):
@@ -69,6 +70,17 @@ def check_ids(spark, docs, rows, tmp_path, **kw):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         assert bytes(r.ids) == ids.tobytes()
         at += len(ids)
+    return path, np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in got])
+
+
+def scanned_rows(df):
+    """Rows that the scan of an executed plan has given out."""
+    df._jdf.collect()
+    plan, seen = df._jdf.queryExecution().executedPlan(), []
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        seen.append(leaves.apply(i).metrics().apply("numOutputRows").value())
+    return sum(seen)
 
 
 def test_token_ids_odd_rows(spark, tmp_path):
@@ -77,7 +89,32 @@ def test_token_ids_odd_rows(spark, tmp_path):
 
 def test_token_ids_documents(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    check_ids(spark, docs, list(texts(spark, sf_dir).items()), tmp_path, range_rows=17, segment_ids=3000)
+    path, ids = check_ids(spark, docs, list(texts(spark, sf_dir).items()), tmp_path, range_rows=17, segment_ids=3000)
+    rng = np.random.default_rng(6)
+    asked = [0, len(ids) - 1, *rng.integers(0, len(ids), 60).tolist()]
+    assert [direct_codes.token_at(spark, path, i) for i in asked[:4]] == ids[asked[:4]].tolist()
+    with pytest.raises(IndexError):
+        direct_codes.token_at(spark, path, len(ids))
+    for grid in (100, 1 << 16):
+        got = direct_codes.tokens_at(spark, path, spark.createDataFrame([(i,) for i in [*asked, len(ids) + 5]], "position long"), grid)
+        assert Counter(map(tuple, got.collect())) == Counter((i, int(ids[i])) for i in asked)
+    # a token costs its own segment, not the container
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    n = spark.read.parquet(path).count()
+    place = direct_codes.segment_starts(spark, path).orderBy("start").collect()[n // 2]
+    assert scanned_rows(direct_codes.one_segment(spark, path, place["range"], place.segment)) < n / 4
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_token_ids_of_a_hot_doc_id(spark, tmp_path):
+    # a third of the rows have one doc_id, a third none
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}") for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from vellum.llm._shared import id_ranges
+
+    sizes = [r["count"] for r in id_ranges(frame, 10).groupBy("range").count().collect()]
+    assert max(sizes) <= 30 and len(sizes) >= 16
+    check_ids(spark, frame, rows, tmp_path, range_rows=10)
 
 
 def test_token_ids_empty(spark, tmp_path):

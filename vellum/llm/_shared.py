@@ -84,38 +84,48 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """Rising cut points that deal the values of a long column into about ``parts`` ranges.
-
-    Only the cut points reach the driver.  Any cut points give right results; their
-    accuracy decides only how even the ranges are.
-    """
-    if parts < 2:
-        return []
-    cuts = df.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(c) for c in cuts})
+#: The most ranges that ids are dealt into: this bounds what the driver and a broadcast hold.
+MAX_RANGES = 4096
 
 
-def with_range(df: DataFrame, column: str, bounds: list[int], out: str) -> DataFrame:
-    """Adds ``out``: the range 0..len(bounds) of a long column, by binary search in the JVM.
+def id_ranges(docs: DataFrame, rows: int) -> DataFrame:
+    """``range, doc_id, h, text`` of all documents; ranges follow ``doc_id, h`` (null first).
 
-    The number of bounds at or below the value; nulls are in the first range.
+    A range holds about ``rows`` documents, or more where that would make over ``MAX_RANGES``
+    of them; ``h`` is a hash of the text (null: empty).  Only the cut points reach the driver.
+    Any cuts give right results; how good they are decides only how even the ranges are.  A
+    doc_id (or null) that fills several ranges by itself is dealt into as many by ``h``, so
+    only documents that are equal in both stay together whatever their number.
     """
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    cuts = sorted({float(b) for b in bounds})
-    key = free_name(df, "_range_key")
-    low = cuts[0] - 1 - abs(cuts[0])
-    keyed = df.withColumn(key, F.coalesce(F.col(f"`{column}`").cast("double"), F.lit(low)))
-    search = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=key, outputCol=out)
-    return search.transform(keyed).drop(key).withColumn(out, F.col(out).cast("int"))
-
-
-def row_ranges(df: DataFrame, column: str, rows: int) -> list[int]:
-    """Bounds of ranges of a long column that hold about ``rows`` rows each."""
-    return id_bounds(df, column, -(-df.count() // rows))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    total, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    rows = max(rows, -(-total // MAX_RANGES))
+    null_parts, parts = max(1, -(-(total - known) // rows)), -(-known // rows)
+    cuts: list[int] = []
+    if parts > 1:
+        cuts = sorted(int(c) for c in docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))
+    share = lambda n: F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * n), n - 1).cast("int")
+    single = sorted(set(cuts))
+    bucket = "bucket"
+    if single:
+        from pyspark.ml.feature import Bucketizer
+
+        docs = docs.withColumn("value", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))
+        docs = Bucketizer(splits=[float("-inf"), *map(float, single), float("inf")], inputCol="value", outputCol=bucket).transform(docs)
+    else:
+        docs = docs.withColumn(bucket, F.lit(0))
+    place = F.col(bucket).cast("int") + null_parts
+    hot = {c: cuts.count(c) for c in single if cuts.count(c) > 1} if len(single) < len(cuts) else {}
+    if hot:
+        # a hot id has that many ranges for itself; later ones follow
+        extra = np.cumsum([0, *[hot.get(c, 0) for c in single]])
+        own = F.element_at(F.create_map(*[F.lit(x) for c, n in hot.items() for x in (c, n)]), F.col("doc_id"))
+        before = F.get(F.lit([0, *extra[:-1].tolist()]), F.col(bucket).cast("int"))
+        after = F.get(F.lit([0, *extra[1:].tolist()]), F.col(bucket).cast("int"))
+        place = place + F.when(own.isNotNull(), before + share(own)).otherwise(after)
+    place = F.when(F.col("doc_id").isNull(), share(F.lit(null_parts))).otherwise(place)
+    return docs.select(place.cast("int").alias("range"), "doc_id", "h", "text")
 
 
 def join_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ one lookup per level, and any stretch of tokens by reading just its own stretch
 
 Layout of a code (little-endian): ``DAC1``, levels u32, ids u64; per level: chunks u64, the
 chunks, and, for all but the last level, the bitmap (padded to whole 512-bit blocks) and
-one u32 of the directory per block.
+one u32 of the directory per block.  A file set of such codes has a directory of its own
+(``segment_starts``), so any token of all documents is found by its global position.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import row_ranges, with_range, work_path
+from ._shared import id_ranges, work_path
 from ._tokens import encoder, vocabulary
 
 MAGIC = b"DAC1"
@@ -108,21 +109,22 @@ class Codes:
 
 
 def write_token_ids(
-    docs: DataFrame, path: str, vocabulary_path: str, end_id: int, range_rows: int = 4000, segment_ids: int = 1 << 20
+    docs: DataFrame, path: str, vocabulary_path: str, end_id: int, range_rows: int = 4000, segment_ids: int = 1 << 16
 ) -> None:
     """Encode whole texts and write their ids, in ascending doc_id order, below ``path``.
 
     The documents are dealt once into ranges of doc_id and sorted inside.  Each row of the
     Parquet container is a segment: ``range, segment, before`` (ids of the range before it),
-    ``doc_ids``, ``lengths`` and ``codes``, the directly addressable codes of all its ids; a
-    document is never split, so a segment ends with the document that fills it.  Defined
-    cases: null text is empty and has only the end id; null doc_ids come first; repeated
-    rows stay, next to each other; an empty table writes an empty container; columns other
-    than doc_id and text are not used.
+    ``size``, ``doc_ids``, ``lengths`` and ``codes``, the directly addressable codes of all its
+    ids; a document is never split, so a segment ends with the document that fills it.  The
+    container is neither compressed nor dictionary-coded and has pages of single segments,
+    so that a token costs the reading of its segment and no decoding.  Defined cases: null
+    text is empty and has only the end id; null doc_ids come first; documents of one doc_id
+    follow the hash of their text; repeated rows stay, next to each other; very long texts
+    are encoded whole and make a segment; an empty table writes an empty container; columns
+    other than doc_id and text are not used.
     """
-    bounds = row_ranges(docs, "doc_id", range_rows)
-    dealt = with_range(docs.select("doc_id", "text"), "doc_id", bounds, "range")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "doc_id", "text").select("range", "doc_id", "text")
+    dealt = id_ranges(docs, range_rows).repartition("range").sortWithinPartitions("range", "doc_id", "h", "text").select("range", "doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -138,11 +140,12 @@ def write_token_ids(
                     pa.array([at], pa.int32()),
                     pa.array([segment], pa.int32()),
                     pa.array([before], pa.int64()),
+                    pa.array([len(ids)], pa.int64()),
                     pa.array([[d for d, _ in held]], pa.list_(pa.int64())),
                     pa.array([[len(x) // 4 for _, x in held]], pa.list_(pa.int64())),
                     pa.array([pack_codes(ids)], pa.binary()),
                 ],
-                names=["range", "segment", "before", "doc_ids", "lengths", "codes"],
+                names=["range", "segment", "before", "size", "doc_ids", "lengths", "codes"],
             )
 
         for batch in batches:
@@ -160,8 +163,61 @@ def write_token_ids(
         if held:
             yield flush()
 
-    schema = "range int, segment int, before long, doc_ids array<long>, lengths array<long>, codes binary"
-    dealt.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    out = dealt.mapInArrow(run, SEGMENT).write.option("compression", "none").option("parquet.enable.dictionary", "false")
+    out.option("parquet.page.row.count.limit", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
+
+
+SEGMENT = "range int, segment int, before long, size long, doc_ids array<long>, lengths array<long>, codes binary"
+
+
+def _offsets(segments: DataFrame) -> DataFrame:
+    """Ids before each range: one row per range, and the ranges are bounded."""
+    totals = segments.groupBy("range").agg(F.sum("size").alias("size"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+
+
+def segment_starts(spark: SparkSession, path: str) -> DataFrame:
+    """The directory of a container: ``range, segment, start, size`` of every segment; reads no ids."""
+    segments = spark.read.schema(SEGMENT).parquet(path).select("range", "segment", "before", "size")
+    return segments.join(_offsets(segments), "range").select("range", "segment", (F.col("offset") + F.col("before")).alias("start"), "size")
+
+
+def token_at(spark: SparkSession, path: str, position: int) -> int:
+    """The id at one position of all ids; reads the directory and one segment."""
+    place = segment_starts(spark, path).where((F.col("start") <= position) & (position < F.col("start") + F.col("size"))).first()
+    if place is None:
+        raise IndexError(position)
+    return Codes(one_segment(spark, path, place["range"], place["segment"]).first()["codes"]).token(position - place["start"])
+
+
+def one_segment(spark: SparkSession, path: str, range_: int, segment: int) -> DataFrame:
+    """A segment's codes; the filter reaches the pages of the container."""
+    rows = spark.read.schema(SEGMENT).parquet(path)
+    return rows.where((F.col("range") == range_) & (F.col("segment") == segment)).select("codes")
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame, grid: int = 1 << 16) -> DataFrame:
+    """``position, token`` for a table of positions (column ``position``); others than stored ones are left out.
+
+    Positions meet the segments on cells of a grid, an equi-join; no segment is decoded.
+    """
+    cell = lambda x: F.floor(x / grid)
+    starts = segment_starts(spark, path).withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("size") - 1))))
+    asked = positions.select("position", cell(F.col("position")).alias("cell"))
+    inside = (F.col("start") <= F.col("position")) & (F.col("position") < F.col("start") + F.col("size"))
+    found = asked.join(starts, "cell").where(inside).select("range", "segment", "position", (F.col("position") - F.col("start")).alias("inside"))
+    segments = spark.read.schema(SEGMENT).parquet(path).select("range", "segment", "codes")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            position, inside, packed = (batch.column(i) for i in range(3))
+            ids = [Codes(code).token(i) for code, i in zip(packed.to_pylist(), inside.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([position, pa.array(ids, pa.int64())], names=["position", "token"])
+
+    return found.join(segments, ["range", "segment"]).select("position", "inside", "codes").mapInArrow(run, "position long, token long")
 
 
 def read_token_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -170,10 +226,7 @@ def read_token_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFram
     ``start`` is the number of ids of all documents before; every document's ids are read
     from its own stretch of the codes.
     """
-    segments = spark.read.parquet(path)
-    totals = segments.groupBy("range").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("size"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    segments = spark.read.schema(SEGMENT).parquet(path)
 
     def run(batches):
         import pyarrow as pa
@@ -199,7 +252,7 @@ def read_token_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFram
 
     schema = "range int, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
     rows = segments.select("range", "before", "doc_ids", "lengths", "codes").mapInArrow(run, schema)
-    return rows.join(offsets, "range").select(
+    return rows.join(_offsets(segments), "range").select(
         "doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else [])
     )
 

@@ -1,10 +1,10 @@
 """Document fingerprints by Order MinHash (Marcais et al. 2019).
 
-A text's k-mers are runs of ``k`` words, each with the number of its earlier occurrences, so
-that repeats count.  Each of the signature's hash functions selects the ``tuple_size``
-least numbered k-mers, puts them back in text order, and hashes their tuple.  Two texts
-agree in an entry only if they share these k-mers in the same order, which makes the share
-of equal entries follow the edit distance and not just the overlap.
+A text's k-mers are runs of ``k`` characters, each with the number of its earlier
+occurrences, so that repeats count.  Each of the signature's hash functions selects the
+``tuple_size`` least numbered k-mers, puts them back in text order, and hashes their tuple.
+Two texts agree in an entry only if they share these k-mers in the same order, which makes
+the share of equal entries follow the edit distance and not just the overlap.
 """
 
 from __future__ import annotations
@@ -17,35 +17,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import row_ranges, with_range
-
+from ._shared import id_ranges, packed, unpacked
 
 #: K-mers that are hashed at a time.
 STRETCH = 1024
 
 
-class _WordHashes(dict):
-    """Hashes of the words that a worker has met, up to a bound beyond which it starts anew."""
-
-    kept = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.kept:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_word_hashes = _WordHashes()
-
-
 @dataclass(frozen=True)
 class OrderMinHash:
-    """Parameters of a fingerprint of ``size`` entries of 8 hexadecimal digits."""
+    """Parameters of a fingerprint of ``size`` entries of 8 hexadecimal digits.
 
-    k: int = 5
+    A hash function orders the k-mers by 32 bits; of equal ones the earlier is the lesser.
+    """
+
+    k: int = 8
     tuple_size: int = 2
     size: int = 64
     seed: int = 11
@@ -58,21 +43,22 @@ class OrderMinHash:
 
     def _kmers(self, text: str) -> np.ndarray:
         """Hashes of the occurrence-numbered k-mers, in text order."""
-        words = text.encode().split() or ([text.encode()] if text else [])
-        if not words:
-            return np.zeros(0, np.uint64)
-        hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-        k = min(self.k, len(words))
-        base = hashes[: len(words) - k + 1].copy()
-        for j in range(1, k):
-            base ^= base >> np.uint64(31)
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        n = len(codes) - min(self.k, len(codes)) + 1 if len(codes) else 0
+        base = codes[:n].copy()
+        for j in range(1, min(self.k, len(codes))):
             base *= np.uint64(0x9FB21C651E98DF25)
-            base += hashes[j : len(words) - k + 1 + j]
-        order = np.argsort(base, kind="stable")
-        ordered = base[order]
-        run = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        nth = np.empty(len(base), np.uint64)
-        nth[order] = np.arange(len(base)) - np.repeat(run, np.diff(np.r_[run, len(base)]))
+            base += codes[j : n + j]
+        base ^= base >> np.uint64(32)
+        base *= np.uint64(0xD6E8FEB86659FD93)
+        # one sort of hash and place together numbers the occurrences
+        low = np.uint64(max(n, 1).bit_length())
+        ordered = np.sort(base >> low << low | np.arange(n, dtype=np.uint64))
+        place = (ordered & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        value = ordered >> low
+        run = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if n else np.zeros(0, np.int64)
+        nth = np.empty(n, np.uint64)
+        nth[place] = np.arange(n) - np.repeat(run, np.diff(np.r_[run, n]))
         mixed = base + nth * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
@@ -122,19 +108,28 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint_texts(docs: DataFrame, text: str = "text", out: str = "fingerprint", how: OrderMinHash | None = None) -> DataFrame:
-    """Adds the fingerprint of a text column as ``out``; all other columns stay."""
+    """Adds the fingerprint of a text column as ``out``; all other columns stay.
+
+    Defined cases: null and empty texts have an empty fingerprint; a text shorter than a
+    k-mer is one; very long texts and unbroken ones are taken whole; an older column of the
+    name ``out`` is replaced; equal texts have equal fingerprints; an empty table gives an
+    empty result.
+    """
     how = how or OrderMinHash()
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found = pa.array([spelled(how.signature(t)) for t in texts], pa.string())
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != out]
-            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], found], names=[*[n for n, _ in kept], out])
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spelled(how.signature(t)) for t in texts], pa.string())], names=["row", "made"])
 
-    return docs.mapInArrow(run, docs.drop(out).schema.add(out, "string"))
+    rows = packed(docs.withColumn("own text", F.col(text)), "own text", without=("own text", out))
+    found = rows.mapInArrow(run, rows.select("row").schema.add("made", "string"))
+    return found.select(*unpacked(rows), F.col("made").alias(out))
+
+
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -147,39 +142,36 @@ def compare_with_edit(docs: DataFrame, how: OrderMinHash | None = None, range_ro
     """Fingerprints of each text and of its edit with the next document's start.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``.  The next document follows by ascending doc_id (null first), then text; the
-    last is followed by the first, a single one by itself.  Documents are dealt once into
-    ranges of doc_id; each range also gets the first document of the next range, so a task
-    streams its sorted rows with one document in hand.  Defined cases: null text is empty;
-    empty text has an empty fingerprint; repeated rows follow each other; an empty table
-    gives an empty result; columns other than doc_id and text are not used.
+    near_next``.  The next document follows by ascending doc_id (null first), then hash of
+    the text; the last is followed by the first, a single one by itself.  Documents are dealt
+    once into ranges of doc_id; each range also gets the first document of the next range, so
+    a task streams its sorted rows with one document in hand.  Defined cases: null text is
+    empty; empty text has an empty fingerprint; repeated rows follow each other; very long
+    texts are taken whole; an empty table gives an empty result; columns other than doc_id
+    and text are not used.
     """
     how = how or OrderMinHash()
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = with_range(docs, "doc_id", row_ranges(docs, "doc_id", range_rows), "range")
-    # the first document of each range: its doc_id, then the least text with that doc_id
+    dealt = id_ranges(docs, range_rows)
+    # the first document of each range: its doc_id and hash, then the least text with these
     first_ids = dealt.groupBy("range").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head")
+        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("head")
     )
-    starts = sorted(first_ids.select("range", "head.doc_id").collect())
+    starts = sorted(first_ids.select("range", "head.doc_id", "head.h").collect(), key=lambda r: r["range"])
     if not starts:
-        return spark.createDataFrame(
-            [], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-        )
-    places = [r["range"] for r in starts]
+        return spark.createDataFrame([], COMPARED)
     before = spark.createDataFrame(
-        [(r["range"], r["doc_id"], places[i - 1]) for i, r in enumerate(starts)], "range int, head_id long, previous int"
+        [(r["range"], r["doc_id"], r["h"], starts[i - 1]["range"]) for i, r in enumerate(starts)], "at int, head_id long, head_h long, previous int"
     )
     heads = (
-        # one row of three numbers per range of documents
-        dealt.join(F.broadcast(before), (dealt["range"] == before["range"]) & dealt["doc_id"].eqNullSafe(before["head_id"]))
+        # bounded: one row of four numbers per range, and ranges are bounded
+        dealt.join(F.broadcast(before), (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")))
         .groupBy("previous")
         .agg(F.min("text").alias("text"))
-        .select(F.col("previous").alias("range"), F.lit(1).alias("closing"), F.lit(None).cast("long").alias("doc_id"), "text")
+        .select(F.col("previous").alias("range"), F.lit(1).alias("closing"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), "text")
     )
-    rows = dealt.select("range", F.lit(0).alias("closing"), "doc_id", "text").unionAll(heads)
-    rows = rows.repartition("range").sortWithinPartitions("range", "closing", "doc_id", "text")
+    rows = dealt.select("range", F.lit(0).alias("closing"), "doc_id", "h", "text").unionAll(heads)
+    rows = rows.repartition("range").sortWithinPartitions("range", "closing", "doc_id", "h", "text").select("range", "closing", "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -210,10 +202,7 @@ def compare_with_edit(docs: DataFrame, how: OrderMinHash | None = None, range_ro
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(
-        run,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-    )
+    return rows.mapInArrow(run, COMPARED)
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Sharding by histogram sort (after Solomonik and Kale 2010).
 
 Documents are ordered by a 128-bit key: the hash of the text, so that equal texts stand
-together, then the hash and value of the doc_id, so that a large group of copies can still
-be cut.  Rounds count the exact bytes below candidate boundaries: every task adds up its
+together, then the hash of the doc_id, so that a large group of copies can still be cut, and
+last a number that tells repeated rows apart, so that these can be cut too.  Rounds count the exact bytes below candidate boundaries: every task adds up its
 rows between the probes, only these sums reach the driver, and each interval that holds a
 wanted cut gets new probes between the least and the greatest key in it.  When every
 splitter meets the tolerance, the documents are exchanged once and sorted.
@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import free_name, materialize, text_crc32, utf8_size
+from ._shared import free_prefix, materialize, own_columns, text_crc32, utf8_size
 
 #: Bytes of one sorted block; a shard is cut into blocks so that no task sorts a whole shard.
 BLOCK_BYTES = 128 << 20
+#: Bounds of what the driver and each task hold: blocks are larger where there would be more of
+#: them, and a round asks fewer probes for each open cut and goes on for more rounds.
+MAX_BLOCKS, MAX_PROBES = 8192, 1 << 16
 PROBES = 32
+#: Low bits of the key that tell repeated rows apart.
+REPEAT_BITS = 20
 _HALF = 1 << 63
 
 
@@ -38,11 +43,14 @@ def _place(hi: np.ndarray, lo: np.ndarray, probes: list[int]) -> np.ndarray:
         return np.zeros(len(hi), np.int32)
     pairs = [_pair(p) for p in probes]
     highs, lows = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-    left, right = np.searchsorted(highs, hi, side="left"), np.searchsorted(highs, hi, side="right")
-    tied = np.flatnonzero(right > left)
-    found = left.copy()
-    for i in tied:
-        found[i] += np.searchsorted(lows[left[i] : right[i]], lo[i], side="right")
+    found, right = np.searchsorted(highs, hi, side="left"), np.searchsorted(highs, hi, side="right")
+    tied = np.flatnonzero(right > found)
+    # keys whose upper half is a probe's: one search for each such half, not for each key
+    order = tied[np.argsort(found[tied], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, found[order][1:] != found[order][:-1]]) if len(order) else []
+    for own in np.split(order, starts[1:]) if len(order) else []:
+        a, b = int(found[own[0]]), int(right[own[0]])
+        found[own] = a + np.searchsorted(lows[a:b], lo[own], side="right")
     return found.astype(np.int32)
 
 
@@ -80,6 +88,8 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerances: list[float
 
     ``keys`` has ``hi, lo, size``.  A cut is settled when the bytes below it are within its
     tolerance, or when only one key is left in its interval and the nearer side is taken.
+    The bits that tell repeated rows apart take part only inside a run of these, so other
+    cuts do not depend on them.
     """
     cuts: dict[int, tuple[int, int]] = {}
     probes: list[int] = []
@@ -95,26 +105,28 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerances: list[float
             below += size
             edges.append(below)
         new: set[int] = set()
+        each = min(PROBES, max(4, MAX_PROBES // (2 * (len(targets) - len(cuts)))))
         for i, target in enumerate(targets):
             if i in cuts:
                 continue
             at = int(np.searchsorted(edges, target, side="left"))
             under, size, least, greatest = spans[at]
+            unit = 1 << REPEAT_BITS if least >> REPEAT_BITS < greatest >> REPEAT_BITS else 1
+            first, last = least - least % unit, greatest - greatest % unit + unit
             # the interval's own ends are exact cuts: below its least key, or after its greatest
-            low, high = (under, least), (under + size, greatest + 1)
-            best = min((low, high), key=lambda c: abs(c[0] - target))
+            best = min(((under, first), (under + size, last)), key=lambda c: abs(c[0] - target))
             if abs(best[0] - target) <= tolerances[i] or least == greatest:
                 cuts[i] = (best[1], best[0])
                 continue
             share = (target - under) / size
-            width = greatest - least
-            new |= {least, min(greatest + 1, (1 << 128) - 1)}
+            width = (last - first) // unit
+            new |= {first, min(last, (1 << 128) - 1)}
             # evenly over the interval, and closer around where the target would lie
-            for j in range(1, PROBES):
-                new.add(least + max(1, width * j // PROBES))
-                near = least + int(width * share) + (j - PROBES // 2) * max(1, width // PROBES**2)
-                if least < near <= greatest:
-                    new.add(near)
+            for j in range(1, each):
+                new.add(first + unit * max(1, width * j // each))
+                near = int(width * share) + (j - each // 2) * max(1, width // each**2)
+                if 0 < near < width:
+                    new.add(first + unit * near)
         probes = sorted(new)
     return [cuts[i][0] for i in range(len(targets))], [cuts[i][1] for i in range(len(targets))]
 
@@ -124,22 +136,26 @@ def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 1e-
 
     Shards hold near equal bytes: each boundary is within ``tolerance`` of a shard's mean, or
     as near as whole documents allow.  Slots follow the key, so equal texts stand together.
-    All columns of ``docs`` stay, but for older ones of these names.  Defined cases: null
-    text counts 8 bytes, an empty one too; rows with equal doc_id and text have one key and
-    are never cut apart; null doc_ids are a key of their own; an empty table gives an empty
-    result; fewer documents than shards leave shards empty.
+    All columns of ``docs`` stay, whatever their names, but for older ones of these three.
+    Defined cases: null text counts 8 bytes, an empty one too; rows with equal doc_id and text
+    follow each other and are cut like any others (which of them stands where depends on how
+    the input is stored, and is of no consequence but for further columns); null doc_ids are
+    one doc_id; very long texts count whole and may unbalance shards by their size; an empty
+    table gives an empty result; fewer documents than shards leave shards empty.
     """
-    names = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
-    hi, lo, at = (free_name(docs, c) for c in ("_hi", "_lo", "_at"))
+    p = free_prefix(docs)
+    hi, lo, at, row, rank, before = (f"{p}{c}" for c in ("hi", "lo", "at", "row", "rank", "before"))
+    repeat = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << REPEAT_BITS) - 1))
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in names],
+        F.struct(*own_columns(docs, "size", "shard", "slot")).alias(row),
         (utf8_size(F.col("text")) + 8).alias("size"),
         F.xxhash64("text").alias(hi),
-        F.xxhash64("doc_id", F.lit(1)).alias(lo),
+        F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit(-(1 << REPEAT_BITS))).bitwiseOR(repeat).alias(lo),
     )
-    keys = materialize(keyed.select(F.col(hi).alias("hi"), F.col(lo).alias("lo"), "size"), "shard-keys")
+    keyed = materialize(keyed, "shard-rows")
+    keys = keyed.select(F.col(hi).alias("hi"), F.col(lo).alias("lo"), "size")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
-    inner = max(1, -(-total // (n_shards * block_bytes)))
+    inner = max(1, min(-(-total // (n_shards * block_bytes)), MAX_BLOCKS // n_shards))
     blocks = n_shards * inner
     share = total / blocks
     targets = [share * i for i in range(1, blocks)]
@@ -156,19 +172,19 @@ def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 1e-
             )
 
     placed = keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField(at, T.IntegerType())]))
-    # rows per block, from the small key table: a slot is the rows before the block and the rank in it
-    counted = keys.select(F.col("hi").alias(hi), F.col("lo").alias(lo)).mapInArrow(run, f"`{hi}` long, `{lo}` long, `{at}` int")
-    counts = counted.groupBy(at).agg(F.count(F.lit(1)).alias("_rows"))
+    # rows per block, from the keys alone: a slot is the rows before the block and the rank in it
+    counted = keyed.select(hi, lo).mapInArrow(run, f"{hi} long, {lo} long, {at} int")
+    counts = counted.groupBy(at).agg(F.count(F.lit(1)).alias("rows"))
     shard = (F.col(at) / inner).cast("int")
-    before = Window.partitionBy(shard).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(at, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy(shard).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(at, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias(before))
     inside = Window.partitionBy(at).orderBy(hi, lo)
-    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, at)
+    ranked = placed.withColumn(rank, F.row_number().over(inside) - 1).join(offsets, at)
     return ranked.select(
-        *[F.col(f"`{c}`") for c in names],
+        *[F.col(row)[c].alias(c) for c in keyed.schema[row].dataType.names],
         "size",
         shard.alias("shard"),
-        (F.col("_rank") + F.col("_before")).cast("long").alias("slot"),
+        (F.col(rank) + F.col(before)).cast("long").alias("slot"),
     )
 
 

@@ -14,9 +14,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import utf8_size, work_path
+from ._shared import materialize, utf8_size, work_path
 from ._tokens import encoder, vocabulary
 
+#: Misses of 64 bytes each that are broadcast: 32 MB.
+FEW = 500_000
 CACHE = "content string, tokenizer string, n_tokens long"
 
 
@@ -46,13 +48,27 @@ def stored_counts(spark: SparkSession, cache: str) -> DataFrame:
     return rows.groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def append_misses(docs: DataFrame, cache: str, vocabulary_path: str) -> None:
-    """Encode each distinct content of ``docs`` that the cache lacks, and append its count."""
+def digest(text: Column) -> Column:
+    return F.sha2(normalised(text).cast("binary"), 256)
+
+
+def append_misses(docs: DataFrame, contents: DataFrame, cache: str, vocabulary_path: str) -> None:
+    """Encode each distinct content of ``docs`` that the cache lacks, and append its count.
+
+    ``contents`` has the documents' digests.  Misses are found among digests alone; texts move
+    only where one is missing.  Few misses (up to ``FEW``, a bounded broadcast) pick their
+    texts out before these are made distinct, many after it: the rows are the same.
+    """
     version = tokenizer_version(vocabulary_path)
-    texts = docs.select(normalised(F.col("text")).alias("text"))
-    texts = texts.withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
     known = stored_counts(docs.sparkSession, cache).where(F.col("tokenizer") == version).select("content")
-    misses = texts.join(known, "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    missing = materialize(contents.select("content").distinct().join(known, "content", "left_anti"), "missing")
+    n = missing.count()
+    texts = docs.select(normalised(F.col("text")).alias("text"), digest(F.col("text")).alias("content"))
+    if n <= FEW:
+        texts = texts.join(F.broadcast(missing), "content", "left_semi")
+    texts = texts.groupBy("content").agg(F.first("text").alias("text"))
+    if n > FEW:
+        texts = texts.join(missing, "content", "left_semi")
 
     def run(batches):
         import pyarrow as pa
@@ -67,23 +83,21 @@ def append_misses(docs: DataFrame, cache: str, vocabulary_path: str) -> None:
                     names=["content", "tokenizer", "n_tokens"],
                 )
 
-    misses.select("content", "text").mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+    texts.select("content", "text").mapInArrow(run, CACHE).write.mode("append").parquet(cache)
 
 
 def count_tokens(docs: DataFrame, cache: str, vocabulary_path: str, limit: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row; the cache at ``cache`` grows.
 
     Counts are those of the tokenizers library without added special tokens.  A second call
-    with the same contents encodes nothing.  Defined cases: null and empty texts have 0
-    tokens; repeated rows and equal texts are encoded once and all get the count; an empty
-    table gives an empty result; columns other than doc_id and text are not used.
+    with the same contents encodes nothing and moves no text; another vocabulary file, or
+    another edition of it, has counts of its own.  Defined cases: null and empty texts have 0
+    tokens; repeated rows and equal texts are encoded once and all get the count; very long
+    texts are encoded whole; an empty table gives an empty result; columns other than doc_id
+    and text are not used.
     """
-    append_misses(docs, cache, vocabulary_path)
-    rows = docs.select(
-        "doc_id",
-        utf8_size(F.col("text")).alias("n_bytes"),
-        F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("content"),
-    )
+    rows = materialize(docs.select("doc_id", utf8_size(F.col("text")).alias("n_bytes"), digest(F.col("text")).alias("content")), "contents")
+    append_misses(docs, rows, cache, vocabulary_path)
     counts = stored_counts(docs.sparkSession, cache).where(F.col("tokenizer") == tokenizer_version(vocabulary_path))
     return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
