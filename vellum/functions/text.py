@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # --- fixed values: lists that must equal the data model's -------------------------------
 HEADING_OPENERS = ["chapter", "book", "part", "section", "appendix", "preface", "introduction", "volume", "article", "canto"]
 CHAPTER_WORDS = ["chapter", "canto", "act", "letter", "epistle", "lecture"]
@@ -55,8 +57,12 @@ SHARED_RUN = 6
 _NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]"
 
 
+#: All characters that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -83,7 +89,7 @@ def _any_of(c: Column, parts: list[str]) -> Column:
 
 def is_furniture(line: Column) -> Column:
     """Rules, and lines of up to 12 characters that are a page number."""
-    t = F.regexp_replace(trim(line), r"^[\[\]]+|[\[\]]+$", "")
+    t = F.btrim(trim(line), F.lit("[]"))
     bare = F.regexp_replace(t, r"(?U)\s+", "")
     rule = (F.octet_length(t) >= 3) & t.rlike(r"^[-_*]+$")
     number = (F.length(t) <= 12) & (bare.rlike("^[0-9]+$") | F.lower(bare).rlike("^[ivxlcdm]+$"))
@@ -107,9 +113,12 @@ def is_title_case(text: Column) -> Column:
 
 
 def looks_like_heading(text: Column) -> Column:
-    t = trim(text)
-    n = word_count(t)
-    first = F.lower(core(F.try_element_at(words(t), F.lit(1))))
+    return let(trim(text), lambda t: let(F.filter(F.split(t, r"(?U)\s+", 14), lambda w: w != ""), lambda w: _heading_like(t, w)))
+
+
+def _heading_like(t: Column, w: Column) -> Column:
+    """Of a trimmed text and its first words, at most 14."""
+    n, first = F.size(w), F.lower(core(F.try_element_at(w, F.lit(1))))
     return (
         F.when((t == "") | (n > 12), False)
         .when(t.rlike(r"^(§|Sec\.|SEC\.)"), True)
@@ -122,11 +131,12 @@ def looks_like_heading(text: Column) -> Column:
 
 def line_kind(line: Column) -> Column:
     t = trim(line)
-    return F.when(t.rlike("^#{1,4} "), "heading").when(t.startswith("> "), "quote").otherwise("paragraph")
+    return F.when(t.startswith("#") & t.rlike("^#{1,4} "), "heading").when(t.startswith("> "), "quote").otherwise("paragraph")
 
 
 def line_content(line: Column) -> Column:
-    return trim(F.regexp_replace(trim(line), "^(#{1,4}|>) ", ""))
+    t = trim(line)
+    return F.when(t.startswith("#") | t.startswith(">"), trim(F.regexp_replace(t, "^(#{1,4}|>) ", ""))).otherwise(t)
 
 
 def _end(c: Column) -> Column:
@@ -310,7 +320,13 @@ def scrub_question(question: Column, paragraph: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    return F.filter(F.transform(words(text), lambda w: F.lower(core(w))), lambda w: w != "")
+    """Words in lower case without marks at either end; what is only marks is no word.
+
+    The marks of all words go in one pass over the text.
+    """
+    mark = r"[^\p{IsAlphabetic}\p{N}\s]+"
+    bare = F.regexp_replace(text, rf"(?U)(?<=\s|^){mark}|{mark}(?=\s|$)", "")
+    return F.filter(F.split(F.lower(bare), r"(?U)\s+"), lambda w: w != "")
 
 
 def runs(w: Column, n: int = SHARED_RUN) -> Column:

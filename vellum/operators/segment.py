@@ -1,4 +1,8 @@
-"""Pages to typed blocks.  Every step works inside a page's row: no shuffle, no Python."""
+"""Pages to typed blocks.  Every step works inside a page's row: no shuffle, no Python.
+
+No step copies what it has made so far: the lines are typed, the places where a block begins
+or ends are listed, and blocks are cut out between these.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.arrays import first_of_equals, let
 
 BLOCKS = "array<struct<kind:string,text:string>>"
-_OPEN = "array<struct<kind:string,lines:array<string>>>"
+#: A block's id is its page's id times this, plus its place in the page.
+PAGE_SPAN = 1_000_000_000
 
 
 def lines_of(raw: Column) -> Column:
@@ -16,59 +22,77 @@ def lines_of(raw: Column) -> Column:
     return F.transform(F.split(raw, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
 
 
-def is_prewrapped(raw: Column) -> Column:
-    """Does each line hold a whole paragraph?  One line above 120 characters says so, or four
-    fifths of three or more lines closing a sentence."""
-    kept = F.filter(F.transform(lines_of(raw), t.trim), lambda x: (x != "") & ~t.is_furniture(x))
-    long = F.exists(kept, lambda x: F.length(x) > 120)
-    closed = F.size(F.filter(kept, lambda x: x.rlike(f"[{t.SENTENCE_ENDS}]$")))
-    return (F.size(kept) > 0) & (long | ((F.size(kept) >= 3) & (closed * 100 >= F.size(kept) * 80)))
+def trimmed_lines(raw: Column) -> Column:
+    return F.transform(F.split(raw, "\n"), t.trim)
+
+
+def is_prewrapped(lines: Column) -> Column:
+    """Does each trimmed line hold a whole paragraph?  One line above 120 characters says so, or
+    four fifths of three or more lines closing a sentence."""
+
+    def judged(kept):
+        long = F.exists(kept, lambda x: F.length(x) > 120)
+        closed = F.size(F.filter(kept, lambda x: x.rlike(f"[{t.SENTENCE_ENDS}]$")))
+        return (F.size(kept) > 0) & (long | ((F.size(kept) >= 3) & (closed * 100 >= F.size(kept) * 80)))
+
+    return let(F.filter(lines, lambda x: (x != "") & ~t.is_furniture(x)), judged)
 
 
 def join_lines(lines: Column) -> Column:
-    """The lines of a block as one run of prose, with split words closed."""
+    """The trimmed lines of a block as one run of prose, with split words closed.
+
+    A line that is all hyphens says nothing but at the end: the hyphens before a line's end
+    fall away with it.  What two lines are joined by depends on these two alone.
+    """
+    bare = f"^[{t.HYPHENS}]+$"
 
-    def step(text, line):
-        hyphen = text.rlike(f"[{t.HYPHENS}]$")
-        return F.when(text == "", line).when(hyphen, t.join_hyphenated(text, line)).otherwise(F.concat(text, F.lit(" "), line))
+    def joined(kept):
+        def piece(x, i):
+            following = F.get(kept, i + 1)
+            body = F.regexp_replace(x, f"[{t.HYPHENS}]+$", "")
+            clean = body.rlike(r"\p{IsAlphabetic}$") & following.rlike(r"^\p{IsAlphabetic}")
+            closed = F.concat(body, F.when(clean & ~following.rlike(r"^\p{IsLowercase}"), "-").otherwise(""))
+            return F.when(following.isNull(), x).when(x.rlike(f"[{t.HYPHENS}]$"), closed).otherwise(F.concat(x, F.lit(" ")))
 
-    return t.squeeze(F.aggregate(lines, F.lit(""), step))
+        return F.array_join(F.transform(kept, piece), "")
 
+    kept = lambda own: F.filter(own, lambda x, i: (i == F.size(own) - 1) | ~x.rlike(bare))
+    return t.squeeze(F.when(F.size(lines) == 1, F.get(lines, F.lit(0))).otherwise(let(let(lines, kept), joined)))
 
-def segment(raw: Column, prewrapped: Column) -> Column:
-    """Blocks of a page, in order: an array of kind and text.
+
+def segment(lines: Column, prewrapped: Column) -> Column:
+    """Blocks of a page's trimmed lines, in order: an array of kind and text.
 
     Blank and furniture lines close a block, a marked heading stands alone, a change of kind
     opens a block, and on a prewrapped page every line is one.  Headings without a mark are
     recognised on the assembled block.
     """
-    typed = F.transform(
-        F.transform(lines_of(raw), t.trim),
-        lambda x: F.struct(
-            F.when((x == "") | t.is_furniture(x), "break").when(t.line_content(x) == "", "skip").otherwise(t.line_kind(x)).alias("kind"),
-            t.line_content(x).alias("line"),
-        ),
-    )
-    typed = F.filter(typed, lambda x: x["kind"] != "skip")
-    # the page's mode travels in the state: an outer column inside a lambda is evaluated per element
-    start = F.struct(F.array().cast(_OPEN).alias("done"), F.lit("").alias("open"), prewrapped.alias("wrapped"))
-
-    def step(state, x):
-        done = state["done"]
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.concat(
-            F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(F.struct(x["kind"].alias("kind"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))),
-        )
-        added = F.concat(done, F.array(F.struct(x["kind"].alias("kind"), F.array(x["line"]).alias("lines"))))
-        goes_on = (x["kind"] != "heading") & (state["open"] == x["kind"])
-        return F.struct(
-            F.when(x["kind"] == "break", done).when(goes_on, longer).otherwise(added).alias("done"),
-            F.when((x["kind"] == "break") | (x["kind"] == "heading") | state["wrapped"], "").otherwise(x["kind"]).alias("open"),
-            state["wrapped"].alias("wrapped"),
-        )
-
-    found = F.transform(F.aggregate(typed, start, step)["done"], lambda b: F.struct(b["kind"].alias("kind"), join_lines(b["lines"]).alias("text")))
+
+    def typed(x):
+        ends = (x == "") | t.is_furniture(x)
+        marked = x.startswith("#") | x.startswith(">")
+        plain = F.struct(F.when(ends, "break").otherwise("paragraph").alias("kind"), x.alias("line"))
+        content = t.line_content(x)
+        other = F.struct(F.when(ends, "break").when(content == "", "skip").otherwise(t.line_kind(x)).alias("kind"), content.alias("line"))
+        return F.when(marked, other).otherwise(plain)
+
+    def cut(rows, wrapped):
+        def edge(x, i):
+            before = F.get(rows, i - 1)["kind"]
+            return (x["kind"] == "break") | (x["kind"] == "heading") | wrapped | before.isNull() | (before != x["kind"])
+
+        def blocks(edges):
+            own = F.transform(
+                edges, lambda at, k: F.struct(F.get(rows, at)["kind"].alias("kind"), F.slice(rows, at + 1, F.coalesce(F.get(edges, k + 1), F.size(rows)) - at).alias("rows"))
+            )
+            own = F.filter(own, lambda b: b["kind"] != "break")
+            return F.transform(own, lambda b: F.struct(b["kind"].alias("kind"), join_lines(F.transform(b["rows"], lambda x: x["line"])).alias("text")))
+
+        places = F.filter(F.transform(rows, lambda x, i: F.when(edge(x, i), i)), lambda i: i.isNotNull())
+        return let(places, blocks)
+
+    rows = F.filter(F.transform(lines, typed), lambda x: x["kind"] != "skip")
+    found = let(F.struct(rows.alias("rows"), prewrapped.alias("wrapped")), lambda x: let(x["rows"], lambda r: cut(r, x["wrapped"])))
     found = F.filter(found, lambda b: b["text"] != "")
     return F.transform(
         found,
@@ -81,17 +105,7 @@ def segment(raw: Column, prewrapped: Column) -> Column:
 
 def drop_repeats(pages: DataFrame, blocks: str) -> DataFrame:
     """Of blocks of 40 or more characters that repeat in a page, the first stays."""
-    start = F.struct(F.array().cast(BLOCKS).alias("done"), F.array().cast("array<string>").alias("seen"))
-
-    def step(state, b):
-        low, long = F.lower(b["text"]), F.length(b["text"]) >= 40
-        again = long & F.array_contains(state["seen"], low)
-        return F.struct(
-            F.when(again, state["done"]).otherwise(F.concat(state["done"], F.array(b))).alias("done"),
-            F.when(long & ~again, F.concat(state["seen"], F.array(low))).otherwise(state["seen"]).alias("seen"),
-        )
-
-    return pages.withColumn(blocks, F.aggregate(blocks, start, step)["done"])
+    return pages.withColumn(blocks, first_of_equals(F.col(blocks), lambda b: F.when(F.length(b["text"]) >= 40, F.lower(b["text"]))))
 
 
 def drop_commentary(pages: DataFrame, blocks: str) -> DataFrame:
@@ -121,8 +135,8 @@ def drop_page_furniture(pages: DataFrame, blocks: str, title: str) -> DataFrame:
 
 def page_blocks(pages: DataFrame, raw: str = "raw", title: str = "title") -> DataFrame:
     """Adds ``blocks``: segmented, without repeats, commentary and page furniture, in this order."""
-    df = pages.withColumn("_wrap", F.coalesce(is_prewrapped(F.col(raw)), F.lit(False)))
-    df = df.withColumn("blocks", segment(F.coalesce(F.col(raw), F.lit("")), F.col("_wrap"))).drop("_wrap")
+    df = pages.withColumn("_lines", trimmed_lines(F.coalesce(F.col(raw), F.lit(""))))
+    df = df.withColumn("blocks", segment(F.col("_lines"), F.coalesce(is_prewrapped(F.col("_lines")), F.lit(False)))).drop("_lines")
     return df.transform(drop_repeats, "blocks").transform(drop_commentary, "blocks").transform(drop_page_furniture, "blocks", title)
 
 
@@ -131,7 +145,7 @@ def block_rows(pages: DataFrame) -> DataFrame:
     numbered = F.transform("blocks", lambda b, i: F.struct((i + 1).cast("long").alias("ordinal"), b["kind"].alias("kind"), b["text"].alias("text_raw")))
     rows = pages.select(F.col("id").alias("page_id"), "book_id", F.inline(numbered))
     return rows.select(
-        (F.col("page_id") * 1000 + F.col("ordinal")).alias("id"),
+        (F.col("page_id") * PAGE_SPAN + F.col("ordinal")).alias("id"),
         "page_id",
         "book_id",
         "ordinal",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.arrays import let
 from .segment import lines_of
 
 
@@ -31,27 +32,97 @@ def declared_level(text: Column, source_ref: Column) -> Column:
     return F.when(told & level.isin("section", "topic", "minor"), "chapter").otherwise(level)
 
 
+def fold_array(headings: Column) -> Column:
+    """As ``fold_titles``, for a page's headings in one array of ``struct<text, level>``."""
+
+    def marked(own):
+        def one(x, i):
+            after = F.get(own, i + 1)
+            small = F.coalesce(after["level"].isin("minor", "topic") & (t.word_count(after["text"]) <= 8), F.lit(False))
+            takes = x["level"].isin("part", "chapter") & t.is_bare_marker(x["text"]) & small
+            return F.struct(x["level"].alias("level"), x["text"].alias("text"), takes.alias("takes"), after["text"].alias("next"))
+
+        return F.transform(own, one)
+
+    def folded(own):
+        left = F.filter(own, lambda x, i: ~F.coalesce(F.get(own, i - 1)["takes"], F.lit(False)))
+        title = lambda x: F.concat(F.regexp_replace(x["text"], r"(?U)\s+$", ""), F.lit(" "), t.trim(x["next"]))
+        return F.transform(left, lambda x: F.struct(x["level"].alias("level"), F.when(x["takes"], title(x)).otherwise(x["text"]).alias("text")))
+
+    return let(let(headings, marked), folded)
+
+
+#: Pages of a book whose spans one task carries on.
+STRETCH = 1024
+
+
 def carry_spans(pages: DataFrame, by: str = "book_id", order: str = "nth") -> DataFrame:
-    """Part, chapter and section of each page, carried until replaced; a chapter clears the section."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = pages.withColumn("_c", F.count("chapter").over(w))
-    inside = Window.partitionBy(by, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """Part, chapter and section of each page, carried until replaced; a chapter clears the section.
+
+    A book is cut into stretches of pages.  What a stretch leaves open is carried over the
+    few rows that stand for stretches, and joined back: no book is ever in one task.
+    """
+    df = pages.withColumn("_s", F.floor(F.col(order) / STRETCH))
+    w = Window.partitionBy(by, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_c", F.count("chapter").over(w))
+    inside = Window.partitionBy(by, "_s", "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c, over: F.last(c, ignorenulls=True).over(over)
     opens = F.coalesce("part", "chapter", "section").isNotNull().cast("int")
-    return df.select(
+    df = df.select(
+        by, order, "page_id", "_s", "_c", last("part", w).alias("part"), last("chapter", w).alias("chapter"),
+        last("section", inside).alias("section"), F.sum(opens).over(w).alias("span"),
+    )
+    end = df.groupBy(by, "_s").agg(F.max(F.struct(order, "part", "chapter", "section", "span", "_c")).alias("x")).select(by, "_s", "x.*")
+    over = Window.partitionBy(by).orderBy("_s")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    # stretches since the last chapter, itself included, share a number
+    end = end.withColumn("_k", F.sum((F.col("_c") > 0).cast("int")).over(over))
+    since = Window.partitionBy(by, "_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    end = end.withColumn("_open", last("section", since))
+    carried = end.select(
+        by, "_s", last("part", before).alias("_part"), last("chapter", before).alias("_chapter"), F.lag("_open").over(over).alias("_section"),
+        F.coalesce(F.sum("span").over(before), F.lit(0)).alias("_span"),
+    )
+    return df.join(carried, [by, "_s"]).select(
         by,
         order,
         "page_id",
-        F.last("part", ignorenulls=True).over(w).alias("part"),
-        F.last("chapter", ignorenulls=True).over(w).alias("chapter"),
-        F.last("section", ignorenulls=True).over(inside).alias("section"),
-        F.sum(opens).over(w).alias("span"),
+        F.coalesce("part", "_part").alias("part"),
+        F.coalesce("chapter", "_chapter").alias("chapter"),
+        F.when(F.col("_c") > 0, F.col("section")).otherwise(F.coalesce("section", "_section")).alias("section"),
+        (F.col("span") + F.col("_span")).alias("span"),
     )
 
 
+def ranked(rows: DataFrame, by: str, coarse: list[Column], fine: list, out: str) -> DataFrame:
+    """Adds ``out``: each row's place from 1 in its group ``by``, ordered by ``coarse``, then ``fine``.
+
+    Rows are ranked within equal coarse values; the counts of these are summed over the few
+    rows that stand for them.  So the coarse values, not the group, bound what a task sorts.
+    Coarse values must not be null.
+    """
+    names = [f"_o{i}" for i in range(len(coarse))]
+    rows = rows.withColumns(dict(zip(names, coarse, strict=True)))
+    counts = rows.groupBy(by, *names).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(by, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(by, *names).orderBy(*fine)
+    placed = rows.withColumn("_nth", F.row_number().over(inside)).join(counts, [by, *names])
+    return placed.withColumn(out, F.col("_nth") + F.col("_before")).drop("_nth", "_before", *names)
+
+
+#: A number that no page has: pages without one come last.
+_LAST = 1 << 62
+
+
+def place_keys() -> list[Column]:
+    """Page number, and for the pages of one number stretches of import time."""
+    return [F.coalesce("page_no", F.lit(_LAST)), F.floor(F.col("created_at") / 4096)]
+
+
 def reading_order(pages: DataFrame) -> DataFrame:
     """Adds ``nth``: the page's place in its book by page number (unread last), import and id."""
-    w = Window.partitionBy("book_id").orderBy(F.col("page_no").asc_nulls_last(), "created_at", "id")
-    return pages.withColumn("nth", F.row_number().over(w))
+    return ranked(pages, "book_id", place_keys(), ["created_at", "id"], "nth")
 
 
 def adjacent_pages(pages: DataFrame) -> DataFrame:
@@ -61,13 +132,15 @@ def adjacent_pages(pages: DataFrame) -> DataFrame:
     second; the next is the first page of the following place, the previous the last of the
     one before.
     """
-    place = F.struct(F.col("page_no").isNull().alias("a"), F.col("page_no").alias("b"), F.when(F.col("page_no").isNull(), F.col("created_at")).alias("c"))
-    ranked = pages.withColumn("_k", F.dense_rank().over(Window.partitionBy("book_id").orderBy(place)))
+    number, time = F.coalesce("page_no", F.lit(_LAST)), F.when(F.col("page_no").isNull(), F.col("created_at")).otherwise(0)
+    own = pages.withColumns({"_number": number, "_time": time})
     one = F.struct("created_at", "id")
-    places = ranked.groupBy("book_id", "_k").agg(F.min(one).alias("_min"), F.max(one).alias("_max"))
+    places = own.groupBy("book_id", "_number", "_time").agg(F.min(one).alias("_min"), F.max(one).alias("_max"))
+    places = ranked(places, "book_id", [F.col("_number"), F.floor(F.col("_time") / 4096)], ["_time"], "_k")
     after = places.select("book_id", (F.col("_k") - 1).alias("_k"), F.col("_min.id").alias("next_id"))
     before = places.select("book_id", (F.col("_k") + 1).alias("_k"), F.col("_max.id").alias("previous_id"))
-    return ranked.join(after, ["book_id", "_k"], "left").join(before, ["book_id", "_k"], "left").select("id", "previous_id", "next_id")
+    near = places.join(after, ["book_id", "_k"], "left").join(before, ["book_id", "_k"], "left")
+    return own.join(near, ["book_id", "_number", "_time"]).select("id", "previous_id", "next_id")
 
 
 def edge_paragraphs(blocks: DataFrame) -> DataFrame:
@@ -133,14 +206,16 @@ def reconcile_facing(spreads: DataFrame, used: DataFrame) -> DataFrame:
     One known number gives the other; consecutive ones stand; else the reading whose two
     numbers are less used elsewhere wins, the left one on a tie.
     """
-    marks = used.select("book_id", F.col("page_no").alias("_n"), "stamp").distinct()
+    # per book and number: whether a half without a stamp has it, and the first and last stamp that do
+    marks = used.groupBy("book_id", F.col("page_no").alias("_n")).agg(
+        F.max(F.col("stamp").isNull()).alias("_bare"), F.min("stamp").alias("_lo"), F.max("stamp").alias("_hi")
+    )
     df = spreads
     for name, n in (("l0", F.col("left_no")), ("l1", F.col("left_no") + 1), ("r0", F.col("right_no") - 1), ("r1", F.col("right_no"))):
-        df = df.withColumn("_n", n)
         # the spread's own halves do not count as elsewhere
-        hit = df.join(marks.withColumnRenamed("stamp", "_s"), ["book_id", "_n"]).where(~F.col("_s").eqNullSafe(F.col("stamp")))
-        hit = hit.select("book_id", "stamp", F.lit(1).alias(f"_{name}")).distinct()
-        df = df.drop("_n").join(hit, ["book_id", "stamp"], "left")
+        other = F.col("_bare") | (F.col("_lo") != F.col("stamp")) | (F.col("_hi") != F.col("stamp"))
+        df = df.withColumn("_n", n).join(marks, ["book_id", "_n"], "left")
+        df = df.withColumn(f"_{name}", F.coalesce(other, F.lit(False)).cast("int")).drop("_n", "_bare", "_lo", "_hi")
     fit = lambda n: n.between(1, 2999)
     score = lambda a, b, x, y: F.when(fit(a) & fit(b), 2 - F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).otherwise(-1)
     lo, ro = F.col("left_no"), F.col("right_no")

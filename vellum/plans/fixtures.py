@@ -30,6 +30,8 @@ PAGES = [
     (900000005, "Other", "RUNNING HEAD\n\nSome text of the page that is here.\n\nfoot line\n\n12"),
     (900000006, "Other", "RUNNING HEAD\n\nMore text of another page that is here.\n\nfoot line\n\nxiii"),
     (900000007, "Other", "   \n\n"),
+    # more blocks than any small span of ids holds, and hyphens that stand alone
+    (900000008, "Other", "\n\n".join(f"block number {i} of a long page." for i in range(1500)) + "\n\nthe un-\n-\nDer line\n--\nhere and\n-\n\n-\nafter it"),
 ]
 
 HEADINGS = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.arrays import let
 from ..operators import segment, structure
 from . import duck, fixtures
 from .relations import BL, PG, SM, blocks, pages, summaries, table
@@ -65,13 +66,13 @@ def folio_rules(spark, sf_dir):
 
 @query(f"WITH {PG}, {BL.split(',' + chr(10) + 'fl AS')[0]} SELECT pg.id, coalesce(wrapped, false) AS prewrapped FROM pg LEFT JOIN md ON md.id = pg.id")
 def line_modes(spark, sf_dir):
-    return pages(spark, sf_dir).select("id", segment.is_prewrapped(F.col("raw")).alias("prewrapped"))
+    return pages(spark, sf_dir).select("id", segment.is_prewrapped(segment.trimmed_lines(F.col("raw"))).alias("prewrapped"))
 
 
 @query(f"WITH {PG}, {BL} SELECT id AS page_id, row_number() OVER (PARTITION BY id ORDER BY b) AS ordinal, kind, text FROM sg")
 def segment_blocks(spark, sf_dir):
-    rows = pages(spark, sf_dir).select("id", "raw", segment.is_prewrapped(F.col("raw")).alias("w"))
-    rows = rows.select("id", F.posexplode(segment.segment(F.col("raw"), F.col("w"))).alias("pos", "b"))
+    rows = pages(spark, sf_dir).select("id", segment.trimmed_lines(F.col("raw")).alias("l"))
+    rows = rows.select("id", F.posexplode(segment.segment(F.col("l"), segment.is_prewrapped(F.col("l")))).alias("pos", "b"))
     return rows.select(F.col("id").alias("page_id"), (F.col("pos") + 1).cast("long").alias("ordinal"), "b.kind", "b.text")
 
 
@@ -84,6 +85,12 @@ def page_blocks(spark, sf_dir):
 FX_HEADINGS = fixtures.values(fixtures.HEADINGS, "v", "page_id, ordinal, text, source_ref")
 FX_FACING = fixtures.values(fixtures.FACING, "v", "book_id, id, source_ref, page_no")
 
+#: headings of all pages, and literal ones on pages beyond these
+_HEADS = f"""(SELECT page_id, ordinal, text_norm AS text, source_ref FROM bl JOIN pg ON pg.id = bl.page_id WHERE kind = 'heading'
+  UNION ALL SELECT page_id + 910000000, ordinal, text, source_ref FROM {FX_HEADINGS})"""
+#: facing pages: two documents are a spread
+_FACES = f"""(SELECT book_id, id, (id // 2) || CASE WHEN id % 2 = 0 THEN ':left' ELSE ':right' END AS source_ref, page_no FROM pg WHERE id < 900000000
+  UNION ALL SELECT book_id + 980, id + 910000000, source_ref, page_no FROM {FX_FACING})"""
 _LEVEL = f"CASE WHEN coalesce({duck.trim('source_ref')} = {duck.trim('text')}, false) AND {duck.heading_level('text')} IN ('section', 'topic', 'minor') THEN 'chapter' ELSE {duck.heading_level('text')} END"
 
 
@@ -95,23 +102,25 @@ fo AS (SELECT page_id, ordinal, level, CASE WHEN takes THEN rtrim(text) || ' ' |
   QUALIFY NOT coalesce(lag(takes) OVER (PARTITION BY page_id ORDER BY ordinal), false))"""
 
 
-@query(f"WITH {_fold_sql(FX_HEADINGS)} SELECT page_id::BIGINT AS page_id, ordinal::BIGINT AS ordinal, level, text FROM fo")
-def folded_headings(spark, sf_dir):
-    rows = spark.sql(f"SELECT CAST(page_id AS BIGINT) AS page_id, CAST(ordinal AS BIGINT) AS ordinal, text, source_ref FROM {FX_HEADINGS}")
-    rows = rows.withColumn("level", structure.declared_level(F.col("text"), F.col("source_ref"))).drop("source_ref")
-    return structure.fold_titles(rows)
+def _heads(spark, sf_dir):
+    """``page_id, ordinal, text, level`` of the headings of all pages and the literal ones."""
+    own = blocks(spark, sf_dir).where("kind = 'heading'").select("page_id", "ordinal", F.col("text_norm").alias("text"))
+    own = own.join(pages(spark, sf_dir).select(F.col("id").alias("page_id"), "source_ref"), "page_id")
+    extra = spark.sql(f"SELECT CAST(page_id + 910000000 AS BIGINT) AS page_id, CAST(ordinal AS BIGINT) AS ordinal, text, source_ref FROM {FX_HEADINGS}")
+    rows = own.unionByName(extra)
+    return rows.withColumn("level", structure.declared_level(F.col("text"), F.col("source_ref"))).drop("source_ref")
 
 
-_NTH = "ro AS (SELECT id, book_id, page_no, created_at, row_number() OVER (PARTITION BY book_id ORDER BY page_no NULLS LAST, created_at, id) AS nth FROM pg)"
+@query(f"WITH {PG}, {BL}, {_fold_sql(_HEADS)} SELECT page_id::BIGINT AS page_id, ordinal::BIGINT AS ordinal, level, text FROM fo")
+def folded_headings(spark, sf_dir):
+    return structure.fold_titles(_heads(spark, sf_dir))
 
 
-def _outline_headings(spark, sf_dir, own):
-    heads = own.where("kind = 'heading'").select("page_id", "ordinal", F.col("text_raw").alias("text"))
-    return structure.fold_titles(heads.withColumn("level", t.heading_level(F.col("text"))))
+_NTH = "ro AS (SELECT id, book_id, page_no, created_at, row_number() OVER (PARTITION BY book_id ORDER BY page_no NULLS LAST, created_at, id) AS nth FROM pg)"
 
 
 @query(
-    f"""WITH {PG}, {BL}, {SM}, {_NTH}, {_fold_sql("(SELECT page_id, ordinal, text_raw AS text, NULL::VARCHAR AS source_ref FROM bl WHERE kind = 'heading')")},
+    f"""WITH {PG}, {BL}, {SM}, {_NTH}, {_fold_sql("(SELECT page_id, ordinal, text_norm AS text, source_ref FROM bl JOIN pg ON pg.id = bl.page_id WHERE kind = 'heading')")},
 hd AS (SELECT page_id, string_agg(level || ': ' || text, ' | ' ORDER BY ordinal) AS headings FROM fo GROUP BY page_id),
 pa AS (SELECT page_id, count(*) AS paragraphs, count(s.block_id) AS summarised, arg_min(text_norm, ordinal) AS first_text
   FROM bl LEFT JOIN (SELECT DISTINCT block_id FROM sm WHERE sentence_ordinal IS NULL) s ON s.block_id = bl.id WHERE kind = 'paragraph' GROUP BY page_id)
@@ -119,48 +128,51 @@ SELECT ro.id AS page_id, ro.book_id, ro.page_no, ro.nth, coalesce(headings, '')
   coalesce(paragraphs, 0) AS paragraphs, coalesce(summarised, 0) AS summarised FROM ro LEFT JOIN hd ON hd.page_id = ro.id LEFT JOIN pa ON pa.page_id = ro.id"""
 )
 def book_outline(spark, sf_dir):
-    """Per page in reading order: folded headings, a preview, paragraphs and how many are summarised."""
-    own_pages = pages(spark, sf_dir)
-    own = blocks(spark, sf_dir)
-    heads = _outline_headings(spark, sf_dir, own).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", F.concat("level", F.lit(": "), "text").alias("x")))).alias("h")
-    )
-    done = summaries(spark, sf_dir).where("sentence_ordinal IS NULL").select(F.col("block_id").alias("id")).distinct().withColumn("_s", F.lit(1))
-    para = own.where("kind = 'paragraph'").join(done, "id", "left").groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("paragraphs"), F.count("_s").alias("summarised"), F.min_by("text_norm", "ordinal").alias("first_text")
-    )
-    return (
-        structure.reading_order(own_pages.select("id", "book_id", "page_no", "created_at"))
-        .withColumnRenamed("id", "page_id")
-        .join(heads, "page_id", "left")
-        .join(para, "page_id", "left")
-        .select(
-            "page_id", "book_id", "page_no", F.col("nth").cast("long").alias("nth"),
-            F.coalesce(F.array_join(F.transform("h", lambda x: x["x"]), " | "), F.lit("")).alias("headings"),
-            t.preview(F.col("first_text")).alias("preview"),
-            F.coalesce("paragraphs", F.lit(0)).cast("long").alias("paragraphs"),
-            F.coalesce("summarised", F.lit(0)).cast("long").alias("summarised"),
-        )
+    """Per page in reading order: folded headings, a preview, paragraphs and how many are summarised.
+
+    Pages are segmented once, and all but the order is done in a page's row: the summarised
+    places of a page come to it as one set.
+    """
+    done = summaries(spark, sf_dir).where("sentence_ordinal IS NULL")
+    done = done.groupBy(F.floor(F.col("block_id") / segment.PAGE_SPAN).alias("id")).agg(F.collect_set((F.col("block_id") % segment.PAGE_SPAN).cast("int")).alias("done"))
+    own = segment.page_blocks(pages(spark, sf_dir)).drop("raw")
+    numbered = F.transform("blocks", lambda b, i: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), (i + 1).alias("ordinal")))
+    own = own.withColumn("blocks", numbered).join(done, "id", "left")
+    para = F.filter("blocks", lambda b: b["kind"] == "paragraph")
+    level = lambda x, told: F.struct(structure.declared_level(x, told).alias("level"), x.alias("text"))
+    texts = F.transform(F.filter("blocks", lambda b: b["kind"] == "heading"), lambda b: t.normalise(b["text"]))
+    heads = let(F.struct(texts.alias("x"), F.col("source_ref").alias("told")), lambda s: F.transform(s["x"], lambda x: level(x, s["told"])))
+    own = own.select(
+        F.col("id"), "book_id", "page_no", "created_at", heads.alias("heads"), F.size(para).cast("long").alias("paragraphs"),
+        F.size(F.filter(para, lambda b: F.array_contains("done", b["ordinal"]))).cast("long").alias("summarised"),
+        t.preview(t.normalise(F.get(para, F.lit(0))["text"])).alias("preview"),
+    )
+    lines = F.transform(structure.fold_array(F.col("heads")), lambda x: F.concat(x["level"], F.lit(": "), x["text"]))
+    return structure.reading_order(own).select(
+        F.col("id").alias("page_id"), "book_id", "page_no", F.col("nth").cast("long").alias("nth"), F.array_join(lines, " | ").alias("headings"),
+        "preview", "paragraphs", F.greatest("summarised", F.lit(0)).alias("summarised"),
     )
 
 
 def _spans_sql(pick: str) -> str:
     one = lambda level: f"{pick}(text, ordinal) FILTER (level = '{level}') AS {level}"
-    return f"""WITH {_fold_sql(FX_HEADINGS)},
-pgs AS (SELECT DISTINCT 1 AS book_id, page_id, page_id AS nth FROM {FX_HEADINGS}),
+    w = "(PARTITION BY book_id ORDER BY nth)"
+    return f"""WITH {PG}, {BL}, {_NTH}, {_fold_sql(_HEADS)},
+pgs AS (SELECT book_id, id AS page_id, nth FROM ro UNION ALL SELECT DISTINCT 980, page_id + 910000000, page_id FROM {FX_HEADINGS}),
 ph AS (SELECT pgs.*, h.* EXCLUDE (page_id) FROM pgs LEFT JOIN (SELECT page_id, {one('part')}, {one('chapter')}, {one('section')} FROM fo GROUP BY page_id) h ON h.page_id = pgs.page_id),
-c AS (SELECT *, count(chapter) OVER (ORDER BY nth) AS g FROM ph)
-SELECT book_id, nth, page_id, last_value(part IGNORE NULLS) OVER (ORDER BY nth) AS part, last_value(chapter IGNORE NULLS) OVER (ORDER BY nth) AS chapter,
-  last_value(section IGNORE NULLS) OVER (PARTITION BY g ORDER BY nth) AS section,
-  sum(CASE WHEN coalesce(part, chapter, section) IS NOT NULL THEN 1 ELSE 0 END) OVER (ORDER BY nth)::BIGINT AS span FROM c"""
+c AS (SELECT *, count(chapter) OVER {w} AS g FROM ph)
+SELECT book_id, nth, page_id, last_value(part IGNORE NULLS) OVER {w} AS part, last_value(chapter IGNORE NULLS) OVER {w} AS chapter,
+  last_value(section IGNORE NULLS) OVER (PARTITION BY book_id, g ORDER BY nth) AS section,
+  sum(CASE WHEN coalesce(part, chapter, section) IS NOT NULL THEN 1 ELSE 0 END) OVER {w}::BIGINT AS span FROM c"""
 
 
 def _spans(spark, sf_dir, pick):
     folded = folded_headings(spark, sf_dir)
     one = lambda level: pick("text", F.when(F.col("level") == level, F.col("ordinal"))).alias(level)
     heads = folded.groupBy("page_id").agg(one("part"), one("chapter"), one("section"))
-    own = spark.sql(f"SELECT DISTINCT 1 AS book_id, page_id, page_id AS nth FROM {FX_HEADINGS}")
-    return structure.carry_spans(own.join(heads, "page_id", "left"))
+    own = structure.reading_order(pages(spark, sf_dir).drop("raw")).select("book_id", F.col("id").alias("page_id"), F.col("nth").cast("long").alias("nth"))
+    extra = spark.sql(f"SELECT DISTINCT 980L AS book_id, CAST(page_id + 910000000 AS BIGINT) AS page_id, CAST(page_id AS BIGINT) AS nth FROM {FX_HEADINGS}")
+    return structure.carry_spans(own.unionByName(extra).join(heads, "page_id", "left"))
 
 
 @query(_spans_sql("arg_min"))
@@ -194,7 +206,7 @@ def folios(spark, sf_dir):
 
 
 @query(
-    f"""WITH f AS (SELECT book_id, id, page_no, string_split(source_ref, ':')[1] AS stamp, string_split(source_ref, ':')[2] AS side FROM {FX_FACING}),
+    f"""WITH {PG}, f AS (SELECT book_id, id, page_no, string_split(source_ref, ':')[1] AS stamp, string_split(source_ref, ':')[2] AS side FROM {_FACES}),
 s AS (SELECT book_id, stamp, max(page_no) FILTER (side = 'left') AS l, max(page_no) FILTER (side = 'right') AS r FROM f WHERE stamp IS NOT NULL GROUP BY ALL),
 u AS (SELECT s.*, (SELECT count(DISTINCT page_no) FROM f WHERE f.book_id = s.book_id AND f.stamp IS DISTINCT FROM s.stamp AND page_no IN (s.l, s.l + 1)) AS ul,
   (SELECT count(DISTINCT page_no) FROM f WHERE f.book_id = s.book_id AND f.stamp IS DISTINCT FROM s.stamp AND page_no IN (s.r - 1, s.r)) AS ur FROM s),
@@ -203,33 +215,37 @@ SELECT book_id, stamp, CASE WHEN l IS NULL AND r IS NULL THEN NULL WHEN r IS NUL
   CASE WHEN l IS NULL AND r IS NULL THEN NULL WHEN r IS NULL THEN CASE WHEN l + 1 BETWEEN 1 AND 2999 THEN l + 1 END WHEN l IS NULL THEN r WHEN r = l + 1 THEN r WHEN sr > sl THEN r WHEN sl >= 0 THEN l + 1 END AS right_no FROM k"""
 )
 def facing_pages(spark, sf_dir):
-    rows = _facing(spark)
+    rows = _facing(spark, sf_dir)
     spreads = rows.where("stamp IS NOT NULL").groupBy("book_id", "stamp").agg(
         F.max(F.when(F.col("side") == "left", F.col("page_no"))).alias("left_no"), F.max(F.when(F.col("side") == "right", F.col("page_no"))).alias("right_no")
     )
     return structure.reconcile_facing(spreads, rows.where("page_no IS NOT NULL"))
 
 
-def _facing(spark):
-    rows = spark.sql(f"SELECT book_id, id, source_ref, page_no FROM {FX_FACING}")
+def _facing(spark, sf_dir):
+    own = pages(spark, sf_dir).where("id < 900000000").select(
+        "book_id", "id", F.concat(F.expr("id div 2").cast("string"), F.when(F.col("id") % 2 == 0, ":left").otherwise(":right")).alias("source_ref"), "page_no"
+    )
+    extra = spark.sql(f"SELECT CAST(book_id + 980 AS BIGINT) AS book_id, CAST(id + 910000000 AS BIGINT) AS id, source_ref, CAST(page_no AS BIGINT) AS page_no FROM {FX_FACING}")
     part = F.split("source_ref", ":")
-    return rows.withColumns({"stamp": part[0], "side": part[1]})
+    return own.unionByName(extra).withColumns({"stamp": part[0], "side": part[1]})
 
 
 @query(
-    f"""WITH f AS (SELECT * FROM {FX_FACING} WHERE source_ref IS NOT NULL) SELECT a.id, b.id AS sibling_id FROM f a JOIN f b ON a.book_id = b.book_id
+    f"""WITH {PG}, f AS (SELECT * FROM {_FACES} WHERE source_ref IS NOT NULL) SELECT a.id, b.id AS sibling_id FROM f a JOIN f b ON a.book_id = b.book_id
   AND string_split(a.source_ref, ':')[1] = string_split(b.source_ref, ':')[1] AND string_split(a.source_ref, ':')[2] <> string_split(b.source_ref, ':')[2]"""
 )
 def spread_siblings(spark, sf_dir):
-    rows = _facing(spark).where("stamp IS NOT NULL")
+    rows = _facing(spark, sf_dir).where("stamp IS NOT NULL")
     other = rows.select("book_id", "stamp", F.when(F.col("side") == "left", "right").otherwise("left").alias("side"), F.col("id").alias("sibling_id"))
     return rows.join(other, ["book_id", "stamp", "side"]).select("id", "sibling_id")
 
 
-@query(f"WITH f AS (SELECT * FROM {FX_FACING}) SELECT DISTINCT book_id, page_no FROM f WHERE page_no IS NOT NULL AND id NOT IN (SELECT id FROM f WHERE source_ref LIKE 'a:%')")
+@query(f"WITH {PG}, f AS (SELECT * FROM {_FACES}) SELECT DISTINCT book_id, page_no FROM f WHERE page_no IS NOT NULL AND id NOT IN (SELECT id FROM f WHERE source_ref LIKE 'a:%' OR id % 3 = 0)")
 def page_numbers_excluding(spark, sf_dir):
-    rows = _facing(spark)
-    left = rows.join(rows.where("stamp = 'a'").select("id"), "id", "left_anti")
+    """Numbers that a book uses, without those of given pages (literal ones and every third)."""
+    rows = _facing(spark, sf_dir)
+    left = rows.join(rows.where("stamp = 'a' OR id % 3 = 0").select("id"), "id", "left_anti")
     return left.where("page_no IS NOT NULL").select("book_id", "page_no").distinct()
 
 
@@ -250,12 +266,12 @@ cx AS (SELECT id, page_id, CASE WHEN forth THEN {duck.stitch('whole', 'head')} E
 
 @query(f"WITH {PG}, {ADJ} SELECT * FROM ad")
 def adjacent_pages(spark, sf_dir):
-    return structure.adjacent_pages(pages(spark, sf_dir).drop("raw", "title"))
+    return structure.adjacent_pages(pages(spark, sf_dir).select("id", "book_id", "page_no", "created_at"))
 
 
 @query(f"WITH {PG}, {BL}, {ADJ}, {CTX} SELECT * FROM cx")
 def paragraph_contexts(spark, sf_dir):
-    return structure.paragraph_contexts(blocks(spark, sf_dir), pages(spark, sf_dir).drop("raw", "title"))
+    return structure.paragraph_contexts(blocks(spark, sf_dir), pages(spark, sf_dir).select("id", "book_id", "page_no", "created_at"))
 
 
 @query(f"WITH {PG}, {BL} SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ordinal FROM (SELECT id, {duck.sentences('w')} AS s FROM (SELECT id, {duck.words('text_norm')} AS w FROM bl WHERE kind = 'paragraph'))")

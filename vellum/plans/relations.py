@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, book_id, title, page_no, created_at, raw`` of documents and the literal pages."""
+    """``id, book_id, title, page_no, created_at, raw, source_ref`` of documents and the literal pages.
+
+    Some pages have their first line as the heading that their source declares.
+    """
     docs = table(spark, sf_dir, "documents")
     own = docs.select(
         F.col("doc_id").alias("id"),
@@ -30,7 +33,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         f"SELECT CAST(id AS BIGINT) AS id, 99L AS book_id, title, CAST(NULL AS BIGINT) AS page_no, CAST(id AS BIGINT) AS created_at, raw FROM {FX_PAGES}"
     )
-    return own.unionByName(extra)
+    first = F.regexp_replace(F.split("raw", "\n")[0], "^# ", "")
+    return own.unionByName(extra).withColumn("source_ref", F.when(F.col("id") % 5 != 1, first))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role <> 'system'")
     return turns.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
-        (F.col("conv_id") * 1000 + 1 + F.col("conv_id") % 3).alias("block_id"),
+        (F.col("conv_id") * segment.PAGE_SPAN + 1 + F.col("conv_id") % 3).alias("block_id"),
         F.when(F.col("role") == "user", F.col("turn") % 3).alias("sentence_ordinal"),
         F.col("text").alias("sentence"),
         F.col("turn").alias("revision"),
@@ -65,10 +69,10 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relations as common table expressions.
-PG = f"""pg AS (
+PG = f"""pg AS (SELECT *, CASE WHEN id % 5 <> 1 THEN regexp_replace(string_split(raw, chr(10))[1], '^# ', '') END AS source_ref FROM (
   SELECT doc_id AS id, regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS book_id, source AS title,
     CASE WHEN doc_id % 7 <> 0 THEN (doc_id // 20) % 40 + 1 END AS page_no, doc_id // 3 AS created_at, text AS raw FROM documents
-  UNION ALL SELECT id::BIGINT, 99, title, NULL, id::BIGINT, raw FROM {FX_PAGES})"""
+  UNION ALL SELECT id::BIGINT, 99, title, NULL, id::BIGINT, raw FROM {FX_PAGES}))"""
 
 _LINE = f"""ln AS (
   SELECT id, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS n FROM pg),
@@ -92,10 +96,10 @@ f1 AS (SELECT * FROM ky WHERE NOT (r = 1 AND tkey <> '' AND key = tkey)),
 f2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b DESC) AS back, count(*) OVER (PARTITION BY id) AS many,
     count(*) OVER (PARTITION BY id, key) AS same FROM f1),
 pb AS (SELECT * FROM f2 WHERE NOT (back = 1 AND many >= 2 AND length(text) <= 60 AND key <> '' AND same > 1)),
-bl AS (SELECT id * 1000 + row_number() OVER (PARTITION BY id ORDER BY b) AS id, id AS page_id, row_number() OVER (PARTITION BY id ORDER BY b) AS ordinal, kind,
+bl AS (SELECT id * {segment.PAGE_SPAN} + row_number() OVER (PARTITION BY id ORDER BY b) AS id, id AS page_id, row_number() OVER (PARTITION BY id ORDER BY b) AS ordinal, kind,
     text AS text_raw, {duck.normalise('text')} AS text_norm FROM pb)"""
 
-SM = """sm AS (SELECT conv_id * 100 + turn AS id, conv_id * 1000 + 1 + conv_id % 3 AS block_id, CASE WHEN role = 'user' THEN turn % 3 END AS sentence_ordinal,
+SM = f"""sm AS (SELECT conv_id * 100 + turn AS id, conv_id * {segment.PAGE_SPAN} + 1 + conv_id % 3 AS block_id, CASE WHEN role = 'user' THEN turn % 3 END AS sentence_ordinal,
   text AS sentence, turn AS revision FROM conversations WHERE role <> 'system')"""
 
 LK = """lk AS (SELECT event_id AS id, user_id AS book_id, upper(event_type[1]) || event_type[2:] AS word, 'lemma-' || (event_id % 5) AS lemma, props AS sentence FROM events)"""

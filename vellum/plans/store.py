@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import structure
+from ..operators import segment, structure
 from ..streaming import vocabulary as vocabulary_stream
 from . import duck
 from .reading import _NTH
@@ -47,8 +47,10 @@ def reading_order(spark, sf_dir):
 
 @query(f"WITH {PG}, {_NTH} SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM ro WINDOW w AS (PARTITION BY book_id ORDER BY nth)")
 def page_turns(spark, sf_dir):
-    w = Window.partitionBy("book_id").orderBy("nth")
-    return structure.reading_order(_pages(spark, sf_dir)).select("id", F.lag("id").over(w).alias("previous_id"), F.lead("id").over(w).alias("next_id"))
+    own = structure.reading_order(_pages(spark, sf_dir)).select("id", "book_id", "nth")
+    moved = lambda by, name: own.select("book_id", (F.col("nth") + by).alias("nth"), F.col("id").alias(name))
+    near = own.join(moved(1, "previous_id"), ["book_id", "nth"], "left").join(moved(-1, "next_id"), ["book_id", "nth"], "left")
+    return near.select("id", "previous_id", "next_id")
 
 
 @query(f"WITH {PG}, {BL} SELECT page_id, arg_min(id, ordinal) AS first_id, arg_max(id, ordinal) AS last_id FROM bl WHERE kind = 'paragraph' GROUP BY page_id")
@@ -82,8 +84,8 @@ def summary_spine(spark, sf_dir):
     last = latest_summary(spark, sf_dir).withColumnRenamed("block_id", "id")
     own = blocks(spark, sf_dir).select("id", "page_id", "ordinal").join(last, "id")
     own = own.join(_pages(spark, sf_dir).select(F.col("id").alias("page_id"), "book_id", "page_no", "created_at"), "page_id")
-    w = Window.partitionBy("book_id").orderBy(F.col("page_no").asc_nulls_last(), "created_at", "ordinal", "id")
-    return own.select("book_id", "page_no", "ordinal", F.col("id").alias("block_id"), "sentence", F.row_number().over(w).cast("long").alias("nth"))
+    own = structure.ranked(own, "book_id", structure.place_keys(), ["created_at", "ordinal", "id"], "nth")
+    return own.select("book_id", "page_no", "ordinal", F.col("id").alias("block_id"), "sentence", F.col("nth").cast("long").alias("nth"))
 
 
 @query(
@@ -171,11 +173,11 @@ def cascade_delete(spark, sf_dir):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-@query(f"WITH {LK}, {PG}, {BL} SELECT lk.id, CASE WHEN b.id IS NOT NULL THEN lk.id * 1000 + 1 END AS block_id FROM lk LEFT JOIN bl b ON b.id = lk.id * 1000 + 1 AND b.kind <> 'quote'")
+@query(f"WITH {LK}, {PG}, {BL} SELECT lk.id, CASE WHEN b.id IS NOT NULL THEN lk.id * {segment.PAGE_SPAN} + 1 END AS block_id FROM lk LEFT JOIN bl b ON b.id = lk.id * {segment.PAGE_SPAN} + 1 AND b.kind <> 'quote'")
 def lookups_set_null(spark, sf_dir):
     """Lookups whose block is gone keep their row and lose the reference."""
     live = blocks(spark, sf_dir).where("kind <> 'quote'").select(F.col("id").alias("block_id")).withColumn("ok", F.lit(1))
-    own = lookups(spark, sf_dir).select("id", (F.col("id") * 1000 + 1).alias("block_id"))
+    own = lookups(spark, sf_dir).select("id", (F.col("id") * segment.PAGE_SPAN + 1).alias("block_id"))
     return own.join(live, "block_id", "left").select("id", F.when(F.col("ok") == 1, F.col("block_id")).alias("block_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.ml.feature import NGram
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -29,7 +29,12 @@ def _one(values: list[str], name: str = "x") -> str:
 
 
 FX_DICT = fixtures.values([(i, *r) for i, r in enumerate(fixtures.DICT)], "v", "entry, word, pos, n, gloss")
-_SENSES = f"""sn AS (SELECT entry, lower({duck.trim('word')}) AS headword, {duck.trim('word')} AS display, pos, n::BIGINT AS ordinal, {duck.squeeze('gloss')} AS gloss FROM {FX_DICT})"""
+#: The dictionary: literal entries, and two senses for the opening words of each benchmark item.
+_OPENING = f"(SELECT item_id, {duck.plain_words('text')} AS w FROM benchmark)"
+_DICT = f"""(SELECT entry, word, pos, n, gloss FROM {FX_DICT}
+  UNION ALL SELECT 1000 + item_id, w[1], 'n.', 0, CASE item_id % 3 WHEN 0 THEN 'See ' || w[2] || '.' WHEN 1 THEN '[Obs.]  ' || w[2] || ' ' || w[3] ELSE w[2] END FROM {_OPENING}
+  UNION ALL SELECT 1000 + item_id, w[1], 'n.', 1, 'Also ' || w[3] || ' [R.]' FROM {_OPENING})"""
+_SENSES = f"""sn AS (SELECT entry, lower({duck.trim('word')}) AS headword, {duck.trim('word')} AS display, pos, n::BIGINT AS ordinal, {duck.squeeze('gloss')} AS gloss FROM {_DICT})"""
 
 
 def _label_sql() -> str:
@@ -37,36 +42,50 @@ def _label_sql() -> str:
     return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
 
 
-def _pairs_sql(kind: str, listed: str, rank: int) -> str:
-    rows = ", ".join(f"('{a}', '{b}')" for a, b in lx.pairs(listed))
-    return f"SELECT variant, lemma, '{kind}' AS kind, {rank} AS rank FROM (VALUES {rows}) AS v(variant, lemma)"
+def _pairs_sql(kind: str, listed: dict[str, str], rank: int) -> str:
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in listed.items())
+    return f"SELECT variant, lemma, '{kind}' AS kind, {rank} AS rank, 0 AS entry FROM (VALUES {rows}) AS v(variant, lemma)"
 
 
 _REF = "regexp_extract(gloss, '" + lx.CROSS_REFERENCE.replace("'", "''") + "', 1)"
-_VARIANTS = f"""va AS (SELECT variant, arg_min(lemma, [rank::VARCHAR, lemma]) AS lemma, arg_min(kind, [rank::VARCHAR, lemma]) AS kind FROM (
-  SELECT headword AS variant, lower({duck.trim(_REF)}) AS lemma, 'cross_reference' AS kind, 0 AS rank FROM sn WHERE ordinal = 0 AND gloss <> ''
-  UNION ALL {_pairs_sql('archaic_spelling', lx.ARCHAIC, 1)} UNION ALL {_pairs_sql('irregular', lx.IRREGULAR, 2)}) WHERE (rank > 0 OR (lemma <> '' AND lemma <> variant)) AND lemma IN (SELECT headword FROM sn WHERE gloss <> '') GROUP BY variant)"""
+_VARIANTS = f"""va AS (SELECT variant, arg_min(lemma, rank * 1000000000 + entry) AS lemma, arg_min(kind, rank * 1000000000 + entry) AS kind FROM (
+  SELECT headword AS variant, lower({duck.trim(_REF)}) AS lemma, 'cross_reference' AS kind, 0 AS rank, entry FROM sn WHERE ordinal = 0 AND gloss <> ''
+  UNION ALL {_pairs_sql('archaic_spelling', lx.ARCHAIC, 1)} UNION ALL {_pairs_sql('irregular', lx.IRREGULAR, 2)}) WHERE (rank > 0 OR (lemma <> '' AND lemma <> variant)) AND lemma IN (SELECT headword FROM sn) GROUP BY variant)"""
 
 
-def _senses(spark):
-    raw = spark.sql(f"SELECT * FROM {FX_DICT}")
-    return lx.entries(raw).join(raw.select(F.col("entry"), F.lower(F.trim("word")).alias("headword"), F.col("n").cast("long").alias("ordinal"), t.squeeze(F.col("gloss")).alias("gloss")), ["headword", "ordinal", "gloss"])
+def _senses(spark, sf_dir):
+    w = F.col("w")
+    own = table(spark, sf_dir, "benchmark").select("item_id", t.plain_words(F.col("text")).alias("w"))
+    at = lambda i: F.get(w, F.lit(i))
+    first = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("See "), at(1), F.lit("."))).when(
+        F.col("item_id") % 3 == 1, F.concat(F.lit("[Obs.]  "), at(1), F.lit(" "), at(2))
+    ).otherwise(at(1))
+    also = F.concat(F.lit("Also "), at(2), F.lit(" [R.]"))
+    glosses = F.array(F.struct(F.lit(0).alias("n"), first.alias("gloss")), F.struct(F.lit(1).alias("n"), also.alias("gloss")))
+    own = own.select((F.col("item_id") + 1000).cast("long").alias("entry"), at(0).alias("word"), F.lit("n.").alias("pos"), F.inline(glosses))
+    extra = spark.sql(f"SELECT CAST(entry AS BIGINT) AS entry, word, pos, n, gloss FROM {FX_DICT}")
+    return lx.entries(extra.unionByName(own))
 
 
 @query(f"WITH {_SENSES} SELECT headword, display, pos, ordinal, gloss, array_to_string({_label_sql()}, ',') AS labels FROM sn WHERE gloss <> ''")
 def dictionary_senses(spark, sf_dir):
-    own = lx.entries(spark.sql(f"SELECT * FROM {FX_DICT}")).where("gloss <> ''")
-    return own.withColumn("labels", F.array_join("labels", ","))
+    return _senses(spark, sf_dir).where("gloss <> ''").drop("entry").withColumn("labels", F.array_join("labels", ","))
 
 
 @query(f"WITH {_SENSES}, {_VARIANTS} SELECT variant, lemma, kind FROM va")
 def dictionary_variants(spark, sf_dir):
-    return lx.variants(_senses(spark).where("gloss <> ''"))
+    return lx.variants(_senses(spark, sf_dir))
+
+
+@query(f"WITH {_SENSES}, {_VARIANTS} SELECT p AS word, p IN (SELECT headword FROM sn) OR p IN (SELECT variant FROM va) AS found FROM (SELECT unnest({list(lx.PROBES)}) AS p)")
+def dictionary_probes(spark, sf_dir):
+    """Whether the words that a dictionary must resolve are entries or variants."""
+    return lx.probes(_senses(spark, sf_dir))
 
 
 @query(f"WITH {_SENSES} SELECT headword, ordinal, gloss, row_number() OVER (PARTITION BY headword ORDER BY entry, ordinal) AS nth FROM sn WHERE gloss <> '' QUALIFY nth <= 12")
 def best_senses(spark, sf_dir):
-    return lx.best_senses(_senses(spark)).select("headword", "ordinal", "gloss", F.col("nth").cast("long").alias("nth"))
+    return lx.best_senses(_senses(spark, sf_dir)).select("headword", "ordinal", "gloss", F.col("nth").cast("long").alias("nth"))
 
 
 @query(f"WITH {LEX} SELECT w AS word, count(*) AS n FROM (SELECT unnest({duck.plain_words('text')}) AS w FROM conversations) WHERE w IN (SELECT headword FROM lex) GROUP BY w")
@@ -75,7 +94,8 @@ def headword_membership(spark, sf_dir):
     return words.join(lexicon(spark, sf_dir).withColumnRenamed("headword", "word"), "word", "left_semi")
 
 
-FX_SURFACE = _one(fixtures.SURFACES, "word")
+#: surface forms: literal ones, and the words of the benchmark with the marks around them
+FX_SURFACE = f"(SELECT word FROM {_one(fixtures.SURFACES, 'word')} UNION SELECT unnest({duck.words('text')}) FROM benchmark)"
 
 
 def _stem(s: str, add: str = "") -> str:
@@ -101,18 +121,21 @@ b AS (SELECT word, arg_min(how, rank) AS how, arg_min(lemma, rank) AS lemma FROM
 SELECT w.word, form, how, lemma FROM w LEFT JOIN b ON b.word = w.word"""
 )
 def word_lookups(spark, sf_dir):
-    return lx.look_up(spark.sql(f"SELECT * FROM {FX_SURFACE}"), _senses(spark))
+    own = table(spark, sf_dir, "benchmark").select(F.explode(t.words(F.col("text"))).alias("word"))
+    return lx.look_up(own.unionAll(spark.sql(f"SELECT word FROM {_one(fixtures.SURFACES, 'word')}")).distinct(), _senses(spark, sf_dir))
 
 
 @query(f"WITH {_SENSES} SELECT headword, string_agg((ordinal + 1) || '. ' || gloss, chr(10) ORDER BY entry, ordinal) AS listing, CASE WHEN 1 < count(*) THEN 1 ELSE -1 END AS chosen FROM sn WHERE gloss <> '' GROUP BY headword")
 def sense_listings(spark, sf_dir):
     """The senses of a headword as a numbered list; a chosen index beyond it counts as none."""
-    own = _senses(spark).where("gloss <> ''").groupBy("headword").agg(F.array_sort(F.collect_list(F.struct("entry", "ordinal", "gloss"))).alias("s"))
+    own = _senses(spark, sf_dir).where("gloss <> ''").groupBy("headword").agg(F.array_sort(F.collect_list(F.struct("entry", "ordinal", "gloss"))).alias("s"))
     lines = F.transform("s", lambda x: F.concat((x["ordinal"] + 1).cast("string"), F.lit(". "), x["gloss"]))
     return own.select("headword", F.array_join(lines, "\n").alias("listing"), F.when(F.size("s") > 1, 1).otherwise(-1).alias("chosen"))
 
 
-FX_BREAKS = fixtures.values(fixtures.BREAKS, "v", "l, r")
+#: words split over a line end: literal ones, and the longer words of the benchmark cut in two
+_CUTS = f"(SELECT DISTINCT w FROM (SELECT unnest({duck.plain_words('text')}) AS w FROM benchmark) WHERE length(w) >= 6)"
+FX_BREAKS = f"(SELECT * FROM {fixtures.values(fixtures.BREAKS, 'v', 'l, r')} UNION ALL SELECT 'so ' || left(w, 3) || '-', substr(w, 4) || ' it is' FROM {_CUTS})"
 _A = rf"lower(regexp_extract(regexp_replace(l, '[{t.HYPHENS}]+$', ''), '(\p{{L}}(?:[^\s\p{{Z}}]*\p{{L}})?)$', 1))"
 _B = rf"lower(regexp_extract(regexp_replace(r, '^[\s\p{{Z}}]+', ''), '^(\p{{L}}(?:[^\s\p{{Z}}]*\p{{L}})?)', 1))"
 
@@ -122,10 +145,14 @@ _B = rf"lower(regexp_extract(regexp_replace(r, '^[\s\p{{Z}}]+', ''), '^(\p{{L}}(
 SELECT l AS left, r AS right, CASE WHEN a <> '' AND b <> '' THEN body || CASE WHEN NOT (a || b IN (SELECT headword FROM lex)) AND ((a || '-' || b IN (SELECT headword FROM lex)) OR (a IN (SELECT headword FROM lex) AND b IN (SELECT headword FROM lex))) THEN '-' ELSE '' END || r ELSE body || r END AS joined FROM b"""
 )
 def dehyphenated(spark, sf_dir):
-    return lx.join_split_words(spark.sql(f"SELECT l AS left, r AS right FROM {FX_BREAKS}"), lexicon(spark, sf_dir))
+    own = table(spark, sf_dir, "benchmark").select(F.explode(t.plain_words(F.col("text"))).alias("w")).distinct().where(F.length("w") >= 6)
+    own = own.select(F.concat(F.lit("so "), F.substring("w", 1, 3), F.lit("-")).alias("left"), F.concat(F.substring(F.col("w"), F.lit(4), F.length("w")), F.lit(" it is")).alias("right"))
+    extra = spark.sql(f"SELECT l AS left, r AS right FROM {fixtures.values(fixtures.BREAKS, 'v', 'l, r')}")
+    return lx.join_split_words(own.unionAll(extra), lexicon(spark, sf_dir))
 
 
-FX_LONG_S = _one(fixtures.LONG_S, "word")
+#: literal words, and the words of the benchmark as a misread long s leaves them
+FX_LONG_S = f"(SELECT word FROM {_one(fixtures.LONG_S, 'word')} UNION SELECT replace(w, 's', 'f') FROM (SELECT unnest({duck.plain_words('text')}) AS w FROM benchmark) WHERE contains(w, 's'))"
 
 
 @query(
@@ -136,7 +163,33 @@ b AS (SELECT word, arg_min(c, bit_count(mask) * 100 + mask) AS c FROM c WHERE c
 SELECT w.word, array_to_string(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN regexp_matches(w.word[i], '\p{{Lu}}') THEN upper(c[i]) ELSE c[i] END), '') AS repaired FROM w LEFT JOIN b ON b.word = w.word"""
 )
 def long_s_repairs(spark, sf_dir):
-    return lx.repair_long_s(spark.sql(f"SELECT * FROM {FX_LONG_S}"), lexicon(spark, sf_dir))
+    own = table(spark, sf_dir, "benchmark").select(F.explode(t.plain_words(F.col("text"))).alias("w")).where(F.col("w").contains("s"))
+    own = own.select(F.replace("w", F.lit("s"), F.lit("f")).alias("word")).unionAll(spark.sql(f"SELECT word FROM {_one(fixtures.LONG_S, 'word')}"))
+    return lx.repair_long_s(own.distinct(), lexicon(spark, sf_dir))
+
+
+_CORE = r"regexp_extract(tok, '^[^\p{L}]*(\p{L}(?:.*\p{L})?)[^\p{L}]*$', 1)"
+
+
+@query(
+    rf"""WITH {LEX}, tx AS (SELECT doc_id AS id, {duck.squeeze(duck.normalise("replace(text, 's', 'f')"))} AS x FROM documents),
+tk AS (SELECT id, unnest(string_split(x, ' ')) AS tok, generate_subscripts(string_split(x, ' '), 1) AS i FROM tx),
+w AS (SELECT DISTINCT word, lower(word) AS low, list_filter(range(1, length(word) + 1), lambda i: lower(word)[i] = 'f') AS p FROM (SELECT {_CORE} AS word FROM tk)),
+m AS (SELECT *, unnest(range(1, (1 << len(p)))) AS mask FROM w WHERE low NOT IN (SELECT headword FROM lex) AND len(p) BETWEEN 1 AND 4),
+c AS (SELECT word, mask, array_to_string(list_transform(range(1, length(low) + 1), lambda i: CASE WHEN low[i] = 'f' AND ((mask >> (list_position(p, i) - 1)::INT) & 1) = 1 THEN 's' ELSE low[i] END), '') AS c FROM m),
+b AS (SELECT word, arg_min(c, bit_count(mask) * 100 + mask) AS c FROM c WHERE c IN (SELECT headword FROM lex) GROUP BY word),
+f AS (SELECT word, array_to_string(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN regexp_matches(word[i], '\p{{Lu}}') THEN upper(c[i]) ELSE c[i] END), '') AS fixed FROM b)
+SELECT id, string_agg(CASE WHEN fixed IS NULL THEN tok ELSE left(tok, strpos(tok, word) - 1) || fixed || substr(tok, strpos(tok, word) + length(word)) END, ' ' ORDER BY i) AS text
+FROM (SELECT tk.*, f.word, f.fixed FROM tk LEFT JOIN f ON f.word = {_CORE}) GROUP BY id"""
+)
+def long_s_texts(spark, sf_dir):
+    """Texts normalised in full: ligatures, the long s, and f that the lexicon tells to be one.
+
+    The texts are the documents as a reader leaves them that takes every s for an f.
+    """
+    misread = F.replace("text", F.lit("s"), F.lit("f"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.squeeze(t.normalise(misread)).alias("text"))
+    return lx.repair_texts(own, lexicon(spark, sf_dir))
 
 
 @query(
@@ -156,9 +209,26 @@ def _runs_sql(key: str, source: str) -> str:
 
 @query(f"WITH g AS ({_runs_sql('item_id', 'benchmark')}), d AS ({_runs_sql('doc_id', 'documents')}) SELECT DISTINCT doc_id, item_id FROM d JOIN g ON g.run = d.run")
 def ngram_scrub(spark, sf_dir):
-    """Documents that quote six words of a benchmark item in a row, as a join on the runs."""
-    runs = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(t.runs(t.plain_words(F.col("text")))).alias("run")).distinct()
-    return runs("documents", "doc_id").join(runs("benchmark", "item_id"), "run").select("doc_id", "item_id").distinct()
+    """Documents that quote six words of a benchmark item in a row.
+
+    Runs are hashed; the benchmark's come first and filter the documents' before anything of
+    these moves, by a broadcast as long as there are at most ``FEW_RUNS``; equal hashes are
+    verified by the words themselves.
+    """
+    held = _hashed_runs(table(spark, sf_dir, "benchmark"), "item_id").distinct()
+    own = _hashed_runs(table(spark, sf_dir, "documents"), "doc_id")
+    side = F.broadcast(held) if held.count() <= FEW_RUNS else held
+    found = own.join(side.withColumnRenamed("run", "other"), "h").where("run = other")
+    return found.select("doc_id", "item_id").distinct()
+
+
+#: Runs of some 60 bytes that are broadcast: about 30 MB.
+FEW_RUNS = 500_000
+
+
+def _hashed_runs(rows, key):
+    own = NGram(n=t.SHARED_RUN, inputCol="w", outputCol="runs").transform(rows.select(key, t.plain_words(F.coalesce("text", F.lit(""))).alias("w")))
+    return own.select(key, F.explode("runs").alias("run")).select(key, "run", F.xxhash64("run").alias("h"))
 
 
 _PAIR = "(SELECT c.conv_id, c.turn, c.text AS q, p.text AS p FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1)"
@@ -173,7 +243,11 @@ def scrubbed_questions(spark, sf_dir):
     return own.join(before, ["conv_id", "turn"]).select("conv_id", "turn", t.scrub_question(F.col("text"), F.col("p")).alias("question"))
 
 
-FX_RUBRIC = fixtures.values(fixtures.RUBRIC, "v", "verdict, subject, action, reason, problem")
+#: literal answers in all combinations, and one made up for each turn of a conversation
+_ANSWERS = "SELECT [{v}][1 + turn % 3] AS verdict, length(text) % 2 AS subject, turn % 2 AS action, conv_id % 2 AS reason, [{p}][1 + conv_id % 5] AS problem FROM conversations"
+_VERDICTS, _FAULTS = ["on_target", "partial", "off_target"], ["none", "too_vague", "detail_not_point", "wrong_focus", "incomplete"]
+_FX_RUBRIC = fixtures.values(fixtures.RUBRIC, "v", "verdict, subject, action, reason, problem")
+FX_RUBRIC = f"(SELECT * FROM {_FX_RUBRIC} UNION ALL {_ANSWERS.format(v=str(_VERDICTS)[1:-1], p=str(_FAULTS)[1:-1])})"
 #: fixed values: the wording that readers see
 HEADLINES = {"on_target": "That captures it.", "partial": "Close — but something is missing.", "off_target": "That is not the main point."}
 NOTES = {
@@ -200,7 +274,12 @@ def rubric_feedback(spark, sf_dir):
     said = lambda c, values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(c))
     notes = F.array(*[F.when(F.col(k) == 0, v) for k, v in NOTES.items()])
     problem = F.when(F.col("problem").isin(*PROBLEMS), F.try_element_at(F.create_map(*[F.lit(x) for kv in PROBLEMS.items() for x in kv]), F.col("problem")))
-    return spark.sql(f"SELECT * FROM {FX_RUBRIC}").withColumns(
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    own = table(spark, sf_dir, "conversations").select(
+        pick(_VERDICTS, F.col("turn") % 3).alias("verdict"), (F.length("text") % 2).cast("long").alias("subject"), (F.col("turn") % 2).alias("action"),
+        (F.col("conv_id") % 2).alias("reason"), pick(_FAULTS, F.col("conv_id") % 5).alias("problem"),
+    )
+    return own.unionByName(spark.sql(f"SELECT * FROM {_FX_RUBRIC}")).withColumns(
         {"headline": said("verdict", HEADLINES), "notes": F.array_join(F.filter(notes, lambda x: x.isNotNull()), " "), "problem_text": problem}
     )
 
@@ -211,7 +290,8 @@ def previews(spark, sf_dir):
     return blocks(spark, sf_dir).select("id", t.preview(x).alias("preview"), (F.size(t.sentences(x)) > 1).alias("many"))
 
 
-FX_FENCES = _one(fixtures.FENCES)
+#: literal replies, and every other turn of a conversation in a fence
+FX_FENCES = f"(SELECT x FROM {_one(fixtures.FENCES)} UNION ALL SELECT CASE WHEN turn % 2 = 0 THEN '```json' || chr(10) || text || chr(10) || '```' ELSE text END FROM conversations)"
 _TR = duck.trim("x")
 _REST = rf"CASE WHEN regexp_matches({_TR}, '^```[^\n]*\n') THEN regexp_replace({_TR}, '^```[^\n]*\n', '') ELSE regexp_replace({_TR}, '^```', '') END"
 _FENCE_TAIL = rf"regexp_replace(regexp_replace({_REST}, '[\s\p{{Z}}]+$', ''), '```$', '')"
@@ -219,10 +299,12 @@ _FENCE_TAIL = rf"regexp_replace(regexp_replace({_REST}, '[\s\p{{Z}}]+$', ''), '`
 
 @query(f"SELECT x, CASE WHEN starts_with({_TR}, '```') THEN {duck.trim(_FENCE_TAIL)} ELSE {_TR} END AS body, CASE WHEN length(x) <= 5 THEN x ELSE left(x, 5) || '...' END AS short FROM {FX_FENCES}")
 def code_fences(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {FX_FENCES}").select("x", t.strip_code_fence(F.col("x")).alias("body"), t.truncated(F.col("x"), 5).alias("short"))
+    fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))
+    own = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 2 == 0, fenced).otherwise(F.col("text")).alias("x"))
+    return own.unionAll(spark.sql(f"SELECT x FROM {_one(fixtures.FENCES)}")).select("x", t.strip_code_fence(F.col("x")).alias("body"), t.truncated(F.col("x"), 5).alias("short"))
 
 
-FX_HOSTS = _one(fixtures.HOSTS)
+FX_HOSTS = f"(SELECT x FROM {_one(fixtures.HOSTS)} UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN url ELSE replace(url, 'http://', '') || '/' END FROM pages)"
 _H = f"regexp_replace({_TR}, '/+$', '')"
 
 
@@ -230,7 +312,8 @@ _H = f"regexp_replace({_TR}, '/+$', '')"
 def hosts(spark, sf_dir):
     x = t.trim(F.col("x"))
     url = F.when(F.lower(x).rlike("^https?://"), x).otherwise(F.concat(F.lit("https://"), x))
-    return spark.sql(f"SELECT * FROM {FX_HOSTS}").select("x", t.host(F.col("x"), "http://localhost").alias("host"), F.when(x == "", "none").otherwise(x).alias("filled"), url.alias("url"))
+    own = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.replace("url", F.lit("http://"), F.lit("")), F.lit("/"))).alias("x"))
+    return own.unionAll(spark.sql(f"SELECT x FROM {_one(fixtures.HOSTS)}")).select("x", t.host(F.col("x"), "http://localhost").alias("host"), F.when(x == "", "none").otherwise(x).alias("filled"), url.alias("url"))
 
 
 @query("SELECT doc_id, left(text, greatest(strpos(text, 'the') - 1, 0)) AS before, CASE WHEN strpos(text, 'the') > 0 THEN 'the' ELSE '' END AS hit, CASE WHEN strpos(text, 'the') > 0 THEN substr(text, strpos(text, 'the') + 3) ELSE text END AS after FROM documents")
@@ -256,23 +339,68 @@ def selectable_words(spark, sf_dir):
     return own.where((F.col("word") != "") & ~F.col("word").rlike(r"(?U)\s") & (F.length("word") <= 40)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-FX_MODELS = fixtures.values([("qwen:4b", "completion,vision"), ("glm-ocr:latest", "vision"), ("embed:1", "embedding"), ("qwen", "completion")], "v", "name, capabilities")
+#: literal models, and one for each supplier
+_FX_MODELS = fixtures.values([("qwen:4b", "completion,vision"), ("glm-ocr:latest", "vision"), ("embed:1", "embedding"), ("qwen", "completion")], "v", "name, capabilities")
+_CAPABLE = ["completion", "vision,completion", "embedding", "vision"]
+FX_MODELS = f"(SELECT * FROM {_FX_MODELS} UNION ALL SELECT s_name || ':' || s_nationkey, [{str(_CAPABLE)[1:-1]}][1 + s_suppkey % 4] FROM supplier)"
 
 
-@query(f"SELECT name, string_split(name, ':')[1] AS base, list_contains(string_split(capabilities, ','), 'vision') AS sees, row_number() OVER (ORDER BY name) AS nth FROM {FX_MODELS} WHERE list_contains(string_split(capabilities, ','), 'completion') OR list_contains(string_split(capabilities, ','), 'vision')")
-def usable_models(spark, sf_dir):
+def _models(spark, sf_dir):
+    capable = F.element_at(F.array(*[F.lit(c) for c in _CAPABLE]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    own = table(spark, sf_dir, "supplier").select(F.concat_ws(":", "s_name", F.col("s_nationkey").cast("string")).alias("name"), capable.alias("capabilities"))
     caps = F.split("capabilities", ",")
-    own = spark.sql(f"SELECT * FROM {FX_MODELS}").where(F.array_contains(caps, "completion") | F.array_contains(caps, "vision"))
-    return own.select("name", F.substring_index("name", ":", 1).alias("base"), F.array_contains(caps, "vision").alias("sees"), F.row_number().over(Window.orderBy("name")).cast("long").alias("nth"))
+    usable = F.array_contains(caps, "completion") | F.array_contains(caps, "vision")
+    own = own.unionAll(spark.sql(f"SELECT * FROM {_FX_MODELS}")).where(usable)
+    return own.select("name", F.substring_index("name", ":", 1).alias("base"), F.array_contains(caps, "vision").alias("sees"))
+
+
+_USABLE = f"SELECT name, string_split(name, ':')[1] AS base, list_contains(string_split(capabilities, ','), 'vision') AS sees FROM {FX_MODELS} WHERE list_contains(string_split(capabilities, ','), 'completion') OR list_contains(string_split(capabilities, ','), 'vision')"
+
+
+@query(_USABLE)
+def usable_models(spark, sf_dir):
+    """Models that complete or see, by name."""
+    return _models(spark, sf_dir).orderBy("name")
 
 
-#: fixed values: what each era means for normalisation, and hints for refused requests
-ERAS = {"early_modern": "full", "nineteenth": "light", "modern": "off"}
+_WANTED = "(SELECT DISTINCT s_name AS wanted FROM supplier UNION SELECT unnest(['qwen', 'qwen:4b', 'glm-ocr', 'embed', 'none:1']))"
+
+
+@query(f"WITH u AS ({_USABLE}) SELECT wanted, EXISTS (SELECT 1 FROM u WHERE name = wanted OR base = wanted) AS installed FROM {_WANTED}")
+def wanted_models(spark, sf_dir):
+    """Whether each wanted name is a usable model's, with or without its tag."""
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("wanted"))
+    wanted = wanted.unionAll(spark.sql("SELECT explode(array('qwen', 'qwen:4b', 'glm-ocr', 'embed', 'none:1'))")).distinct()
+    names = _models(spark, sf_dir).select(F.explode(F.array("name", "base")).alias("wanted")).distinct().withColumn("ok", F.lit(True))
+    return wanted.join(names, "wanted", "left").select("wanted", F.coalesce("ok", F.lit(False)).alias("installed"))
+
+
+#: fixed values: what each era means for normalisation, dictionary and feedback; others are modern
+ERAS = {"modern": "off", "early_20c": "light", "victorian": "light", "early_modern": "full"}
+CORPORA = {"modern": "wordnet", "early_20c": "both", "victorian": "webster1913", "early_modern": "webster1913"}
+GUIDANCE = {
+    "modern": "This is modern prose. Expect short paragraphs with an explicit topic sentence.",
+    "early_20c": "This is early-twentieth-century prose. Paragraphs may be longer than modern ones and the main point is sometimes carried by the final sentence.",
+    "victorian": "This is Victorian prose. Expect long periodic sentences with subordinate clauses, and paragraphs that build to their point rather than opening with it. Do not treat length or indirection as a fault in the reader's summary.",
+    "early_modern": "This is early modern prose (1500-1800). Expect elaborate periodic syntax, classical allusion, capitalised common nouns, and rhetorical structures foreign to modern writing. Judge the reader's summary on whether it captures the argument, never on whether it reads like modern English.",
+}
+#: fixed values: hints for refused requests
 HINTS = {401: "The server answered, but rejected the API key. Check the key, or clear it if the server does not want one.", 403: "The server answered, but refused this key. It may lack access to the models, or have expired."}
-FX_CODES = fixtures.values([("early_modern", 401), ("nineteenth", 403), ("modern", 500)], "v", "era, status")
+_TOLD = [*ERAS, "nineteenth", "Victorian", ""]
+_FX_CODES = f"(SELECT event_id AS id, [{str(_TOLD)[1:-1]}][1 + event_id % {len(_TOLD)}] AS told, [401, 403, 500][1 + event_id % 3] AS status FROM events)"
+_KNOWN = "CASE WHEN told IN (" + str(list(ERAS))[1:-1] + ") THEN told ELSE 'modern' END"
+
+
+def _era_case(values: dict[str, str]) -> str:
+    return f"CASE {_KNOWN} " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in values.items()) + " END"
 
 
-@query(f"SELECT era, status, {_case('era', ERAS)} AS level, CASE status WHEN 401 THEN '{HINTS[401]}' WHEN 403 THEN '{HINTS[403]}' END AS hint FROM {FX_CODES}")
+@query(f"SELECT id, told, {_KNOWN} AS era, {_era_case(ERAS)} AS level, {_era_case(CORPORA)} AS corpus, {_era_case(GUIDANCE)} AS guidance, status::INT AS status, CASE status WHEN 401 THEN '{HINTS[401]}' WHEN 403 THEN '{HINTS[403]}' END AS hint FROM {_FX_CODES}")
 def eras_and_hints(spark, sf_dir):
-    level = F.element_at(F.create_map(*[F.lit(x) for kv in ERAS.items() for x in kv]), F.col("era"))
-    return spark.sql(f"SELECT * FROM {FX_CODES}").withColumns({"level": level, "hint": F.when(F.col("status") == 401, HINTS[401]).when(F.col("status") == 403, HINTS[403])})
+    """An era's settings, unknown eras being modern, and what a refused request means."""
+    said = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("era"))
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), pick(_TOLD, F.col("event_id") % len(_TOLD)).alias("told"), pick([401, 403, 500], F.col("event_id") % 3).alias("status"))
+    own = own.withColumn("era", F.when(F.col("told").isin(*ERAS), F.col("told")).otherwise("modern"))
+    hint = F.when(F.col("status") == 401, HINTS[401]).when(F.col("status") == 403, HINTS[403])
+    return own.select("id", "told", "era", said(ERAS).alias("level"), said(CORPORA).alias("corpus"), said(GUIDANCE).alias("guidance"), "status", hint.alias("hint"))
