@@ -105,10 +105,14 @@ def test_blocks_of_hot_buckets_and_clusters(spark, monkeypatch):
     joined = []
     for block in (16, 4096):
         near = np.eye(len(rows), dtype=bool)
-        for u, v in similar.candidate_links(prints, how, block).collect():
+        for u, v in similar.candidate_links(prints.withColumn("label", similar.F.col("rid")), how.tables(len(ids)), how.radius, block).collect():
             near[u, v] = near[v, u] = True
         joined.append(groups(near, ids).tolist())
-    assert joined[0] == joined[1]
+        # two rounds join the same
+        found = dict(similar.candidate_clusters(prints, how, block).collect())
+        near = np.array([[found.get(i, i) == found.get(j, j) for j in ids] for i in ids])
+        joined.append(groups(near, ids).tolist())
+    assert joined[0] == joined[1] == joined[2] == joined[3]
 
 
 def test_bucket_links():
@@ -118,7 +122,7 @@ def test_bucket_links():
     key = np.sort(rng.integers(0, 30, 400) % 7 * rng.integers(0, 4, 400))
     near = (np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= 3) & (key[:, None] == key[None])
     got = np.eye(400, dtype=bool)
-    a, b = similar.bucket_links(key, prints, 3)
+    a, b = similar.bucket_links(key, prints, np.arange(400), 3)
     got[a, b] = got[b, a] = True
     assert least_reachable(got, np.arange(400)).tolist() == least_reachable(near, np.arange(400)).tolist()
 

@@ -32,10 +32,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     costs one task and not the steps before.
     """
     path = work_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast: about 30 MB in a task.
+FEW_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A narrow written table, marked for a broadcast if it has at most ``FEW_ROWS`` rows."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, so that extra columns cannot clash."""
     taken = {c.lower() for c in df.columns}

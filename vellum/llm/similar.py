@@ -3,9 +3,10 @@
 Texts with one set of word shingles are a class.  Each class gets a 128-bit SimHash of its
 set, and bands deal the fingerprints: each of several tables takes some of the bits as a key,
 and two sets with the wanted Jaccard similarity agree in a table's bits with a known chance,
-from which the number of tables follows.  Inside a bucket fingerprints are compared bit by
-bit-sliced planes, and those within the radius are joined to clusters of candidates.  Every
-cluster is then compared with its shingle sets, and only sets with the wanted similarity
+from which the number of tables follows.  Inside a bucket fingerprints are compared by
+bit-sliced planes, and those within the radius are joined to clusters of candidates: first
+through a few tables, then through the others, which report only what joins two clusters.
+Every cluster is then compared with its shingle sets, and only sets with the wanted similarity
 link.  Buckets and clusters above ``BLOCK`` are dealt in pairs of sub-blocks; tasks report
 spanning forests of their links and never the pairs.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._components import components
-from ._shared import join_labels, materialize, own_columns, whole_runs
+from ._shared import join_labels, materialize, own_columns, small_side, whole_runs
 from .simhash import sliced_links
 
 BITS = 128
@@ -29,6 +30,8 @@ BLOCK = 4096
 #: Shingles of one sub-block's sets.
 BLOCK_SHINGLES = 1 << 22
 STRIP = 512
+#: Tables of the first round; a large group of copies is one cluster after it.
+FIRST_TABLES = 8
 #: One of so many classes is counted to find hot buckets; the counts decide only how these are dealt.
 SAMPLE = 16
 
@@ -122,35 +125,40 @@ def with_prints(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-def bucket_links(key: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows, rows) that join all prints of equal ``key`` within the radius; keys are sorted.
+def bucket_links(key: np.ndarray, prints: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of labels that join all prints of equal ``key`` within the radius; keys are sorted.
 
     Buckets that fill a machine word are compared by bit slices, lesser ones side by side.
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at, n in zip(starts[sizes >= 64].tolist(), sizes[sizes >= 64].tolist(), strict=True):
-        labels = sliced_links(prints[at : at + n], radius)
-        tied = np.flatnonzero(labels != np.arange(n))
-        left.append(tied + at)
-        right.append(labels[tied] + at)
+        groups = sliced_links(prints[at : at + n], radius)
+        tied = np.flatnonzero(groups != np.arange(n))
+        left.append(label[tied + at])
+        right.append(label[groups[tied] + at])
     few = np.flatnonzero(np.repeat(sizes < 64, sizes))
     for shift in range(1, 64):
         a, b = few[:-shift], few[shift:]
         same = key[a] == key[b]
         if not same.any():
             break
+        same &= label[a] != label[b]
         a, b = a[same], b[same]
         near = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= radius
-        left.append(a[near])
-        right.append(b[near])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        left.append(label[a[near]])
+        right.append(label[b[near]])
+    pairs = np.c_[np.concatenate(left), np.concatenate(right)]
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def candidate_links(prints: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
-    """Links ``u, v`` that join all ``rid`` whose SimHashes ``hi, lo`` meet in a bucket within the radius."""
-    tables, radius = how.tables(prints.count()), how.radius
+def candidate_links(prints: DataFrame, tables: np.ndarray, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links ``u, v`` that join all labels whose SimHashes meet in a bucket within the radius.
+
+    ``prints`` has ``rid, hi, lo`` and the ``label`` of the cluster that each is in so far.
+    """
 
     def deal(batches):
         import pyarrow as pa
@@ -158,36 +166,54 @@ def candidate_links(prints: DataFrame, how: Search, block: int = BLOCK) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                rid, hi, lo = (some.column(i).to_numpy() for i in range(3))
+                label, hi, lo = (some.column(i).to_numpy() for i in range(3))
                 bits = np.unpackbits(np.c_[hi, lo].astype(">i8").view(np.uint8), axis=1)
                 values = (bits[:, tables].astype(np.int64) << np.arange(tables.shape[1])).sum(axis=2)
                 g = values * len(tables) + np.arange(len(tables))
                 spread = lambda x: pa.array(np.repeat(x, len(tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), spread(rid), spread(hi), spread(lo)], names=["g", "rid", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.ravel()), spread(label), spread(hi), spread(lo)], names=["g", "label", "hi", "lo"])
 
-    dealt = prints.select("rid", "hi", "lo").mapInArrow(deal, "g long, rid long, hi long, lo long")
-    some = prints.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("rid", "hi", "lo")
-    hot = some.mapInArrow(deal, "g long, rid long, hi long, lo long").groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * SAMPLE > block)
+    made = "g long, label long, hi long, lo long"
+    dealt = prints.select("label", "hi", "lo").mapInArrow(deal, made)
+    some = prints.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("label", "hi", "lo")
+    hot = some.mapInArrow(deal, made).groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * SAMPLE > block)
     hot = materialize(hot.select("g", F.ceil(F.col("m") * SAMPLE / block).cast("int").alias("parts")), "hot-buckets")
-    rows = dealt.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b")))
-    cold = rows.where("parts = 1").select(F.xxhash64("g").alias("g"), "rid", "hi", "lo")
-    split = rows.where("parts > 1").select("g", "rid", "hi", "lo", F.explode(others).alias("o"))
-    rows = cold.unionAll(split.select(F.xxhash64("g", "o.a", "o.b").alias("g"), "rid", "hi", "lo")) if hot.head() else dealt
+    rows = dealt
+    if hot.head():
+        rows = dealt.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")
+        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b")))
+        cold = rows.where("parts = 1").select(F.xxhash64("g").alias("g"), "label", "hi", "lo")
+        split = rows.where("parts > 1").select("g", "label", "hi", "lo", F.explode(others).alias("o"))
+        rows = cold.unionAll(split.select(F.xxhash64("g", "o.a", "o.b").alias("g"), "label", "hi", "lo"))
 
     def run(batches):
         import pyarrow as pa
 
         for table in whole_runs(batches, "g", block):
-            rid = table["rid"].to_numpy()
             prints = np.c_[table["hi"].to_numpy(), table["lo"].to_numpy()].view(np.uint64)
-            a, b = bucket_links(table["g"].to_numpy(), prints, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[a]), pa.array(rid[b])], names=["u", "v"])
+            a, b = bucket_links(table["g"].to_numpy(), prints, table["label"].to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
+def candidate_clusters(prints: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
+    """``rid, cluster`` of all that are in a cluster of candidates with another one."""
+    tables = how.tables(prints.count())
+    first = components(candidate_links(prints.withColumn("label", F.col("rid")), tables[:FIRST_TABLES], how.radius, block)).withColumnRenamed("v", "rid")
+    labelled = prints.join(first, "rid", "left").select("rid", "hi", "lo", F.coalesce("component", "rid").alias("label"))
+    labelled = materialize(labelled, "labelled")
+    more = components(candidate_links(labelled, tables[FIRST_TABLES:], how.radius, block)) if len(tables) > FIRST_TABLES else None
+    if more is None:
+        out = labelled.select("rid", F.col("label").alias("cluster"))
+    else:
+        out = labelled.join(more, labelled["label"] == more["v"], "left").select("rid", F.coalesce("component", "label").alias("cluster"))
+    # the others of a cluster tell which of its heads have company
+    others = out.where("rid <> cluster")
+    return materialize(others.unionByName(others.select(F.col("cluster").alias("rid"), "cluster").distinct()), "clusters")
+
+
 def block_links(sets: list[np.ndarray], how: Search) -> np.ndarray:
     """Groups of sets linked by the least similarity or more: least index of each."""
     n = np.array([len(s) for s in sets])
@@ -219,6 +245,7 @@ def verified_links(members: DataFrame, how: Search, block: int = BLOCK, shingles
 
     ``members`` has ``cluster, rid, n, body``: the number of shingles and a text with them.
     """
+    members = materialize(members.select("cluster", "rid", "n", "body"), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
     parts = F.ceil(F.greatest(F.col("m") / block, F.col("all") / shingles)).cast("int")
     sizes = sizes.select("cluster", F.greatest(F.least(parts, F.col("m").cast("int")), F.lit(1)).alias("parts"))
@@ -243,9 +270,8 @@ def group_sets(keyed: DataFrame, least: Column, how: Search) -> DataFrame:
     """``key, least`` for each distinct shingle set: the minimum of ``least`` over its group."""
     classes = keyed.groupBy("key").agg(F.min(least).alias("own"), F.min(F.struct("rid", "n", "hi", "lo")).alias("x"))
     classes = materialize(classes.select("key", "own", "x.*"), "classes")
-    clusters = components(candidate_links(classes.where("n > 0"), how)).withColumnRenamed("component", "cluster")
-    members = clusters.unionByName(clusters.select(F.col("cluster").alias("v"), "cluster").distinct())
-    members = materialize(keyed.select("rid", "n", "body").join(members.withColumnRenamed("v", "rid"), "rid"), "members")
+    clusters = candidate_clusters(classes.where("n > 0").select("rid", "hi", "lo"), how)
+    members = keyed.select("rid", "n", "body").join(small_side(clusters), "rid")
     links = components(verified_links(members, how)).withColumnRenamed("v", "rid")
     labelled = classes.join(links, "rid", "left").select("key", "own", F.coalesce("component", "rid").alias("label"))
     groups = labelled.groupBy("label").agg(F.min("own").alias("least"))
@@ -266,5 +292,7 @@ def drop_similar(docs: DataFrame, how: Search | None = None) -> DataFrame:
     keyed = with_prints(keyed, "body", how.size).select("row", "key", "n", "hi", "lo", F.monotonically_increasing_id().alias("rid"))
     keyed = materialize(keyed, "keyed").withColumn("body", F.col("row.text"))
     order = F.struct(F.col("row.doc_id").isNull().alias("a"), F.col("row.doc_id").alias("b"), F.col("rid").alias("rid"))
-    first = group_sets(keyed, order, how).select(F.col("least.rid").alias("rid")).distinct()
-    return keyed.join(first, "rid", "left_semi").select("row.*")
+    groups = group_sets(keyed, order, how).select("key", F.col("least.rid").alias("first"))
+    # the rows that go are few or many; those that stay need not move in the first case
+    gone = materialize(keyed.select("key", "rid").join(groups, "key").where("rid <> first").select("rid"), "dropped")
+    return keyed.join(small_side(gone), "rid", "left_anti").select("row.*")
