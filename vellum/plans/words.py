@@ -159,7 +159,7 @@ FX_LONG_S = f"(SELECT word FROM {_one(fixtures.LONG_S, 'word')} UNION SELECT rep
     rf"""WITH {LEX}, w AS (SELECT word, lower(word) AS low, list_filter(range(1, length(word) + 1), lambda i: lower(word)[i] = 'f') AS p FROM {FX_LONG_S}),
 m AS (SELECT *, unnest(range(1, (1 << len(p)))) AS mask FROM w WHERE low NOT IN (SELECT headword FROM lex) AND len(p) BETWEEN 1 AND 4),
 c AS (SELECT word, mask, array_to_string(list_transform(range(1, length(low) + 1), lambda i: CASE WHEN low[i] = 'f' AND ((mask >> (list_position(p, i) - 1)::INT) & 1) = 1 THEN 's' ELSE low[i] END), '') AS c FROM m),
-b AS (SELECT word, arg_min(c, bit_count(mask) * 100 + mask) AS c FROM c WHERE c IN (SELECT headword FROM lex) GROUP BY word)
+b AS (SELECT word, arg_min(c, bit_count(mask)::INT * 100 + mask) AS c FROM c WHERE c IN (SELECT headword FROM lex) GROUP BY word)
 SELECT w.word, array_to_string(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN regexp_matches(w.word[i], '\p{{Lu}}') THEN upper(c[i]) ELSE c[i] END), '') AS repaired FROM w LEFT JOIN b ON b.word = w.word"""
 )
 def long_s_repairs(spark, sf_dir):
@@ -177,7 +177,7 @@ tk AS (SELECT id, unnest(string_split(x, ' ')) AS tok, generate_subscripts(strin
 w AS (SELECT DISTINCT word, lower(word) AS low, list_filter(range(1, length(word) + 1), lambda i: lower(word)[i] = 'f') AS p FROM (SELECT {_CORE} AS word FROM tk)),
 m AS (SELECT *, unnest(range(1, (1 << len(p)))) AS mask FROM w WHERE low NOT IN (SELECT headword FROM lex) AND len(p) BETWEEN 1 AND 4),
 c AS (SELECT word, mask, array_to_string(list_transform(range(1, length(low) + 1), lambda i: CASE WHEN low[i] = 'f' AND ((mask >> (list_position(p, i) - 1)::INT) & 1) = 1 THEN 's' ELSE low[i] END), '') AS c FROM m),
-b AS (SELECT word, arg_min(c, bit_count(mask) * 100 + mask) AS c FROM c WHERE c IN (SELECT headword FROM lex) GROUP BY word),
+b AS (SELECT word, arg_min(c, bit_count(mask)::INT * 100 + mask) AS c FROM c WHERE c IN (SELECT headword FROM lex) GROUP BY word),
 f AS (SELECT word, array_to_string(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN regexp_matches(word[i], '\p{{Lu}}') THEN upper(c[i]) ELSE c[i] END), '') AS fixed FROM b)
 SELECT id, string_agg(CASE WHEN fixed IS NULL THEN tok ELSE left(tok, strpos(tok, word) - 1) || fixed || substr(tok, strpos(tok, word) + length(word)) END, ' ' ORDER BY i) AS text
 FROM (SELECT tk.*, f.word, f.fixed FROM tk LEFT JOIN f ON f.word = {_CORE}) GROUP BY id"""
