@@ -1,11 +1,15 @@
 import io
+import json
 import zipfile
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from vellum.operators import ingest, lexicon
 from vellum.operators.ingest import split_units
-from vellum.sources import epub, html, images
-from pyspark.sql import functions as F
+from vellum.plans import ingest as ingest_plans
+from vellum.sources import epub, html, images, library
 
 PAGE = """<html><head><title>Site name</title><style>p {x}</style></head><body><nav><p>Not this one</p></nav>
 <article><h1>The Heading</h1><p>First <b>bold</b> paragraph<br>goes on<p>Second paragraph &amp; more</p>
@@ -83,3 +87,96 @@ def test_images(spark):
     heads = [b"\xff\xd8\xff\xe0xxxxxxxxxx", b"\x89PNG\r\n\x1a\nxxxxxx", b"\0\0\0\x18ftypheicxxxx", b"plain text here"]
     frame = spark.createDataFrame([(bytearray(x),) for x in heads], "c binary").select(images.sniff(F.col("c")).alias("k"))
     assert sorted(r.k for r in frame.collect()) == sorted(["jpeg", "png", "heic", "unknown"])
+
+
+def test_deep_and_wide_html():
+    deep = "<div>" * 20_000 + "<p>First deep paragraph</p><p>Second deep paragraph</p>" + "</div>" * 20_000
+    assert [x for x, _ in html.paragraphs(deep)] == ["First deep paragraph", "Second deep paragraph"]
+    assert html.title("<article>" * 5000 + "<h1>The deep heading</h1>") == "The deep heading"
+    wide = "<ul>" + "<li>an item of the list</b></i>" * 20_000 + "</ul>"
+    assert len(html.paragraphs(wide)) == 20_000
+
+
+def test_epub_navigation_and_missing_items():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        z.writestr(
+            "p.opf",
+            '<package><manifest><item id="n" href="nav.xhtml" properties="nav"/><item id="t" href="t.ncx" media-type="application/x-dtbncx+xml"/><item id="a" href="a.html"/><item id="gone" href="gone.html"/><item id="b" href="b.html"/></manifest>'
+            '<spine><itemref idref="gone"/><itemref idref="a"/><itemref idref="unknown"/><itemref idref="b"/></spine></package>',
+        )
+        z.writestr("t.ncx", "<ncx broken")
+        z.writestr("nav.xhtml", '<nav epub:type="landmarks"><a href="a.html">Not this</a></nav><nav epub:type="toc"><ol><li><a href="a.html">One</a><ol><li><a href="b.html#q">Two</a></li></ol></li></ol></nav>')
+        z.writestr("a.html", "<p>The first text</p><p>More of that text</p>")
+        z.writestr("b.html", '<p>Goes on here</p><p id="q">The second text</p>')
+    assert epub.spine(out.getvalue()) == [
+        ("One", True), ("The first text", False), ("More of that text", False), ("Goes on here", False), ("Two", True), ("The second text", False),
+    ]
+
+
+def test_epub_query_is_the_pages_text(spark, sf_dir):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got: dict = {}
+    for r in ingest_plans.epub_pages(spark, sf_dir).orderBy("run_id", "page", "k").collect():
+        got.setdefault(int(r.run_id.split(".")[0]), []).append(r.text)
+    want = {i: sorted(x for x, head in html.paragraphs(page or "") if not head) for i, page in pages.items()}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+
+
+def test_import_driver(spark):
+    rows = [(1, 5, "The Title", "Chapter One", 0, "The Title"), (1, 5, "The Title", "Chapter One", 1, "A paragraph of the page that is long enough."), (2, 5, "The Title", None, 0, "12"), (3, 5, "The Title", None, 0, "Another page with words, and they end here.")]
+    got = ingest.import_pages(spark.createDataFrame(rows, "id long, book_id long, title string, label string, k long, text string")).orderBy("id").collect()
+    assert [(r.page_id, r.ordinal, r.kind, r.text_raw) for r in got] == [
+        (1, 1, "heading", "Chapter One"), (1, 2, "paragraph", "A paragraph of the page that is long enough."), (3, 1, "paragraph", "Another page with words, and they end here."),
+    ]
+    docs = spark.createDataFrame([(3, "u"), (1, "u"), (2, "v")], "page_id long, url string")
+    assert sorted(r.page_id for r in ingest.first_of_source(docs, "url", "page_id").collect()) == [1, 2]
+
+
+def test_imported_blocks(spark, sf_dir):
+    got = ingest_plans.imported_blocks(spark, sf_dir).collect()
+    assert len({r.id for r in got}) == len(got) > 0 and {r.ordinal for r in got if r.kind == "heading"} >= {1}
+
+
+def test_dictionary_json(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([
+        {"word": " Shew ", "pos": "v.", "definitions": ["See Show.", " "]}, {"word": "Shew", "pos": "n.", "definitions": ["See Sight."]}, {"word": "Show", "pos": None, "definitions": ["To exhibit. [Colloq.]"]},
+        {"word": "Sight", "definitions": []}, {"word": "  ", "definitions": ["x"]}, {"word": "Nice", "definitions": ["Foolish. [Obs.]"]}, {"word": "Have", "definitions": ["To hold."]}, {"word": "Public", "definitions": ["Open."]}, {"word": "Run", "definitions": ["To go."]},
+    ]))
+    senses = lexicon.entries(lexicon.read_entries(spark, f"file://{tmp_path}/d.json"))
+    assert senses.where("gloss <> ''").count() == 7
+    # of two references of one word the first in the file wins, whichever lemma comes first
+    assert {(r.variant, r.lemma) for r in lexicon.variants(senses).where("variant = 'shew'").collect()} == {("shew", "show")}
+    assert all(r.found for r in lexicon.probes(senses).collect())
+    assert not any(r.found for r in lexicon.probes(senses.where("headword = 'sight'")).collect())
+
+
+def test_exif_and_fit():
+    page = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    seen = {o: images.exif_upright(page, o) for o in range(1, 9)}
+    assert [seen[o].shape for o in range(1, 9)] == [(3, 4)] * 4 + [(4, 3)] * 4
+    assert (seen[2] == page[:, ::-1]).all() and (seen[3] == page[::-1, ::-1]).all() and (seen[4] == page[::-1]).all() and (seen[5] == page.T).all()
+    assert (seen[6] == np.rot90(page, -1)).all() and (seen[7] == page[::-1, ::-1].T).all() and (seen[8] == np.rot90(page)).all()
+    assert (images.exif_upright(page, 99) == page).all() and (images.exif_upright(page, None) == page).all()
+    wide = np.full((10, 4000), 7, np.uint8)
+    assert images.fitted(wide).shape == (4, 1600) and (images.fitted(wide) == 7).all() and images.fitted(page) is page
+
+
+def test_page_images(spark, sf_dir):
+    got = {}
+    for r in ingest_plans.page_images(spark, sf_dir).collect():
+        got.setdefault(r.id, []).append(r)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    full = [i for i, x in texts.items() if x and len(x) > 900]
+    assert full and all(got[i][0].sideways == (i % 3 == 0) for i in full)
+    assert all(len(got[i]) == (2 if i % 5 == 0 else 1) for i in full)
+
+
+def test_shared_folder_is_asked_for(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError):
+        library.shared_folder(Cluster, "x")

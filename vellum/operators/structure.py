@@ -192,6 +192,17 @@ def detect_folio(raw: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+def folio_cascade(pages: DataFrame) -> DataFrame:
+    """``id, page_no, source, pass`` from ``id, raw`` and the replies ``told`` (text) and ``seen`` (image).
+
+    A reply counts only where the passes before it found nothing.
+    """
+    own = pages.select("id", detect_folio(F.col("raw")).alias("n"), t.folio_reply(F.col("told")).alias("told"), t.folio_reply(F.col("seen")).alias("seen"))
+    found = F.coalesce("n", "told", "seen")
+    which = F.when(F.col("n").isNotNull(), 1).when(F.col("told").isNotNull(), 2).when(F.col("seen").isNotNull(), 3)
+    return own.select("id", found.alias("page_no"), F.when(found.isNull(), "unknown").otherwise("detected").alias("source"), which.alias("pass"))
+
+
 def margin_excerpt(raw: Column) -> Column:
     """Six lines from each end, without structural numerals; the whole of a short page."""
     lines = F.transform(lines_of(raw), t.without_structural_numerals)

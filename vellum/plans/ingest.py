@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import ingest, structure
-from ..sources import html
+from ..sources import epub, html, images
 from . import duck, fixtures
 from .relations import PG, pages, table
 
@@ -24,12 +24,15 @@ def query(sql: str | None = None):
     return keep
 
 
-FX_SOURCES = fixtures.values([(x,) for x in fixtures.SOURCES], "v", "place")
+_FX_SOURCES = fixtures.values([(x,) for x in fixtures.SOURCES], "v", "place")
+FX_SOURCES = f"(SELECT place FROM {_FX_SOURCES} UNION ALL SELECT url FROM pages UNION ALL SELECT source || ['.pdf', '.EPUB', '.jpg'][1 + doc_id % 3] FROM documents)"
 
 
 @query(f"SELECT place, CASE WHEN regexp_matches(lower(place), '^https?://') THEN 'web' WHEN ends_with(lower(place), '.epub') THEN 'epub' WHEN ends_with(lower(place), '.pdf') THEN 'pdf' ELSE 'photo' END AS kind FROM {FX_SOURCES}")
 def source_kinds(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM {FX_SOURCES}").select("place", ingest.source_kind(F.col("place")).alias("kind"))
+    ending = F.element_at(F.array(F.lit(".pdf"), F.lit(".EPUB"), F.lit(".jpg")), (F.col("doc_id") % 3 + 1).cast("int"))
+    own = table(spark, sf_dir, "pages").select(F.col("url").alias("place")).unionAll(table(spark, sf_dir, "documents").select(F.concat("source", ending).alias("place")))
+    return own.unionAll(spark.sql(f"SELECT * FROM {_FX_SOURCES}")).select("place", ingest.source_kind(F.col("place")).alias("kind"))
 
 
 @query()
@@ -45,12 +48,13 @@ def web_pages_paginated(spark, sf_dir):
     return ingest.paginate(runs)
 
 
-@query(rf"SELECT page_id, length(html) AS size, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a ')) > 20 AND len(regexp_extract_all(html, '<a ')) > 0.5 * len(regexp_extract_all(html, '<p>')) AS navigation FROM pages")
+@query(rf"SELECT page_id, length(html) AS size, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs, coalesce(list_max(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: length(x))), 0) AS longest, len(regexp_extract_all(html, '<a ')) > 20 AND len(regexp_extract_all(html, '<a ')) > 0.5 * len(regexp_extract_all(html, '<p>')) AS navigation FROM pages")
 def page_shape(spark, sf_dir):
-    """Links and paragraphs of a page, and whether it looks like navigation."""
+    """Links and paragraphs of a page, its longest plain paragraph, and whether it looks like navigation."""
+    longest = F.array_max(F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)), F.length))
     links, paras = F.regexp_count("html", F.lit("<a ")), F.regexp_count("html", F.lit("<p>"))
     return table(spark, sf_dir, "pages").select(
-        "page_id", F.length("html").alias("size"), links.alias("links"), paras.alias("paragraphs"), ((links > 20) & (links > 0.5 * paras)).alias("navigation")
+        "page_id", F.length("html").alias("size"), links.alias("links"), paras.alias("paragraphs"), F.coalesce(longest, F.lit(0)).cast("long").alias("longest"), ((links > 20) & (links > 0.5 * paras)).alias("navigation")
     )
 
 
@@ -61,7 +65,10 @@ def cleaned_paragraphs(spark, sf_dir):
     return own.select("line", F.when(F.regexp_count(one, F.lit(r"\p{IsAlphabetic}")) >= 3, one).alias("cleaned"))
 
 
-FX_RUNS = fixtures.values(fixtures.RUNS, "v", "run_id, label, ordinal, paragraph")
+#: paragraph runs: conversations, some of whose turns open with a reference, and literal ones
+_FX_RUNS = fixtures.values(fixtures.RUNS, "v", "run_id, label, ordinal, paragraph")
+FX_RUNS = f"""(SELECT run_id, label, ordinal, paragraph FROM {_FX_RUNS} UNION ALL
+  SELECT 1000000 + conv_id, CASE WHEN conv_id % 2 = 0 THEN role END, turn, CASE WHEN conv_id % 3 = 0 THEN (turn // 3 + 1) || ':' || (turn + 1) || ' ' || text ELSE text END FROM conversations)"""
 _CH = r"try_cast(nullif(regexp_extract({x}, '^\+?([0-9]+):[0-9]+([\s\p{{Z}}]|$)', 1), '') AS BIGINT)"
 
 
@@ -76,7 +83,13 @@ b AS (SELECT run_id, label, k // 8 + 1 AS page, k, text FROM p UNION ALL SELECT
 SELECT run_id, page, CASE WHEN page = 1 THEN label END AS label, k, text FROM b"""
 )
 def paginated_runs(spark, sf_dir):
-    return ingest.paginate(spark.sql(f"SELECT run_id, label, CAST(ordinal AS BIGINT) AS ordinal, paragraph FROM {FX_RUNS}"))
+    mark = F.concat((F.expr("turn div 3") + 1).cast("string"), F.lit(":"), (F.col("turn") + 1).cast("string"), F.lit(" "), F.col("text"))
+    own = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") + 1_000_000).cast("long").alias("run_id"), F.when(F.col("conv_id") % 2 == 0, F.col("role")).alias("label"),
+        F.col("turn").cast("long").alias("ordinal"), F.when(F.col("conv_id") % 3 == 0, mark).otherwise(F.col("text")).alias("paragraph"),
+    )
+    extra = spark.sql(f"SELECT CAST(run_id AS BIGINT) AS run_id, label, CAST(ordinal AS BIGINT) AS ordinal, paragraph FROM {_FX_RUNS}")
+    return ingest.paginate(own.unionByName(extra))
 
 
 @query(
@@ -92,18 +105,24 @@ def pdf_pages(spark, sf_dir):
 FX_STREAMS = fixtures.values([(1, '{"response": "He", "done": false}\nnot json\n{"response": "llo", "done": true}\n{"response": " lost", "done": false}'), (2, '{"response": "a"}\n\n{"response": "b"}'), (3, "broken")], "v", "id, body")
 
 
-@query(f"SELECT * FROM (VALUES (1, 'Hello'), (2, 'ab'), (3, '')) AS v(id, text)")
+@query("SELECT * FROM (VALUES (1, 'Hello'), (2, 'ab'), (3, '')) AS v(id, text) UNION ALL SELECT 1000 + conv_id * 100 + turn, text || ' end' FROM conversations")
 def stream_texts(spark, sf_dir):
-    return ingest.stream_text(spark.sql(f"SELECT * FROM {FX_STREAMS}"))
+    """Texts of captured streams: literal ones, and every turn as a stream of three answers of which the last is lost."""
+    line = lambda text, done: F.to_json(F.struct(text.alias("response"), F.lit(done).alias("done")))
+    body = F.concat_ws("\n", line(F.col("text"), False), F.lit("{broken"), line(F.lit(" end"), True), line(F.lit(" lost"), False))
+    own = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn") + 1000).cast("int").alias("id"), body.alias("body"))
+    return ingest.stream_text(own.unionByName(spark.sql(f"SELECT * FROM {FX_STREAMS}")))
 
 
-FX_SIZES = fixtures.values(fixtures.SIZES, "v", "w, h")
+_FX_SIZES = fixtures.values(fixtures.SIZES, "v", "w, h")
+FX_SIZES = f"(SELECT w::BIGINT AS w, h::BIGINT AS h FROM {_FX_SIZES} UNION ALL SELECT event_id % 5003, event_id * 7 % 3001 + 1 FROM events)"
 
 
 @query(f"SELECT w, h, CASE WHEN greatest(w, h) <= 1600 THEN w ELSE greatest(round(w::DOUBLE * 1600 / greatest(w, h))::BIGINT, 1) END::BIGINT AS new_w, CASE WHEN greatest(w, h) <= 1600 THEN h ELSE greatest(round(h::DOUBLE * 1600 / greatest(w, h))::BIGINT, 1) END::BIGINT AS new_h FROM {FX_SIZES}")
 def fitted_sizes(spark, sf_dir):
     size = ingest.fit_within(F.col("w"), F.col("h"))
-    return spark.sql(f"SELECT * FROM {FX_SIZES}").select("w", "h", size["w"].alias("new_w"), size["h"].alias("new_h"))
+    own = table(spark, sf_dir, "events").select((F.col("event_id") % 5003).alias("w"), (F.col("event_id") * 7 % 3001 + 1).alias("h"))
+    return own.unionAll(spark.sql(f"SELECT CAST(w AS BIGINT), CAST(h AS BIGINT) FROM {_FX_SIZES}")).select("w", "h", size["w"].alias("new_w"), size["h"].alias("new_h"))
 
 
 @query(
@@ -115,13 +134,41 @@ def margin_excerpts(spark, sf_dir):
     return pages(spark, sf_dir).select("id", structure.margin_excerpt(F.col("raw")).alias("excerpt"))
 
 
+_TOLD = "CASE WHEN id % 2 = 0 THEN coalesce(page_no::VARCHAR, 'none') ELSE 'page two of it' END"
+_SEEN = "CASE WHEN id % 4 = 1 THEN '- ' || (id % 90 + 1) || ' -' WHEN id % 4 = 3 THEN 'NONE' END"
+
+
 @query(
-    f"""WITH {PG}, li AS (SELECT id, page_no AS told, list_filter(list_transform(string_split(raw, chr(10)), lambda x: {duck.trim('x')}), lambda x: x <> '') AS l FROM pg),
-m AS (SELECT id, told, list_filter(list_transform(list_concat(list_reverse(l)[1:3], l[1:3]), lambda x: {duck.number_on_line('x')}), lambda x: x IS NOT NULL)[1] AS n FROM li)
-SELECT id, coalesce(n, told) AS page_no, CASE WHEN n IS NOT NULL THEN 'heuristic' WHEN told IS NOT NULL THEN 'model' ELSE 'unknown' END AS source FROM m"""
+    f"""WITH {PG}, li AS (SELECT id, {_TOLD} AS told, {_SEEN} AS seen, list_filter(list_transform(string_split(raw, chr(10)), lambda x: {duck.trim('x')}), lambda x: x <> '') AS l FROM pg),
+m AS (SELECT id, told, seen, list_filter(list_transform(list_concat(list_reverse(l)[1:3], l[1:3]), lambda x: {duck.number_on_line('x')}), lambda x: x IS NOT NULL)[1] AS n FROM li),
+f AS (SELECT id, n, {duck.folio_reply('told')} AS told, {duck.folio_reply('seen')} AS seen FROM m)
+SELECT id, coalesce(n, told, seen) AS page_no, CASE WHEN coalesce(n, told, seen) IS NULL THEN 'unknown' ELSE 'detected' END AS source, CASE WHEN n IS NOT NULL THEN 1 WHEN told IS NOT NULL THEN 2 WHEN seen IS NOT NULL THEN 3 END AS pass FROM f"""
 )
 def folio_cascade(spark, sf_dir):
-    """The heuristic's number, else a given reply; and which of them it was."""
-    own = pages(spark, sf_dir).select("id", structure.detect_folio(F.col("raw")).alias("n"), F.col("page_no").alias("told"))
-    source = F.when(F.col("n").isNotNull(), "heuristic").when(F.col("told").isNotNull(), "model").otherwise("unknown")
-    return own.select("id", F.coalesce("n", "told").alias("page_no"), source.alias("source"))
+    """A page's number by the margins, else by the text model's reply, else by the image model's."""
+    told = F.when(F.col("id") % 2 == 0, F.coalesce(F.col("page_no").cast("string"), F.lit("none"))).otherwise("page two of it")
+    seen = F.when(F.col("id") % 4 == 1, F.concat(F.lit("- "), (F.col("id") % 90 + 1).cast("string"), F.lit(" -"))).when(F.col("id") % 4 == 3, "NONE")
+    return structure.folio_cascade(pages(spark, sf_dir).select("id", "raw", told.alias("told"), seen.alias("seen")))
+
+
+@query()
+def imported_blocks(spark, sf_dir):
+    """Web pages as imported documents: first of each address, cut into pages, segmented, labelled."""
+    fresh = ingest.first_of_source(table(spark, sf_dir, "pages"), "url", "page_id")
+    rows = html.web_paragraphs(fresh).select(F.col("page_id").alias("run_id"), "title", F.col("title").alias("label"), "ordinal", F.col("text").alias("paragraph"))
+    titles = rows.select("run_id", "title").distinct()
+    paged = ingest.paginate(rows.drop("title")).join(titles, "run_id")
+    own = paged.select((F.col("run_id") * 10_000 + F.col("page")).alias("id"), F.col("run_id").alias("book_id"), "title", "label", "k", "text")
+    return ingest.import_pages(own)
+
+
+@query()
+def epub_pages(spark, sf_dir):
+    """Pages of books: every web page bound as a book with contents, and an item that is missing."""
+    return epub.book_pages(epub.bind(table(spark, sf_dir, "pages")))
+
+
+@query()
+def page_images(spark, sf_dir):
+    """Pictures of texts, some taken sideways or as a spread, turned upright and split."""
+    return images.upright_pages(images.typeset_pages(table(spark, sf_dir, "documents"))).select("id", "part", "sideways", "height", "width")

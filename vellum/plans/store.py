@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import segment, structure
+from ..sources import library
 from ..streaming import vocabulary as vocabulary_stream
 from . import duck
 from .reading import _NTH
@@ -241,5 +239,58 @@ def note_progress(spark, sf_dir):
 @query("SELECT user_id AS book_id, lower(event_type) AS word, count(DISTINCT event_id) AS count, min(event_id) AS first_id FROM events GROUP BY ALL")
 def streamed_vocabulary(spark, sf_dir):
     """The vocabulary that a stream over the events ends with."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return vocabulary_stream.replay(spark, sf_dir, f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return vocabulary_stream.replay(spark, sf_dir, library.shared_folder(spark, "stream"))
+
+
+@query(f"WITH {PG}, {BL} SELECT bl.id, page_id, book_id, ordinal, kind, text_raw, text_norm FROM bl JOIN pg ON pg.id = bl.page_id")
+def saved_blocks(spark, sf_dir):
+    """Blocks written book by book; every third book is segmented again and replaces what was there."""
+    path = library.shared_folder(spark, "blocks")
+    own = pages(spark, sf_dir)
+    early = F.when(F.col("book_id") % 3 == 0, F.lit("an earlier reading of this page.")).otherwise(F.col("raw"))
+    library.save_blocks(segment.block_rows(segment.page_blocks(own.withColumn("raw", early))), path)
+    library.save_blocks(segment.block_rows(segment.page_blocks(own.where("book_id % 3 = 0"))), path)
+    return library.read_blocks(spark, path).select("id", "page_id", "book_id", "ordinal", "kind", "text_raw", "text_norm")
+
+
+_ASKED = "(SELECT doc_id AS id FROM labels UNION SELECT -1 - doc_id FROM labels WHERE doc_id % 5 = 0)"
+
+
+@query(f"WITH {PG} SELECT a.id, pg.book_id, pg.title, pg.id IS NOT NULL AS found FROM {_ASKED} a LEFT JOIN pg ON pg.id = a.id")
+def page_lookup(spark, sf_dir):
+    """Pages by id; an id that no page has says so."""
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    ids = ids.unionAll(ids.where("id % 5 = 0").select((-1 - F.col("id")).alias("id"))).distinct()
+    own = _pages(spark, sf_dir).select("id", "book_id", "title").withColumn("_ok", F.lit(True))
+    return ids.join(own, "id", "left").select("id", "book_id", "title", F.coalesce("_ok", F.lit(False)).alias("found"))
+
+
+_FIELDS = ["page_no", "ocr_status", "last_page_id", "source_ref"]
+_LOG = f"(SELECT event_id, user_id % 97 AS id, [{str(_FIELDS)[1:-1]}][1 + event_id % 4] AS field, CASE WHEN event_id % 11 <> 0 THEN props END AS value FROM events)"
+
+
+@query(
+    f"""WITH {PG}, lg AS {_LOG}, la AS (SELECT id, field, arg_max([value], event_id)[1] AS value FROM lg GROUP BY id, field)
+SELECT pg.id, pg.book_id, {', '.join(f"max(value) FILTER (field = '{f}') AS {f}" for f in _FIELDS)}, {', '.join(f"count(*) FILTER (field = '{f}') > 0 AS set_{f}" for f in _FIELDS)}
+FROM pg JOIN la ON la.id = pg.id GROUP BY pg.id, pg.book_id"""
+)
+def updated_pages(spark, sf_dir):
+    """Pages with the last value that each of their fields was set to; a field can be set to nothing."""
+    field = F.element_at(F.array(*[F.lit(f) for f in _FIELDS]), (F.col("event_id") % 4 + 1).cast("int"))
+    value = F.when(F.col("event_id") % 11 != 0, F.col("props"))
+    log = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 97).alias("id"), field.alias("field"), value.alias("value"))
+    last = log.groupBy("id").agg(*[F.max(F.when(F.col("field") == f, F.struct("event_id", "value"))).alias(f) for f in _FIELDS])
+    own = _pages(spark, sf_dir).select("id", "book_id").join(last, "id")
+    return own.select("id", "book_id", *[F.col(f)["value"].alias(f) for f in _FIELDS], *[F.col(f).isNotNull().alias(f"set_{f}") for f in _FIELDS])
+
+
+@query(
+    f"""WITH {PG}, {BL}, {SM}, e AS (SELECT block_id, arg_max(sentence, revision) AS text, max(revision) AS rev FROM sm GROUP BY block_id)
+SELECT bl.id, text_raw, coalesce(e.text, text_norm) AS text_norm, CASE WHEN e.rev % 3 = 0 THEN 'heading' WHEN e.rev % 3 = 1 THEN 'quote' ELSE bl.kind END AS kind, e.rev IS NOT NULL AS user_edited FROM bl LEFT JOIN e ON e.block_id = bl.id"""
+)
+def edited_kinds(spark, sf_dir):
+    """Edits of a block's text and kind; the raw text stays as it was read."""
+    edits = summaries(spark, sf_dir).groupBy(F.col("block_id").alias("id")).agg(F.max_by("sentence", "revision").alias("text"), F.max("revision").alias("rev"))
+    own = blocks(spark, sf_dir).select("id", "text_raw", "text_norm", "kind").join(edits, "id", "left")
+    kind = F.when(F.col("rev") % 3 == 0, "heading").when(F.col("rev") % 3 == 1, "quote").otherwise(F.col("kind"))
+    return own.select("id", "text_raw", F.coalesce("text", "text_norm").alias("text_norm"), kind.alias("kind"), F.col("rev").isNotNull().alias("user_edited"))

@@ -125,12 +125,12 @@ def word_lookups(spark, sf_dir):
     return lx.look_up(own.unionAll(spark.sql(f"SELECT word FROM {_one(fixtures.SURFACES, 'word')}")).distinct(), _senses(spark, sf_dir))
 
 
-@query(f"WITH {_SENSES} SELECT headword, string_agg((ordinal + 1) || '. ' || gloss, chr(10) ORDER BY entry, ordinal) AS listing, CASE WHEN 1 < count(*) THEN 1 ELSE -1 END AS chosen FROM sn WHERE gloss <> '' GROUP BY headword")
+@query(f"WITH {_SENSES} SELECT headword, string_agg((ordinal + 1) || '. ' || gloss, chr(10) ORDER BY entry, ordinal) AS listing, CASE WHEN length(headword) % 4 < count(*) THEN length(headword) % 4 ELSE -1 END AS chosen FROM sn WHERE gloss <> '' GROUP BY headword")
 def sense_listings(spark, sf_dir):
-    """The senses of a headword as a numbered list; a chosen index beyond it counts as none."""
+    """The senses of a headword as a numbered list; a reply (here the word's length by 4) beyond it counts as none."""
     own = _senses(spark, sf_dir).where("gloss <> ''").groupBy("headword").agg(F.array_sort(F.collect_list(F.struct("entry", "ordinal", "gloss"))).alias("s"))
     lines = F.transform("s", lambda x: F.concat((x["ordinal"] + 1).cast("string"), F.lit(". "), x["gloss"]))
-    return own.select("headword", F.array_join(lines, "\n").alias("listing"), F.when(F.size("s") > 1, 1).otherwise(-1).alias("chosen"))
+    return own.select("headword", F.array_join(lines, "\n").alias("listing"), F.when(F.length("headword") % 4 < F.size("s"), F.length("headword") % 4).otherwise(-1).cast("long").alias("chosen"))
 
 
 #: words split over a line end: literal ones, and the longer words of the benchmark cut in two

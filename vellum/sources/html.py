@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -18,19 +19,36 @@ _CLOSES_P = BLOCKS - {"li"} | {"div", "article", "section", "nav", "header", "fo
 
 
 class _Node:
-    __slots__ = ("name", "attrs", "parts", "up")
+    __slots__ = ("name", "attrs", "parts", "up", "stripped", "holds")
 
     def __init__(self, name: str, attrs: dict, up: _Node | None):
         self.name, self.attrs, self.up, self.parts = name, attrs, up, []
+        #: stands inside furniture; holds a block
+        self.stripped = up is not None and (up.stripped or up.name in STRIP)
+        self.holds = False
 
     def walk(self):
-        for part in self.parts:
-            if isinstance(part, _Node):
+        """All nodes below, in document order, however deep they nest."""
+        stack = [iter(self.parts)]
+        while stack:
+            part = next(stack[-1], None)
+            if part is None:
+                stack.pop()
+            elif isinstance(part, _Node):
                 yield part
-                yield from part.walk()
+                stack.append(iter(part.parts))
 
     def text(self) -> str:
-        return "".join(p.text() if isinstance(p, _Node) else p for p in self.parts)
+        found, stack = [], [iter(self.parts)]
+        while stack:
+            part = next(stack[-1], None)
+            if part is None:
+                stack.pop()
+            elif isinstance(part, _Node):
+                stack.append(iter(part.parts))
+            else:
+                found.append(part)
+        return "".join(found)
 
 
 class _Tree(HTMLParser):
@@ -39,14 +57,19 @@ class _Tree(HTMLParser):
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("body", {}, None)
+        self.open: Counter = Counter()
         self.feed(page)
         self.close()
 
     def _leave(self, name: str, stop: set[str]) -> None:
+        if not self.open[name]:
+            return
         node = self.at
         while node is not None and node.name not in stop:
             if node.name == name and node.up is not None:
-                self.at = node.up
+                while self.at is not node.up:
+                    self.open[self.at.name] -= 1
+                    self.at = self.at.up
                 return
             node = node.up
 
@@ -59,8 +82,13 @@ class _Tree(HTMLParser):
             self._leave("li", {"ul", "ol"})
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.parts.append(node)
+        if tag in BLOCKS:
+            up = self.at
+            while up is not None and not up.holds:
+                up.holds, up = True, up.up
         if tag not in _VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
         if tag not in ("html", "body"):
@@ -108,16 +136,13 @@ def paragraphs(page: str, anchors: dict[str, str] | None = None) -> list[tuple[s
         if box is None:
             continue
         found: list[tuple[str, bool]] = []
+        told: set[str] = set()
         for node in box.walk():
             label = anchors.get(node.attrs.get("id", ""))
-            if label and (label, True) not in found:
+            if label and label not in told:
+                told.add(label)
                 found.append((label, True))
-            if node.name not in BLOCKS or any(x.name in BLOCKS for x in node.walk()):
-                continue
-            up = node.up
-            while up is not None and up.name not in STRIP:
-                up = up.up
-            if up is not None or _navigation(node):
+            if node.name not in BLOCKS or node.holds or node.stripped or _navigation(node):
                 continue
             if text := clean(node.text()):
                 found.append((text, bool(re.fullmatch("h[1-6]", node.name))))
@@ -126,10 +151,24 @@ def paragraphs(page: str, anchors: dict[str, str] | None = None) -> list[tuple[s
     return []
 
 
+def contents_links(page: str) -> list[tuple[str, str]]:
+    """(target, label) of the links of a navigation document's table of contents."""
+    root = _Tree(page).root
+    navs = [n for n in root.walk() if n.name == "nav"]
+    own = [n for n in navs if "toc" in n.attrs.get("epub:type", "").split()] or navs[:1]
+    return [(x.attrs.get("href", ""), squeeze(x.text())) for n in own for x in n.walk() if x.name == "a" and x.attrs.get("href")]
+
+
 def title(page: str) -> str | None:
     """The first article heading, heading or title that is text."""
     root = _Tree(page).root
-    article = next((n for n in root.walk() if n.name == "article" and any(x.name == "h1" for x in n.walk())), None)
+    headed: set[int] = set()
+    for node in root.walk():
+        up = node.up if node.name == "h1" else None
+        while up is not None and id(up) not in headed:
+            headed.add(id(up))
+            up = up.up
+    article = next((n for n in root.walk() if n.name == "article" and id(n) in headed), None)
     for box, name in ((article, "h1"), (root, "h1"), (root, "title")):
         node = next((n for n in box.walk() if n.name == name), None) if box else None
         if node and (text := clean(node.text())):

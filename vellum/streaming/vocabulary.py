@@ -33,10 +33,19 @@ def running_vocabulary(events: DataFrame, late: str = "30 days") -> DataFrame:
     )
 
 
-def replay(spark: SparkSession, sf_dir: str, checkpoint: str) -> DataFrame:
-    """Run the stream over what is there and return the table it ends with."""
-    name = "running_vocabulary_replay"
-    stream = running_vocabulary(read_events(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name)
-    run = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+def replay(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Run the stream over what is there and return the table it ends with.
+
+    Each batch writes its table below ``folder``; the last one's is read.  Nothing passes
+    through the driver but the batch's number.
+    """
+    last = []
+
+    def keep(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{folder}/table/batch={batch}")
+        last[:] = [batch]
+
+    stream = running_vocabulary(read_events(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(keep)
+    stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = "book_id long, word string, count long, first_id long"
+    return spark.read.schema(schema).parquet(f"{folder}/table/batch={last[0]}") if last else spark.createDataFrame([], schema)
