@@ -84,7 +84,7 @@ def core(c: Column) -> Column:
 
 
 def _any_of(c: Column, parts: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
+    return let(c, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in parts]))
 
 
 def is_furniture(line: Column) -> Column:
@@ -168,31 +168,35 @@ def is_running_head(text: Column) -> Column:
 
 def heading_level(text: Column) -> Column:
     """part, chapter, section, topic or minor."""
-    t = _normal(text)
-    w, n = words(t), word_count(t)
-    head = F.try_element_at(w, F.lit(1))
-    first = core(head)
-    return (
-        F.when(t == "", "minor")
+    return let(_normal(text), lambda t: let(words(t), lambda w: _level(text, t, w)))
+
+
+def _level(text: Column, t: Column, w: Column) -> Column:
+    """Of a heading, its normal form and the words of that."""
+    n, head = F.size(w), F.get(w, F.lit(0))
+    return let(
+        core(head),
+        lambda first: F.when(t == "", "minor")
         .when(first.isin(PART_WORDS) & (n <= 4), "part")
         .when(first.isin(STANDALONE) & (n <= 3), "part")
         .when(first.isin(CHAPTER_WORDS) & (n <= 4), "chapter")
         .when(t.startswith("§") | first.isin("sec", "section"), "section")
         .when((n == 1) & is_numeral(head), "chapter")
         .when(is_title_case(text) & ~is_all_caps(text) & ~is_running_head(text), "topic")
-        .otherwise("minor")
+        .otherwise("minor"),
     )
 
 
 def is_bare_marker(text: Column) -> Column:
-    t = _normal(text)
-    w, n = words(t), word_count(t)
-    one, two = F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(2))
-    return (
-        F.when(n == 1, is_numeral(one) | one.isin(STANDALONE))
-        .when(n == 2, core(one).isin(CHAPTER_WORDS + PART_WORDS) & is_numeral(two))
-        .otherwise(False)
-    )
+    def judged(w):
+        n, one, two = F.size(w), F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        return (
+            F.when(n == 1, is_numeral(one) | one.isin(STANDALONE))
+            .when(n == 2, core(one).isin(CHAPTER_WORDS + PART_WORDS) & is_numeral(two))
+            .otherwise(False)
+        )
+
+    return let(words(_normal(text)), judged)
 
 
 def roman_value(text: Column) -> Column:
@@ -256,26 +260,21 @@ def preview(text: Column, limit: int = 70) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a paragraph, closed by a mark before a word that opens a new one."""
-    w = words(text)
-    pairs = F.zip_with(w, F.slice(w, 2, 1_000_000), lambda a, b: F.struct(a.alias("w"), b.alias("next")))
-    closes = lambda x: (
-        ~F.lower(x["w"]).isin(ABBREVIATIONS)
-        & x["w"].rlike("[.!?]$")
-        & F.coalesce(x["next"].rlike(r'^[^\p{IsAlphabetic}\p{N}"“]*[\p{IsUppercase}0-9"“]'), F.lit(False))
-    )
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(state, x):
-        now = F.when(state["open"] == "", x["w"]).otherwise(F.concat(state["open"], F.lit(" "), x["w"]))
-        end = closes(x)
-        return F.struct(
-            F.when(end, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"),
-            F.when(end, "").otherwise(now).alias("open"),
-        )
+    """Sentences of a paragraph, closed by a mark before a word that opens a new one.
 
-    found = F.aggregate(pairs, start, step)
-    return F.when(found["open"] == "", found["done"]).otherwise(F.concat(found["done"], F.array(found["open"])))
+    The places where sentences close are listed, and the words are cut there.
+    """
+
+    def closes(w, x, i):
+        opener = F.coalesce(F.get(w, i + 1).rlike(r'^[^\p{IsAlphabetic}\p{N}"“]*[\p{IsUppercase}0-9"“]'), F.lit(False))
+        return x.rlike("[.!?]$") & ~F.lower(x).isin(ABBREVIATIONS) & opener
+
+    def cut(w):
+        ends = F.filter(F.transform(w, lambda x, i: F.when((i == F.size(w) - 1) | closes(w, x, i), i)), lambda i: i.isNotNull())
+        first = lambda e, k: F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
+        return let(ends, lambda e: F.transform(e, lambda x, k: F.array_join(F.slice(w, first(e, k) + 1, x - first(e, k) + 1), " ")))
+
+    return let(words(text), cut)
 
 
 def expand_ligatures(text: Column) -> Column:
@@ -340,6 +339,16 @@ def runs(w: Column, n: int = SHARED_RUN) -> Column:
     return F.transform(full, lambda x: F.concat_ws(" ", *[x[str(k)] for k in range(n)]))
 
 
+def run_hashes(w: Column, n: int = SHARED_RUN) -> Column:
+    """A 64-bit hash of each run of ``n`` words, in order."""
+
+    def hashed(h):
+        at = F.sequence(F.lit(0), F.size(h) - n)
+        return F.when(F.size(h) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), hashed)
+
+
 def shares_run(question: Column, paragraph: Column) -> Column:
     q, p = plain_words(question), plain_words(paragraph)
     return (F.size(q) > SHARED_RUN) & F.arrays_overlap(runs(q), runs(p))

@@ -117,20 +117,22 @@ def drop_commentary(pages: DataFrame, blocks: str) -> DataFrame:
 
 def drop_page_furniture(pages: DataFrame, blocks: str, title: str) -> DataFrame:
     """Without a first block that repeats the title and a short last one that echoes another."""
-    df = pages.withColumn("_keys", F.transform(blocks, lambda b: t.furniture_key(b["text"])))
-    df = df.withColumn("_title", t.furniture_key(F.col(title)))
-    headed = F.coalesce((F.col("_title") != "") & (F.try_element_at("_keys", F.lit(1)) == F.col("_title")), F.lit(False))
-    cut = lambda c: F.when(headed, F.slice(c, F.lit(2), F.size(c))).otherwise(F.col(c))
-    df = df.withColumns({"_body": cut(blocks), "_rest": cut("_keys")})
-    key = F.try_element_at("_rest", F.lit(-1))
-    echo = (
-        (F.size("_body") >= 2)
-        & (F.length(F.try_element_at("_body", F.lit(-1))["text"]) <= 60)
-        & (key != "")
-        & (F.array_position("_rest", key) < F.size("_rest"))
+
+    def headed(x):
+        first = F.get(x["blocks"], F.lit(0))["text"]
+        return F.coalesce((x["key"] != "") & (t.furniture_key(first) == x["key"]), F.lit(False))
+
+    def less(own):
+        last = F.get(own, F.size(own) - 1)["text"]
+        others = F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0)))
+        echoed = lambda key: (key != "") & F.exists(others, lambda b: t.furniture_key(b["text"]) == key)
+        return F.when((F.size(own) >= 2) & (F.length(last) <= 60) & let(t.furniture_key(last), echoed), others).otherwise(own)
+
+    body = let(
+        F.struct(F.col(blocks).alias("blocks"), t.furniture_key(F.col(title)).alias("key")),
+        lambda x: F.when(headed(x), F.slice(x["blocks"], F.lit(2), F.size(x["blocks"]))).otherwise(x["blocks"]),
     )
-    less = F.slice("_body", F.lit(1), F.greatest(F.size("_body") - 1, F.lit(0)))
-    return df.withColumn(blocks, F.when(F.coalesce(echo, F.lit(False)), less).otherwise(F.col("_body"))).drop("_keys", "_title", "_body", "_rest")
+    return pages.withColumn(blocks, let(body, less))
 
 
 def page_blocks(pages: DataFrame, raw: str = "raw", title: str = "title") -> DataFrame:

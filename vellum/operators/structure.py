@@ -27,9 +27,8 @@ def fold_titles(headings: DataFrame) -> DataFrame:
 
 def declared_level(text: Column, source_ref: Column) -> Column:
     """A heading that its source declares is a chapter at least."""
-    level = t.heading_level(text)
     told = F.coalesce(t.trim(source_ref) == t.trim(text), F.lit(False))
-    return F.when(told & level.isin("section", "topic", "minor"), "chapter").otherwise(level)
+    return let(t.heading_level(text), lambda level: F.when(told & level.isin("section", "topic", "minor"), "chapter").otherwise(level))
 
 
 def fold_array(headings: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -211,26 +210,25 @@ def _runs_sql(key: str, source: str) -> str:
 def ngram_scrub(spark, sf_dir):
     """Documents that quote six words of a benchmark item in a row.
 
-    Runs are hashed; the benchmark's come first and filter the documents' before anything of
-    these moves, by a broadcast as long as there are at most ``FEW_RUNS``; equal hashes are
-    verified by the words themselves.
+    Runs are hashed word by word; the benchmark's come first and filter the documents' before
+    anything of these moves, by a broadcast as long as there are at most ``FEW_RUNS``.  Only
+    documents with an equal hash are read again, and their words verified.
     """
-    held = _hashed_runs(table(spark, sf_dir, "benchmark"), "item_id").distinct()
-    own = _hashed_runs(table(spark, sf_dir, "documents"), "doc_id")
-    side = F.broadcast(held) if held.count() <= FEW_RUNS else held
-    found = own.join(side.withColumnRenamed("run", "other"), "h").where("run = other")
-    return found.select("doc_id", "item_id").distinct()
-
-
-#: Runs of some 60 bytes that are broadcast: about 30 MB.
+    held = table(spark, sf_dir, "benchmark").select("item_id", t.plain_words(F.coalesce("text", F.lit(""))).alias("w"))
+    held = held.select("item_id", F.explode(F.arrays_zip(t.run_hashes(F.col("w")).alias("h"), t.runs(F.col("w")).alias("run"))).alias("x")).select("item_id", "x.*").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashes = held.select("h").distinct()
+    side = F.broadcast(hashes) if hashes.count() <= FEW_RUNS else hashes
+    near = docs.select("doc_id", F.explode(t.run_hashes(t.plain_words(F.col("text")))).alias("h")).join(side, "h", "left_semi").select("doc_id").distinct()
+    again = docs.join(near, "doc_id", "left_semi").select("doc_id", t.plain_words(F.col("text")).alias("w"))
+    runs = again.select("doc_id", F.explode(F.arrays_zip(t.run_hashes(F.col("w")).alias("h"), t.runs(F.col("w")).alias("other"))).alias("x")).select("doc_id", "x.*")
+    return runs.join(held, "h").where("run = other").select("doc_id", "item_id").distinct()
+
+
+#: Hashes that are broadcast: about 30 MB.
 FEW_RUNS = 500_000
 
 
-def _hashed_runs(rows, key):
-    own = NGram(n=t.SHARED_RUN, inputCol="w", outputCol="runs").transform(rows.select(key, t.plain_words(F.coalesce("text", F.lit(""))).alias("w")))
-    return own.select(key, F.explode("runs").alias("run")).select(key, "run", F.xxhash64("run").alias("h"))
-
-
 _PAIR = "(SELECT c.conv_id, c.turn, c.text AS q, p.text AS p FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1)"
 
 
