@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ._shared import materialize, utf8_size, work_path
 from ._tokens import encoder, vocabulary
 
-#: Misses of 64 bytes each that are broadcast: 32 MB.
-FEW = 500_000
+#: Misses that are broadcast, at some 250 bytes each in memory: 25 MB.
+FEW = 100_000
 CACHE = "content string, tokenizer string, n_tokens long"
 
 
