@@ -224,8 +224,12 @@ def pages_needing_numbers(spark, sf_dir):
 def division_page_counts(spark, sf_dir):
     """Pages per division: one without a label belongs to the last label before it."""
     label = F.when(F.col("id") % 9 == 0, F.concat(F.lit("part "), F.col("id")))
-    w = Window.partitionBy("book_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    own = _pages(spark, sf_dir).select("id", "book_id", label.alias("label")).withColumn("g", F.count("label").over(w))
+    own = _pages(spark, sf_dir).select("id", "book_id", label.alias("label")).withColumn("s", F.floor(F.col("id") / 4096))
+    # labels are counted within stretches of ids, and over the stretches: no book is in one task
+    inside = Window.partitionBy("book_id", "s").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("book_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("book_id", "s").agg(F.count("label").alias("n")).select("book_id", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = own.withColumn("g", F.count("label").over(inside)).join(counts, ["book_id", "s"]).withColumn("g", F.col("g") + F.col("before"))
     return own.groupBy("book_id", "g").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("n_pages"))
 
 
