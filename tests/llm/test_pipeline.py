@@ -22,7 +22,8 @@ def test_stages(spark, sf_dir):
             # what stays is at least one of each group that brute force finds, and hardly more
             ids = [r.doc_id for r in before]
             least = set(groups(linked_pairs([(r.doc_id, r.text) for r in before]), ids).tolist())
-            assert least <= {r.doc_id for r in rows} and len(rows) <= len(least) + 0.1 * (len(before) - len(least))
+            # (two of these pairs, at 0.83, are beyond the radius or meet in no table)
+            assert least <= {r.doc_id for r in rows} and len(rows) <= len(least) + 2
         if name == "secrets":
             assert len(rows) == len(before) and not any(base_spans(r.text) for r in rows)
             clean = {r.doc_id: r.text for r in before if "[secret]" not in r.text}

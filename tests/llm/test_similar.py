@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -72,6 +73,26 @@ def test_stage_on_documents(spark, sf_dir):
     assert check(spark, rows) >= 0.8
 
 
+def test_recall_on_documents():
+    """Of all linked pairs of different texts at sf0.1 the candidate search lets nearly all through."""
+    how, pairs = similar.Search(), {}
+    hashes = [similar.shingle_hashes(t) for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist()]
+    size = np.array([len(a) for a, _ in hashes])
+    shingle = np.concatenate([a for a, _ in hashes])
+    order = np.argsort(shingle, kind="stable")
+    owner = np.repeat(np.arange(len(size)), size)[order]
+    runs = np.split(owner, np.flatnonzero(np.diff(shingle[order])) + 1)
+    for own in (r for r in runs if 1 < len(r) < 40):
+        for i, a in enumerate(own.tolist()):
+            for b in own[i + 1 :].tolist():
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    alike = [(a, b) for (a, b), n in pairs.items() if n < size[a] + size[b] - n and how.alike(size[a], size[b], n)]
+    bits = {i: np.unpackbits(np.array(similar.set_print(hashes[i][1]), ">i8").view(np.uint8)) for i in {i for pair in alike for i in pair}}
+    tables = how.tables(len(size))
+    hits = [(bits[a] != bits[b]).sum() <= how.radius and (bits[a][tables] == bits[b][tables]).all(axis=1).any() for a, b in alike]
+    assert len(hits) > 1000 and np.mean(hits) > 0.98
+
+
 @pytest.mark.parametrize("n_texts, copies", [(100, 5), (2, 150)])
 def test_edited_copies(spark, n_texts, copies):
     assert check(spark, edited(n_texts, copies, seed=n_texts)) >= 0.95
