@@ -66,8 +66,9 @@ def trim(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Trimmed, with every run of white space as one space."""
-    return F.regexp_replace(trim(c), r"(?U)\s+", " ")
+    """Trimmed, with every run of white space as one space; most texts are so already."""
+    loose = r"(?U)\s\s|[^\S ]"
+    return let(trim(c), lambda t: F.when(t.rlike(loose), F.regexp_replace(t, r"(?U)\s+", " ")).otherwise(t))
 
 
 def words(c: Column) -> Column:
@@ -88,12 +89,15 @@ def _any_of(c: Column, parts: list[str]) -> Column:
 
 
 def is_furniture(line: Column) -> Column:
-    """Rules, and lines of up to 12 characters that are a page number."""
+    """Rules, and lines of up to 12 characters that are a page number.
+
+    Prose is told from both by its first characters.
+    """
     t = F.btrim(trim(line), F.lit("[]"))
     bare = F.regexp_replace(t, r"(?U)\s+", "")
     rule = (F.octet_length(t) >= 3) & t.rlike(r"^[-_*]+$")
     number = (F.length(t) <= 12) & (bare.rlike("^[0-9]+$") | F.lower(bare).rlike("^[ivxlcdm]+$"))
-    return rule | number
+    return line.rlike(r"(?U)^[\s\[\]]*+[-_*0-9ivxlcdmIVXLCDM\s]*+[\[\]\s]*+$") & (rule | number)
 
 
 def is_all_caps(c: Column) -> Column:
@@ -113,7 +117,9 @@ def is_title_case(text: Column) -> Column:
 
 
 def looks_like_heading(text: Column) -> Column:
-    return let(trim(text), lambda t: let(F.filter(F.split(t, r"(?U)\s+", 14), lambda w: w != ""), lambda w: _heading_like(t, w)))
+    short = r"(?U)^\S++(?:\s++\S++){0,11}+$"  # at most 12 words
+    words_of = lambda t: F.filter(F.split(t, r"(?U)\s+", 14), lambda w: w != "")
+    return let(trim(text), lambda t: F.when(t.rlike(short), let(words_of(t), lambda w: _heading_like(t, w))).otherwise(False))
 
 
 def _heading_like(t: Column, w: Column) -> Column:
