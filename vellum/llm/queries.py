@@ -5,17 +5,19 @@ from __future__ import annotations
 from . import (
     direct_codes,
     embeddings,
+    fill_middle,
     language,
     mixing,
     order_minhash,
     packing,
+    prefix_bpe,
     secrets,
     sharding,
     simhash,
     token_counts,
 )
 
-_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, language, mixing, simhash, direct_codes, packing)
+_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, language, mixing, simhash, direct_codes, packing, fill_middle, prefix_bpe)
 
 
 def queries() -> dict:
