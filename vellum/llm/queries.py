@@ -11,13 +11,14 @@ from . import (
     order_minhash,
     packing,
     prefix_bpe,
+    prefix_trie,
     secrets,
     sharding,
     simhash,
     token_counts,
 )
 
-_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, language, mixing, simhash, direct_codes, packing, fill_middle, prefix_bpe)
+_MODULES = (sharding, embeddings, secrets, order_minhash, token_counts, language, mixing, simhash, direct_codes, packing, fill_middle, prefix_bpe, prefix_trie)
 
 
 def queries() -> dict:
