@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize, whole_runs
 
 #: Rows below a node from which on it belongs to the upper levels.
-HEAVY = 4096
+HEAVY = 1024
 #: Rows that one level-order trie is built from, at least.
 CHUNK = 1 << 16
 #: Depths of one stretch of a conversation, which no task exceeds.
