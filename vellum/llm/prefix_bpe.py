@@ -253,7 +253,7 @@ class PrefixEncoder(ChunkEncoder):
     chunks between white space, that are held.
     """
 
-    def __init__(self, path: str, pattern: str, kept: int = 600_000):
+    def __init__(self, path: str, pattern: str, kept: int = 350_000):
         import public_tokenizers
         import regex
 
