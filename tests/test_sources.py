@@ -125,18 +125,35 @@ def test_epub_query_is_the_pages_text(spark, sf_dir):
 
 
 def test_import_driver(spark):
-    rows = [(1, 5, "The Title", "Chapter One", 0, "The Title"), (1, 5, "The Title", "Chapter One", 1, "A paragraph of the page that is long enough."), (2, 5, "The Title", None, 0, "12"), (3, 5, "The Title", None, 0, "Another page with words, and they end here.")]
-    got = ingest.import_pages(spark.createDataFrame(rows, "id long, book_id long, title string, label string, k long, text string")).orderBy("id").collect()
-    assert [(r.page_id, r.ordinal, r.kind, r.text_raw) for r in got] == [
-        (1, 1, "heading", "Chapter One"), (1, 2, "paragraph", "A paragraph of the page that is long enough."), (3, 1, "paragraph", "Another page with words, and they end here."),
+    rows = [
+        ("1/1", 5, "The Title", "early_modern", "Chapter One of fome", 0, "The Title"), ("1/1", 5, "The Title", "early_modern", "Chapter One of fome", 1, "A fhort paragraph of the page un-\nder-\nftand well-\nknown ﬁre that is long enough."),
+        ("2/1", 5, "The Title", "modern", None, 0, "12"), ("3/1", 5, "The Title", "modern", None, 0, "Another ﬁne page with words,\nand they end here."), ("4/1", 5, "The Title", "victorian", None, 0, "A ﬁne ſet of\nfhort words here."),
+    ]
+    frame = spark.createDataFrame(rows, "id string, book_id long, title string, era string, label string, k long, text string")
+    words = spark.createDataFrame([(w,) for w in ("short", "understand", "well-known", "some", "underftand")], "headword string")
+    got = ingest.import_pages(frame, words).orderBy("id").collect()
+    assert [(r.id, r.page_id, r.ordinal, r.kind, r.text_raw, r.text_norm) for r in got] == [
+        ("1/1:1", "1/1", 1, "heading", "Chapter One of fome", "Chapter One of fome"),
+        ("1/1:2", "1/1", 2, "paragraph", "A fhort paragraph of the page underftand well-known ﬁre that is long enough.", "A short paragraph of the page underftand well-known fire that is long enough."),
+        ("3/1:1", "3/1", 1, "paragraph", "Another ﬁne page with words, and they end here.", "Another ﬁne page with words, and they end here."),
+        ("4/1:1", "4/1", 1, "paragraph", "A ﬁne ſet of fhort words here.", "A fine ſet of fhort words here."),
     ]
     docs = spark.createDataFrame([(3, "u"), (1, "u"), (2, "v")], "page_id long, url string")
     assert sorted(r.page_id for r in ingest.first_of_source(docs, "url", "page_id").collect()) == [1, 2]
 
 
-def test_imported_blocks(spark, sf_dir):
+def test_imported_blocks(spark, sf_dir, tmp_path):
     got = ingest_plans.imported_blocks(spark, sf_dir).collect()
     assert len({r.id for r in got}) == len(got) > 0 and {r.ordinal for r in got if r.kind == "heading"} >= {1}
+    # the same with ids of any size: only the ids differ
+    far = 9_000_000_000_000_000_000
+    spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("page_id", F.col("page_id") + far).write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("benchmark",):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    again = ingest_plans.imported_blocks(spark, str(tmp_path)).collect()
+    assert sorted((r.book_id, r.page_id, r.id, r.text_raw, r.text_norm) for r in got) == sorted(
+        (r.book_id - far, *[x.replace(str(r.book_id), str(r.book_id - far), 1) for x in (r.page_id, r.id)], r.text_raw, r.text_norm) for r in again
+    )
 
 
 def test_dictionary_json(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from . import segment
+from . import broken_words
 
 PER_PAGE = 8
 REFERENCED = 0.6
@@ -83,18 +83,14 @@ def fit_within(width: Column, height: Column, edge: int = 1600) -> Column:
     return F.struct(F.when(small, width.cast("long")).otherwise(scaled(width)).alias("w"), F.when(small, height.cast("long")).otherwise(scaled(height)).alias("h"))
 
 
-def import_pages(paged: DataFrame) -> DataFrame:
-    """Blocks of imported pages from ``id, book_id, title, label, k, text``: one row per paragraph.
+def import_pages(paged: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Blocks of imported pages from ``id, book_id, title, era, label, k, text``: one row per paragraph.
 
-    A page's paragraphs are joined by blank lines and segmented as a transcription is; a
-    label comes before them as a heading; pages without a block are left out.
+    A page's paragraphs are joined by blank lines and read as a transcription is.
     """
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n\n")
-    pages = paged.groupBy("id", "book_id", "title").agg(F.max("label").alias("label"), whole.alias("raw"))
-    own = segment.page_blocks(pages)
-    head = F.array(F.struct(F.lit("heading").alias("kind"), F.col("label").alias("text")))
-    own = own.withColumn("blocks", F.when(F.col("label").isNotNull(), F.concat(head, F.col("blocks"))).otherwise(F.col("blocks")))
-    return segment.block_rows(own)
+    pages = paged.groupBy("id", "book_id", "title", "era").agg(F.max("label").alias("label"), whole.alias("raw"))
+    return broken_words.imported(pages, lexicon, "label")
 
 
 def first_of_source(documents: DataFrame, source: str, key: str) -> DataFrame:

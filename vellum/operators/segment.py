@@ -13,8 +13,20 @@ from ..functions import text as t
 from ..functions.arrays import first_of_equals, let
 
 BLOCKS = "array<struct<kind:string,text:string>>"
-#: A block's id is its page's id times this, plus its place in the page.
-PAGE_SPAN = 1_000_000_000
+
+
+def block_id(page: Column, ordinal: Column) -> Column:
+    """A block's id: its page's and its place there, ``page:ordinal``, whatever size either has."""
+    return F.concat(page.cast("string"), F.lit(":"), ordinal.cast("string"))
+
+
+def page_of(block: Column) -> Column:
+    """The page that a block's id names, as text."""
+    return F.regexp_replace(block, ":[0-9]+$", "")
+
+
+def ordinal_of(block: Column) -> Column:
+    return F.regexp_extract(block, ":([0-9]+)$", 1).cast("long")
 
 
 def lines_of(raw: Column) -> Column:
@@ -38,34 +50,54 @@ def is_prewrapped(lines: Column) -> Column:
     return let(F.filter(lines, lambda x: (x != "") & ~t.is_furniture(x)), judged)
 
 
-def join_lines(lines: Column) -> Column:
-    """The trimmed lines of a block as one run of prose, with split words closed.
-
-    A line that is all hyphens says nothing but at the end: the hyphens before a line's end
-    fall away with it.  What two lines are joined by depends on these two alone.
-    """
+def kept_lines(own: Column) -> Column:
+    """Without lines that are all hyphens: they say nothing but at the end of a block."""
     bare = f"^[{t.HYPHENS}]+$"
+    return let(own, lambda x: F.filter(x, lambda line, i: (i == F.size(x) - 1) | ~line.rlike(bare)))
+
+
+def is_broken(line: Column, following: Column) -> Column:
+    """Does a word go on in the following line of the block?"""
+    return following.isNotNull() & line.rlike(f"[{t.HYPHENS}]$")
 
-    def joined(kept):
+
+def without_hyphens(line: Column) -> Column:
+    return F.regexp_replace(line, f"[{t.HYPHENS}]+$", "")
+
+
+def _by_case(kept: Column, i: Column) -> Column:
+    """Without a lexicon: the halves of a clean break keep a hyphen unless the second starts small."""
+    clean = without_hyphens(F.get(kept, i)).rlike(r"\p{IsAlphabetic}$") & F.get(kept, i + 1).rlike(r"^\p{IsAlphabetic}")
+    return clean & ~F.get(kept, i + 1).rlike(r"^\p{IsLowercase}")
+
+
+def join_kept(kept: Column, hyphen=_by_case) -> Column:
+    """Lines of a block as one run of prose; ``hyphen(kept, i)`` tells where a broken word keeps its hyphen."""
+
+    def joined(own):
         def piece(x, i):
-            following = F.get(kept, i + 1)
-            body = F.regexp_replace(x, f"[{t.HYPHENS}]+$", "")
-            clean = body.rlike(r"\p{IsAlphabetic}$") & following.rlike(r"^\p{IsAlphabetic}")
-            closed = F.concat(body, F.when(clean & ~following.rlike(r"^\p{IsLowercase}"), "-").otherwise(""))
-            return F.when(following.isNull(), x).when(x.rlike(f"[{t.HYPHENS}]$"), closed).otherwise(F.concat(x, F.lit(" ")))
+            closed = F.concat(without_hyphens(x), F.when(hyphen(own, i), "-").otherwise(""))
+            return F.when(F.get(own, i + 1).isNull(), x).when(is_broken(x, F.get(own, i + 1)), closed).otherwise(F.concat(x, F.lit(" ")))
 
-        return F.array_join(F.transform(kept, piece), "")
+        return F.array_join(F.transform(own, piece), "")
 
-    kept = lambda own: F.filter(own, lambda x, i: (i == F.size(own) - 1) | ~x.rlike(bare))
-    return t.squeeze(F.when(F.size(lines) == 1, F.get(lines, F.lit(0))).otherwise(let(let(lines, kept), joined)))
+    return t.squeeze(F.when(F.size(kept) == 1, F.get(kept, F.lit(0))).otherwise(let(kept, joined)))
 
 
-def segment(lines: Column, prewrapped: Column) -> Column:
-    """Blocks of a page's trimmed lines, in order: an array of kind and text.
+def join_lines(lines: Column) -> Column:
+    """The trimmed lines of a block as one run of prose, with split words closed by their case.
+
+    The hyphens before a line's end fall away with it.  What two lines are joined by depends
+    on these two alone.
+    """
+    return F.when(F.size(lines) == 1, t.squeeze(F.get(lines, F.lit(0)))).otherwise(join_kept(kept_lines(lines)))
+
+
+def line_blocks(lines: Column, prewrapped: Column) -> Column:
+    """Blocks of a page's trimmed lines, in order: an array of kind and lines.
 
     Blank and furniture lines close a block, a marked heading stands alone, a change of kind
-    opens a block, and on a prewrapped page every line is one.  Headings without a mark are
-    recognised on the assembled block.
+    opens a block, and on a prewrapped page every line is one.
     """
 
     def typed(x):
@@ -86,16 +118,19 @@ def segment(lines: Column, prewrapped: Column) -> Column:
                 edges, lambda at, k: F.struct(F.get(rows, at)["kind"].alias("kind"), F.slice(rows, at + 1, F.coalesce(F.get(edges, k + 1), F.size(rows)) - at).alias("rows"))
             )
             own = F.filter(own, lambda b: b["kind"] != "break")
-            return F.transform(own, lambda b: F.struct(b["kind"].alias("kind"), join_lines(F.transform(b["rows"], lambda x: x["line"])).alias("text")))
+            return F.transform(own, lambda b: F.struct(b["kind"].alias("kind"), F.transform(b["rows"], lambda x: x["line"]).alias("lines")))
 
         places = F.filter(F.transform(rows, lambda x, i: F.when(edge(x, i), i)), lambda i: i.isNotNull())
         return let(places, blocks)
 
     rows = F.filter(F.transform(lines, typed), lambda x: x["kind"] != "skip")
-    found = let(F.struct(rows.alias("rows"), prewrapped.alias("wrapped")), lambda x: let(x["rows"], lambda r: cut(r, x["wrapped"])))
-    found = F.filter(found, lambda b: b["text"] != "")
+    return let(F.struct(rows.alias("rows"), prewrapped.alias("wrapped")), lambda x: let(x["rows"], lambda r: cut(r, x["wrapped"])))
+
+
+def _judged(joined: Column) -> Column:
+    """Blocks of kind and text, without empty ones; headings without a mark show on the whole block."""
     return F.transform(
-        found,
+        F.filter(joined, lambda b: b["text"] != ""),
         lambda b: F.struct(
             F.when((b["kind"] == "paragraph") & t.looks_like_heading(b["text"]), "heading").otherwise(b["kind"]).alias("kind"),
             b["text"].alias("text"),
@@ -103,6 +138,11 @@ def segment(lines: Column, prewrapped: Column) -> Column:
     )
 
 
+def segment(lines: Column, prewrapped: Column) -> Column:
+    """Blocks of a page's trimmed lines, in order: an array of kind and text."""
+    return _judged(F.transform(line_blocks(lines, prewrapped), lambda b: F.struct(b["kind"].alias("kind"), join_lines(b["lines"]).alias("text"))))
+
+
 def drop_repeats(pages: DataFrame, blocks: str) -> DataFrame:
     """Of blocks of 40 or more characters that repeat in a page, the first stays."""
     return pages.withColumn(blocks, first_of_equals(F.col(blocks), lambda b: F.when(F.length(b["text"]) >= 40, F.lower(b["text"]))))
@@ -135,25 +175,61 @@ def drop_page_furniture(pages: DataFrame, blocks: str, title: str) -> DataFrame:
     return pages.withColumn(blocks, let(body, less))
 
 
-def page_blocks(pages: DataFrame, raw: str = "raw", title: str = "title") -> DataFrame:
-    """Adds ``blocks``: segmented, without repeats, commentary and page furniture, in this order."""
+def _tidied(pages: DataFrame, title: str) -> DataFrame:
+    """Without repeats, commentary and page furniture, in this order."""
+    return pages.transform(drop_repeats, "blocks").transform(drop_commentary, "blocks").transform(drop_page_furniture, "blocks", title)
+
+
+def _with_lines(pages: DataFrame, raw: str) -> tuple[DataFrame, Column, Column]:
     df = pages.withColumn("_lines", trimmed_lines(F.coalesce(F.col(raw), F.lit(""))))
-    df = df.withColumn("blocks", segment(F.col("_lines"), F.coalesce(is_prewrapped(F.col("_lines")), F.lit(False)))).drop("_lines")
-    return df.transform(drop_repeats, "blocks").transform(drop_commentary, "blocks").transform(drop_page_furniture, "blocks", title)
+    return df, F.col("_lines"), F.coalesce(is_prewrapped(F.col("_lines")), F.lit(False))
+
+
+def page_blocks(pages: DataFrame, raw: str = "raw", title: str = "title") -> DataFrame:
+    """Adds ``blocks``: segmented, without repeats, commentary and page furniture."""
+    df, lines, prewrapped = _with_lines(pages, raw)
+    return _tidied(df.withColumn("blocks", segment(lines, prewrapped)).drop("_lines"), title)
+
+
+def page_lines(pages: DataFrame, raw: str = "raw") -> DataFrame:
+    """``parts`` in the place of the raw text: the page's blocks with the lines that count."""
+    df, lines, prewrapped = _with_lines(pages, raw)
+    parts = F.transform(line_blocks(lines, prewrapped), lambda b: F.struct(b["kind"].alias("kind"), kept_lines(b["lines"]).alias("lines")))
+    return df.withColumn("parts", parts).drop("_lines", raw)
+
+
+def blocks_of_lines(pages: DataFrame, title: str = "title") -> DataFrame:
+    """Adds ``blocks`` to pages with ``parts`` and ``hyphens``, in the place of both.
+
+    ``hyphens`` lists the breaks that keep theirs: block and line, from 0 (null: none do).
+    """
+
+    def joined(x):
+        def block(b, k):
+            own = F.transform(F.filter(x["hyphens"], lambda h: h["b"] == k), lambda h: h["i"])
+            text = let(own, lambda o: join_kept(b["lines"], lambda _, i: F.array_contains(o, i)))
+            return F.struct(b["kind"].alias("kind"), text.alias("text"))
+
+        return F.transform(x["parts"], block)
+
+    hyphens = F.coalesce("hyphens", F.array().cast("array<struct<b:int,i:int>>"))
+    both = F.struct(F.col("parts").alias("parts"), hyphens.alias("hyphens"))
+    return _tidied(pages.withColumn("blocks", _judged(let(both, joined))).drop("parts", "hyphens"), title)
 
 
-def block_rows(pages: DataFrame) -> DataFrame:
-    """One row per block: ``id, page_id, book_id, ordinal, kind, text_raw, text_norm``."""
+def block_rows(pages: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """One row per block: ``id, page_id, book_id, ordinal, kind, text_raw, text_norm``, and columns ``beside``."""
     numbered = F.transform("blocks", lambda b, i: F.struct((i + 1).cast("long").alias("ordinal"), b["kind"].alias("kind"), b["text"].alias("text_raw")))
-    rows = pages.select(F.col("id").alias("page_id"), "book_id", F.inline(numbered))
+    rows = pages.select(F.col("id").alias("page_id"), "book_id", *beside, F.inline(numbered))
     return rows.select(
-        (F.col("page_id") * PAGE_SPAN + F.col("ordinal")).alias("id"),
+        block_id(F.col("page_id"), F.col("ordinal")).alias("id"),
         "page_id",
         "book_id",
         "ordinal",
         "kind",
         "text_raw",
         t.normalise(F.col("text_raw")).alias("text_norm"),
+        *beside,
     )
 
 

@@ -173,8 +173,8 @@ def sentences(w: str) -> str:
     return f"list_filter(list_transform(string_split(array_to_string({mark}, ''), chr(1)), lambda s: rtrim(s, ' ')), lambda s: s <> '')"
 
 
-def normalise(x: str) -> str:
-    for mark, plain in [*rules.LIGATURES, ("ſ", "s")]:
+def normalise(x: str, level: str = "full") -> str:
+    for mark, plain in [*rules.LIGATURES, *([("ſ", "s")] if level == "full" else [])]:
         x = f"replace({x}, '{mark}', '{plain}')"
     return x
 

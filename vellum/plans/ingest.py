@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import ingest, structure
-from ..sources import epub, html, images
+from ..sources import epub, html, images, library
 from . import duck, fixtures
-from .relations import PG, pages, table
+from .relations import ERAS, PG, lexicon, pages, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,11 +41,16 @@ def web_paragraphs(spark, sf_dir):
     return html.web_paragraphs(table(spark, sf_dir, "pages"))
 
 
+def _web_runs(pages):
+    """The pages' paragraphs as runs; they are parsed once and written, since runs are read twice."""
+    rows = html.web_paragraphs(pages).select(F.col("page_id").alias("run_id"), F.col("title").alias("label"), "ordinal", F.col("text").alias("paragraph"))
+    return library.staged(rows, "paragraphs")
+
+
 @query()
 def web_pages_paginated(spark, sf_dir):
     """Web pages as pages of eight paragraphs."""
-    runs = web_paragraphs(spark, sf_dir).select(F.col("page_id").alias("run_id"), F.col("title").alias("label"), "ordinal", F.col("text").alias("paragraph"))
-    return ingest.paginate(runs)
+    return ingest.paginate(_web_runs(table(spark, sf_dir, "pages")))
 
 
 @query(rf"SELECT page_id, length(html) AS size, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs, coalesce(list_max(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: length(x))), 0) AS longest, len(regexp_extract_all(html, '<a ')) > 20 AND len(regexp_extract_all(html, '<a ')) > 0.5 * len(regexp_extract_all(html, '<p>')) AS navigation FROM pages")
@@ -153,13 +158,18 @@ def folio_cascade(spark, sf_dir):
 
 @query()
 def imported_blocks(spark, sf_dir):
-    """Web pages as imported documents: first of each address, cut into pages, segmented, labelled."""
+    """Web pages as imported documents: first of each address, cut into pages, read with the lexicon, labelled.
+
+    Every page is a book whose era its number gives.
+    """
     fresh = ingest.first_of_source(table(spark, sf_dir, "pages"), "url", "page_id")
-    rows = html.web_paragraphs(fresh).select(F.col("page_id").alias("run_id"), "title", F.col("title").alias("label"), "ordinal", F.col("text").alias("paragraph"))
-    titles = rows.select("run_id", "title").distinct()
-    paged = ingest.paginate(rows.drop("title")).join(titles, "run_id")
-    own = paged.select((F.col("run_id") * 10_000 + F.col("page")).alias("id"), F.col("run_id").alias("book_id"), "title", "label", "k", "text")
-    return ingest.import_pages(own)
+    runs = _web_runs(fresh)
+    titles = runs.groupBy("run_id").agg(F.max("label").alias("title"))
+    paged = ingest.paginate(runs).join(titles, "run_id")
+    era = F.element_at(F.array(*map(F.lit, ERAS)), (F.col("run_id") % 4 + 1).cast("int"))
+    page = F.concat(F.col("run_id").cast("string"), F.lit("/"), F.col("page").cast("string"))
+    own = paged.select(page.alias("id"), F.col("run_id").alias("book_id"), "title", era.alias("era"), "label", "k", "text")
+    return ingest.import_pages(own, lexicon(spark, sf_dir))
 
 
 @query()

@@ -134,7 +134,7 @@ def book_outline(spark, sf_dir):
     places of a page come to it as one set.
     """
     done = summaries(spark, sf_dir).where("sentence_ordinal IS NULL")
-    done = done.groupBy(F.floor(F.col("block_id") / segment.PAGE_SPAN).alias("id")).agg(F.collect_set((F.col("block_id") % segment.PAGE_SPAN).cast("int")).alias("done"))
+    done = done.groupBy(segment.page_of(F.col("block_id")).cast("long").alias("id")).agg(F.collect_set(segment.ordinal_of(F.col("block_id")).cast("int")).alias("done"))
     own = segment.page_blocks(pages(spark, sf_dir)).drop("raw")
     numbered = F.transform("blocks", lambda b, i: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), (i + 1).alias("ordinal")))
     own = own.withColumn("blocks", numbered).join(done, "id", "left")

@@ -157,7 +157,7 @@ def resume_pages(spark, sf_dir):
 
 @query(
     f"""WITH {PG}, {BL}, {SM}, gp AS (SELECT id FROM pg WHERE book_id % 4 <> 1), gb AS (SELECT bl.id FROM bl JOIN gp ON gp.id = bl.page_id), gs AS (SELECT sm.id FROM sm JOIN gb ON gb.id = sm.block_id)
-SELECT 'pages' AS relation, id FROM gp UNION ALL SELECT 'blocks', id FROM gb UNION ALL SELECT 'summaries', id FROM gs"""
+SELECT 'pages' AS relation, id::VARCHAR AS id FROM gp UNION ALL SELECT 'blocks', id FROM gb UNION ALL SELECT 'summaries', id::VARCHAR FROM gs"""
 )
 def cascade_delete(spark, sf_dir):
     """What is left of pages, blocks and summaries when every fourth book is deleted."""
@@ -167,15 +167,15 @@ def cascade_delete(spark, sf_dir):
     kept = blocks(spark, sf_dir).select("id", "page_id").join(left.select(F.col("id").alias("page_id")), "page_id", "left_semi")
     notes = summaries(spark, sf_dir).select("id", "block_id").join(kept.select(F.col("id").alias("block_id")), "block_id", "left_semi")
     parts = [("pages", left), ("blocks", kept), ("summaries", notes)]
-    out = [df.select(F.lit(name).alias("relation"), "id") for name, df in parts]
+    out = [df.select(F.lit(name).alias("relation"), F.col("id").cast("string").alias("id")) for name, df in parts]
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-@query(f"WITH {LK}, {PG}, {BL} SELECT lk.id, CASE WHEN b.id IS NOT NULL THEN lk.id * {segment.PAGE_SPAN} + 1 END AS block_id FROM lk LEFT JOIN bl b ON b.id = lk.id * {segment.PAGE_SPAN} + 1 AND b.kind <> 'quote'")
+@query(f"WITH {LK}, {PG}, {BL} SELECT lk.id, CASE WHEN b.id IS NOT NULL THEN lk.id || ':1' END AS block_id FROM lk LEFT JOIN bl b ON b.id = lk.id || ':1' AND b.kind <> 'quote'")
 def lookups_set_null(spark, sf_dir):
     """Lookups whose block is gone keep their row and lose the reference."""
     live = blocks(spark, sf_dir).where("kind <> 'quote'").select(F.col("id").alias("block_id")).withColumn("ok", F.lit(1))
-    own = lookups(spark, sf_dir).select("id", (F.col("id") * segment.PAGE_SPAN + 1).alias("block_id"))
+    own = lookups(spark, sf_dir).select("id", segment.block_id(F.col("id"), F.lit(1)).alias("block_id"))
     return own.join(live, "block_id", "left").select("id", F.when(F.col("ok") == 1, F.col("block_id")).alias("block_id"))
 
 

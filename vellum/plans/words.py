@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import broken_words
 from ..operators import lexicon as lx
 from . import duck, fixtures
-from .relations import BL, LEX, PG, blocks, lexicon, table
+from .relations import BL, BL_LEX, LEX, OLD, PG, blocks, lexicon, old_pages, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -191,6 +192,25 @@ def long_s_texts(spark, sf_dir):
     return lx.repair_texts(own, lexicon(spark, sf_dir))
 
 
+@query(
+    rf"""WITH RECURSIVE {LEX}, {OLD}, {BL_LEX},
+tx AS (SELECT bl.id, text_norm AS x FROM bl JOIN pg ON pg.id = bl.page_id WHERE era = 'early_modern'),
+tk AS (SELECT id, unnest(string_split(x, ' ')) AS tok, generate_subscripts(string_split(x, ' '), 1) AS i FROM tx),
+w AS (SELECT DISTINCT word, lower(word) AS low, list_filter(range(1, length(word) + 1), lambda i: lower(word)[i] = 'f') AS p FROM (SELECT {_CORE} AS word FROM tk)),
+mk AS (SELECT *, unnest(range(1, (1 << len(p)))) AS mask FROM w WHERE low NOT IN (SELECT headword FROM lex) AND len(p) BETWEEN 1 AND 4),
+cd AS (SELECT word, mask, array_to_string(list_transform(range(1, length(low) + 1), lambda i: CASE WHEN low[i] = 'f' AND ((mask >> (list_position(p, i) - 1)::INT) & 1) = 1 THEN 's' ELSE low[i] END), '') AS c FROM mk),
+be AS (SELECT word, arg_min(c, bit_count(mask)::INT * 100 + mask) AS c FROM cd WHERE c IN (SELECT headword FROM lex) GROUP BY word),
+fx AS (SELECT word, array_to_string(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN regexp_matches(word[i], '\p{{Lu}}') THEN upper(c[i]) ELSE c[i] END), '') AS fixed FROM be),
+rp AS (SELECT id, string_agg(CASE WHEN fixed IS NULL THEN tok ELSE left(tok, strpos(tok, word) - 1) || fixed || substr(tok, strpos(tok, word) + length(word)) END, ' ' ORDER BY i) AS text
+  FROM (SELECT tk.*, fx.word, fx.fixed FROM tk LEFT JOIN fx ON fx.word = {_CORE}) GROUP BY id)
+SELECT bl.id, page_id, book_id, ordinal, kind, text_raw, CASE era WHEN 'modern' THEN text_raw WHEN 'early_modern' THEN rp.text ELSE {duck.normalise('text_raw', 'light')} END AS text_norm
+FROM bl JOIN pg ON pg.id = bl.page_id LEFT JOIN rp ON rp.id = bl.id"""
+)
+def lexicon_blocks(spark, sf_dir):
+    """Blocks of all pages as old prints have them: broken words by the lexicon, spelling by the book's era."""
+    return broken_words.imported(old_pages(spark, sf_dir), lexicon(spark, sf_dir))
+
+
 @query(
     rf"""WITH {LEX}, w AS (SELECT doc_id AS id, unnest({duck.plain_words('text')}) AS w FROM documents),
 s AS (SELECT id, count(*) AS n, count(*) FILTER (w IN (SELECT headword FROM lex)) AS k FROM w WHERE regexp_matches(w, '^\p{{L}}{{3,}}$') GROUP BY id)

@@ -35,3 +35,10 @@ def save_blocks(blocks: DataFrame, path: str) -> None:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("book_id", F.col("book_id").cast("long"))
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written in the shared folder and read again, for what is used more than once."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
