@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.arrays import let
 from . import broken_words
 
 PER_PAGE = 8
@@ -62,17 +63,25 @@ def pdf_pages(pages: DataFrame) -> DataFrame:
     return df.select("doc_id", (F.col("page_index") + 1).alias("page_no"), F.posexplode(parts).alias("ordinal", "text"))
 
 
-def stream_text(transcripts: DataFrame) -> DataFrame:
-    """Text of captured response streams ``id, body``: one JSON object per line, up to ``done``.
+def answers(lines: Column) -> Column:
+    """Text of a response stream's lines, one JSON object each, up to the one that is ``done``.
 
     Lines that are not JSON are skipped.
     """
-    schema = "response string, done boolean"
-    parsed = F.filter(F.transform(F.split("body", "\n"), lambda x: F.from_json(x, schema)), lambda x: x["response"].isNotNull() | x["done"].isNotNull())
-    df = transcripts.select("id", parsed.alias("p"))
-    first_done = F.array_position(F.transform("p", lambda x: F.coalesce(x["done"], F.lit(False))), True)
-    kept = F.when(first_done > 0, F.slice("p", F.lit(1), first_done.cast("int"))).otherwise(F.col("p"))
-    return df.select("id", F.array_join(F.transform(kept, lambda x: F.coalesce(x["response"], F.lit(""))), "").alias("text"))
+    read = F.transform(lines, lambda x: F.from_json(x, "response string, done boolean"))
+
+    def told(own):
+        done = F.array_position(F.transform(own, lambda x: F.coalesce(x["done"], F.lit(False))), True)
+        kept = F.when(done > 0, F.slice(own, F.lit(1), done.cast("int"))).otherwise(own)
+        return F.array_join(F.transform(kept, lambda x: F.coalesce(x["response"], F.lit(""))), "")
+
+    return let(F.filter(read, lambda x: x["response"].isNotNull() | x["done"].isNotNull()), told)
+
+
+def stream_text(transcripts: DataFrame) -> DataFrame:
+    """``id, text`` of captured response streams ``id, body``; a line that no line end closes does not count."""
+    lines = let(F.split("body", "\n"), lambda x: F.slice(x, F.lit(1), F.size(x) - 1))
+    return transcripts.select("id", answers(lines).alias("text"))
 
 
 def fit_within(width: Column, height: Column, edge: int = 1600) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import ingest, structure
 from ..sources import epub, html, images, library
+from ..streaming import chunks
 from . import duck, fixtures
 from .relations import ERAS, PG, lexicon, pages, table
 
@@ -110,13 +111,32 @@ def pdf_pages(spark, sf_dir):
 FX_STREAMS = fixtures.values([(1, '{"response": "He", "done": false}\nnot json\n{"response": "llo", "done": true}\n{"response": " lost", "done": false}'), (2, '{"response": "a"}\n\n{"response": "b"}'), (3, "broken")], "v", "id, body")
 
 
-@query("SELECT * FROM (VALUES (1, 'Hello'), (2, 'ab'), (3, '')) AS v(id, text) UNION ALL SELECT 1000 + conv_id * 100 + turn, text || ' end' FROM conversations")
-def stream_texts(spark, sf_dir):
-    """Texts of captured streams: literal ones, and every turn as a stream of three answers of which the last is lost."""
+_STREAMS = "SELECT * FROM (VALUES (1, 'Hello'), (2, 'a'), (3, '')) AS v(id, text) UNION ALL SELECT 1000 + conv_id * 100 + turn, text || ' end' FROM conversations"
+
+
+def _streams(spark, sf_dir):
     line = lambda text, done: F.to_json(F.struct(text.alias("response"), F.lit(done).alias("done")))
     body = F.concat_ws("\n", line(F.col("text"), False), F.lit("{broken"), line(F.lit(" end"), True), line(F.lit(" lost"), False))
     own = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn") + 1000).cast("int").alias("id"), body.alias("body"))
-    return ingest.stream_text(own.unionByName(spark.sql(f"SELECT * FROM {FX_STREAMS}")))
+    return own.unionByName(spark.sql(f"SELECT * FROM {FX_STREAMS}"))
+
+
+@query(_STREAMS)
+def stream_texts(spark, sf_dir):
+    """Texts of captured streams: literal ones, and every turn as a stream of three answers of which the last is lost."""
+    return ingest.stream_text(_streams(spark, sf_dir))
+
+
+@query(_STREAMS)
+def chunked_streams(spark, sf_dir):
+    """The same from bodies that come in chunks of 61 bytes over three micro-batches, later chunks first."""
+    bodies, folder = _streams(spark, sf_dir), library.shared_folder(spark, "chunks")
+    cut = chunks.cut_bodies(bodies, 61)
+    for k in (2, 0, 1):
+        cut.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    chunks.follow(chunks.read_chunks(spark, f"{folder}/in"), folder)
+    texts = chunks.text_of_lines(spark.read.schema(chunks.LINES).parquet(f"{folder}/lines"))
+    return bodies.select("id").join(texts, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 _FX_SIZES = fixtures.values(fixtures.SIZES, "v", "w, h")

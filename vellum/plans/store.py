@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import segment, structure
-from ..sources import library
+from ..operators import cascade, segment, structure
+from ..sources import imports, library, versions
 from ..streaming import vocabulary as vocabulary_stream
 from . import duck
 from .reading import _NTH
@@ -117,8 +119,8 @@ def vocabulary(spark, sf_dir):
     """Words looked up, with the first lookup's lemma and sentence, most frequent first."""
     own = lookups(spark, sf_dir).withColumn("word", F.lower("word"))
     v = own.groupBy("book_id", "word").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("id", "lemma", "sentence")).alias("first"))
-    w = Window.partitionBy("book_id").orderBy(F.desc("count"), "word")
-    return v.select("book_id", "word", F.col("first.lemma").alias("lemma"), "count", F.col("first.sentence").alias("sentence"), F.row_number().over(w).cast("long").alias("nth"))
+    v = structure.ranked(v, "book_id", [-F.col("count"), F.substring("word", 1, 2)], ["word"], "nth")
+    return v.select("book_id", "word", F.col("first.lemma").alias("lemma"), "count", F.col("first.sentence").alias("sentence"), F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
@@ -179,6 +181,84 @@ def lookups_set_null(spark, sf_dir):
     return own.join(live, "block_id", "left").select("id", F.when(F.col("ok") == 1, F.col("block_id")).alias("block_id"))
 
 
+#: the library's relations, and what is deleted from them
+_LIB = """bk AS (SELECT DISTINCT book_id AS id, book_id * 3 AS last_page_id FROM pg), cr AS (SELECT id, id AS summary_id FROM sm WHERE id % 2 = 0),
+ru AS (SELECT id AS id, book_id FROM pg WHERE id % 11 = 0), lo AS (SELECT id, book_id, id || ':1' AS block_id FROM lk), vo AS (SELECT min(id) AS id, book_id, min(id) AS first_lookup_id FROM lk GROUP BY book_id, lower(word))"""
+_GONE = """gk AS (SELECT id FROM bk WHERE id % 4 = 1), gp AS (SELECT id FROM pg WHERE id % 7 = 3 OR book_id IN (FROM gk)),
+gb AS (SELECT id FROM bl WHERE (ordinal = 2 AND page_id % 5 = 0) OR page_id IN (FROM gp)), gs AS (SELECT id FROM sm WHERE block_id IN (FROM gb)), gl AS (SELECT id FROM lo WHERE id % 13 = 1 OR book_id IN (FROM gk))"""
+
+
+@query(
+    f"""WITH {PG}, {BL}, {SM}, {LK}, {_LIB}, {_GONE}
+SELECT 'books' AS relation, id::VARCHAR AS id, CASE WHEN last_page_id NOT IN (FROM gp) THEN last_page_id::VARCHAR END AS refers FROM bk WHERE id NOT IN (FROM gk)
+UNION ALL SELECT 'pages', id::VARCHAR, book_id::VARCHAR FROM pg WHERE id NOT IN (FROM gp) UNION ALL SELECT 'blocks', id, page_id::VARCHAR FROM bl WHERE id NOT IN (FROM gb)
+UNION ALL SELECT 'summaries', id::VARCHAR, block_id FROM sm WHERE id NOT IN (FROM gs) UNION ALL SELECT 'critiques', id::VARCHAR, summary_id::VARCHAR FROM cr WHERE summary_id NOT IN (FROM gs)
+UNION ALL SELECT 'rollups', id::VARCHAR, book_id::VARCHAR FROM ru WHERE book_id NOT IN (FROM gk)
+UNION ALL SELECT 'lookups', id::VARCHAR, CASE WHEN block_id NOT IN (FROM gb) THEN block_id END FROM lo WHERE id NOT IN (FROM gl)
+UNION ALL SELECT 'vocab', id::VARCHAR, CASE WHEN first_lookup_id NOT IN (FROM gl) THEN first_lookup_id::VARCHAR END FROM vo WHERE book_id NOT IN (FROM gk)"""
+)
+def cascade_graph(spark, sf_dir):
+    """All relations without some books, pages, blocks and lookups and what hangs on these, by the declared keys."""
+    own, words, notes = library.staged(_pages(spark, sf_dir), "pages"), lookups(spark, sf_dir), summaries(spark, sf_dir)
+    own_blocks = library.staged(blocks(spark, sf_dir).select("id", "page_id", "ordinal"), "blocks")
+    tables = {
+        "books": own.select(F.col("book_id").alias("id"), (F.col("book_id") * 3).alias("last_page_id")).distinct(), "pages": own.select("id", "book_id"),
+        "blocks": own_blocks, "summaries": notes.select("id", "block_id"), "critiques": notes.where("id % 2 = 0").select("id", F.col("id").alias("summary_id")),
+        "rollups": own.where("id % 11 = 0").select("id", "book_id"), "lookups": words.select("id", "book_id", segment.block_id(F.col("id"), F.lit(1)).alias("block_id")),
+        "vocab": words.groupBy("book_id", F.lower("word")).agg(F.min("id").alias("id")).select("id", "book_id", F.col("id").alias("first_lookup_id")),
+    }
+    gone = {
+        "books": tables["books"].where("id % 4 = 1"), "pages": tables["pages"].where("id % 7 = 3"),
+        "blocks": own_blocks.where("ordinal = 2 AND page_id % 5 = 0"), "lookups": tables["lookups"].where("id % 13 = 1"),
+    }
+    shown = {"books": "last_page_id", "pages": "book_id", "blocks": "page_id", "summaries": "block_id", "critiques": "summary_id", "rollups": "book_id", "lookups": "block_id", "vocab": "first_lookup_id"}
+    left = cascade.delete(tables, gone)
+    out = [left[name].select(F.lit(name).alias("relation"), F.col("id").cast("string").alias("id"), F.col(c).cast("string").alias("refers")) for name, c in shown.items()]
+    return functools.reduce(DataFrame.unionAll, out)
+
+
+_HASHED = "SELECT id, book_id, page_no, sha256(raw) AS image_hash FROM pg WHERE id < 900000000"
+
+
+@query(
+    f"""WITH {PG}, h AS ({_HASHED}), a AS (SELECT * FROM h WHERE id % 2 = 0), b AS (SELECT * FROM h WHERE id % 2 = 1),
+t AS (SELECT book_id, image_hash, min(id) AS id, arg_min([page_no], id)[1] AS page_no FROM a GROUP BY book_id, image_hash), f AS (SELECT book_id, image_hash, min(id) AS id, arg_min([page_no], id)[1] AS page_no FROM b GROUP BY book_id, image_hash)
+SELECT b.id, b.book_id, b.image_hash, coalesce(t.id, CASE WHEN f.id <> b.id THEN f.id END) AS existing_id, CASE WHEN t.id IS NOT NULL THEN t.page_no WHEN f.id <> b.id THEN f.page_no END AS existing_no, t.id IS NULL AND f.id = b.id AS added
+FROM b JOIN f USING (book_id, image_hash) LEFT JOIN t USING (book_id, image_hash)"""
+)
+def checked_imports(spark, sf_dir):
+    """What a second import of pages is told: added, or the stored or new page that it repeats.
+
+    Even documents are imported first; the text stands for the picture.
+    """
+    path = library.shared_folder(spark, "imports")
+    own = pages(spark, sf_dir).where("id < 900000000").select("id", "book_id", "page_no", F.sha2(F.col("raw").cast("binary"), 256).alias("image_hash"))
+    imports.add_pages(own.where("id % 2 = 0"), path)
+    return imports.add_pages(own.where("id % 2 = 1"), path)
+
+
+@query(
+    f"""WITH {PG}, {BL}, {SM}, p AS (SELECT id, book_id, book_id % 3 = 0 AS early, book_id % 3 = 0 AND id % 2 = 0 AS again FROM pg),
+v1 AS (SELECT bl.id, page_id, text_raw, again FROM bl JOIN p ON p.id = bl.page_id WHERE NOT early UNION ALL SELECT id || ':1', id, 'an earlier reading of this page.', again FROM p WHERE early),
+s1 AS (SELECT sm.id, sentence FROM sm JOIN v1 ON v1.id = sm.block_id WHERE NOT again)
+SELECT 'blocks' AS relation, id, text_raw AS text FROM v1 WHERE NOT again UNION ALL SELECT 'blocks', bl.id, text_raw FROM bl JOIN p ON p.id = bl.page_id WHERE again
+UNION ALL SELECT 'summaries', id::VARCHAR, sentence FROM s1 UNION ALL SELECT 'critiques', id::VARCHAR, 'partial' FROM s1"""
+)
+def replaced_pages(spark, sf_dir):
+    """Blocks, summaries and critiques after every other page of every third book was segmented again."""
+    root, own = library.shared_folder(spark, "library"), pages(spark, sf_dir)
+    early = F.when(F.col("book_id") % 3 == 0, F.lit("an earlier reading of this page.")).otherwise(F.col("raw"))
+    first = library.staged(segment.block_rows(segment.page_blocks(own.withColumn("raw", early))), "blocks")
+    notes = summaries(spark, sf_dir).select("id", "block_id", "sentence").join(first.select(F.col("id").alias("block_id"), "book_id"), "block_id")
+    critiques = notes.select("id", F.col("id").alias("summary_id"), F.lit("partial").alias("verdict"), "book_id")
+    versions.create(spark, root, {"blocks": first, "summaries": notes.select("id", "block_id", "sentence", "book_id"), "critiques": critiques})
+    again = own.where("book_id % 3 = 0 AND id % 2 = 0")
+    versions.replace_pages(spark, root, segment.block_rows(segment.page_blocks(again)), again.select("book_id", F.col("id").alias("page_id")))
+    shown = {"blocks": "text_raw", "summaries": "sentence", "critiques": "verdict"}
+    out = [versions.read(spark, root, r).select(F.lit(r).alias("relation"), F.col("id").cast("string").alias("id"), F.col(c).alias("text")) for r, c in shown.items()]
+    return functools.reduce(DataFrame.unionAll, out)
+
+
 _EDITS = "(SELECT block_id, arg_max(sentence, revision) AS text FROM sm WHERE sentence_ordinal IS NULL GROUP BY block_id)"
 
 
@@ -240,10 +320,10 @@ def note_progress(spark, sf_dir):
     )
 
 
-@query("SELECT user_id AS book_id, lower(event_type) AS word, count(DISTINCT event_id) AS count, min(event_id) AS first_id FROM events GROUP BY ALL")
+@query("SELECT user_id AS book_id, lower(event_type) AS word, 'lemma-' || (min(event_id) % 5) AS lemma, count(DISTINCT event_id) AS count, arg_min(props, event_id) AS sentence, min(event_id) AS first_id FROM events GROUP BY 1, 2")
 def streamed_vocabulary(spark, sf_dir):
-    """The vocabulary that a stream over the events ends with."""
-    return vocabulary_stream.replay(spark, sf_dir, library.shared_folder(spark, "stream"))
+    """The vocabulary that a stream over the events ends with, in batches with repeats and the oldest last."""
+    return vocabulary_stream.replay(spark, table(spark, sf_dir, "events"), library.shared_folder(spark, "stream"))
 
 
 @query(f"WITH {PG}, {BL} SELECT bl.id, page_id, book_id, ordinal, kind, text_raw, text_norm FROM bl JOIN pg ON pg.id = bl.page_id")
