@@ -23,7 +23,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string"
 #: Names that operators use themselves or once did, and names that need quoting.
-CLASHING = ["_key", "_range", "_source", "_row", "_rank", "_before", "_at", "_hi", "_lo", "_rows", "_sx", "_text", "_secrets", "_spans", "_tkey", "key", "row", "rid", "body", "fp", "n", "cut", "range", "part", "rank", "shard", "slot", "target", "secrets", "fingerprint", "lang_pred", "a.b", "x y", "q`t"]
+CLASHING = ["_key", "_range", "_source", "_row", "_rank", "_before", "_at", "_hi", "_lo", "_rows", "_sx", "_text", "_secrets", "_spans", "_tkey", "key", "row", "rid", "body", "fp", "n", "cut", "range", "part", "rank", "shard", "slot", "target", "secrets", "fingerprint", "lang_pred", "a.b", "x y", "q`t", "own text"]
 
 
 def table(spark, rows=None):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import id_ranges, packed, unpacked
+from ._shared import free_name, id_ranges, packed, quoted, unpacked
 
 #: K-mers that are hashed at a time.
 STRETCH = 1024
@@ -124,7 +124,8 @@ def fingerprint_texts(docs: DataFrame, text: str = "text", out: str = "fingerpri
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spelled(how.signature(t)) for t in texts], pa.string())], names=["row", "made"])
 
-    rows = packed(docs.withColumn("own text", F.col(text)), "own text", without=("own text", out))
+    source = free_name(docs, "own text")
+    rows = packed(docs.withColumn(source, F.col(quoted(text))), source, without=(source, out))
     found = rows.mapInArrow(run, rows.select("row").schema.add("made", "string"))
     return found.select(*unpacked(rows), F.col("made").alias(out))
 

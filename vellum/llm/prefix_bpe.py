@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import packed, unpacked
+from ._shared import free_name, packed, quoted, unpacked
 from ._tokens import ChunkEncoder, vocabulary
 
 
@@ -328,10 +328,8 @@ def encoder(path: str, pattern: str) -> PrefixEncoder:
 
 def _texts_through(docs: DataFrame, kinds: dict[str, str], made, text: str = "text") -> DataFrame:
     """All columns but those of ``kinds``, and these, made from each batch of texts."""
-    source = "own text"
-    while source in docs.columns:
-        source += " "
-    rows = packed(docs.withColumn(source, F.col(text)), source, without=(source, *kinds))
+    source = free_name(docs, "own text")
+    rows = packed(docs.withColumn(source, F.col(quoted(text))), source, without=(source, *kinds))
 
     def run(batches):
         import pyarrow as pa
