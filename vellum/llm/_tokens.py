@@ -95,16 +95,13 @@ class ChunkEncoder:
         if gaps:
             new = {c[i] for c, _, i in gaps}
             if len(self.held) + 2 * len(new) > self.kept:
-                self._forget()
+                self.held = {}
             self._hold(new)
             for c, f, i in gaps:
                 f[i] = self.held[c[i]]
         whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None], whole=True))
         return [next(whole) if f is None else b"".join(f) for f in found]
 
-    def _forget(self) -> None:
-        self.held = {}
-
     def _hold(self, wanted: set[str]) -> None:
         """Encode new chunks; closing marks after a letter or digit are tokens of their own."""
         if not wanted:

@@ -260,7 +260,7 @@ class PrefixEncoder(ChunkEncoder):
         self.matcher = regex.compile(pattern)
         self.ranks = Ranks.load(path)
         self.spaced, self.lower = True, False
-        self.kept, self.held, self.older = kept, {}, {}
+        self.kept, self.older, self._held = kept, {}, {}
         #: only of this pattern it is known that no match crosses a chunk's border
         self.chunked = pattern == public_tokenizers.PATTERN
         self.table: dict[bytes, tuple[int, int]] = {}
@@ -268,9 +268,14 @@ class PrefixEncoder(ChunkEncoder):
     def _chunks(self, text: str) -> list[str] | None:
         return super()._chunks(text) if self.chunked else None
 
-    def _forget(self) -> None:
-        """Only chunks that have not been seen since the last time are lost."""
-        self.older, self.held = self.held, {}
+    @property
+    def held(self) -> dict[str, bytes]:
+        """Chunks with their ids.  When they are emptied the last ones stay at hand as ``older``."""
+        return self._held
+
+    @held.setter
+    def held(self, new: dict[str, bytes]) -> None:
+        self.older, self._held = self._held, new
 
     def _hold(self, wanted: set[str]) -> None:
         again = {c: self.older[c] for c in wanted if c in self.older}
