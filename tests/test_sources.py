@@ -1,5 +1,7 @@
 import io
 import json
+import random
+import re
 import zipfile
 
 import numpy as np
@@ -89,6 +91,73 @@ def test_images(spark):
     assert sorted(r.k for r in frame.collect()) == sorted(["jpeg", "png", "heic", "unknown"])
 
 
+def test_fold_against_the_pages_beside_it():
+    dark_edges = np.full((400, 800), 230, np.uint8)
+    dark_edges[:, 398:402] = 170
+    assert images.gutter(dark_edges) in range(398, 402)
+    dark_edges[:, :70] = dark_edges[:, 730:] = 20  # the table beside the book does not count
+    assert images.gutter(dark_edges) in range(398, 402)
+    dark_edges[:, 300:380] = 175  # dark columns apart from the fold count as well
+    assert images.gutter(dark_edges) is None
+
+
+def test_drawn_pages_of_nothing(spark):
+    got = images.upright_pages(images.typeset_pages(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"))).collect()
+    assert sorted((r.id or 0, r.part) for r in got) and {r.id for r in got} == {None, 1}
+
+
+def test_json_array_in_parallel(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["plain", "a } in, it", '},{"word": "no"', 'quote " and \\', "[{}]", "é 😀 }", "", "{{{", 'end\\"}', "line\nend }"]
+    rows = [{"word": rng.choice(texts) + str(i), "pos": rng.choice([None, "n."]), "definitions": rng.choices(texts, k=i % 4), "more": {"deep": [{"x": "}"}]}} for i in range(500)]
+    for k, shown in enumerate((json.dumps(rows), json.dumps(rows, indent=2, ensure_ascii=False), "\ufeff" + json.dumps(rows[:1]), "[]")):
+        (tmp_path / f"{k}.json").write_text(shown)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for k, own in enumerate((rows, rows, rows[:1], [])):
+            frame = lexicon.json_objects(spark, f"file://{tmp_path}/{k}.json")
+            assert k > 1 or spark.read.option("lineSep", "}").text(f"file://{tmp_path}/{k}.json").rdd.getNumPartitions() > 10
+            assert [(r.place, json.loads(r.object)) for r in sorted(frame.collect())] == list(enumerate(own))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def paged(runs):
+    """Pages by the rule applied to one paragraph after the other."""
+    out = []
+    for run, own in runs.items():
+        units = [u for x in own for u in re.sub(r" (?=[0-9]+:[0-9]+( |$))", "\0", " ".join(x.split())).split("\0")]
+        lead = lambda x: (m := re.match(r"([0-9]+):[0-9]+( |$)", x)) and int(m[1])
+        if sum(bool(lead(" ".join(x.split()))) for x in own) >= 0.6 * len(own):
+            page, chapter = 1, None
+            for k, x in enumerate(units):
+                now = lead(x)
+                page += now is not None and chapter is not None and now != chapter
+                chapter = now if now is not None else chapter
+                out.append((run, page, k, x))
+        else:
+            out += [(run, k // 8 + 1, k, x) for k, x in enumerate(own)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1000])
+def test_runs_by_stretches(spark, stretch):
+    rng = random.Random(stretch)
+    runs = {r: [rng.choice(["plain text", f"{rng.randrange(1, 4)}:1 unit", f"{rng.randrange(1, 4)}:2 a {rng.randrange(1, 4)}:3 b", "2:5"]) for _ in range(rng.randrange(1, 30))] for r in range(40)}
+    rows = [(r, "L", i, x) for r, own in runs.items() for i, x in enumerate(own)]
+    got = ingest.paginate(spark.createDataFrame(rows, "run_id long, label string, ordinal long, paragraph string"), stretch).collect()
+    assert sorted((r.run_id, r.page, r.k, r.text) for r in got) == paged(runs)
+    assert all((r.label == "L") == (r.page == 1) for r in got)
+
+
+def test_one_run_of_a_million_paragraphs(spark):
+    rows = spark.range(1_000_000).select(F.lit(1).alias("run_id"), F.lit("L").alias("label"), F.col("id").alias("ordinal"), F.concat(F.floor(F.col("id") / 1000), F.lit(":"), F.col("id") % 1000, F.lit(" x")).alias("paragraph"))
+    for by, n in ((rows, 1000), (rows.withColumn("paragraph", F.lit("x")), 125_000)):
+        out = ingest.paginate(by)
+        assert out.agg(F.count(F.lit(1)), F.max("page"), F.max("k"), F.sum(F.col("k")), F.countDistinct("page")).first()[:] == (1_000_000, n, 999_999, 499_999_500_000, n)
+
+
 def test_deep_and_wide_html():
     deep = "<div>" * 20_000 + "<p>First deep paragraph</p><p>Second deep paragraph</p>" + "</div>" * 20_000
     assert [x for x, _ in html.paragraphs(deep)] == ["First deep paragraph", "Second deep paragraph"]

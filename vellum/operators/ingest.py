@@ -30,22 +30,49 @@ def split_units(text: Column) -> Column:
     return F.transform(F.split(F.array_join(marked, " "), "\u0001"), t.trim)
 
 
-def paginate(runs: DataFrame) -> DataFrame:
-    """``run_id, page, label, ordinal, text`` from paragraphs ``run_id, label, ordinal, paragraph``.
+#: Paragraphs of a run that one task puts in order.
+STRETCH = 1 << 16
+
+
+def paginate(runs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """``run_id, page, label, k, text`` from paragraphs ``run_id, label, ordinal, paragraph``.
 
     A run whose paragraphs mostly open with a reference is cut into units and gets a page per
     chapter; any other gets a page per eight paragraphs.  The first page carries the label.
+    A run is put in order by stretches of its ordinals: what a stretch needs of the earlier
+    ones, the units before it, the chapter that is open and the pages that were begun, is
+    carried over the few rows that stand for stretches.  ``runs`` is read twice.
     """
-    share = runs.groupBy("run_id").agg((F.count(leading_chapter(F.col("paragraph"))).cast("float") >= F.count(F.lit(1)).cast("float") * F.lit(REFERENCED).cast("float")).alias("by_reference"))
-    df = runs.join(share, "run_id")
-    plain = df.where(~F.col("by_reference")).withColumn("k", F.row_number().over(Window.partitionBy("run_id").orderBy("ordinal")) - 1)
+    key = ["run_id", "s"]
+    rows = runs.withColumn("s", F.floor(F.col("ordinal") / stretch))
+    run, earlier = Window.partitionBy("run_id"), Window.partitionBy("run_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count(leading_chapter(F.col("paragraph"))).alias("c"))
+    share = F.sum("c").over(run).cast("float") >= F.sum("n").over(run).cast("float") * F.lit(REFERENCED).cast("float")
+    df = rows.join(told.select(*key, share.alias("by_reference"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), key)
+    inside = Window.partitionBy(*key).orderBy("ordinal")
+    plain = df.where(~F.col("by_reference")).withColumn("k", F.row_number().over(inside) - 1 + F.col("before"))
     plain = plain.select("run_id", "label", (F.floor(F.col("k") / PER_PAGE) + 1).alias("page"), F.col("k").cast("long").alias("k"), F.col("paragraph").alias("text"))
-    units = df.where("by_reference").select("run_id", "label", "ordinal", F.posexplode(split_units(F.col("paragraph"))).alias("u", "text"))
-    w = Window.partitionBy("run_id").orderBy("ordinal", "u")
-    units = units.withColumns({"chapter": leading_chapter(F.col("text")), "k": F.row_number().over(w) - 1})
-    before = F.last("chapter", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    units = units.withColumn("turn", F.coalesce((F.col("chapter") != before).cast("int"), F.lit(0)))
-    units = units.select("run_id", "label", (F.sum("turn").over(w) + 1).alias("page"), F.col("k").cast("long").alias("k"), "text")
+
+    units = df.where("by_reference").select(*key, "label", "ordinal", F.posexplode(split_units(F.col("paragraph"))).alias("u", "text"))
+    inside = Window.partitionBy(*key).orderBy("ordinal", "u")
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("chapter", leading_chapter(F.col("text")))
+    units = units.withColumns({"i": F.row_number().over(inside), "open": F.last("chapter", ignorenulls=True).over(past)})
+    turn = F.coalesce((F.col("chapter") != F.col("open")).cast("int"), F.lit(0))
+    units = units.withColumns({"turn": turn, "first": F.first("chapter", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    ends = units.groupBy(*key).agg(
+        F.max("i").alias("n"), F.sum("turn").alias("turns"), F.max_by("first", "i").alias("first"),
+        F.max_by("chapter", F.when(F.col("chapter").isNotNull(), F.col("i"))).alias("last"),
+    )
+    carried = ends.withColumn("carry", F.last("last", ignorenulls=True).over(earlier))
+    # a stretch's first chapter may begin a page that only the chapter before the stretch tells
+    begun = F.coalesce((F.col("first") != F.col("carry")).cast("int"), F.lit(0))
+    carried = carried.select(
+        *key, "carry", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum(F.col("turns") + begun).over(earlier), F.lit(0)).alias("pages")
+    )
+    units = units.join(carried, key)
+    page = F.col("pages") + F.sum("turn").over(inside) + F.coalesce((F.col("first") != F.col("carry")).cast("int"), F.lit(0)) + 1
+    units = units.select("run_id", "label", page.alias("page"), (F.col("i") - 1 + F.col("before")).cast("long").alias("k"), "text")
     both = plain.unionByName(units)
     return both.select("run_id", "page", F.when(F.col("page") == 1, F.col("label")).alias("label"), "k", "text")
 

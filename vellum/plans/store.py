@@ -111,6 +111,15 @@ def next_revisions(spark, sf_dir):
     return summaries(spark, sf_dir).select("id", "block_id", "sentence_ordinal", F.row_number().over(w).cast("long").alias("revision"))
 
 
+@query(f"WITH {SM} SELECT id, block_id, sentence_ordinal, row_number() OVER (PARTITION BY block_id, sentence_ordinal ORDER BY id) AS revision FROM sm")
+def appended_revisions(spark, sf_dir):
+    """The same from three batches, each of which goes on from what is stored."""
+    path, own = library.shared_folder(spark, "revisions"), summaries(spark, sf_dir)
+    for k in range(3):
+        library.append_revisions(own.where((F.col("id") % 100) / 3 >= k).where((F.col("id") % 100) / 3 < (k + 1 if k < 2 else 100)), path)
+    return spark.read.schema(library.REVISIONS).parquet(path).select("id", "block_id", F.col("sentence_ordinal").cast("long").alias("sentence_ordinal"), "revision")
+
+
 @query(
     f"""WITH {LK}, v AS (SELECT book_id, lower(word) AS word, count(*) AS count, min(id) AS first_id, arg_min(lemma, id) AS lemma FROM lk GROUP BY ALL)
 SELECT v.book_id, v.word, v.lemma, v.count, lk.sentence, row_number() OVER (PARTITION BY v.book_id ORDER BY v.count DESC, v.word) AS nth FROM v LEFT JOIN lk ON lk.id = v.first_id"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import broken_words
 from ..operators import lexicon as lx
+from ..sources import library
 from . import duck, fixtures
 from .relations import BL, BL_LEX, LEX, OLD, PG, blocks, lexicon, old_pages, table
 
@@ -220,6 +221,45 @@ def legibility(spark, sf_dir):
     return lx.legibility(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), lexicon(spark, sf_dir))
 
 
+_READINGS = "(SELECT doc_id AS id, CASE WHEN doc_id % 3 < 2 THEN reverse(text) ELSE text END AS raw, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 5 < 2 THEN reverse(text) END AS turned FROM documents)"
+
+
+def _legible_sql(name: str, text: str) -> str:
+    return rf"""{name} AS (SELECT r.id, coalesce(CASE WHEN n >= 25 THEN (k::DOUBLE / n::DOUBLE)::FLOAT END >= 0.45::FLOAT, true) AS ok FROM rd r LEFT JOIN (
+  SELECT id, count(*) AS n, count(*) FILTER (w IN (SELECT headword FROM lex)) AS k FROM (SELECT id, unnest({duck.plain_words(text)}) AS w FROM rd) WHERE regexp_matches(w, '^\p{{L}}{{3,}}$') GROUP BY id) s ON s.id = r.id)"""
+
+
+@query(
+    f"""WITH {LEX}, rd AS (SELECT * FROM {_READINGS}), {_legible_sql('lr', 'raw')}, {_legible_sql('lt', 'turned')}
+SELECT rd.id, CASE WHEN NOT lr.ok AND turned IS NOT NULL AND lt.ok THEN turned ELSE raw END AS raw, NOT lr.ok AND turned IS NOT NULL AND lt.ok AS turned_over FROM rd JOIN lr USING (id) JOIN lt USING (id)"""
+)
+def better_readings(spark, sf_dir):
+    """The reading of each page that is kept: two thirds came garbled and some of these were turned over, in vain or not."""
+    text, i = F.col("text"), F.col("doc_id")
+    turned = F.when(i % 3 == 0, text).when(i % 5 < 2, F.reverse(text))
+    own = table(spark, sf_dir, "documents").select(i.alias("id"), F.when(i % 3 < 2, F.reverse(text)).otherwise(text).alias("raw"), turned.alias("turned"))
+    return lx.better_readings(own, lexicon(spark, sf_dir))
+
+
+#: the words of the benchmark as a dictionary file, with braces and quotes in the glosses
+_FILED = f"""fl AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS entry FROM (SELECT DISTINCT unnest({duck.plain_words('text')}) AS w FROM benchmark)),
+gl AS (SELECT entry, w AS word, CASE WHEN entry % 3 > 0 THEN 'n' || (entry % 5) || '.' END AS pos, unnest(['a {{' || w || '}}, "so" \ {{', 'b', ''][1:(entry % 4)::INT]) AS gloss, generate_subscripts(['', 'b', ''][1:(entry % 4)::INT], 1) - 1 AS n FROM fl)"""
+
+
+@query(f"WITH {_FILED} SELECT entry, word, pos, n::BIGINT AS n, gloss FROM gl UNION ALL SELECT entry, w, CASE WHEN entry % 3 > 0 THEN 'n' || (entry % 5) || '.' END, 0, '' FROM fl WHERE entry % 4 = 0")
+def dictionary_file(spark, sf_dir):
+    """Raw definitions read from one JSON array, in the order of the file."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(t.plain_words(F.col("text"))).alias("w")).distinct()
+    path, i = library.shared_folder(spark, "dictionary"), F.col("i")
+    own = words.repartition(1).sortWithinPartitions("w").withColumn("i", F.monotonically_increasing_id())
+    glosses = F.array(F.concat(F.lit("a {"), F.col("w"), F.lit('}, "so" \\ {')), F.lit("b"), F.lit(""))
+    entry = F.struct(F.col("w").alias("word"), F.when(i % 3 > 0, F.concat(F.lit("n"), i % 5, F.lit("."))).alias("pos"), F.slice(glosses, F.lit(1), (i % 4).cast("int")).alias("definitions"))
+    last = own.count() - 1
+    lines = own.select(F.concat(F.when(i == 0, "[").otherwise(","), F.to_json(entry), F.when(i == last, "]").otherwise("")).alias("line"))
+    lines.write.text(path)
+    return lx.read_entries(spark, path).select("entry", "word", "pos", F.col("n").cast("long").alias("n"), "gloss")
+
+
 def _runs_sql(key: str, source: str) -> str:
     words = f"(SELECT {key}, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT {key}, {duck.plain_words('text')} AS w FROM {source}))"
     run = " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER s" for k in range(1, t.SHARED_RUN)]])

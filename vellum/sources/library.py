@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +43,31 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Parts of the stored revisions, by hash of their block.
+REVISION_PARTS = 64
+REVISIONS = "id long, block_id string, sentence_ordinal int, sentence string, revision long, part int"
+
+
+def append_revisions(batch: DataFrame, path: str) -> None:
+    """Append summaries ``id, block_id, sentence_ordinal, sentence`` with their revision.
+
+    Revisions are counted by arrival (id) for each block and sentence (null: the whole block),
+    and go on from what is stored.  Only parts of the store that the batch falls into are read.
+    """
+    spark, target = batch.sparkSession, ["block_id", "sentence_ordinal"]
+    part = F.pmod(F.xxhash64("block_id"), F.lit(REVISION_PARTS)).cast("int")
+    new = staged(batch.select("id", "block_id", F.col("sentence_ordinal").cast("int").alias("sentence_ordinal"), "sentence", part.alias("part")), "revisions")
+    try:
+        there = spark.read.schema(REVISIONS).parquet(path).where(F.col("part").isin([r[0] for r in new.select("part").distinct().collect()]))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = spark.createDataFrame([], REVISIONS)
+    last = there.groupBy(*target).agg(F.max("revision").alias("last")).withColumnsRenamed({c: f"_{c}" for c in target})
+    same = (F.col("block_id") == F.col("_block_id")) & F.col("sentence_ordinal").eqNullSafe(F.col("_sentence_ordinal"))
+    nth = F.row_number().over(Window.partitionBy(*target).orderBy("id"))
+    told = new.withColumn("nth", nth).join(last, same, "left").withColumn("revision", (F.coalesce("last", F.lit(0)) + F.col("nth")).cast("long"))
+    told = staged(told.select("id", "block_id", "sentence_ordinal", "sentence", "revision", "part"), "revised")
+    told.repartition("part").write.mode("append").partitionBy("part").parquet(path)
