@@ -29,6 +29,12 @@ SHORT = 64
 NEVER = 1 << 60
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The byte strings of a vocabulary file with their ranks."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
+
+
 class Ranks:
     """A vocabulary of byte strings with their merge ranks.
 
@@ -51,12 +57,11 @@ class Ranks:
         self.steps: dict[int, int] = {}
         self.endings: list[list[tuple[int, int]] | None] = [None] * len(self.read_as)
         self.halves: dict[int, tuple[bytes, bytes] | None] = {}
-        self.verdicts: dict[tuple[int, int], bool] = {}
+        self.verdicts: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Ranks:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)})
+        return cls(read_ranks(path))
 
     def step(self, state: int, byte: int) -> int:
         """The state after one more byte."""
@@ -85,7 +90,7 @@ class Ranks:
             for token, size in endings[state]:
                 if size > place:
                     break
-                verdict = verdicts.get((last[place - size], token))
+                verdict = verdicts.get(last[place - size] << 32 | token)
                 if self.follows(last[place - size], token) if verdict is None else verdict:
                     break
             else:
@@ -119,7 +124,7 @@ class Ranks:
         The border holds unless what then meets there would have merged before the merge that
         was just undone; of equal ranks the one further left comes first.
         """
-        pair = (left, right)
+        pair = left << 32 | right
         verdict = self.verdicts.get(pair)
         if verdict is None:
             if len(self.verdicts) >= self.kept:
@@ -263,7 +268,8 @@ class PrefixEncoder(ChunkEncoder):
         self.kept, self.older, self._held = kept, {}, {}
         #: only of this pattern it is known that no match crosses a chunk's border
         self.chunked = pattern == public_tokenizers.PATTERN
-        self.table: dict[bytes, tuple[int, int]] = {}
+        #: of each prefix its last token and state, as one number
+        self.table: dict[bytes, int] = {}
 
     def _chunks(self, text: str) -> list[str] | None:
         return super()._chunks(text) if self.chunked else None
@@ -289,7 +295,7 @@ class PrefixEncoder(ChunkEncoder):
         table, known = self.table, len(data)
         while known and data[:known] not in table:
             known -= 1
-        state = table[data[:known]][1] if known else 0
+        state = table[data[:known]] & 0xFFFFFFFF if known else 0
         steps, endings, verdicts = self.ranks.steps, self.ranks.endings, self.ranks.verdicts
         for place in range(known, len(data)):
             after = steps.get(state << 8 | data[place])
@@ -297,14 +303,14 @@ class PrefixEncoder(ChunkEncoder):
             for token, size in endings[state]:
                 if size > place:
                     break
-                left = table[data[: place + 1 - size]][0]
-                verdict = verdicts.get((left, token))
+                left = table[data[: place + 1 - size]] >> 32
+                verdict = verdicts.get(left << 32 | token)
                 if self.ranks.follows(left, token) if verdict is None else verdict:
                     break
-            table[data[: place + 1]] = (token, state)
+            table[data[: place + 1]] = token << 32 | state
         ids, bytes_of = [], self.ranks.bytes_of
         while data:
-            ids.append(table[data][0])
+            ids.append(table[data] >> 32)
             data = data[: -len(bytes_of[ids[-1]])]
         if len(table) > self.kept:
             self.table = {}
@@ -318,12 +324,6 @@ class PrefixEncoder(ChunkEncoder):
             out.append(array("I", [i for m in matches for i in self._match_ids(m.encode())]).tobytes())
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that little-endian unsigned 32-bit ids stand for."""
-        code = array("I")
-        code.frombytes(ids)
-        return b"".join(map(self.ranks.bytes_of.__getitem__, code))
-
 
 @functools.cache
 def encoder(path: str, pattern: str) -> PrefixEncoder:
@@ -331,6 +331,19 @@ def encoder(path: str, pattern: str) -> PrefixEncoder:
     return PrefixEncoder(path, pattern)
 
 
+@functools.cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each token of a vocabulary file, for this process."""
+    return {token: word for word, token in read_ranks(path).items()}
+
+
+def decode(ids: bytes, path: str) -> bytes:
+    """The bytes that little-endian unsigned 32-bit ids stand for."""
+    code = array("I")
+    code.frombytes(ids)
+    return b"".join(map(token_bytes(path).__getitem__, code))
+
+
 def _texts_through(docs: DataFrame, kinds: dict[str, str], made, text: str = "text") -> DataFrame:
     """All columns but those of ``kinds``, and these, made from each batch of texts."""
     source = free_name(docs, "own text")
@@ -369,13 +382,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _texts_through(docs, {"ids": "binary"}, made)
 
 
-def decode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_ids(docs: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes that ``ids`` stand for (null: none); all other columns stay."""
 
     def made(ids):
         import pyarrow as pa
 
-        return [pa.array([encoder(path, pattern).decode(i or b"") for i in ids], pa.binary())]
+        return [pa.array([decode(i or b"", path) for i in ids], pa.binary())]
 
     return _texts_through(docs, {"decoded": "binary"}, made, "ids")
 
@@ -386,7 +399,7 @@ def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode_ids(encode_texts(docs, path, pattern).drop("text"), path, pattern)
+    coded = decode_ids(encode_texts(docs, path, pattern).drop("text"), path)
     return coded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
