@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import broken_words
+from ..operators import broken_words, fulltext
 from ..operators import lexicon as lx
 from ..sources import library
 from . import duck, fixtures
@@ -260,6 +260,14 @@ def dictionary_file(spark, sf_dir):
     return lx.read_entries(spark, path).select("entry", "word", "pos", F.col("n").cast("long").alias("n"), "gloss")
 
 
+@query()
+def phrase_hits(spark, sf_dir):
+    """How often the first three words of each benchmark item stand in each document, by stem; tested against brute force."""
+    item = F.array_join(F.slice(t.words(F.col("text")), 1, 3), " ")
+    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), item.alias("text"))
+    return fulltext.phrase_hits(fulltext.postings(table(spark, sf_dir, "documents"), "doc_id"), phrases, "doc_id")
+
+
 def _runs_sql(key: str, source: str) -> str:
     words = f"(SELECT {key}, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT {key}, {duck.plain_words('text')} AS w FROM {source}))"
     run = " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER s" for k in range(1, t.SHARED_RUN)]])
