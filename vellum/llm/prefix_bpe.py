@@ -364,9 +364,11 @@ def _texts_through(docs: DataFrame, kinds: dict[str, str], made, text: str = "te
     return rows.mapInArrow(run, schema).select(*unpacked(rows), *kinds)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, back: bool = False) -> DataFrame:
     """Adds ``ids``, the tokens of ``text`` as little-endian unsigned 32-bit integers.
 
+    With ``back`` it also adds ``decoded``, the bytes that the ids give again, in one pass.
+
     Every match of ``pattern`` is encoded by itself, without special tokens.  Rows are encoded
     where they stand, without a shuffle.  Defined cases: null and empty texts have no ids;
     repeated rows and equal texts have equal ids; very long and unbroken texts are encoded
@@ -377,9 +379,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def made(texts):
         import pyarrow as pa
 
-        return [pa.array(encoder(path, pattern).encode(texts), pa.binary())]
+        ids = encoder(path, pattern).encode(texts)
+        return [pa.array(x, pa.binary()) for x in (ids, [decode(i, path) for i in ids])[: 1 + back]]
 
-    return _texts_through(docs, {"ids": "binary"}, made)
+    return _texts_through(docs, {"ids": "binary", **({"decoded": "binary"} if back else {})}, made)
 
 
 def decode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -399,8 +402,7 @@ def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode_ids(encode_texts(docs, path, pattern).drop("text"), path)
-    return coded.select(
+    return encode_texts(docs, path, pattern, back=True).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
