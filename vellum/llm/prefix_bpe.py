@@ -258,7 +258,7 @@ class PrefixEncoder(ChunkEncoder):
     chunks between white space, that are held.
     """
 
-    def __init__(self, path: str, pattern: str, kept: int = 350_000):
+    def __init__(self, path: str, pattern: str, kept: int = 700_000):
         import public_tokenizers
         import regex
 
