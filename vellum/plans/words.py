@@ -243,7 +243,7 @@ def better_readings(spark, sf_dir):
 
 #: the words of the benchmark as a dictionary file, with braces and quotes in the glosses
 _FILED = f"""fl AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS entry FROM (SELECT DISTINCT unnest({duck.plain_words('text')}) AS w FROM benchmark)),
-gl AS (SELECT entry, w AS word, CASE WHEN entry % 3 > 0 THEN 'n' || (entry % 5) || '.' END AS pos, unnest(['a {{' || w || '}}, "so" \ {{', 'b', ''][1:(entry % 4)::INT]) AS gloss, generate_subscripts(['', 'b', ''][1:(entry % 4)::INT], 1) - 1 AS n FROM fl)"""
+gl AS (SELECT entry, w AS word, CASE WHEN entry % 3 > 0 THEN 'n' || (entry % 5) || '.' END AS pos, unnest(['a {{' || w || '}}, "so" \\ {{', 'b', ''][1:(entry % 4)::INT]) AS gloss, generate_subscripts(['', 'b', ''][1:(entry % 4)::INT], 1) - 1 AS n FROM fl)"""
 
 
 @query(f"WITH {_FILED} SELECT entry, word, pos, n::BIGINT AS n, gloss FROM gl UNION ALL SELECT entry, w, CASE WHEN entry % 3 > 0 THEN 'n' || (entry % 5) || '.' END, 0, '' FROM fl WHERE entry % 4 = 0")
