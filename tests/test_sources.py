@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import ingest, lexicon
 from vellum.operators.ingest import split_units
+from vellum.plans import drawn
 from vellum.plans import ingest as ingest_plans
 from vellum.sources import epub, html, images, library
 
@@ -102,7 +103,7 @@ def test_fold_against_the_pages_beside_it():
 
 
 def test_drawn_pages_of_nothing(spark):
-    got = images.upright_pages(images.typeset_pages(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"))).collect()
+    got = images.upright_pages(drawn.typeset_pages(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"))).collect()
     assert sorted((r.id or 0, r.part) for r in got) and {r.id for r in got} == {None, 1}
 
 
@@ -249,14 +250,64 @@ def test_exif_and_fit():
     assert images.fitted(wide).shape == (4, 1600) and (images.fitted(wide) == 7).all() and images.fitted(page) is page
 
 
+def drawn_by_letters(text, width=480, lines=40):
+    """The drawn pages letter by letter."""
+    pages, row, at = [np.full((20 * lines + 80, width + 80), 240, np.uint8)], 0, 0
+    for c in text:
+        size = 3 + ord(c) * 7 % 8
+        if at + size > width:
+            row, at = row + 1, 0
+            if row == lines:
+                pages, row = [*pages, np.full_like(pages[0], 240)], 0
+        if not c.isspace():
+            pages[-1][40 + 20 * row : 50 + 20 * row, 40 + at : 38 + at + size] = 30
+        at += size
+    return pages
+
+
+def test_drawn_pages_are_the_whole_text():
+    rng = random.Random(3)
+    for n in (0, 1, 500, 20_000):
+        text = "".join(rng.choice("ab cé\n😀d.") for _ in range(n))
+        want = drawn_by_letters(text)
+        assert len(want) > 1 or n < 20_000
+        assert all((a == b).all() for a, b in zip(drawn.typeset(text), want, strict=True))
+
+
+def test_stored_by_each_orientation():
+    page = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    for tag in range(1, 9):
+        assert (images.exif_upright(drawn.exif_stored(page, tag), tag) == page).all()
+
+
 def test_page_images(spark, sf_dir):
     got = {}
     for r in ingest_plans.page_images(spark, sf_dir).collect():
-        got.setdefault(r.id, []).append(r)
+        got.setdefault((r.id, r.page), []).append(r)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    full = [i for i, x in texts.items() if x and len(x) > 900]
-    assert full and all(got[i][0].sideways == (i % 3 == 0) for i in full)
-    assert all(len(got[i]) == (2 if i % 5 == 0 else 1) for i in full)
+    assert sorted(got) == sorted((i, k) for i, x in texts.items() for k, _ in enumerate(drawn_by_letters(x or "")))
+    # pages that are full, or nearly
+    full = [(i, k) for i, k in got if len(texts[i] or "") > 900 and (i, k + 1) in got] + [(i, 0) for i, x in texts.items() if x and len(x) > 900]
+    assert full and all(got[key][0].sideways == (key[0] % 3 == 0) for key in full)
+    assert all(len(got[i, k]) == (2 if i % 5 == 0 else 1) for i, k in full)
+    # upright pages are taller than wide and fitted
+    assert all((r.height, r.width) == (800, 509) for i, k in full if i % 5 for r in got[i, k])
+
+
+def test_web_page_shapes(spark, sf_dir):
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", "<nav>" + "<a href=x>y</a>" * 30 + "</nav><p>One short text.</p><p>Another, the longest of them.</p>"), (4, "u", "<p>é One.</p><p>Two of it.</p>" + "<a >" * 20)]
+    many = "".join(f"<p>Paragraph {i} with words.</p>" for i in range(60))
+    rows += [(5, "u", many + "<a >x</a>" * 30), (6, "u", many + "<a >x</a>" * 31)]
+    literal = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for frame in (literal, spark.read.parquet(f"{sf_dir}/pages.parquet")):
+        source = {r.page_id: r.html or "" for r in frame.collect()}
+        found = {r.page_id: r for r in html.page_shapes(frame).collect()}
+        assert found.keys() == source.keys()
+        for i, page in source.items():
+            texts, links = [x for x, _ in html.paragraphs(page)], page.count("<a ")
+            want = (i, len(texts), sum(len(x.encode()) for x in texts), max(map(len, texts), default=0), links, texts[0][:110] if texts else None)
+            assert tuple(found[i]) == (*want, links > 20 and links > 0.5 * len(texts))
+    assert [r.navigation for r in html.page_shapes(literal).orderBy("page_id").collect()] == [False, False, True, False, False, True]
 
 
 def test_shared_folder_is_asked_for(spark):

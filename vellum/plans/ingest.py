@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import ingest, structure
 from ..sources import epub, html, images, library
 from ..streaming import chunks
-from . import duck, fixtures
+from . import drawn, duck, fixtures
 from .relations import ERAS, PG, lexicon, pages, table
 
 QUERIES: dict = {}
@@ -195,10 +195,40 @@ def imported_blocks(spark, sf_dir):
 @query()
 def epub_pages(spark, sf_dir):
     """Pages of books: every web page bound as a book with contents, and an item that is missing."""
-    return epub.book_pages(epub.bind(table(spark, sf_dir, "pages")))
+    return epub.book_pages(drawn.bind(table(spark, sf_dir, "pages")))
 
 
 @query()
 def page_images(spark, sf_dir):
-    """Pictures of texts, some taken sideways or as a spread, turned upright and split."""
-    return images.upright_pages(images.typeset_pages(table(spark, sf_dir, "documents"))).select("id", "part", "sideways", "height", "width")
+    """Pictures of whole texts, stored by all orientation tags, some taken sideways or as a spread: turned upright, split, fitted."""
+    drawn_pages = drawn.typeset_pages(table(spark, sf_dir, "documents"))
+    return images.upright_pages(drawn_pages, edge=800).select("id", "page", "part", "sideways", "height", "width")
+
+
+#: first bytes that are put before the texts
+HEADS = [
+    "", "FFD8FFE0", "89504E470D0A1A0A", "474946383961", "474946383861", "5249464600000000574542", "524946460000000057454250", "4D4D002A", "49492A00", "424D", "5030", "5031",
+    "00000018667479706865696D", "000000186674797068657673", "000000186674797069736F6D", "000000186674797061766966", "00000018667479706D696631", "66747970",
+]
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, left([{', '.join(f"'{h}'" for h in HEADS)}][1 + doc_id % {len(HEADS)}] || hex(encode(left(coalesce(text, ''), 12))), 24) AS x FROM documents)
+SELECT doc_id, CASE WHEN x[9:16] = '66747970' AND x[17:24] IN ('68656963', '68656978', '6865696D', '68656973', '68657663', '68657678', '6865766D', '68657673', '6D696631', '6D736631') THEN 'heic'
+  WHEN starts_with(x, '89504E470D0A1A0A') THEN 'png' WHEN starts_with(x, 'FFD8FF') THEN 'jpeg' WHEN x[1:12] IN ('474946383961', '474946383761') THEN 'gif'
+  WHEN x[1:8] = '52494646' AND x[17:24] = '57454250' THEN 'webp' WHEN x[1:8] IN ('4D4D002A', '49492A00') THEN 'tiff' WHEN starts_with(x, '44445320') THEN 'dds'
+  WHEN starts_with(x, '424D') THEN 'bmp' WHEN starts_with(x, '00000100') THEN 'ico' WHEN starts_with(x, '233F52414449414E4345') THEN 'hdr'
+  WHEN x[1:4] = '0000' AND x[9:24] = '6674797061766966' THEN 'avif' WHEN starts_with(x, '762F3101') THEN 'exr' WHEN starts_with(x, '716F6966') THEN 'qoi'
+  WHEN starts_with(x, '6661726266656C64') THEN 'farbfeld' WHEN x[1:3] = '503' AND x[4] BETWEEN '1' AND '7' THEN 'pnm' ELSE 'unknown' END AS kind FROM h"""
+)
+def image_kinds(spark, sf_dir):
+    """Kinds of files by their first bytes: the texts behind the heads of pictures and of what only looks like one."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % len(HEADS) + 1).cast("int"))
+    content = F.unhex(F.concat(head, F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+    return table(spark, sf_dir, "documents").select("doc_id", images.sniff(content).alias("kind"))
+
+
+@query()
+def web_page_shapes(spark, sf_dir):
+    """Reading paragraphs of every web page, their size, the longest and the first, and whether it looks like navigation."""
+    return html.page_shapes(table(spark, sf_dir, "pages"))

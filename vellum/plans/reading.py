@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.arrays import let
 from ..operators import segment, structure
+from ..sources import library
 from . import duck, fixtures
 from .relations import BL, PG, SM, blocks, pages, summaries, table
 
@@ -172,7 +173,8 @@ def _spans(spark, sf_dir, pick):
     heads = folded.groupBy("page_id").agg(one("part"), one("chapter"), one("section"))
     own = structure.reading_order(pages(spark, sf_dir).drop("raw")).select("book_id", F.col("id").alias("page_id"), F.col("nth").cast("long").alias("nth"))
     extra = spark.sql(f"SELECT DISTINCT 980L AS book_id, CAST(page_id + 910000000 AS BIGINT) AS page_id, CAST(page_id AS BIGINT) AS nth FROM {FX_HEADINGS}")
-    return structure.carry_spans(own.unionByName(extra).join(heads, "page_id", "left"))
+    # what a stretch leaves open is read from the same rows again
+    return structure.carry_spans(library.staged(own.unionByName(extra).join(heads, "page_id", "left"), "headed-pages"))
 
 
 @query(_spans_sql("arg_min"))
@@ -193,7 +195,7 @@ SELECT bl.page_id, bl.ordinal, text_raw AS text FROM bl JOIN c ON c.page_id = bl
 def running_heads(spark, sf_dir):
     """Blocks that remain when first and last lines shared by two pages of a book are dropped."""
     rows = blocks(spark, sf_dir).select("page_id", "book_id", "ordinal", F.col("text_raw").alias("text"))
-    return segment.drop_running_heads(rows, 2).drop("book_id")
+    return segment.drop_running_heads(library.staged(rows, "blocks"), 2).drop("book_id")
 
 
 @query(
@@ -271,7 +273,8 @@ def adjacent_pages(spark, sf_dir):
 
 @query(f"WITH {PG}, {BL}, {ADJ}, {CTX} SELECT * FROM cx")
 def paragraph_contexts(spark, sf_dir):
-    return structure.paragraph_contexts(blocks(spark, sf_dir), pages(spark, sf_dir).select("id", "book_id", "page_no", "created_at"))
+    own = library.staged(blocks(spark, sf_dir).where("kind = 'paragraph'").select("id", "page_id", "ordinal", "kind", "text_norm"), "blocks")
+    return structure.paragraph_contexts(own, pages(spark, sf_dir).select("id", "book_id", "page_no", "created_at"))
 
 
 @query(f"WITH {PG}, {BL} SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS ordinal FROM (SELECT id, {duck.sentences('w')} AS s FROM (SELECT id, {duck.words('text_norm')} AS w FROM bl WHERE kind = 'paragraph'))")

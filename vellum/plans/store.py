@@ -176,6 +176,7 @@ def cascade_delete(spark, sf_dir):
     gone = own.where("book_id % 4 = 1").select("book_id").distinct()
     left = own.join(gone, "book_id", "left_anti")
     kept = blocks(spark, sf_dir).select("id", "page_id").join(left.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    kept = library.staged(kept, "blocks")
     notes = summaries(spark, sf_dir).select("id", "block_id").join(kept.select(F.col("id").alias("block_id")), "block_id", "left_semi")
     parts = [("pages", left), ("blocks", kept), ("summaries", notes)]
     out = [df.select(F.lit(name).alias("relation"), F.col("id").cast("string").alias("id")) for name, df in parts]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from . import library
 from .html import contents_links, paragraphs, squeeze
 
 
@@ -121,34 +122,10 @@ def book_paragraphs(files: DataFrame) -> DataFrame:
 
 
 def book_pages(files: DataFrame) -> DataFrame:
-    """``run_id, page, label, k, text``: the books' divisions cut into pages; ``run_id`` is path and division."""
+    """``run_id, page, label, k, text``: the books' divisions cut into pages; ``run_id`` is path and division.
+
+    Files are read once: their paragraphs are written, since runs are read twice.
+    """
     rows = book_paragraphs(files)
     runs = rows.select(F.concat_ws("#", "path", F.col("division").cast("string")).alias("run_id"), "label", "ordinal", F.col("text").alias("paragraph"))
-    return ingest.paginate(runs)
-
-
-def bound(page_id: int, page: str) -> bytes:
-    """A book of one page, with a navigation document and a spine that also names a missing file."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
-        items = '<item id="n" href="nav.xhtml" properties="nav"/><item id="x" href="gone.xhtml"/><item id="a" href="a%20b.xhtml"/>'
-        z.writestr("o/p.opf", f'<package><manifest>{items}</manifest><spine><itemref idref="x"/><itemref idref="a"/><itemref idref="none"/></spine></package>')
-        z.writestr("o/nav.xhtml", f'<html><body><nav epub:type="toc"><ol><li><a href="a%20b.xhtml">Page {page_id}</a></li></ol></nav></body></html>')
-        z.writestr("o/a b.xhtml", page)
-    return out.getvalue()
-
-
-def bind(pages: DataFrame) -> DataFrame:
-    """``path, content``: each of ``page_id, html`` as a book."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{i}.epub" for i, _ in rows]), pa.array([bound(i, page or "") for i, page in rows], pa.binary())], names=["path", "content"]
-            )
-
-    return pages.select("page_id", "html").mapInArrow(run, "path string, content binary")
+    return ingest.paginate(library.staged(runs, "paragraphs"))

@@ -197,3 +197,25 @@ def web_paragraphs(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
         run, "page_id long, url string, title string, ordinal long, text string, is_heading boolean"
     )
+
+
+#: More links than this, and more than this share of its paragraphs, make a page look like navigation.
+MANY_LINKS, LINK_SHARE = 20, 0.5
+OPENING = 110
+
+
+def page_shapes(pages: DataFrame) -> DataFrame:
+    """``page_id, paragraphs, size, longest, links, opening, navigation`` from ``page_id, url, html``.
+
+    ``size`` counts the bytes of the paragraphs that are read, ``longest`` the characters of
+    the longest one; ``opening`` is how the first begins.  ``page_id`` must be unique; a page
+    without reading text has zeros and no opening.
+    """
+    own = web_paragraphs(pages).groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.sum(F.octet_length("text")).alias("size"), F.max(F.length("text")).cast("long").alias("longest"),
+        F.min_by(F.substring("text", 1, OPENING), "ordinal").alias("opening"),
+    )
+    links = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_count("html", F.lit("<a ")), F.lit(0)).cast("long").alias("links"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = links.join(own, "page_id", "left").select("page_id", zero("paragraphs"), zero("size"), zero("longest"), "links", "opening")
+    return out.withColumn("navigation", (F.col("links") > MANY_LINKS) & (F.col("links") > LINK_SHARE * F.col("paragraphs")))

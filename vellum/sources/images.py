@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 PROFILE = 1000
 
 
+# --- fixed values ------------------------------------------------------------------------
+HEIF_BRANDS = ["heic", "heix", "heim", "heis", "hevc", "hevx", "hevm", "hevs", "mif1", "msf1"]
+#: Kind and first bytes in hexadecimal; a dot stands for any digit.
+MAGIC = [
+    ("png", "89504E470D0A1A0A"), ("jpeg", "FFD8FF"), ("gif", "474946383961"), ("gif", "474946383761"), ("webp", "52494646........57454250"),
+    ("tiff", "4D4D002A"), ("tiff", "49492A00"), ("dds", "44445320"), ("bmp", "424D"), ("ico", "00000100"), ("hdr", "233F52414449414E4345"),
+    ("avif", "0000....6674797061766966"), ("exr", "762F3101"), ("qoi", "716F6966"), ("farbfeld", "6661726266656C64"), ("pnm", "503[1-7]"),
+]
+# -----------------------------------------------------------------------------------------
+
+
 def sniff(content: Column) -> Column:
-    """Kind of an image by its first bytes; the list of brands is fixed."""
-    head = lambda a, n: F.hex(F.substring(content, a, n))
-    brand = F.substring(content, 9, 4).cast("string")
-    heif = (F.substring(content, 5, 4).cast("string") == "ftyp") & brand.isin("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1")
-    return (
-        F.when(heif, "heic")
-        .when(head(1, 3) == "FFD8FF", "jpeg")
-        .when(head(1, 8) == "89504E470D0A1A0A", "png")
-        .when(head(1, 4) == "47494638", "gif")
-        .otherwise("unknown")
-    )
+    """Kind of an image by its first bytes, ``unknown`` for others, null for null."""
+    head = F.hex(F.substring(content, 1, 12))
+    brands = "|".join(b.encode().hex().upper() for b in HEIF_BRANDS)
+    kind = F.when(content.isNotNull() & head.rlike(f"^.{{8}}66747970({brands})"), "heic")
+    for name, magic in MAGIC:
+        kind = kind.when(head.rlike(f"^{magic}"), name)
+    return kind.when(content.isNotNull(), "unknown")
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
@@ -90,12 +97,15 @@ def split_spread(pixels: np.ndarray) -> list[np.ndarray]:
     return [pixels[:, : max(at - trim, 1)], pixels[:, min(at + trim, pixels.shape[1] - 1) :]]
 
 
+#: Orientation tags whose pictures are mirrored, and the quarter turns that follow.
+MIRRORED, TURNS = (2, 4, 5, 7), {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}
+
+
 def exif_upright(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
     """The picture as its orientation tag (1 to 8) says it is to be seen; other tags change nothing."""
-    if orientation in (2, 4, 5, 7):
+    if orientation in MIRRORED:
         pixels = pixels[:, ::-1]
-    turns = {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(orientation or 1, 0)
-    return np.rot90(pixels, turns)
+    return np.rot90(pixels, TURNS.get(orientation or 1, 0))
 
 
 def fitted(pixels: np.ndarray, edge: int = 1600) -> np.ndarray:
@@ -113,51 +123,11 @@ def fitted(pixels: np.ndarray, edge: int = 1600) -> np.ndarray:
     return out.round().astype(pixels.dtype)
 
 
-PIXELS = "id long, height int, width int, orientation int, pixels binary"
-
-
-def typeset(text: str, width: int = 480, lines: int = 40) -> np.ndarray:
-    """A drawn page: a dark bar for each letter of the text's lines, as wide as the letter's code says."""
-    page = np.full((20 * lines + 80, width + 80), 240, np.uint8)
-    row, at = 0, 0
-    for c in text:
-        size = 3 + ord(c) * 7 % 8
-        if at + size > width:
-            row, at = row + 1, 0
-        if row == lines:
-            break
-        if not c.isspace():
-            page[40 + 20 * row : 50 + 20 * row, 40 + at : 38 + at + size] = 30
-        at += size
-    return page
-
-
-def typeset_pages(docs: DataFrame) -> DataFrame:
-    """Drawn first pages of documents as ``PIXELS``: every third on its side, every fifth the half of a spread.
-
-    A null id counts as 0, a null text is an empty page.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = typeset(text or "")
-                if (i or 0) % 5 == 0:
-                    page = np.concatenate([page, np.full((len(page), 6), 60, np.uint8), page], axis=1)
-                if (i or 0) % 3 == 0:
-                    page = np.rot90(page, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int64()), *[pa.array([x], pa.int32()) for x in (*page.shape, 1)], pa.array([page.tobytes()], pa.binary())],
-                    names=["id", "height", "width", "orientation", "pixels"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, PIXELS)
+PIXELS = "id long, page int, height int, width int, orientation int, pixels binary"
 
 
 def upright_pages(pictures: DataFrame, edge: int = 1600) -> DataFrame:
-    """``id, part, sideways, height, width, pixels``: pictures by their tag and their lines upright, split, fitted.
+    """``id, page, part, sideways, height, width, pixels``: pictures by their tag and their lines upright, split, fitted.
 
     ``pictures`` are grey ``PIXELS``; one picture is held at a time.
     """
@@ -166,22 +136,24 @@ def upright_pages(pictures: DataFrame, edge: int = 1600) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for i, h, w, tag, raw in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                seen = exif_upright(np.frombuffer(raw, np.uint8).reshape(h, w), tag)
+            ids, pages, heights, widths, tags = (batch.column(k).to_pylist() for k in range(5))
+            for i, page, h, w, tag, raw in zip(ids, pages, heights, widths, tags, batch.column(5), strict=True):
+                seen = exif_upright(np.frombuffer(raw.as_buffer(), np.uint8).reshape(h, w), tag)
                 side = is_sideways(seen)
                 parts = [fitted(x, edge) for x in split_spread(np.rot90(seen) if side else seen)]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([i] * n, pa.int64()),
+                        pa.array([page] * n, pa.int32()),
                         pa.array(range(n), pa.int32()),
                         pa.array([side] * n, pa.bool_()),
                         pa.array([p.shape[0] for p in parts], pa.int32()),
                         pa.array([p.shape[1] for p in parts], pa.int32()),
                         pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary()),
                     ],
-                    names=["id", "part", "sideways", "height", "width", "pixels"],
+                    names=["id", "page", "part", "sideways", "height", "width", "pixels"],
                 )
 
-    own = pictures.select("id", "height", "width", "orientation", "pixels")
-    return own.mapInArrow(run, "id long, part int, sideways boolean, height int, width int, pixels binary")
+    own = pictures.select("id", "page", "height", "width", "orientation", "pixels")
+    return own.mapInArrow(run, "id long, page int, part int, sideways boolean, height int, width int, pixels binary")
