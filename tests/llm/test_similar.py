@@ -67,30 +67,35 @@ def check(spark, rows):
     return caught
 
 
-def test_stage_on_documents(spark, sf_dir):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    # a handful of pairs, most of them just above 0.8
-    assert check(spark, rows) >= 0.8
+def test_stage_on_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert check(spark, rows) >= 0.9
 
 
 def test_recall_on_documents():
-    """Of all linked pairs of different texts at sf0.1 the candidate search lets nearly all through."""
-    how, pairs = similar.Search(), {}
-    hashes = [similar.shingle_hashes(t) for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist()]
-    size = np.array([len(a) for a, _ in hashes])
-    shingle = np.concatenate([a for a, _ in hashes])
-    order = np.argsort(shingle, kind="stable")
-    owner = np.repeat(np.arange(len(size)), size)[order]
-    runs = np.split(owner, np.flatnonzero(np.diff(shingle[order])) + 1)
-    for own in (r for r in runs if 1 < len(r) < 40):
-        for i, a in enumerate(own.tolist()):
-            for b in own[i + 1 :].tolist():
-                pairs[a, b] = pairs.get((a, b), 0) + 1
-    alike = [(a, b) for (a, b), n in pairs.items() if n < size[a] + size[b] - n and how.alike(size[a], size[b], n)]
-    bits = {i: np.unpackbits(np.array(similar.set_print(hashes[i][1]), ">i8").view(np.uint8)) for i in {i for pair in alike for i in pair}}
-    tables = how.tables(len(size))
+    """Of all linked pairs of different sets at sf0.1, in groups of any size, the search lets nearly all through."""
+    how, sets = similar.Search(), {}
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist():
+        own, hashes = similar.shingle_hashes(text)
+        if len(own):
+            sets[own.tobytes()] = own, hashes
+    sets = list(sets.values())
+    size = np.array([len(own) for own, _ in sets])
+    _, shingle, df = np.unique(np.concatenate([own for own, _ in sets]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    postings = np.split(owner[np.argsort(shingle, kind="stable")], np.cumsum(df)[:-1])
+    alike = []
+    for i, own in enumerate(np.split(shingle, np.cumsum(size)[:-1])):
+        with_others = own[df[own] > 1]
+        if len(with_others):
+            shared = np.bincount(np.concatenate([postings[s] for s in with_others]), minlength=len(size))
+            near = how.alike(size[i], size, shared)
+            alike += [(i, j) for j in np.flatnonzero(near) if j > i]
+    bits = {i: np.unpackbits(np.array(similar.set_print(sets[i][1]), ">i8").view(np.uint8)) for i in {i for pair in alike for i in pair}}
+    tables = how.tables()
     hits = [(bits[a] != bits[b]).sum() <= how.radius and (bits[a][tables] == bits[b][tables]).all(axis=1).any() for a, b in alike]
-    assert len(hits) > 1000 and np.mean(hits) > 0.98
+    # copies of a text count once
+    assert len(hits) > 40 and np.mean(hits) >= 0.9
 
 
 @pytest.mark.parametrize("n_texts, copies", [(100, 5), (2, 150)])
@@ -99,15 +104,15 @@ def test_edited_copies(spark, n_texts, copies):
 
 
 def test_recall_at_the_least_similarity():
-    """Of pairs with a similarity just above 0.8, radius and tables let nine in ten through."""
+    """Of pairs with a similarity of exactly 0.8, radius and tables let nine in ten through."""
     how, rng = similar.Search(), np.random.default_rng(8)
-    tables, hits = how.tables(10**6), []
+    tables, hits = how.tables(), []
     for _ in range(600):
         base = rng.integers(0, 256, (340, 16), dtype=np.uint8)
-        a, b = (np.unpackbits(np.array(similar.set_print(x), ">i8").view(np.uint8)) for x in (base[:-36], base[36:]))
-        assert 0.8 <= 268 / 340 + 0.02
+        a, b = (np.unpackbits(np.array(similar.set_print(x), ">i8").view(np.uint8)) for x in (base[:-34], base[34:]))
+        assert how.alike(306, 306, 272) and not how.alike(306, 306, 271)
         hits.append((a != b).sum() <= how.radius and bool((a[tables] == b[tables]).all(axis=1).any()))
-    assert np.mean(hits) > 0.85
+    assert np.mean(hits) >= 0.9
 
 
 def test_blocks_of_hot_buckets_and_clusters(spark, monkeypatch):
@@ -126,7 +131,7 @@ def test_blocks_of_hot_buckets_and_clusters(spark, monkeypatch):
     joined = []
     for block in (16, 4096):
         near = np.eye(len(rows), dtype=bool)
-        for u, v in similar.candidate_links(prints.withColumn("label", similar.F.col("rid")), how.tables(len(ids)), how.radius, block).collect():
+        for u, v in similar.candidate_links(prints.withColumn("label", similar.F.col("rid")), how.tables(), how.radius, block).collect():
             near[u, v] = near[v, u] = True
         joined.append(groups(near, ids).tolist())
         # two rounds join the same

@@ -13,6 +13,7 @@ spanning forests of their links and never the pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -38,17 +39,21 @@ SAMPLE = 16
 
 @dataclass(frozen=True)
 class Search:
-    """The candidate search: at the least similarity it finds about ``recall`` squared of the links.
+    """The candidate search: of the pairs with just the least similarity it finds ``recall`` squared, of closer ones more.
 
     Sets of one size with Jaccard similarity j have a cosine of 2j / (1 + j), and each bit of
     their SimHashes differs with the chance of the angle over pi, independently.  The radius
-    and the number of tables each let a share of ``recall`` through; above the least
-    similarity both shares rise quickly.
+    lets a share of ``recall`` through.  The tables are as many as the rest takes, counted
+    over all numbers of bits in which two SimHashes differ: pairs that differ in more bits
+    meet in fewer tables.  The keys do not depend on the corpus: whether a pair is found
+    depends on its two sets alone.
     """
 
     least: float = 0.8
     size: int = 5
     recall: float = 0.97
+    #: Bits of a table's key.  Longer keys make smaller buckets and more tables, at the same recall.
+    bits: int = 16
 
     @property
     def differ(self) -> float:
@@ -64,12 +69,20 @@ class Search:
                 return d
         return BITS
 
-    def tables(self, n: int) -> np.ndarray:
-        """The bits of each table's key: (tables, bits); keys are longer in very large corpora."""
-        bits = max(16, math.ceil(math.log2(max(n, 2))) - 8)
-        count = math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.differ) ** bits))
+    def found(self, tables: int) -> float:
+        """The share of the pairs with just the least similarity that so many tables and the radius let through."""
+        share = 0.0
+        for d in range(self.radius + 1):
+            chance = math.comb(BITS, d) * self.differ**d * (1 - self.differ) ** (BITS - d)
+            meets = math.comb(BITS - d, self.bits) / math.comb(BITS, self.bits)
+            share += chance * (1 - (1 - meets) ** tables)
+        return share
+
+    def tables(self) -> np.ndarray:
+        """The bits of each table's key: (tables, bits)."""
+        count = next(n for n in itertools.count(1) if self.found(n) >= self.recall**2)
         rng = np.random.default_rng(17)
-        return np.stack([rng.permutation(BITS)[:bits] for _ in range(count)])
+        return np.stack([rng.permutation(BITS)[: self.bits] for _ in range(count)])
 
     def alike(self, n_a, n_b, shared):
         """Whether sets of these sizes with so many shared members have the least similarity."""
@@ -200,7 +213,7 @@ def candidate_links(prints: DataFrame, tables: np.ndarray, radius: int, block: i
 
 def candidate_clusters(prints: DataFrame, how: Search, block: int = BLOCK) -> DataFrame:
     """``rid, cluster`` of all that are in a cluster of candidates with another one."""
-    tables = how.tables(prints.count())
+    tables = how.tables()
     first = components(candidate_links(prints.withColumn("label", F.col("rid")), tables[:FIRST_TABLES], how.radius, block)).withColumnRenamed("v", "rid")
     labelled = prints.join(first, "rid", "left").select("rid", "hi", "lo", F.coalesce("component", "rid").alias("label"))
     labelled = materialize(labelled, "labelled")
