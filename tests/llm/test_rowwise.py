@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import order_minhash, sharding, token_counts
@@ -162,3 +163,27 @@ def test_crc(spark):
     rows = odd.table(spark).select("text", sharding.text_crc32(F.col("text")).alias("c")).collect()
     assert all(r.c == zlib.crc32((r.text or "").encode()) for r in rows)
     assert np.uint32(rows[0].c) == rows[0].c
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 9, 300, 1023, 1024, 1031, 1032, 5000])
+@pytest.mark.parametrize("alike", [0, 1, 8, 150, 1031, 3000])
+def test_a_common_start_changes_no_signature(size, alike):
+    how = order_minhash.OrderMinHash(size=16, tuple_size=3)
+    letters = np.random.default_rng(size).choice(list("abé "), 10_000)
+    text, other = "".join(letters[:size]), "".join(letters[5000:])
+    alike = min(alike, size)
+    own, start = how.begun(text, alike)
+    assert own.tolist() == how.signature(text).tolist()
+    for edit in (text[:alike] + other[:900], text[:alike]):
+        assert how.resumed(edit, start).tolist() == how.signature(edit).tolist()
+
+
+def test_the_least_kmers_are_those_of_a_full_sort():
+    how = order_minhash.OrderMinHash(size=8)
+    text = "".join(np.random.default_rng(3).choice(list("abc"), 300 * order_minhash.STRETCH))
+    kmers = how._kmers(text)
+    flip, times, _ = how._mixers
+    _, places = how._lesser(*how._least(kmers, 0, len(kmers)))
+    for f in range(how.size):
+        numbers = (kmers.astype(np.uint32) ^ flip[f]) * times[f]
+        assert places[f].tolist() == np.argsort(numbers, kind="stable")[: how.tuple_size].tolist()

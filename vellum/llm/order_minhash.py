@@ -21,6 +21,8 @@ from ._shared import free_name, id_ranges, packed, quoted, unpacked
 
 #: K-mers that are hashed at a time.
 STRETCH = 1024
+#: Least k-mers of so many stretches are held before they are sifted.
+HELD = 256
 
 
 @dataclass(frozen=True)
@@ -64,37 +66,61 @@ class OrderMinHash:
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         return mixed ^ (mixed >> np.uint64(32))
 
-    def signature(self, text: str | None) -> np.ndarray:
-        """``size`` unsigned 32-bit entries; none for a null or empty text."""
-        kmers = self._kmers(text or "")
-        if not len(kmers):
-            return np.zeros(0, np.uint32)
+    def _least(self, kmers: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and places of the least k-mers from ``lo`` to ``hi`` under each hash function, in text order where equal."""
         flip, times, room = self._mixers
-        l, n = min(self.tuple_size, len(kmers)), len(kmers)  # noqa: E741
-        top = np.iinfo(np.uint32).max
-        least = np.full((self.size, l), top, np.uint32)
-        where = np.full((self.size, l), n, np.int64)
-        row = np.arange(self.size)
-        short = kmers.astype(np.uint32)
-        for lo in range(0, n, STRETCH):
-            part = room[:, : min(STRETCH, n - lo)]
-            np.bitwise_xor(short[None, lo : lo + STRETCH], flip, out=part)
+        top, row = np.iinfo(np.uint32).max, np.arange(self.size)
+        values, places = [np.zeros((self.size, 0), np.uint32)], [np.zeros((self.size, 0), np.int64)]
+        for at in range(lo, hi, STRETCH):
+            part = room[:, : min(STRETCH, hi - at)]
+            np.bitwise_xor(kmers[at : at + part.shape[1]].astype(np.uint32)[None], flip, out=part)
             np.multiply(part, times, out=part)
-            for _ in range(min(l, part.shape[1])):
+            for again in range(min(self.tuple_size, part.shape[1])):
+                if again:
+                    part[row, spot] = top
                 spot = part.argmin(axis=1)
-                value = part[row, spot]
-                part[row, spot] = top
-                worst = (least.astype(np.int64) + (where == n)).argmax(axis=1)
-                better = (value < least[row, worst]) | (where[row, worst] == n)
-                least[row[better], worst[better]] = value[better]
-                where[row[better], worst[better]] = spot[better] + lo
+                values.append(part[row, spot][:, None])
+                places.append((spot + at)[:, None])
+            if len(values) > HELD:
+                found = self._lesser(np.concatenate(values, axis=1), np.concatenate(places, axis=1))
+                values, places = [found[0]], [found[1]]
+        return np.concatenate(values, axis=1), np.concatenate(places, axis=1)
+
+    def _lesser(self, values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``tuple_size`` least of each row; of equal ones the first."""
+        order = np.argsort(values, axis=1, kind="stable")[:, : self.tuple_size]
+        return np.take_along_axis(values, order, axis=1), np.take_along_axis(places, order, axis=1)
+
+    def _entries(self, kmers: np.ndarray, *least: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The signature of k-mers whose least ones are among those of these stretches."""
+        if not len(kmers):
+            return np.zeros(0, np.uint32)
+        _, where = self._lesser(*[np.concatenate(x, axis=1) for x in zip(*least, strict=True)])
         chosen = kmers[np.sort(where, axis=1)]
-        out = np.full(self.size, np.uint64(l))
-        for j in range(l):
+        out = np.full(self.size, np.uint64(chosen.shape[1]))
+        for j in range(chosen.shape[1]):
             out = (out ^ chosen[:, j]) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(29)
         return (out >> np.uint64(16)).astype(np.uint32)
 
+    def signature(self, text: str | None) -> np.ndarray:
+        """``size`` unsigned 32-bit entries; none for a null or empty text."""
+        kmers = self._kmers(text or "")
+        return self._entries(kmers, self._least(kmers, 0, len(kmers)))
+
+    def begun(self, text: str, alike: int) -> tuple[np.ndarray, tuple]:
+        """A text's signature, and what ``resumed`` takes of its first ``alike`` characters."""
+        kmers = self._kmers(text)
+        common = max(alike - self.k + 1, 0)
+        first = self._least(kmers, 0, common)
+        return self._entries(kmers, first, self._least(kmers, common, len(kmers))), (common, first)
+
+    def resumed(self, text: str, start: tuple) -> np.ndarray:
+        """The signature of a text that begins with the characters that ``start`` stands for."""
+        common, first = start
+        kmers = self._kmers(text)
+        return self._entries(kmers, first, self._least(kmers, common, len(kmers)))
+
 
 def spelled(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
@@ -133,10 +159,14 @@ def fingerprint_texts(docs: DataFrame, text: str = "text", out: str = "fingerpri
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def kept_chars(text: str) -> int:
+    """How many of a text's first code points an edit leaves."""
+    return len(text) - len(text) // 2
+
+
 def edited_text(text: str, following: str) -> str:
     """The text with its last floor(n/2) code points replaced by the next text's first."""
-    half = len(text) // 2
-    return text[: len(text) - half] + following[:half]
+    return text[: kept_chars(text)] + following[: len(text) // 2]
 
 
 def compare_with_edit(docs: DataFrame, how: OrderMinHash | None = None, range_rows: int = 4000) -> DataFrame:
@@ -149,7 +179,7 @@ def compare_with_edit(docs: DataFrame, how: OrderMinHash | None = None, range_ro
     a task streams its sorted rows with one document in hand.  Defined cases: null text is
     empty; empty text has an empty fingerprint; repeated rows follow each other; very long
     texts are taken whole; an empty table gives an empty result; columns other than doc_id
-    and text are not used.
+    and text are not used.  The half that a text shares with its edit is hashed once.
     """
     how = how or OrderMinHash()
     spark = docs.sparkSession
@@ -183,10 +213,10 @@ def compare_with_edit(docs: DataFrame, how: OrderMinHash | None = None, range_ro
         for batch in batches:
             out = []
             for closing, doc, text in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                own = how.signature(text)
+                own, start = how.begun(text, kept_chars(text))
                 if held:
                     edit = edited_text(held[1], text)
-                    print_ = how.signature(edit)
+                    print_ = how.resumed(edit, held[3])
                     out.append(
                         (
                             held[0],
@@ -198,7 +228,7 @@ def compare_with_edit(docs: DataFrame, how: OrderMinHash | None = None, range_ro
                             likeness(held[2], own),
                         )
                     )
-                held = None if closing else (doc, text, own)
+                held = None if closing else (doc, text, own, start)
             if out:
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
