@@ -11,11 +11,18 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
+from collections.abc import Callable
+
+import numpy as np
 
 _COMMON = re.compile("[^\n -~À-ÖØ-öø-ÿ‘’“”–—…]")
 _LOOSE = ("  ", "\n\n", " \n", "\n ")
 
+#: Characters of a chunk that is held: longer ones are made anew in each batch.
+LONG = 100
+
 _encoders: dict = {}
 
 
@@ -31,11 +38,12 @@ def _gaps(found: list) -> list[int]:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``kept`` bounds the number of chunks held in a worker's memory; beyond it the store is
-    emptied, which costs time but changes no result.
+    ``kept`` bounds the number of chunks held in a worker's memory.  Beyond half of it the store
+    becomes the older one, from which chunks that come again are taken over, and the older one
+    before it is dropped: this costs time but changes no result.
     """
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
@@ -59,12 +67,17 @@ class ChunkEncoder:
             self.plain.normalizer = normalizers.Sequence([])
         self.kept = kept
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str], whole: bool = False) -> list[bytes]:
         done = (self.library if whole else self.plain).encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._encode([self._spell(c) for c in chunks])
+
+    def _marked(self, text: str) -> str | None:
+        """The text with a space before each chunk but the first; None if it must be encoded whole."""
         if _COMMON.search(text) or "<|" in text or text != text.strip() or not text:
             return None
         if self.spaced and any(x in text for x in _LOOSE):
@@ -72,9 +85,9 @@ class ChunkEncoder:
         if self.lower:
             text = text.lower()
         if not self.spaced:
-            return text.split()
+            return " ".join(text.split())
         # a chunk after a newline carries it; the text's first chunk is marked by NUL
-        return ("\0" + text.replace("\n", " \n")).split(" ")
+        return "\0" + text.replace("\n", " \n")
 
     def _spell(self, chunk: str) -> str:
         if not self.spaced or chunk[0] == "\n":
@@ -89,33 +102,68 @@ class ChunkEncoder:
         return out
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
-        split = [self._chunks(t) for t in texts]
-        found = [c and list(map(self.held.get, c)) for c in split]
-        gaps = [(c, f, i) for c, f in zip(split, found, strict=True) if f for i in _gaps(f)]
-        if gaps:
-            new = {c[i] for c, _, i in gaps}
-            if len(self.held) + 2 * len(new) > self.kept:
-                self.held = {}
-            self._hold(new)
-            for c, f, i in gaps:
-                f[i] = self.held[c[i]]
-        whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None], whole=True))
-        return [next(whole) if f is None else b"".join(f) for f in found]
-
-    def _hold(self, wanted: set[str]) -> None:
+        marked = [self._marked(t) for t in texts]
+        chunked = iter(self._joined([m for m in marked if m is not None]))
+        whole = iter(self._encode([t for t, m in zip(texts, marked, strict=True) if m is None], whole=True))
+        return [next(whole if m is None else chunked) for m in marked]
+
+    def _joined(self, marked: list[str]) -> list[bytes]:
+        """The ids of texts of chunks, put together from those of the distinct chunks."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not marked:
+            return []
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        chunks = lists.values.dictionary_encode()
+        ids = self._ids_of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = chunks.indices.to_numpy()
+        ends = np.cumsum(size[code])
+        # token k of the output stands as far behind its chunk's start as in the distinct chunks
+        shift = (np.cumsum(size) - size)[code] - (ends - size[code])
+        found = np.frombuffer(b"".join(ids), "<u4")[np.repeat(shift, size[code]) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[lists.offsets.to_numpy()]).tolist()
+        return [found[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _ids_of(self, chunks: list[str], made: Callable[[list[str]], list[bytes]] | None = None) -> list[bytes]:
+        """The ids of distinct chunks; those that no store has are ``made`` together."""
+        found = list(map(self.held.get, chunks))
+        gaps = _gaps(found)
+        if not gaps:
+            return found
+        if len(self.held) + 2 * len(gaps) > self.kept // 2:
+            self.older, self.held = self.held, {}
+        lacking = []
+        for i in gaps:
+            ids = found[i] = self.older.get(chunks[i])
+            if ids is None:
+                lacking.append(i)
+            else:
+                self.held[chunks[i]] = ids
+        for i, ids in zip(lacking, (made or self._new)([chunks[i] for i in lacking]), strict=True):
+            found[i] = ids
+            if len(chunks[i]) <= LONG:
+                self.held[chunks[i]] = ids
+        return found
+
+    def _new(self, wanted: list[str]) -> list[bytes]:
         """Encode new chunks; closing marks after a letter or digit are tokens of their own."""
-        if not wanted:
-            return
-        cores, marks = {}, {}
+        core_of = {}
         for chunk in wanted:
-            core = chunk.rstrip(",.;:!?")
+            core = chunk.rstrip(string.punctuation)
             if len(core) < len(chunk) and core[-1:].isalnum():
-                cores[chunk], marks[chunk] = core, chunk[len(core) :]
-        new = list((wanted - cores.keys()) | {c for c in cores.values() if c not in self.held})
-        self.held.update(zip(new, self._encode([self._spell(c) for c in new]), strict=True))
-        tails = list(set(marks.values()))
+                core_of[chunk] = core
+        ids = {k: self.held.get(k) or self.older.get(k) for k in core_of.values()}
+        new = [k for k, known in ids.items() if known is None]
+        new += [c for c in wanted if c not in core_of and c not in ids]
+        ids.update(zip(new, self._encode_chunks(new), strict=True))
+        tails = list({c[len(k) :] for c, k in core_of.items()})
         tail = dict(zip(tails, self._encode(tails), strict=True))
-        self.held.update({c: self.held[core] + tail[marks[c]] for c, core in cores.items()})
+        for k in core_of.values():
+            if len(k) <= LONG:
+                self.held[k] = ids[k]
+        return [ids[core_of[c]] + tail[c[len(core_of[c]) :]] if c in core_of else ids[c] for c in wanted]
 
 
 def encoder(path: str) -> ChunkEncoder:

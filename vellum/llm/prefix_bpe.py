@@ -23,8 +23,6 @@ from ._shared import free_name, packed, quoted, unpacked
 from ._tokens import ChunkEncoder, vocabulary
 
 
-#: Bytes of a match whose prefixes are shared with those of others.
-SHORT = 64
 #: Above any rank.
 NEVER = 1 << 60
 
@@ -39,10 +37,10 @@ class Ranks:
     """A vocabulary of byte strings with their merge ranks.
 
     Every token but single bytes was made by one last merge of two others, of lower rank.
-    ``kept`` bounds the pairs of tokens whose verdict is remembered.
+    ``kept`` bounds the pairs of tokens whose verdict is remembered, and the steps between states.
     """
 
-    def __init__(self, ranks: dict[bytes, int], kept: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], kept: int = 300_000):
         self.ranks, self.kept = ranks, kept
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -70,6 +68,8 @@ class Ranks:
         if after is None:
             read = self.read_as[state] + bytes([byte])
             start = next(i for i in range(len(read) + 1) if read[i:] in self.state_of)
+            if len(self.steps) >= self.kept:
+                self.steps = {}
             after = self.steps[key] = self.state_of[read[start:]]
             if self.endings[after] is None:
                 tails = [read[i:] for i in range(start, len(read))]
@@ -253,76 +253,78 @@ class EncodedText:
 class PrefixEncoder(ChunkEncoder):
     """Encodes texts as the library of the vocabulary does.
 
-    Short matches share one table of prefixes, to which a new match only adds those that no
-    other had; a longer match has a table of its own.  ``kept`` bounds the prefixes, and the
-    chunks between white space, that are held.
+    The new matches of a batch are encoded in their order as bytes, and each takes over the
+    entries of the prefix that it shares with the one before it.  ``kept`` bounds the chunks
+    between white space, and the matches of other texts, that are held.
     """
 
-    def __init__(self, path: str, pattern: str, kept: int = 700_000):
+    def __init__(self, path: str, pattern: str, kept: int = 500_000):
         import public_tokenizers
         import regex
 
         self.matcher = regex.compile(pattern)
         self.ranks = Ranks.load(path)
         self.spaced, self.lower = True, False
-        self.kept, self.older, self._held = kept, {}, {}
+        self.kept, self.older, self.held = kept, {}, {}
         #: only of this pattern it is known that no match crosses a chunk's border
         self.chunked = pattern == public_tokenizers.PATTERN
-        #: of each prefix its last token and state, as one number
-        self.table: dict[bytes, int] = {}
-
-    def _chunks(self, text: str) -> list[str] | None:
-        return super()._chunks(text) if self.chunked else None
-
-    @property
-    def held(self) -> dict[str, bytes]:
-        """Chunks with their ids.  When they are emptied the last ones stay at hand as ``older``."""
-        return self._held
-
-    @held.setter
-    def held(self, new: dict[str, bytes]) -> None:
-        self.older, self._held = self._held, new
-
-    def _hold(self, wanted: set[str]) -> None:
-        again = {c: self.older[c] for c in wanted if c in self.older}
-        self.held.update(again)
-        super()._hold(wanted - again.keys())
-
-    def _match_ids(self, data: bytes) -> list[int]:
-        """The ids of one match, whose prefixes are then all in the table with token and state."""
-        if len(data) > SHORT:
-            return PrefixTable(self.ranks, data).ids()
-        table, known = self.table, len(data)
-        while known and data[:known] not in table:
-            known -= 1
-        state = table[data[:known]] & 0xFFFFFFFF if known else 0
-        steps, endings, verdicts = self.ranks.steps, self.ranks.endings, self.ranks.verdicts
-        for place in range(known, len(data)):
-            after = steps.get(state << 8 | data[place])
-            state = self.ranks.step(state, data[place]) if after is None else after
-            for token, size in endings[state]:
-                if size > place:
-                    break
-                left = table[data[: place + 1 - size]] >> 32
-                verdict = verdicts.get(left << 32 | token)
-                if self.ranks.follows(left, token) if verdict is None else verdict:
-                    break
-            table[data[: place + 1]] = token << 32 | state
-        ids, bytes_of = [], self.ranks.bytes_of
-        while data:
-            ids.append(table[data] >> 32)
-            data = data[: -len(bytes_of[ids[-1]])]
-        if len(table) > self.kept:
-            self.table = {}
-        return ids[::-1]
+
+    def _marked(self, text: str) -> str | None:
+        return super()._marked(text) if self.chunked else None
+
+    def _match_ids(self, matches: set[str]) -> dict[str, bytes]:
+        """The ids of each match, from the last tokens of its prefixes."""
+        ranks, bytes_of = self.ranks, self.ranks.bytes_of
+        steps, endings, verdicts = ranks.steps, ranks.endings, ranks.verdicts
+        found, before, last, states = {}, b"", [], [0]
+        for data, match in sorted((m.encode(), m) for m in matches):
+            n, place = min(len(before), len(data)), 0
+            while place < n and before[place] == data[place]:
+                place += 1
+            del last[place:], states[place + 1 :]
+            state = states[place]
+            for place in range(place, len(data)):
+                after = steps.get(state << 8 | data[place])
+                state = ranks.step(state, data[place]) if after is None else after
+                for token, size in endings[state]:
+                    if size > place:
+                        break
+                    left = last[place - size]
+                    verdict = verdicts.get(left << 32 | token)
+                    if ranks.follows(left, token) if verdict is None else verdict:
+                        break
+                else:
+                    raise ValueError("no token of the vocabulary ends this prefix")
+                last.append(token)
+                states.append(state)
+            at, ids = len(data), array("I")
+            while at:
+                ids.append(last[at - 1])
+                at -= len(bytes_of[ids[-1]])
+            ids.reverse()
+            found[match], before = ids.tobytes(), data
+        return found
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._encode([self._spell(c) for c in chunks])
 
     def _encode(self, texts: list[str], whole: bool = False) -> list[bytes]:
-        out = []
-        for text in texts:
-            one = not whole and text[1:].isalpha() and text[0] == " "  # a chunk that is one match
-            matches = [text] if one else self.matcher.findall(text)
-            out.append(array("I", [i for m in matches for i in self._match_ids(m.encode())]).tobytes())
-        return out
+        if whole:
+            return [self._of_matches(self.matcher.findall(t)) for t in texts]
+        # a chunk that is one match needs no matching
+        split = [[t] if t[1:].isalpha() and t[0] == " " else self.matcher.findall(t) for t in texts]
+        ids = self._match_ids({m for s in split for m in s})
+        return [ids[s[0]] if len(s) == 1 else b"".join(map(ids.__getitem__, s)) for s in split]
+
+    def _of_matches(self, matches: list[str]) -> bytes:
+        """The ids of a whole text; its matches are held beside the chunks, marked by another sign."""
+        kinds = list(dict.fromkeys(matches))
+        ids = dict(zip(kinds, self._ids_of(["\1" + m for m in kinds], self._matches_new), strict=True))
+        return b"".join(map(ids.__getitem__, matches))
+
+    def _matches_new(self, marked: list[str]) -> list[bytes]:
+        ids = self._match_ids({m[1:] for m in marked})
+        return [ids[m[1:]] for m in marked]
 
 
 @functools.cache
