@@ -35,6 +35,24 @@ def test_prefix_encoder_holds_no_more_than_it_says():
         assert sum(sizes.values()) <= kept, sizes
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_go_to_the_model_alone_and_once(name, monkeypatch):
+    code = ChunkEncoder(vocabulary(name), 2000)
+    words, passed = drawn_words(3000, 2), []
+    inner = ChunkEncoder._encode
+    monkeypatch.setattr(ChunkEncoder, "_encode", lambda self, texts, whole=False: passed.extend(texts) or inner(self, texts, whole))
+    for lo in range(0, len(words), 100):
+        # " common" comes in each text, so it is taken over whenever the store is full
+        text = "x common " + " ".join(w + random.Random(lo).choice(["", ",", "***", ".&&&"]) for w in words[lo : lo + 100])
+        assert code.encode([text])[0] == array("I", code.library.encode(text, add_special_tokens=False).ids).tobytes()
+        assert len(code.held) + len(code.older) <= 2000
+    assert all(not any(c.isalnum() for c in t) for t in passed)
+    made = []
+    monkeypatch.setattr(ChunkEncoder, "_encode_chunks", lambda self, chunks: made.extend(chunks) or [b"\0\0\0\0"] * len(chunks))
+    code.encode(["y common"])
+    assert "common" not in made
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_any_closing_marks(name):
     code = ChunkEncoder(vocabulary(name))
@@ -44,3 +62,19 @@ def test_any_closing_marks(name):
     texts = [rng.choice(" \n").join(rng.choice(cores) + rng.choice(ends) for _ in range(8)) for _ in range(400)]
     for text, ids in zip(texts, code.encode(texts), strict=True):
         assert ids == array("I", code.library.encode(text, add_special_tokens=False).ids).tobytes(), text
+
+
+def test_ids_travel_in_two_bytes_where_they_fit():
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.llm import packing
+
+    ids = [[1, 65535], [0], [7, 8, 9], [65536, 5], [1 << 31]]
+    wide = [np.array(x, "<u4").tobytes() for x in ids]
+    narrow = [packing.narrowed(x) for x in wide]
+    assert [len(x) for x in narrow] == [4, 2, 6, 8, 4]
+    column, length = pa.array(narrow, pa.binary()), np.array([len(x) for x in ids])
+    for lo, hi in ((0, 5), (0, 3), (1, 3), (2, 5), (3, 5), (2, 2)):
+        got = packing.widened(column.slice(lo, hi - lo), length[lo:hi])
+        assert got.to_pylist() == wide[lo:hi] and got.type == pa.binary()

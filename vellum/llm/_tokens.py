@@ -14,6 +14,7 @@ import re
 import string
 from array import array
 from collections.abc import Callable
+from operator import attrgetter
 
 import numpy as np
 
@@ -23,9 +24,22 @@ _LOOSE = ("  ", "\n\n", " \n", "\n ")
 #: Characters of a chunk that is held: longer ones are made anew in each batch.
 LONG = 100
 
+#: Characters of the texts, but for the last of them, that are encoded together.
+TOGETHER = 4_000_000
+
 _encoders: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _gaps(found: list) -> list[int]:
     """The places that hold None."""
     places, at = [], -1
@@ -43,7 +57,7 @@ class ChunkEncoder:
     before it is dropped: this costs time but changes no result.
     """
 
-    def __init__(self, path: str, kept: int = 700_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
@@ -74,7 +88,22 @@ class ChunkEncoder:
         return [array("I", e.ids).tobytes() for e in done]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return self._encode([self._spell(c) for c in chunks])
+        """The ids of chunks.  One that is a word, with or without the space before it, is one
+        piece to the pre-tokenizer, so it goes to the library's model right away."""
+        merged, one, space = self.plain.model.tokenize, attrgetter("id"), _LETTERS[32] if self.spaced else ""
+        out, others = [], []
+        for chunk in chunks:
+            word, before = (chunk, space) if chunk[0] != "\0" or not self.spaced else (chunk[1:], "")
+            if word.isalpha():
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_LETTERS)
+                out.append(array("I", map(one, merged(before + word))).tobytes())
+            else:
+                out.append(None)
+                others.append(self._spell(chunk))
+        for i, ids in zip(_gaps(out), self._encode(others), strict=True):
+            out[i] = ids
+        return out
 
     def _marked(self, text: str) -> str | None:
         """The text with a space before each chunk but the first; None if it must be encoded whole."""
@@ -97,9 +126,14 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text (null: empty), as bytes; results are those of the library."""
         out: list[bytes] = []
-        for lo in range(0, len(texts), 256):
-            out += self._encode_some([t or "" for t in texts[lo : lo + 256]])
-        return out
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= TOGETHER:
+                out += self._encode_some(some)
+                some, size = [], 0
+        return out + self._encode_some(some)
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         marked = [self._marked(t) for t in texts]

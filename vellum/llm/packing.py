@@ -149,8 +149,35 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, i
     return np.array(sorted(x.placed), dtype=np.int64).reshape(-1, 5), x.sequences
 
 
+def narrowed(ids: bytes) -> bytes:
+    """Two bytes for each of the ids, of four bytes, if all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else ids
+
+
+def widened(ids, length: np.ndarray):
+    """An Arrow column of narrowed ids with four bytes for each; ``length`` has their numbers."""
+    import pyarrow as pa
+
+    some = ids.cast(pa.binary())
+    ends = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+    if (np.diff(ends) == 2 * length).all():
+        data = np.frombuffer(some.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2").astype("<u4")
+        wide = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends - ends[0]) * 2), pa.py_buffer(data)])
+    else:
+        wide = pa.array(
+            [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(some.to_pylist(), length, strict=True)],
+            pa.binary(),
+        )
+    return wide.cast(ids.type)
+
+
 def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int, ids: bool) -> DataFrame:
-    """``row_id, doc_id, piece, start, length, ids_crc32`` (and ``ids``): the encoded pieces."""
+    """``row_id, doc_id, piece, start, length, ids_crc32`` (and ``ids``): the encoded pieces.
+
+    ``ids`` are on their way here: two bytes each where all of a piece fit, else four.
+    ``widened`` gives them four again.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -158,8 +185,8 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity:
 
         code = encoder(vocabulary_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
                 rows = []
                 for doc, at, own in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), code.encode(some.column(1).to_pylist()), strict=True):
                     own += end
@@ -167,7 +194,7 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity:
                     starts = [0, *range(n % capacity or capacity, n, capacity)]
                     for piece, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
                         part = own[4 * a : 4 * b]
-                        rows.append((at, doc, piece, a, b - a, zlib.crc32(part), part))
+                        rows.append((at, doc, piece, a, b - a, zlib.crc32(part), narrowed(part) if ids else None))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
@@ -214,14 +241,15 @@ def pack_documents(
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        some = max(1, min(1000, (1 << 28) // capacity))
+        for batch in (b.slice(lo, some) for b in batches for lo in range(0, b.num_rows, some)):
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             row = plan[np.searchsorted(keys, length << 48 | rank, side="right") - 1]
             turn = rank - row[:, 1]
             kept = [i for i, n in enumerate(batch.schema.names) if n != "rank"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(i) for i in kept],
+                    *[widened(batch.column(i), length) if batch.schema.names[i] == "ids" else batch.column(i) for i in kept],
                     pa.array(row[:, 3] + turn // row[:, 2]),
                     pa.array(row[:, 4] + turn % row[:, 2] * length),
                 ],
