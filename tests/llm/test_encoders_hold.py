@@ -78,3 +78,30 @@ def test_ids_travel_in_two_bytes_where_they_fit():
     for lo, hi in ((0, 5), (0, 3), (1, 3), (2, 5), (3, 5), (2, 2)):
         got = packing.widened(column.slice(lo, hi - lo), length[lo:hi])
         assert got.to_pylist() == wide[lo:hi] and got.type == pa.binary()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_held_once_whatever_closes_it(name):
+    code = ChunkEncoder(vocabulary(name))
+    text = "x word word, word. élan élan!*** word&&& word"
+    assert code.encode([text, text])[1] == array("I", code.library.encode(text, add_special_tokens=False).ids).tobytes()
+    assert sorted(c.strip("\0") for c in code.held) == ["word", "x", "élan"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_one_batch_of_more_chunks_than_are_held(name):
+    code, words = ChunkEncoder(vocabulary(name), 200), drawn_words(3000, 4)
+    texts = [" ".join(words[lo : lo + 1000]) for lo in (0, 1000, 2000, 0)]
+    for some in (texts[:3], texts[3:]):
+        for text, ids in zip(some, code.encode(some), strict=True):
+            assert ids == array("I", code.library.encode(text, add_special_tokens=False).ids).tobytes()
+        assert len(code.held) <= 100 and len(code.older) <= 100
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_and_signs_at_any_place(name):
+    code, rng = ChunkEncoder(vocabulary(name)), random.Random(5)
+    signs = ["a", "B,", "É.", " ", "\n", "\0", "<", "|", "<|", "ß", "×", "ÿ", "“", "’", "\t", "\x1f", "\x7f", "\xa0", "日", "1", "'s", "_"]
+    texts = ["", None, " ", "\n", *("".join(rng.choices(signs, k=rng.randint(1, 7))) for _ in range(3000))]
+    for text, ids in zip(texts, code.encode(texts), strict=True):
+        assert ids == array("I", code.library.encode(text or "", add_special_tokens=False).ids).tobytes(), repr(text)

@@ -185,8 +185,8 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity:
 
         code = encoder(vocabulary_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                some = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 2048):
+                some = batch.slice(lo, 2048)
                 rows = []
                 for doc, at, own in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), code.encode(some.column(1).to_pylist()), strict=True):
                     own += end

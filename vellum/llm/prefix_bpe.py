@@ -16,6 +16,7 @@ import functools
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,8 +270,8 @@ class PrefixEncoder(ChunkEncoder):
         #: only of this pattern it is known that no match crosses a chunk's border
         self.chunked = pattern == public_tokenizers.PATTERN
 
-    def _marked(self, text: str) -> str | None:
-        return super()._marked(text) if self.chunked else None
+    def _chunked(self, texts) -> np.ndarray:
+        return super()._chunked(texts) if self.chunked else np.zeros(len(texts), bool)
 
     def _match_ids(self, matches: set[str]) -> dict[str, bytes]:
         """The ids of each match, from the last tokens of its prefixes."""
