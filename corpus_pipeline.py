@@ -47,9 +47,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its ids and its place in a sequence of 2048 tokens.
 
-    ``row_id`` tells the repeats of a document apart.
+    ``row_id`` tells the repeats of a document apart.  Workers that later run other stages do
+    not keep what was encoded here.
     """
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, keep=False)
 
 
 STAGES = [

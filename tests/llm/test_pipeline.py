@@ -1,5 +1,8 @@
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from vellum.llm import secrets
+from vellum.llm import _tokens, packing, secrets
 from vellum.llm._shared import materialize
 
 from . import odd
@@ -45,3 +48,35 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, sf_dir), f"odd-{name}")
         docs.count()
+
+
+class Tapped(Exception):
+    """What a stage would have run in its tasks."""
+
+
+class Tap:
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        raise Tapped(run)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_packing_task_leaves_nothing_in_its_worker(spark, sf_dir, whole):
+    with pytest.raises(Tapped) as tapped:
+        corpus_pipeline.packing(spark, Tap(), sf_dir)
+    code = _tokens.encoder(_tokens.vocabulary("byte_bpe_50k.json"))
+    texts = ["some words here", None, "some other words"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts, "row_id": [7, 8, 9]})
+    rest = tapped.value.args[0](iter([batch, batch]))
+    found = [next(rest)]
+    assert len(code.held) >= 4
+    if whole:
+        found += list(rest)
+    else:
+        rest.close()
+    assert not code.held and not code.older
+    ids = [[*code.library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    for some in found:
+        assert packing.widened(some["ids"], some["length"].to_numpy()).to_pylist() == [_tokens.array("I", x).tobytes() for x in ids]

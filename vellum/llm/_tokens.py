@@ -96,6 +96,10 @@ class ChunkEncoder:
             self.plain.no_padding()
             self.plain.normalizer = normalizers.Sequence([])
         self.kept = kept
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all chunks held; this changes no result."""
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 

@@ -172,11 +172,12 @@ def widened(ids, length: np.ndarray):
     return wide.cast(ids.type)
 
 
-def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int, ids: bool) -> DataFrame:
+def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int, ids: bool, keep: bool = True) -> DataFrame:
     """``row_id, doc_id, piece, start, length, ids_crc32`` (and ``ids``): the encoded pieces.
 
     ``ids`` are on their way here: two bytes each where all of a piece fit, else four.
-    ``widened`` gives them four again.
+    ``widened`` gives them four again.  Without ``keep`` the encoder's chunks are dropped
+    after each task.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -184,6 +185,16 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity:
         import pyarrow as pa
 
         code = encoder(vocabulary_path)
+        try:
+            yield from pieces(code, batches)
+        finally:
+            if not keep:
+                code.forget()
+                pa.default_memory_pool().release_unused()
+
+    def pieces(code, batches):
+        import pyarrow as pa
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 some = batch.slice(lo, 1024)
@@ -208,13 +219,14 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, end_id: int, capacity:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary_path: str, end_id: int = 0, capacity: int = 2048, ids: bool = True
+    docs: DataFrame, vocabulary_path: str, end_id: int = 0, capacity: int = 2048, ids: bool = True, keep: bool = True
 ) -> DataFrame:
     """Every piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, row_id``.
 
     With ``ids`` the pieces carry their ids as little-endian unsigned 32-bit numbers: ordered
     by ``sequence_id, offset`` they are the sequences.  ``row_id`` tells the rows of ``docs``
-    apart, also where a doc_id repeats.  A document longer than ``capacity`` is cut into
+    apart, also where a doc_id repeats.  Without ``keep`` a worker, which Spark uses again for
+    other stages, holds no encoded chunks beyond a task: less memory for more time.  A document longer than ``capacity`` is cut into
     pieces of ``capacity`` of which the first may be shorter.  Only the counts per length (at
     most ``capacity`` rows) reach the driver.  Defined cases: null and empty texts are a piece
     with only the end id; repeated rows and null doc_ids are pieces of their own, dealt like
@@ -222,7 +234,7 @@ def pack_documents(
     result; columns other than doc_id and text are not used.
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
-    pieces = materialize(cut_documents(rows, vocabulary_path, end_id, capacity, ids), "pieces")
+    pieces = materialize(cut_documents(rows, vocabulary_path, end_id, capacity, ids, keep), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan, _ = plan_sequences(counts, capacity)
 
