@@ -294,6 +294,50 @@ def test_page_images(spark, sf_dir):
     assert all((r.height, r.width) == (800, 509) for i, k in full if i % 5 for r in got[i, k])
 
 
+def test_pictures_stay_where_they_are_drawn(spark, sf_dir):
+    plan = ingest_plans.page_images(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "binary" not in plan
+
+
+def test_upright_drawn_as_stored(spark):
+    docs = spark.createDataFrame([(i, "ab cé\n😀d. " * n) for i, n in [(0, 0), (3, 400), (5, 400), (15, 600), (7, 900), (None, 5)]] + [(2, None)], "doc_id long, text string")
+    stored = images.upright_pages(drawn.typeset_pages(docs), edge=300).collect()
+    told = images.upright_drawn(docs, drawn.pictures, edge=300).collect()
+    assert sorted(map(tuple, told), key=str) == sorted((tuple(r)[:-1] for r in stored), key=str)
+    assert all(len(r.pixels) == r.height * r.width for r in stored)
+
+
+def test_fitted_means_of_any_picture():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        shape = (*rng.integers(1, 90, 2), *([3] if k % 4 == 0 else []))
+        page = rng.integers(0, 256, shape).astype(np.uint8)
+        page = np.rot90(page, k % 4)[:: -1 if k % 5 == 0 else 1]
+        edge = int(rng.integers(1, 100))
+        (h, w), longest = page.shape[:2], max(page.shape[:2])
+        size = [n if longest <= edge else max(int(n * edge / longest + 0.5), 1) for n in (h, w)]
+        cells = [[*(np.arange(m) * n // m), n] for n, m in zip((h, w), size)]
+        got = images.fitted(page, edge)
+        assert got.shape[:2] == tuple(size) and got.dtype == np.uint8
+        for a in range(size[0]):
+            for b in range(size[1]):
+                mean = page[cells[0][a] : cells[0][a + 1], cells[1][b] : cells[1][b + 1]].reshape(-1, *page.shape[2:]).astype(int).mean(axis=0)
+                assert (got[a, b] == np.rint(mean)).all()
+
+
+def test_profiles_and_periods():
+    rng = np.random.default_rng(2)
+    for page in (rng.integers(0, 256, (1500, 1300)).astype(np.uint8), rng.integers(0, 2, (90, 200)).astype(np.uint8) * 255, np.full((60, 60), 7, np.uint8)):
+        mid = page[int(len(page) * 0.19) : len(page) - int(len(page) * 0.19), int(page.shape[1] * 0.19) : page.shape[1] - int(page.shape[1] * 0.19)].astype(float)
+        if len(page) < 1000:
+            assert all(np.allclose(a, b) for a, b in zip(images.variance_profiles(page), (mid.var(axis=1), mid.var(axis=0))))
+    for n in (48, 49, 200, 700, 1000):
+        profile = rng.random(n)
+        step = np.diff(profile) - np.diff(profile).mean()
+        want = max(float(step[:-k] @ step[k:]) / float(step @ step) for k in range(max(n // 50, 4), n // 4))
+        assert abs(images.periodicity(profile) - max(want, 0)) < 1e-9
+
+
 def test_web_page_shapes(spark, sf_dir):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<nav>" + "<a href=x>y</a>" * 30 + "</nav><p>One short text.</p><p>Another, the longest of them.</p>"), (4, "u", "<p>é One.</p><p>Two of it.</p>" + "<a >" * 20)]
     many = "".join(f"<p>Paragraph {i} with words.</p>" for i in range(60))

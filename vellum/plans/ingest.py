@@ -201,8 +201,7 @@ def epub_pages(spark, sf_dir):
 @query()
 def page_images(spark, sf_dir):
     """Pictures of whole texts, stored by all orientation tags, some taken sideways or as a spread: turned upright, split, fitted."""
-    drawn_pages = drawn.typeset_pages(table(spark, sf_dir, "documents"))
-    return images.upright_pages(drawn_pages, edge=800).select("id", "page", "part", "sideways", "height", "width")
+    return images.upright_drawn(table(spark, sf_dir, "documents").select("doc_id", "text"), drawn.pictures, edge=800)
 
 
 #: first bytes that are put before the texts

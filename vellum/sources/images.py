@@ -37,12 +37,25 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 
 def variance_profiles(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Variance of each row and column of the central 62 %, sampled to at most 1000 lines."""
-    g = grey(pixels)
-    h, w = g.shape
-    mid = g[int(h * 0.19) : h - int(h * 0.19), int(w * 0.19) : w - int(w * 0.19)]
-    cut = lambda x: x[np.linspace(0, len(x) - 1, min(PROFILE, len(x))).astype(int)]
-    mid = cut(cut(mid).T).T
-    return mid.var(axis=1), mid.var(axis=0)
+    h, w = pixels.shape[:2]
+    mid = pixels[int(h * 0.19) : h - int(h * 0.19), int(w * 0.19) : w - int(w * 0.19)]
+    for axis in (0, 1):
+        if (n := mid.shape[axis]) > PROFILE:
+            mid = mid.take(np.linspace(0, n - 1, PROFILE).astype(int), axis)
+    if pixels.ndim > 2 or pixels.dtype != np.uint8:
+        g = grey(mid)
+        return g.var(axis=1), g.var(axis=0)
+    # around 128 the sums of at most 1000 squares are below 2^24, so they are exact in any order
+    g = mid.astype(np.float32, order="K")
+    g -= 128
+    squares = g * g
+
+    def var(total, square, n):
+        total = total.astype(np.float64)
+        return (square * float(n) - total * total) / (n * n)
+
+    across, down = np.ones(mid.shape[1], np.float32), np.ones(mid.shape[0], np.float32)
+    return var(g @ across, squares @ across, max(len(across), 1)), var(down @ g, down @ squares, max(len(down), 1))
 
 
 def periodicity(profile: np.ndarray) -> float:
@@ -56,7 +69,10 @@ def periodicity(profile: np.ndarray) -> float:
     if power <= 0:
         return 0.0
     low = max(n // 50, 4)
-    return max([0.0, *(float(step[:-k] @ step[k:]) / power for k in range(low, max(n // 4, low + 1)))])
+    # all lags at once, with room so that the ends don't meet
+    found = np.fft.rfft(step, 1 << (n + n // 4).bit_length())
+    lags = np.fft.irfft(found.real**2 + found.imag**2)[low : max(n // 4, low + 1)]
+    return max(0.0, float(lags.max()) / power)
 
 
 def is_sideways(pixels: np.ndarray) -> bool:
@@ -64,8 +80,8 @@ def is_sideways(pixels: np.ndarray) -> bool:
     rows, cols = variance_profiles(pixels)
     if rows.mean() < 16:
         return False
-    across, down = periodicity(cols), periodicity(rows)
-    return across >= 0.08 and across > 1.35 * down
+    across = periodicity(cols)
+    return across >= 0.08 and across > 1.35 * periodicity(rows)
 
 
 def turn_upright(pixels: np.ndarray) -> np.ndarray:
@@ -75,11 +91,10 @@ def turn_upright(pixels: np.ndarray) -> np.ndarray:
 def gutter(pixels: np.ndarray) -> int | None:
     """The column of a spread's fold: the darkest of the middle third, if it is darker than the
     pages beside it and few columns there are."""
-    g = grey(pixels)
-    h, w = g.shape
+    h, w = pixels.shape[:2]
     if w < 1.25 * h:
         return None
-    columns = g[h // 4 : h - h // 4].mean(axis=0)
+    columns = grey(pixels[h // 4 : h - h // 4]).mean(axis=0)
     lo, hi = w * 35 // 100, w * 65 // 100
     pages = np.r_[columns[w // 10 : w * 3 // 10], columns[w * 7 // 10 : w * 9 // 10]]
     if hi <= lo or not len(pages):
@@ -108,22 +123,75 @@ def exif_upright(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
     return np.rot90(pixels, TURNS.get(orientation or 1, 0))
 
 
+def _summed(values: np.ndarray, cuts: np.ndarray, counts: np.ndarray, axis: int, kind: type) -> np.ndarray:
+    """Sums of the stretches that begin at ``cuts`` along an axis."""
+    of = (lambda x, at: x[at]) if axis == 0 else (lambda x, at: x[:, at])
+    out = of(values, cuts).astype(kind)
+    for k in range(1, int(counts.max())):
+        more = slice(None) if (counts > k).all() else np.flatnonzero(counts > k)
+        if axis == 0:
+            out[more] += values[cuts[more] + k]
+        else:
+            out[:, more] += values[:, cuts[more] + k]
+    return out
+
+
 def fitted(pixels: np.ndarray, edge: int = 1600) -> np.ndarray:
     """The picture with its longest edge at most ``edge``: means of the pixels that fall together."""
     h, w = pixels.shape[:2]
     longest = max(h, w)
     if longest <= edge:
         return pixels
-    size = [max(int(x * edge / longest + 0.5), 1) for x in (h, w)]
-    out = pixels.astype(np.float64)
-    for axis, (n, m) in enumerate(zip((h, w), size, strict=True)):
+    if pixels.ndim == 2 and pixels.strides[0] < pixels.strides[1]:
+        return fitted(pixels.T, edge).T
+    cells = []
+    for n in (h, w):
+        m = max(int(n * edge / longest + 0.5), 1)
         cuts = np.arange(m) * n // m
-        counts = np.diff(np.r_[cuts, n]).reshape([-1 if a == axis else 1 for a in range(out.ndim)])
-        out = np.add.reduceat(out, cuts, axis=axis) / counts
-    return out.round().astype(pixels.dtype)
+        cells.append((cuts, np.diff(np.r_[cuts, n])))
+    (rows, down), (columns, across) = cells
+    # sums of so few bytes, and which side of a half their mean is on, are exact in 24 bits
+    kind = np.float32 if pixels.dtype == np.uint8 and int(down.max()) * int(across.max()) <= 1024 else np.float64
+    # a pixel that stands alone is its own mean
+    out = pixels[rows][:, columns]
+    r, c = np.flatnonzero(down > 1), np.flatnonzero(across > 1)
+    if len(r):
+        mean = _summed(_summed(pixels, rows[r], down[r], 0, kind), columns, across, 1, kind)
+        mean /= (down[r][:, None] * across).astype(kind).reshape(*mean.shape[:2], *[1] * (pixels.ndim - 2))
+        out[r] = np.rint(mean, out=mean)
+    if len(c) and len(r) < len(rows):
+        mean = _summed(_summed(pixels, columns[c], across[c], 1, kind), rows, down, 0, kind)
+        mean /= (down[:, None] * across[c]).astype(kind).reshape(*mean.shape[:2], *[1] * (pixels.ndim - 2))
+        out[:, c] = np.rint(mean, out=mean)
+    return out
 
 
 PIXELS = "id long, page int, height int, width int, orientation int, pixels binary"
+UPRIGHT = "id long, page int, part int, sideways boolean, height int, width int, pixels binary"
+
+
+def _uprighted(pictures, edge: int, pixels: bool, together: int):
+    """Batches of ``UPRIGHT``, without the pixels where these are not asked for, from ``id, page, orientation, pixels``; one picture is held at a time."""
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["id", "page", "part", "sideways", "height", "width", "pixels"]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names=names[: len(rows[0])])
+
+    rows: list = []
+    for i, page, tag, raw in pictures:
+        seen = exif_upright(raw, tag)
+        side = is_sideways(seen)
+        for part, x in enumerate(split_spread(np.rot90(seen) if side else seen)):
+            x = fitted(x, edge)
+            rows.append((i, page, part, side, *x.shape, *([np.ascontiguousarray(x).tobytes()] if pixels else [])))
+        if len(rows) >= together:
+            yield made(rows)
+            rows = []
+    if rows:
+        yield made(rows)
 
 
 def upright_pages(pictures: DataFrame, edge: int = 1600) -> DataFrame:
@@ -132,28 +200,25 @@ def upright_pages(pictures: DataFrame, edge: int = 1600) -> DataFrame:
     ``pictures`` are grey ``PIXELS``; one picture is held at a time.
     """
 
-    def run(batches):
-        import pyarrow as pa
-
+    def stored(batches):
         for batch in batches:
             ids, pages, heights, widths, tags = (batch.column(k).to_pylist() for k in range(5))
             for i, page, h, w, tag, raw in zip(ids, pages, heights, widths, tags, batch.column(5), strict=True):
-                seen = exif_upright(np.frombuffer(raw.as_buffer(), np.uint8).reshape(h, w), tag)
-                side = is_sideways(seen)
-                parts = [fitted(x, edge) for x in split_spread(np.rot90(seen) if side else seen)]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i] * n, pa.int64()),
-                        pa.array([page] * n, pa.int32()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array([side] * n, pa.bool_()),
-                        pa.array([p.shape[0] for p in parts], pa.int32()),
-                        pa.array([p.shape[1] for p in parts], pa.int32()),
-                        pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary()),
-                    ],
-                    names=["id", "page", "part", "sideways", "height", "width", "pixels"],
-                )
+                yield i, page, tag, np.frombuffer(raw.as_buffer(), np.uint8).reshape(h, w)
 
     own = pictures.select("id", "page", "height", "width", "orientation", "pixels")
-    return own.mapInArrow(run, "id long, page int, part int, sideways boolean, height int, width int, pixels binary")
+    return own.mapInArrow(lambda batches: _uprighted(stored(batches), edge, True, 1), UPRIGHT)
+
+
+def upright_drawn(rows: DataFrame, draw, edge: int = 1600) -> DataFrame:
+    """As ``upright_pages`` without the pixels, of the pictures ``id, page, orientation, pixels`` that ``draw`` makes of a row's values.
+
+    Every picture is worked on where it is drawn and let go, so none moves between Python and Spark.
+    """
+
+    def drawn(batches):
+        for batch in batches:
+            for values in zip(*batch.columns, strict=True):
+                yield from draw(*(v.as_py() for v in values))
+
+    return rows.mapInArrow(lambda batches: _uprighted(drawn(batches), edge, False, 1024), UPRIGHT.rsplit(",", 1)[0])
