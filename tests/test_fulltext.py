@@ -114,3 +114,24 @@ def test_phrases(spark, sf_dir):
     index = fulltext.postings(spark.createDataFrame(texts, "id long, text string"), "id")
     got = fulltext.phrase_hits(index, spark.createDataFrame(phrases, "phrase_id long, text string"), "id").collect()
     assert {(r.phrase_id, r.id): r.hits for r in got} == want
+
+
+def test_phrases_without_an_index(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [(1, "The running of naïve dogs; dogs ran. Running of naive dog"), (2, "dogs run, of course"), (3, ""), (4, None), (5, "of of of of"), (None, "a dog runs of")]
+    texts += [(10 + k, " ".join(rng.choices(["run", "runs", "running", "of", "dog", "Dogs", "the", "day", "days"], k=rng.randrange(1, 60)))) for k in range(200)]
+    phrases = [(1, "run of naive dogs"), (2, "dogs"), (3, "of of"), (4, "nowhere at all"), (5, "Dogs; run"), (6, "run run runs dog"), (7, ""), (8, "days of the day"), (9, "of the nowhere")]
+    want = brute(texts, [x for x in phrases if x[1]])
+    assert {p for p, _ in want} >= {1, 2, 3, 5, 6}
+    own = spark.createDataFrame(texts, "id long, text string")
+    asked = spark.createDataFrame(phrases, "phrase_id long, text string")
+    for few in (500_000, 2):
+        monkeypatch.setattr(fulltext, "FEW_WORDS", few)
+        got = fulltext.phrase_hits_in(own, asked, "id").collect()
+        assert {(r.phrase_id, r.id): r.hits for r in got} == want, few
+
+
+def test_only_distinct_tokens_and_hits_move(spark, sf_dir):
+    """The query's plan over all documents has no exchange but that of the hits."""
+    plan = words.phrase_hits(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1

@@ -7,7 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import let, part_of
+from ..sources.library import staged
 from .lexicon import FEW_WORDS
 
 # --- fixed values: the endings of the stemmer's steps -------------------------------------
@@ -20,6 +21,8 @@ STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 #: Words beyond these lengths are their own stems.
 SHORTEST, LONGEST = 3, 64
+#: Tokens of a text that are looked through together.
+STRETCH = 64
 # -----------------------------------------------------------------------------------------
 
 #: Runs of consonants and of vowels; y is a vowel after a consonant.
@@ -135,3 +138,42 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, *key: str) -> DataFrame:
     size = asked.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("size"))
     places = index.join(asked, "stem").groupBy("phrase_id", *key, (F.col("position") - F.col("nth")).alias("place")).agg(F.count(F.lit(1)).alias("met"))
     return places.join(size, "phrase_id").where("met = size").groupBy("phrase_id", *key).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def phrase_hits_in(texts: DataFrame, phrases: DataFrame, *key: str) -> DataFrame:
+    """``phrase_hits`` of texts that are not indexed.
+
+    Of every phrase the word that is rarest in the texts is looked for; where it stands, the words
+    around it are held against all forms that the texts have of the phrase's words.  So nothing but
+    the texts' distinct tokens and the hits move; with more than ``FEW_WORDS`` such forms the texts
+    are indexed.
+    """
+    asked = staged(postings(phrases, "phrase_id"), "asked")
+    stems = asked.select("stem").distinct()
+    stems = F.broadcast(stems) if asked.count() <= FEW_WORDS else stems
+    words = texts.select(F.explode_outer(tokens(F.col("text"))).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # written first, else the semi-join goes below the grouping and every occurrence is stemmed
+    forms = staged(staged(words, "tokens").withColumn("stem", stem(F.col("token"))).join(stems, "stem", "left_semi"), "forms")
+    parts = asked.join(forms.groupBy("stem").agg(F.collect_list("token").alias("forms"), F.sum("n").alias("n")), "stem", "left")
+    whole = parts.groupBy("phrase_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("position").alias("nth"), "forms"))).alias("parts"),
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("position").alias("nth"), "forms")).alias("rarest"),
+    )
+    # a phrase with a word that no text has stands nowhere
+    sought = whole.where("rarest.n > 0").select("phrase_id", F.col("rarest.nth").alias("nth"), F.transform("parts", lambda x: x["forms"]).alias("parts"), F.explode("rarest.forms").alias("token"))
+    sought = staged(sought, "sought")
+    forms_held = sought.agg(F.coalesce(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + F.size(x))), F.lit(0))).first()[0]
+    if forms_held > FEW_WORDS:
+        return phrase_hits(postings(texts, *key), phrases, *key)
+    # a word is held with the tokens of its stretch, not of its text
+    most = asked.groupBy("phrase_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    stretch = max(STRETCH, 4 * most)
+    cut = let(tokens(F.col("text")), lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(stretch)), lambda k: part_of(x, k, F.least(k + stretch + most - 1, F.size(x))))))
+    own = texts.select(*key, F.explode_outer(cut).alias("_tokens"))
+    places = own.select(*key, "_tokens", F.posexplode("_tokens").alias("position", "token")).join(F.broadcast(sought), "token")
+    first, size = F.col("position") - F.col("nth"), F.size("parts")
+    near = places.where((first >= 0) & (first < stretch) & (first + size <= F.size("_tokens")))
+    # cut out before the words are compared, which is slower and would hold whole stretches (what is not deterministic is not moved)
+    around = F.when(F.monotonically_increasing_id() >= 0, F.slice("_tokens", first + 1, size))
+    met = near.select(*key, "phrase_id", "parts", around.alias("around")).where(F.forall(F.zip_with("parts", "around", F.array_contains), lambda x: x))
+    return met.groupBy("phrase_id", *key).agg(F.count(F.lit(1)).alias("hits"))
