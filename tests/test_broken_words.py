@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.operators import broken_words, segment
+from vellum.operators import broken_words, lexicon, segment
 
 
 def affixes(token):
@@ -81,3 +81,15 @@ def test_pages_by_the_lexicon(spark):
         2: [],
         3: [("paragraph", "nothing here is known to anybody at all.")],
     }
+
+
+def test_only_full_spelling_moves(spark):
+    rows = [(f"{i}:1", "ﬁrﬅ of ſome", level, i) for i, level in enumerate(["off", "light", "full"] * 5)]
+    rows = spark.createDataFrame(rows, "id string, text_raw string, level string, other int")
+    got = lexicon.normalise_by_level(rows, spark.createDataFrame([("some",), ("first",)], "headword string"))
+    assert got.columns == ["id", "text_raw", "level", "other", "text_norm"]
+    want = {"off": "ﬁrﬅ of ſome", "light": "first of ſome", "full": "first of some"}
+    told = got.collect()
+    assert len(told) == 15 and all(r.text_norm == want[r.level] and r.id == f"{r.other}:1" for r in told)
+    plain = got._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "Join" not in plain and "Repartition" not in plain
